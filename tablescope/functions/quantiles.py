@@ -53,12 +53,11 @@ def agg_with_quantiles(df: DataFrame, cols: Sequence[str], metrics: dict[str, Ca
     return long_agg(df, cols, metrics).join(F.broadcast(found), "column")
 
 
-def quantile_scalars(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> dict[str, Column]:
-    """Per column an array of quantiles, as a scalar subquery usable in any expression."""
+def quantile_map(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> Column:
+    """Map from column name to its array of quantiles, as a scalar subquery."""
     found = agg_with_quantiles(df, cols, {}, probs)
     entries = F.map_from_entries(F.collect_list(F.struct("column", "q")))  # one entry per column
-    table = found.agg(entries.alias("q")).scalar()
-    return {c: table[F.lit(c)] for c in cols}
+    return found.agg(entries.alias("q")).scalar()
 
 
 def grouped_quantiles(

@@ -89,12 +89,12 @@ def _guarded(fn):
 
 
 def chi2_p(x: Column, df: Column) -> Column:
-    return F.udf(_guarded(chi2_sf), "double")(x, df)
+    return F.udf(_guarded(chi2_sf), "double", useArrow=False)(x, df)
 
 
 def t_p(t: Column, df: Column) -> Column:
-    return F.udf(_guarded(t_two_sided), "double")(t, df)
+    return F.udf(_guarded(t_two_sided), "double", useArrow=False)(t, df)
 
 
 def f_p(f: Column, df1: Column, df2: Column) -> Column:
-    return F.udf(_guarded(f_sf), "double")(f, df1, df2)
+    return F.udf(_guarded(f_sf), "double", useArrow=False)(f, df1, df2)

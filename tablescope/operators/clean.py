@@ -17,7 +17,7 @@ from tablescope.functions.parsing import (
     DATE_FORMATS, FALSE_WORDS, TRUE_WORDS, is_date, is_number, parse_boolean, parse_datetime,
     parse_number, strip,
 )
-from tablescope.functions.quantiles import agg_with_quantiles, quantile_scalars
+from tablescope.functions.quantiles import agg_with_quantiles, quantile_map
 from tablescope.operators import project, transform
 from tablescope.operators.aggregate import duplicate_count, null_counts
 
@@ -151,25 +151,26 @@ def impute(df: DataFrame, strategy: str, cols: Sequence[str] | None = None) -> D
     nums = [c for c in cols if c in numeric_columns(df)]
     texts = [c for c in cols if c in text_columns(df)]
     made: dict[str, Column] = {}
+    stats: dict[str, Column] = {}  # attached once, then read by every filled column
     if nums and strategy == "mean":
-        s = scalar_stats(data, **{f"m{i}": F.avg(as_double(c)) for i, c in enumerate(nums)})
-        made |= {c: F.coalesce(as_double(c), s[f"m{i}"]) for i, c in enumerate(nums)}
+        stats["_nums"] = scalar_stats(data, **{f"m{i}": F.avg(as_double(c)) for i, c in enumerate(nums)})
+        made |= {c: F.coalesce(as_double(c), F.col(f"_nums.m{i}")) for i, c in enumerate(nums)}
     elif nums and strategy == "median":
-        q = quantile_scalars(data.select(*[col(c) for c in nums]), nums, [0.5])
-        made |= {c: F.coalesce(as_double(c), F.get(q[c], F.lit(0))) for c in nums}
+        stats["_nums"] = quantile_map(data.select(*[col(c) for c in nums]), nums, [0.5])
+        made |= {c: F.coalesce(as_double(c), F.get(F.col("_nums")[c], F.lit(0))) for c in nums}
     elif nums and strategy == "zero":
         made |= {c: _fill(c, F.lit(0).cast(df.schema[c].dataType)) for c in nums}
     elif nums and strategy == "mode":
-        m = _mode_map(data, nums, "double")
-        made |= {c: _fill(c, m[F.lit(c)].cast(df.schema[c].dataType)) for c in nums}
+        stats["_nums"] = _mode_map(data, nums, "double")
+        made |= {c: _fill(c, F.col("_nums")[c].cast(df.schema[c].dataType)) for c in nums}
     elif nums:
         raise ValueError(f"unknown strategy {strategy!r}")
     if texts and strategy == "mode":
-        m = _mode_map(data, texts, "string")
-        made |= {c: _fill(c, m[F.lit(c)]) for c in texts}
+        stats["_texts"] = _mode_map(data, texts, "string")
+        made |= {c: _fill(c, F.col("_texts")[c]) for c in texts}
     else:
         made |= {c: _fill(c, F.lit(UNKNOWN)) for c in texts}
-    return data.withColumns(made)
+    return data.withColumns(stats).withColumns(made).drop(*stats)
 
 
 def impute_constant(df: DataFrame, cols: Sequence[str] | None = None, value: Any = UNKNOWN) -> DataFrame:
@@ -179,21 +180,9 @@ def impute_constant(df: DataFrame, cols: Sequence[str] | None = None, value: Any
 # --- outliers ------------------------------------------------------------------------------
 
 
-def iqr_limits(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[Column, Column]]:
-    """Lower and upper fence per column, as scalar expressions."""
-    q = quantile_scalars(df.select(*[col(c) for c in cols]), cols, [0.25, 0.75])
-    out = {}
-    for c in cols:
-        q1, q3 = F.get(q[c], F.lit(0)), F.get(q[c], F.lit(1))
-        out[c] = (q1 - IQR_FACTOR * (q3 - q1), q3 + IQR_FACTOR * (q3 - q1))
-    return out
-
-
-def outlier_bounds(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """Quartiles, fences and the number and share of values outside, per numeric column."""
-    cols = list(cols) if cols is not None else numeric_columns(df)
-    data = nan_to_null(df.select(*[col(c) for c in cols]))
-    quart = agg_with_quantiles(data, cols, {}, [0.25, 0.75])
+def with_fences(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Attach ``_fences``, a map from column to its quartiles and its lower and upper fence."""
+    quart = agg_with_quantiles(df.select(*[col(c) for c in cols]), cols, {}, [0.25, 0.75])
     fences = quart.select(
         "column", F.get("q", F.lit(0)).alias("q1"), F.get("q", F.lit(1)).alias("q3")
     ).withColumn("iqr", F.col("q3") - F.col("q1")).withColumn(
@@ -201,27 +190,33 @@ def outlier_bounds(df: DataFrame, cols: Sequence[str] | None = None) -> DataFram
         "upper", F.col("q3") + IQR_FACTOR * F.col("iqr"))
     table = fences.agg(F.map_from_entries(
         F.collect_list(F.struct("column", F.struct("q1", "q3", "lower", "upper")))).alias("m")).scalar()
+    return df.withColumn("_fences", table)
+
+
+def outlier_bounds(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """Quartiles, fences and the number and share of values outside, per numeric column."""
+    cols = list(cols) if cols is not None else numeric_columns(df)
+    data = nan_to_null(df.select(*[col(c) for c in cols]))
+    fenced = with_fences(data, cols)
 
     def outside(c: str) -> Column:
-        f = table[F.lit(c)]
+        f = F.col("_fences")[c]
         return F.count_if((as_double(c) < f["lower"]) | (as_double(c) > f["upper"]))
 
-    counted = long_agg(data, cols, {"n_outliers": outside, "rows": lambda c: F.count(F.lit(1))})
-    f = table[F.col("column")]
+    counted = long_agg(fenced, cols, {
+        "n_outliers": outside, "rows": lambda c: F.count(F.lit(1)), "f": lambda c: F.any_value(F.col("_fences")[c])})
     return counted.select(
-        "column", f["q1"].alias("q1"), f["q3"].alias("q3"), f["lower"].alias("lower"),
-        f["upper"].alias("upper"), "n_outliers",
+        "column", "f.q1", "f.q3", "f.lower", "f.upper", "n_outliers",
         pct(F.col("n_outliers"), F.col("rows")).alias("outlier_pct"))
 
 
 def outlier_clip(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Values outside the fences move onto the fence; NULL stays NULL."""
     cols = list(cols) if cols is not None else numeric_columns(df)
-    data = nan_to_null(df)
-    limits = iqr_limits(data, cols)
-    return data.withColumns({
-        c: F.when(col(c).isNotNull(), F.greatest(lo, F.least(hi, as_double(c))))
-        for c, (lo, hi) in limits.items()})
+    f = lambda c: F.col("_fences")[c]
+    return with_fences(nan_to_null(df), cols).withColumns({
+        c: F.when(col(c).isNotNull(), F.greatest(f(c)["lower"], F.least(f(c)["upper"], as_double(c))))
+        for c in cols}).drop("_fences")
 
 
 outlier_cap = outlier_clip
@@ -232,8 +227,8 @@ def outlier_remove(df: DataFrame, cols: Sequence[str] | None = None) -> DataFram
     cols = list(cols) if cols is not None else numeric_columns(df)
     out = nan_to_null(df)
     for c in cols:
-        lo, hi = iqr_limits(out, [c])[c]
-        out = out.where((as_double(c) >= lo) & (as_double(c) <= hi))
+        f = F.col("_fences")[c]
+        out = with_fences(out, [c]).where((as_double(c) >= f["lower"]) & (as_double(c) <= f["upper"])).drop("_fences")
     return out
 
 

@@ -12,13 +12,14 @@ from tablescope.functions.columns import (
     NUMERIC, OTHER, TEXT, as_double, col, datetime_columns, empty_report, family,
     inline_rows, long_agg, nan_to_null, numeric_columns, pct, text_columns,
 )
+from tablescope.functions.gram import pair_correlations
 from tablescope.functions.quantiles import agg_with_quantiles
 from tablescope.operators.aggregate import duplicate_count, null_counts
 from tablescope.operators.clean import outlier_bounds, type_issues
 from tablescope.operators.ordered import sampling_gap
 from tablescope.operators.profile import top_labels
 from tablescope.operators.stats import (
-    PAIRS_PER_PASS, adjusted_skew, correlation_matrix, correlation_pairs, safe_corr,
+    adjusted_skew, correlation_matrix, correlation_pairs,
 )
 
 # Weights, thresholds, badges and word lists of the scores.
@@ -62,18 +63,13 @@ def null_map(df: DataFrame, n: int = 500, key: Sequence[str] = ()) -> DataFrame:
 def missingness_patterns(df: DataFrame) -> DataFrame:
     """Per column with missing cells: strongest tie of its absence to a numeric column, and the
     mechanism this suggests."""
-    data, nums = nan_to_null(df), numeric_columns(df)
-    pairs = [(c, o) for c in df.columns for o in nums if o != c]
-    passes = []
-    for start in range(0, len(pairs), PAIRS_PER_PASS):
-        part = pairs[start:start + PAIRS_PER_PASS]
-        wide = data.agg(*[
-            F.when(F.count(col(o)) > 10, F.abs(safe_corr(col(c).isNull().cast("double"), as_double(o)))).alias(f"r{i}")
-            for i, (c, o) in enumerate(part)])
-        passes.append(inline_rows(wide, [
-            {"column": F.lit(c), "other": F.lit(o), "place": F.lit(df.columns.index(o)), "r": F.col(f"r{i}")}
-            for i, (c, o) in enumerate(part)]))
-    ties = union(passes) if passes else empty_report(df, "column string, other string, place int, r double")
+    nums, k = numeric_columns(df), len(df.columns)
+    flags = [col(c).isNull().cast("double").alias(f"flag{i}") for i, c in enumerate(df.columns)]
+    wide = nan_to_null(df).select(*flags, *[as_double(c).alias(f"num{i}") for i, c in enumerate(nums)])
+    names, others = F.array(*[F.lit(c) for c in df.columns]), F.array(*[F.lit(c) for c in nums])
+    ties = pair_correlations(wide, wide.columns).where((F.col("i") < k) & (F.col("j") >= k) & (F.col("n") > 10)).select(
+        F.get(names, F.col("i")).alias("column"), F.get(others, F.col("j") - k).alias("other"),
+        F.col("j").alias("place"), F.abs("corr").alias("r")).where("column <> other")
     best = ties.where(F.col("r") > 0).groupBy("column").agg(
         F.max("r").alias("r"), F.min_by("other", F.struct(-F.col("r"), "place")).alias("other"))
     out = null_counts(df).where("nulls > 0").join(F.broadcast(best), "column", "left")

@@ -20,10 +20,10 @@ from tablescope.functions.columns import (
     as_double, col, empty_report, inline_rows, long_agg, nan_to_null, numeric_columns,
     require_columns, text_columns, to_long,
 )
+from tablescope.functions.gram import pair_correlations, pair_sums
 from tablescope.functions.quantiles import agg_with_quantiles, wide_percentiles
 
 ALPHA = 0.05
-PAIRS_PER_PASS = 400
 # Sample sizes that choose the normality test.
 DAGOSTINO_MIN, DAGOSTINO_MAX = 8, 20_000
 
@@ -61,40 +61,25 @@ def skew_adjusted(df: DataFrame) -> DataFrame:
 # --- correlation ---------------------------------------------------------------------------
 
 
-def safe_corr(x: Column, y: Column) -> Column:
-    """Pearson correlation over rows where both are present; NULL for a constant side."""
-    both = x.isNotNull() & y.isNotNull()
-    xs, ys = F.when(both, x), F.when(both, y)
-    return F.try_divide(F.covar_pop(xs, ys), F.stddev_pop(xs) * F.stddev_pop(ys))
+def _named(pairs: DataFrame, cols: Sequence[str]) -> DataFrame:
+    names = F.array(*[F.lit(c) for c in cols])
+    return pairs.select(F.get(names, F.col("i")).alias("a"), F.get(names, F.col("j")).alias("b"), "i", "j", "corr")
 
 
 def correlation_pairs(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """``(a, b, corr)`` for every pair of numeric columns, many pairs per pass."""
+    """``(a, b, corr)`` for every pair of numeric columns: Pearson, rows where both are present."""
     data, cols = _numbers(df, cols)
-    pairs = list(itertools.combinations(cols, 2))
-    if not pairs:
+    if len(cols) < 2:
         return empty_report(df, "a string, b string, corr double")
-    passes = []
-    for start in range(0, len(pairs), PAIRS_PER_PASS):
-        part = pairs[start:start + PAIRS_PER_PASS]
-        wide = data.agg(*[safe_corr(as_double(a), as_double(b)).alias(f"r{i}")
-                          for i, (a, b) in enumerate(part)])
-        passes.append(inline_rows(wide, [
-            {"a": F.lit(a), "b": F.lit(b), "corr": F.col(f"r{i}")} for i, (a, b) in enumerate(part)]))
-    return reduce(DataFrame.unionByName, passes)
+    return _named(pair_correlations(data, cols), cols).where("i < j").select("a", "b", "corr")
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """All ordered pairs with the diagonal, long form; a constant column has NULL everywhere."""
     data, cols = _numbers(df, cols)
-    pairs = correlation_pairs(data, cols)
-    both = pairs.select(F.inline(F.array(
-        F.struct("a", "b", "corr"),
-        F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "corr"))))
-    one = long_agg(data, cols, {"sd": lambda c: F.stddev_pop(as_double(c))}).select(
-        F.col("column").alias("a"), F.col("column").alias("b"),
-        F.when(F.col("sd") > 0, F.lit(1.0)).alias("corr"))
-    return both.unionByName(one)
+    if not cols:
+        return empty_report(df, "a string, b string, corr double")
+    return _named(pair_correlations(data, cols), cols).select("a", "b", "corr")
 
 
 def top_correlations(df: DataFrame, n: int = 5) -> DataFrame:
@@ -257,7 +242,6 @@ def chi_square(df: DataFrame, a: str | None = None, b: str | None = None) -> Dat
 # --- collinearity and dependence -----------------------------------------------------------
 
 
-@F.udf("array<double>")
 def _vif_of(gram: list[float]) -> list[float]:
     """Diagonal of G times diagonal of its inverse; the matrix has one row per column of the table."""
     k = int(len(gram) ** 0.5)
@@ -274,11 +258,11 @@ def vif(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Variance inflation of each numeric column against the others, without intercept."""
     data, names = _numbers(df, cols)
     data = data.dropna()
-    pair = {(i, j): F.sum(as_double(names[i]) * as_double(names[j])).alias(f"g{i}_{j}")
-            for i in range(len(names)) for j in range(i, len(names))}
-    wide = data.agg(*pair.values())
-    gram = F.array(*[F.col(f"g{min(i, j)}_{max(i, j)}") for i in range(len(names)) for j in range(len(names))])
-    found = wide.where(F.col("g0_0").isNotNull()).select(_vif_of(gram).alias("v"))
+    sums = pair_sums(data, names, centred=False)
+    ordered = F.array_sort(F.collect_list(F.struct("i", "j", "sxy")))  # k x k entries
+    solve = F.udf(_vif_of, "array<double>", useArrow=False)
+    found = sums.agg(F.transform(ordered, lambda e: e["sxy"]).alias("g")).where(F.size("g") > 0).select(
+        solve("g").alias("v"))
     out = inline_rows(found, [{"column": F.lit(c), "vif": F.get("v", F.lit(i))} for i, c in enumerate(names)])
     v = F.col("vif")
     return out.select(
