@@ -2,7 +2,7 @@
 
 from tablescope.plans.registry import ORACLES, QUERIES
 from tablescope.plans import (  # noqa: F401  (importing registers the queries)
-    cleaning, reports, tables, transforms,
+    cleaning, reports, statistics, tables, transforms,
 )
 
 __all__ = ["ORACLES", "QUERIES"]
