@@ -66,26 +66,30 @@ def grouped_quantiles(
     value: str,
     probs: Sequence[float],
     limit: int | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
-    """``(keys..., q)``: exact quantiles of ``value`` per group; NULL values are left out."""
+    """``(keys..., q)``: exact quantiles of ``value`` per group; NULL values are left out.
+
+    With ``weight`` (a row count) every row stands for that many equal rows.
+    """
     limit = EXACT_GROUP_ROWS if limit is None else limit
-    data = df.select(*[col(k) for k in keys], as_double(value).alias("_v")).where("_v is not null")
-    sizes = data.groupBy(*keys).agg(F.count("*").alias("_n"))
-    largest = sizes.agg(F.max("_n")).first()[0] or 0
+    data = df.select(*[col(k) for k in keys], as_double(value).alias("_v"),
+                     (col(weight) if weight else F.lit(1)).cast("bigint").alias("_c")).where("_v is not null")
+    size = [F.sum("_c").alias("_n"), F.count("*").alias("_rows")]
+    sizes = data.groupBy(*keys).agg(*size)
+    largest = sizes.agg(F.max("_rows")).first()[0] or 0
+    exact = F.percentile("_v", _probs(probs), F.col("_c")).alias("q")
     if largest <= limit:
-        return data.groupBy(*keys).agg(F.percentile("_v", _probs(probs)).alias("q"))
+        return data.groupBy(*keys).agg(exact)
 
-    hot = checkpointed(sizes.where(F.col("_n") > limit))
+    hot = checkpointed(sizes.where(F.col("_rows") > limit).drop("_rows"))
     if hot.count() <= BROADCAST_ROWS:
         hot = F.broadcast(hot)
     same = [F.col(f"d.{k}").eqNullSafe(F.col(f"h.{k}")) for k in keys]
-    small = (
-        data.alias("d").join(hot.alias("h"), same, "left_anti")
-        .groupBy(*keys).agg(F.percentile("_v", _probs(probs)).alias("q"))
-    )
+    small = data.alias("d").join(hot.alias("h"), same, "left_anti").groupBy(*keys).agg(exact)
     counted = (
         data.alias("d").join(hot.alias("h"), same, "left_semi")
-        .groupBy(*keys, "_v").agg(F.count("*").alias("_c"))
+        .groupBy(*keys, "_v").agg(F.sum("_c").alias("_c"))
         .persist(StorageLevel.DISK_ONLY)
     )
     try:

@@ -2,7 +2,7 @@
 
 from tablescope.plans.registry import ORACLES, QUERIES
 from tablescope.plans import (  # noqa: F401  (importing registers the queries)
-    charts, cleaning, reports, sql_shapes, statistics, tables, transforms,
+    charts, cleaning, models, reports, sql_shapes, statistics, tables, transforms,
 )
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tablescope.operators import clean
+from tablescope.operators import clean, outliers
+from tablescope.operators.quality import quality_report
 from tablescope.plans.registry import LINEITEM, query, union_all
 
 GAPS = ["lineitem_gaps"]
@@ -184,3 +185,28 @@ def _(t):
     return out.withColumns({c: F.col(c).cast("bigint") for c in ("o_orderkey", "o_custkey")})
 
 
+
+
+# --- learned outlier detectors -------------------------------------------------------------
+
+
+@query("outlier_isolation_forest")
+def _(t):
+    return outliers.outlier_isolation_forest(t.customer_outliers, "c_acctbal", ["c_custkey"]).select(
+        "c_custkey", "c_acctbal", "is_outlier")
+
+
+@query("outlier_lof")
+def _(t):
+    return outliers.outlier_lof(t.customer_outliers, "c_acctbal").select("c_custkey", "c_acctbal", "is_outlier")
+
+
+@query("outlier_ensemble")
+def _(t):
+    return outliers.outlier_ensemble(t.customer_outliers, ["c_custkey"])
+
+
+@query("quality_report_ensemble")
+def _(t):
+    rates = outliers.outlier_ensemble(t.customer_outliers, ["c_custkey"])
+    return quality_report(t.customer_outliers, rates)
