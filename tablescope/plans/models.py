@@ -6,7 +6,7 @@ from functools import cache
 
 from pyspark.sql import functions as F
 
-from tablescope.operators import evaluate, models, neighbours, runs
+from tablescope.operators import clusters, evaluate, models, neighbours, runs
 from tablescope.operators.clean import impute_constant
 from tablescope.plans.registry import query
 from tablescope.sources import store
@@ -359,3 +359,9 @@ def _(t):
 def _(t):
     rows, _ = models.pca(t.customer, ["c_acctbal", "c_nationkey"], 2)
     return rows
+
+
+@query("cluster_dbscan")
+def _(t):
+    labelled = clusters.cluster_dbscan(t.customer, ["c_acctbal", "c_nationkey"], eps=0.1, min_pts=5)
+    return clusters.cluster_sizes(labelled)

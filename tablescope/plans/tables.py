@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tablescope.operators import aggregate as agg
-from tablescope.operators import clean, ordered, project
+from tablescope.operators import clean, fuzzy, ordered, project
 from tablescope.operators import profile as prof
 from tablescope.plans.registry import LINEITEM, query, union_all
 from tablescope.sources import io, store
@@ -516,3 +516,12 @@ def _(t):
     return agg.union_distinct_nodes(t.orders, "o_orderstatus", "o_orderpriority")
 
 
+
+
+@query("fuzzy_duplicates", """
+WITH d AS (SELECT DISTINCT 'p_name' AS "column", p_name AS v FROM part_text UNION SELECT DISTINCT 'p_type', p_type FROM part_text)
+SELECT a."column", a.v AS a, b.v AS b, 1 - levenshtein(a.v, b.v) / greatest(length(a.v), length(b.v)) AS similarity
+FROM d a JOIN d b ON a."column" = b."column" AND a.v < b.v
+WHERE 1 - levenshtein(a.v, b.v) / greatest(length(a.v), length(b.v)) >= 0.85""", derived=["part_text"], doubles=["similarity"])
+def _(t):
+    return fuzzy.fuzzy_duplicates(t.part_text, ["p_name", "p_type"], 0.85)

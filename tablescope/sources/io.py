@@ -74,8 +74,8 @@ def sample_rows(df: DataFrame, n: int, key: Sequence[str] = ()) -> DataFrame:
     rows = df.count()
     if rows <= n:
         return df
-    if rows > 10 * n:
-        share = min(1.0, (2 * n + 1000) / rows)
+    share = (2 * n + 1000) / rows
+    if share < 0.2:
         few = hashed.where(F.col("_h") < F.lit(int((share - 0.5) * 2**64)))
         passed = few.count()
         if passed >= n:
