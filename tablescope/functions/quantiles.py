@@ -82,21 +82,21 @@ def grouped_quantiles(
     if largest <= limit:
         return data.groupBy(*keys).agg(exact)
 
-    hot = checkpointed(sizes.where(F.col("_rows") > limit).drop("_rows"))
+    # keys travel as one struct, in which NULL fields compare as equal
+    keyed = data.select(F.struct(*[col(k) for k in keys]).alias("_k"), "_v", "_c")
+    hot = checkpointed(sizes.where(F.col("_rows") > limit).select(F.struct(*[col(k) for k in keys]).alias("_k"), "_n"))
     if hot.count() <= BROADCAST_ROWS:
         hot = F.broadcast(hot)
-    same = [F.col(f"d.{k}").eqNullSafe(F.col(f"h.{k}")) for k in keys]
-    small = data.alias("d").join(hot.alias("h"), same, "left_anti").groupBy(*keys).agg(exact)
+    small = keyed.join(hot, "_k", "left_anti").groupBy("_k").agg(exact)
     counted = (
-        data.alias("d").join(hot.alias("h"), same, "left_semi")
-        .groupBy(*keys, "_v").agg(F.sum("_c").alias("_c"))
+        keyed.join(hot, "_k", "left_semi").groupBy("_k", "_v").agg(F.sum("_c").alias("_c"))
         .persist(StorageLevel.DISK_ONLY)
     )
     try:
-        big = checkpointed(_narrow(counted, hot, keys, probs, limit))
+        big = checkpointed(_narrow(counted, hot, ["_k"], probs, limit))
     finally:
         counted.unpersist()
-    return small.unionByName(big)
+    return small.unionByName(big).select(*[F.col(f"_k.`{k}`").alias(k) for k in keys], "q")
 
 
 def _narrow(counted: DataFrame, hot: DataFrame, keys: Sequence[str], probs: Sequence[float],

@@ -47,6 +47,6 @@ def fuzzy_duplicates(df: DataFrame, cols: Sequence[str] | None = None, threshold
     met = a.join(b, [F.col("a.column") == F.col("b.column"), F.col("a._v") == F.col("b._v"),
                      F.col("a.value") < F.col("b.value")]).select(
         F.col("a.column").alias("column"), F.col("a.value").alias("a"), F.col("b.value").alias("b"))
-    longer = F.greatest(F.length("a"), F.length("b"))
+    longer = F.greatest(F.length("a"), F.length("b"), F.lit(1))
     close = met.withColumn("similarity", 1 - F.levenshtein("a", "b") / longer)
     return close.where(F.col("similarity") >= threshold).distinct()

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tablescope.functions.checkpoints import checkpointed
 from tablescope.functions.columns import as_double, col, nan_to_null, numeric_columns, require_columns, scalar_stats
-from tablescope.operators.clean import mode_values
+from tablescope.operators.clean import impute, mode_values
 from tablescope.operators.evaluate import (
     classification_metrics, detect_task, feature_columns, regression_metrics, train_test_split,
     with_folds,
@@ -355,8 +355,10 @@ def impute_mice(df: DataFrame, cols: Sequence[str] | None = None, rounds: int =
     cols = list(cols) if cols is not None else numeric_columns(df)
     counts = data.agg(*[F.count_if(col(c).isNull()) for c in cols]).first()
     gaps = [c for n, c in sorted(zip(counts, cols), key=lambda p: p[0]) if n]
-    if not gaps or len(cols) < 2:
+    if not gaps:
         return data
+    if len(cols) < 2:
+        return impute(data, "mean", cols)
     marks = {c: f"_gap{i}" for i, c in enumerate(gaps)}
     stats = scalar_stats(data, **{f"m{i}": F.avg(as_double(c)) for i, c in enumerate(gaps)})
     current = data.withColumn("_s", stats).withColumns({marks[c]: col(c).isNull() for c in gaps}).withColumns({

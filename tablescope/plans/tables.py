@@ -298,13 +298,13 @@ def _(t):
 _AGG = {"mean": "avg(l_extendedprice)", "sum": "sum(l_extendedprice)", "count": "count(l_extendedprice)",
         "median": "quantile_cont(l_extendedprice, 0.5)", "min": "min(l_extendedprice)",
         "max": "max(l_extendedprice)", "std": "stddev_samp(l_extendedprice)", "var": "var_samp(l_extendedprice)",
-        "nunique": "count(DISTINCT l_extendedprice)", "first": "arg_min(l_extendedprice, l_orderkey * 10 + l_linenumber)",
-        "last": "arg_max(l_extendedprice, l_orderkey * 10 + l_linenumber)"}
+        "nunique": "count(DISTINCT l_extendedprice)", "first": "arg_min(l_extendedprice, l_orderkey * 10000000000 + l_partkey * 100000 + l_suppkey * 10 + l_linenumber)",
+        "last": "arg_max(l_extendedprice, l_orderkey * 10000000000 + l_partkey * 100000 + l_suppkey * 10 + l_linenumber)"}
 
 
 def _grouped(t, funcs):
     """One column per aggregate, joined on the group key."""
-    data = t.lineitem_gaps.withColumn("at", F.expr("l_orderkey * 10 + l_linenumber"))
+    data = t.lineitem_gaps.withColumn("at", F.expr("l_orderkey * 10000000000 + l_partkey * 100000 + l_suppkey * 10 + l_linenumber"))
     out = None
     for f in funcs:
         part = agg.group_agg(data, "l_returnflag", "l_extendedprice", f, order_by="at", out=f)
