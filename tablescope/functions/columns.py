@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -88,21 +89,49 @@ def long_agg(
     df: DataFrame,
     cols: Sequence[str],
     metrics: dict[str, Callable[[str], Column]],
-    name: str = "column",
+    finish: dict[str, Callable[[Column], Column]] | None = None,
 ) -> DataFrame:
     """One pass over ``df``: every metric of every column, one result row per column.
 
-    All aggregates share a single ``agg`` with map-side partials; the one wide row
-    is then split into ``(column, metric, metric, ...)`` rows.
+    All aggregates share a single ``agg`` with map-side partials; the one wide row is then split
+    into ``(column, metric, metric, ...)`` rows, ``finish`` turning an aggregate into its result.
     """
     aggs = [f(c).alias(f"m{i}_{m}") for i, c in enumerate(cols) for m, f in metrics.items()]
     wide = df.agg(*aggs)
+    if finish:
+        wide = wide.select(*[
+            (finish[m](F.col(f"m{i}_{m}")) if m in finish else F.col(f"m{i}_{m}")).alias(f"m{i}_{m}")
+            for i in range(len(cols)) for m in metrics])
     return inline_rows(
         wide,
-        [{name: F.lit(c), **{m: F.col(f"m{i}_{m}") for m in metrics}} for i, c in enumerate(cols)],
+        [{"column": F.lit(c), **{m: F.col(f"m{i}_{m}") for m in metrics}} for i, c in enumerate(cols)],
     )
 
 
+RESCANNED = ("Project", "Filter", "Relation", "LocalRelation", "InMemoryRelation", "LogicalRDD")
+
+
+def cheap_to_rescan(df: DataFrame) -> bool:
+    """True for plain scans with projections and filters, which columnar files answer column by column."""
+    plan = str(df._jdf.queryExecution().optimizedPlan().toString())
+    steps = [line.lstrip(" +-:") for line in plan.splitlines() if line[:1].isalpha() or "- " in line[:80]]
+    return all(s.startswith(RESCANNED) for s in steps)
+
+
+def distinct_table(df: DataFrame, cols: Sequence[str], expr: Callable[[str], Column] = col,
+                   name: str = "uniques", approx: bool = False) -> DataFrame:
+    """``(column, uniques)``: distinct non-null values of every column.
+
+    Over a scan every column is counted by its own small aggregate, all in one job: each column
+    chunk is read once and no row is repeated. Over a costly plan one pass expands the rows instead.
+    """
+    if approx or len(cols) < 2 or not cheap_to_rescan(df):
+        count = F.approx_count_distinct if approx else F.count_distinct
+        return long_agg(df, cols, {name: lambda c: count(expr(c))})
+    parts = [df.agg(F.lit(c).alias("column"), F.count_distinct(expr(c)).alias(name)) for c in cols]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def empty_report(df: DataFrame, schema: str) -> DataFrame:
     return df.sparkSession.createDataFrame([], schema)
 

@@ -1,8 +1,7 @@
 """Exact quantiles (linear interpolation) for groups of any size.
 
-``percentile`` keeps every distinct value of a group in one task. That is the fastest
-way for groups of a proven bounded size and impossible for a group holding a third of a
-100 TB table. Groups above ``EXACT_GROUP_ROWS`` rows are therefore solved by narrowing:
+Sorting a group in one task is the fastest way for groups of a proven bounded size and
+impossible for a group holding a third of a 100 TB table. Groups above ``EXACT_GROUP_ROWS`` rows are therefore solved by narrowing:
 distinct values are counted in parallel, split into cells by an approximate grid, the
 cells holding the wanted ranks are found from exact cell counts, and only those cells
 are looked at again, until a cell is small enough to be sorted.
@@ -20,23 +19,42 @@ from tablescope.functions.checkpoints import checkpointed
 from tablescope.functions.columns import as_double, col, inline_rows, long_agg, to_long
 
 EXACT_GROUP_ROWS = 1_000_000
+EXACT_CELLS = 8_000_000
 BROADCAST_ROWS = 100_000
 GRID = 200
 
 
-def _probs(probs: Sequence[float]):
+def _probs(probs: Sequence[float]) -> Column:
     return F.array(*[F.lit(float(p)) for p in probs])
 
 
+def _values(c: Column) -> Column:
+    """All non-null values of a group; only for groups of a checked size."""
+    return F.collect_list(c)
+
+
+def _pick(values: Column, probs: Sequence[float]) -> Column:
+    """Interpolated order statistics of an array; NULL for an empty one."""
+    ordered = F.sort_array(values)
+
+    def at(v: Column, p: float) -> Column:
+        pos = (F.size(v) - 1) * F.lit(float(p))
+        low, high = F.get(v, F.floor(pos).cast("int")), F.get(v, F.ceil(pos).cast("int"))
+        return low + (high - low) * (pos - F.floor(pos))
+
+    picked = F.transform(F.array(ordered), lambda v: F.array(*[at(v, p) for p in probs]))  # sorts once
+    return F.when(F.size(values) > 0, F.get(picked, F.lit(0)))
+
+
+def fits_one_task(df: DataFrame, n_columns: int) -> bool:
+    rows = df.count()
+    return rows <= EXACT_GROUP_ROWS and rows * n_columns <= EXACT_CELLS
+
+
 def wide_percentiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
     """``(column, q)`` with ``q`` the array of quantiles; one aggregate while the table is small."""
-    if df.count() <= EXACT_GROUP_ROWS:
-        wide = df.agg(
-            *[F.percentile(as_double(c), _probs(probs)).alias(f"q{i}") for i, c in enumerate(cols)]
-        )
-        return inline_rows(
-            wide, [{"column": F.lit(c), "q": F.col(f"q{i}")} for i, c in enumerate(cols)]
-        )
+    if fits_one_task(df, len(cols)):
+        return long_agg(df, cols, {"q": lambda c: _values(as_double(c))}, {"q": lambda v: _pick(v, probs)})
     long = to_long(df, cols, "double").where(F.col("value").isNotNull())
     found = grouped_quantiles(long, ["column"], "value", probs)
     names = inline_rows(df.sparkSession.range(1), [{"column": F.lit(c)} for c in cols])
@@ -46,9 +64,9 @@ def wide_percentiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float])
 def agg_with_quantiles(df: DataFrame, cols: Sequence[str], metrics: dict[str, Callable[[str], Column]],
                        probs: Sequence[float]) -> DataFrame:
     """``long_agg`` plus an array ``q`` of exact quantiles per column."""
-    if df.count() <= EXACT_GROUP_ROWS:
-        both = {**metrics, "q": lambda c: F.percentile(as_double(c), _probs(probs))}
-        return long_agg(df, cols, both)
+    if fits_one_task(df, len(cols)):
+        both = {**metrics, "q": lambda c: _values(as_double(c))}
+        return long_agg(df, cols, both, {"q": lambda v: _pick(v, probs)})
     found = wide_percentiles(df, cols, probs)  # one row per column
     return long_agg(df, cols, metrics).join(F.broadcast(found), "column")
 
@@ -79,6 +97,8 @@ def grouped_quantiles(
     sizes = data.groupBy(*keys).agg(*size)
     largest = sizes.agg(F.max("_rows")).first()[0] or 0
     exact = F.percentile("_v", _probs(probs), F.col("_c")).alias("q")
+    if largest <= limit and weight is None:
+        return data.groupBy(*keys).agg(_values(F.col("_v")).alias("q")).withColumn("q", _pick(F.col("q"), probs))
     if largest <= limit:
         return data.groupBy(*keys).agg(exact)
 

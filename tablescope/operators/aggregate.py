@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablescope.functions.columns import (
-    as_double, col, long_agg, nan_to_null, numeric_columns, pct, require_columns, text_columns,
+    as_double, col, distinct_table, long_agg, nan_to_null, numeric_columns, pct, require_columns, text_columns,
     to_long,
 )
 from tablescope.functions.quantiles import agg_with_quantiles, grouped_quantiles, wide_percentiles
@@ -112,12 +112,10 @@ def category_frequencies(df: DataFrame, max_columns: int = 30, top: int = 10,
 
 
 def distinct_counts(df: DataFrame, dropna: bool = True, approx: bool = False) -> DataFrame:
-    count = F.approx_count_distinct if approx else F.count_distinct
     facts = long_agg(df, df.columns, {
-        "n": lambda c: count(col(c)),
         "has_null": lambda c: F.coalesce(F.max(col(c).isNull().cast("int")), F.lit(0)),
         "rows": lambda c: F.count(F.lit(1)),
-    })
+    }).join(F.broadcast(distinct_table(df, df.columns, name="n", approx=approx)), "column")
     unique = F.col("n") if dropna else F.col("n") + F.col("has_null")
     return facts.select("column", unique.alias("unique_count"),
                         pct(unique, F.col("rows")).alias("unique_pct"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablescope.functions.columns import (
-    TEXT, as_double, col, empty_report, family, inline_rows, long_agg, nan_to_null,
+    TEXT, as_double, col, distinct_table, empty_report, family, inline_rows, long_agg, nan_to_null,
     numeric_columns, pct, require_columns, scalar_stats, text_columns, to_long,
 )
 from tablescope.functions.parsing import (
@@ -296,13 +296,16 @@ def cleaning_suggestions(df: DataFrame) -> DataFrame:
     facts = long_agg(data, plain, {
         "rows": lambda c: F.count(F.lit(1)),
         "nulls": lambda c: F.count_if(col(c).isNull()),
-        "uniques": lambda c: F.count_distinct(col(c)),
         "numberish": only(texts, lambda c: F.count_if(digits(c).rlike(r"^-?(\d+\.?\d*|\.\d+)$"))),
-        "labels": only(texts, lambda c: F.count_distinct(F.lower(strip(col(c))))),
         "negatives": only([c for c in nums if any(w in c.lower() for w in NON_NEGATIVE_WORDS)],
                           lambda c: F.count_if(as_double(c) < 0)),
         "dated": only(texts, lambda c: F.count_if(dated(c))),
-    })
+    }).join(F.broadcast(distinct_table(data, plain)), "column")
+    if texts:
+        labels = distinct_table(data, texts, lambda c: F.lower(strip(col(c))), "labels")
+        facts = facts.join(F.broadcast(labels), "column", "left")
+    else:
+        facts = facts.withColumn("labels", F.lit(0).cast("bigint"))
     is_text = F.col("column").isin(*texts) if texts else F.lit(False)
     share = F.try_divide(F.col("uniques"), F.col("rows"))
     rules = [

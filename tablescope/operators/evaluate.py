@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablescope.functions.checkpoints import checkpointed
 from tablescope.functions.columns import as_double, col, inline_rows, numeric_columns, text_columns
 from tablescope.functions.quantiles import grouped_quantiles
 from tablescope.functions.running import running_sums
@@ -36,7 +37,7 @@ def assign_parts(df: DataFrame, cuts: Sequence[float], key: Sequence[str], strat
     hashed = df.withColumn("_h", F.xxhash64(*keys).cast("double"))
     stratum = col(strata) if strata else F.lit("all")
     hashed = hashed.withColumn("_stratum", stratum.cast("string"))
-    found = grouped_quantiles(hashed, ["_stratum"], "_h", cuts).withColumnRenamed("_stratum", "_s")
+    found = checkpointed(grouped_quantiles(hashed, ["_stratum"], "_h", cuts).withColumnRenamed("_stratum", "_s"))
     joined = small_join(hashed, found, F.col("_stratum").eqNullSafe(F.col("_s")))
     part = F.size(F.filter("q", lambda c: c < F.col("_h")))
     return joined.withColumn(out, part).drop("_h", "_stratum", "_s", "q")

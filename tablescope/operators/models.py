@@ -7,6 +7,7 @@ import time
 from collections.abc import Sequence
 from typing import Any
 
+from pyspark import StorageLevel
 from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
 from pyspark.ml import classification as mlc
 from pyspark.ml import regression as mlr
@@ -207,10 +208,14 @@ def train_model(df: DataFrame, target: str, model: str, features: Sequence[str]
     else:
         n_classes = len(labels or [])
     train, test = train_test_split(data, "label", test_size, key, stratify=task == CLASSIFICATION)
+    train = train.persist(StorageLevel.MEMORY_AND_DISK)  # read by every stage and every iteration
     prep = preprocess(data.drop("label"), target, [*nums, *texts], **options)
     est = estimator(model, task, n_classes)
     pipe = Pipeline(stages=[*prep.getStages(), est])
-    fitted = pipe.fit(train)
+    try:
+        fitted = pipe.fit(train)
+    finally:
+        train.unpersist()
     preds = fitted.transform(test)
     table = classification_metrics(preds) if task == CLASSIFICATION else regression_metrics(preds)
     metrics = {r["metric"]: r["value"] for r in table.collect()}  # a handful of scores

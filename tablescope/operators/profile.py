@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablescope.functions.columns import (
-    DATETIME, OTHER, as_double, col, columns_of, family, inline_rows, long_agg,
+    DATETIME, OTHER, as_double, col, columns_of, distinct_table, family, inline_rows, long_agg,
     nan_to_null, numeric_columns, pct, text_columns,
 )
 from tablescope.functions.quantiles import agg_with_quantiles
@@ -55,7 +55,7 @@ def column_profile(df: DataFrame) -> DataFrame:
     facts = long_agg(data, df.columns, {
         **common, "min": num(F.min), "max": num(F.max), "mean": num(F.avg), "std": num(F.stddev_samp),
         "first": time(F.min), "last": time(F.max)})
-    uniques = long_agg(data, plain, {"unique": lambda c: F.count_distinct(col(c))}) if plain else None
+    uniques = distinct_table(data, plain, name="unique") if plain else None
     out = facts
     if uniques is not None:
         out = out.join(F.broadcast(uniques), "column", "left")
@@ -86,8 +86,9 @@ def column_profile(df: DataFrame) -> DataFrame:
 
 def column_inventory(df: DataFrame) -> DataFrame:
     """Column, type, non-null and unique values."""
-    facts = long_agg(nan_to_null(df), df.columns, {
-        "non_null": lambda c: F.count(col(c)), "unique_count": lambda c: F.count_distinct(col(c))})
+    data = nan_to_null(df)
+    facts = long_agg(data, df.columns, {"non_null": lambda c: F.count(col(c))}).join(
+        F.broadcast(distinct_table(data, df.columns, name="unique_count")), "column")
     types = F.create_map(*[F.lit(x) for f in df.schema.fields for x in (f.name, f.dataType.simpleString())])
     return facts.select("column", types[F.col("column")].alias("dtype"), "non_null", "unique_count")
 

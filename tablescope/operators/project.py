@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tablescope.functions import columns as cols_
 from tablescope.functions.columns import (
-    DATETIME, TEXT, as_double, col, columns_of, long_agg, numeric_columns, require_columns,
+    DATETIME, TEXT, as_double, col, columns_of, distinct_table, long_agg, numeric_columns, require_columns,
     scalar_stats, text_columns,
 )
 from tablescope.functions.parsing import is_date, is_number, parse_datetime
@@ -61,9 +61,9 @@ def column_types(df: DataFrame, mode: str = "dtype") -> DataFrame:
         if c in text else F.sum(F.lit(0)),
         "not_dates": lambda c: F.count_if(col(c).isNotNull() & ~is_date(col(c)))
         if c in text else F.sum(F.lit(0)),
-        "distinct": lambda c: F.count_distinct(col(c)),
     }
-    facts = long_agg(df, [c for c in df.columns if by_type[c] != cols_.OTHER], content)
+    plain = [c for c in df.columns if by_type[c] != cols_.OTHER]
+    facts = long_agg(df, plain, content).join(F.broadcast(distinct_table(df, plain, name="distinct")), "column")
     family = _lookup(by_type)
     is_numeric = family.isin(cols_.NUMERIC, cols_.BOOLEAN, DATETIME) | (
         (family == TEXT) & (F.col("not_numbers") == 0))

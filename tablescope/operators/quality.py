@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablescope.functions.columns import (
-    NUMERIC, OTHER, TEXT, as_double, col, datetime_columns, empty_report, family,
+    NUMERIC, OTHER, TEXT, as_double, col, datetime_columns, distinct_table, empty_report, family,
     inline_rows, long_agg, nan_to_null, numeric_columns, pct, text_columns,
 )
 from tablescope.functions.gram import pair_correlations
@@ -19,7 +19,7 @@ from tablescope.operators.clean import outlier_bounds, type_issues
 from tablescope.operators.ordered import sampling_gap
 from tablescope.operators.profile import top_labels
 from tablescope.operators.stats import (
-    adjusted_skew, correlation_matrix, correlation_pairs,
+    correlation_matrix, correlation_pairs, shape_facts, skew_adjusted,
 )
 
 # Weights, thresholds, badges and word lists of the scores.
@@ -113,9 +113,9 @@ def range_validation(df: DataFrame) -> DataFrame:
 def quality_issues(df: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Mostly missing and nearly constant columns, and duplicate rows."""
     plain = [f.name for f in df.schema.fields if family(f.dataType) != OTHER]
-    facts = long_agg(nan_to_null(df), plain, {
-        "rows": lambda c: F.count(F.lit(1)), "nulls": lambda c: F.count_if(col(c).isNull()),
-        "uniques": lambda c: F.count_distinct(col(c))})
+    data = nan_to_null(df)
+    facts = long_agg(data, plain, {"rows": lambda c: F.count(F.lit(1)), "nulls": lambda c: F.count_if(col(c).isNull())})
+    facts = facts.join(F.broadcast(distinct_table(data, plain)), "column")
     rows = F.col("rows").cast("double")
     miss, uniq = F.try_divide(F.col("nulls"), rows), F.try_divide(F.col("uniques"), rows)
     found = facts.select("column", F.inline(F.array(
@@ -230,20 +230,16 @@ def health_insights(df: DataFrame) -> DataFrame:
     """Rule findings ``(rule, column, value)``: missingness, formats, duplicates, dates, cardinality, skew."""
     data, nums, texts = nan_to_null(df), numeric_columns(df), text_columns(df)
     plain = [f.name for f in df.schema.fields if family(f.dataType) != OTHER]
-    none = F.lit(None).cast("double")
-
-    def num(make):
-        return lambda c: make(c) if c in nums else F.max(none)
 
     def hits(pattern: str):
         return lambda c: F.count_if(col(c).rlike(pattern)) if c in texts else F.sum(F.lit(0)).cast("bigint")
 
     facts = long_agg(data, df.columns, {
         "rows": lambda c: F.count(F.lit(1)), "nulls": lambda c: F.count_if(col(c).isNull()),
-        "currency": hits(CURRENCY), "separators": hits(REPEATED_SEPARATORS),
-        "skew": num(lambda c: adjusted_skew(as_double(c)))})
-    uniq = long_agg(data, plain, {"uniques": lambda c: F.count_distinct(col(c))})
-    facts = facts.join(F.broadcast(uniq), "column", "left")
+        "currency": hits(CURRENCY), "separators": hits(REPEATED_SEPARATORS)})
+    facts = facts.join(F.broadcast(distinct_table(data, plain)), "column", "left")
+    facts = facts.join(F.broadcast(skew_adjusted(data)), "column", "left") if nums else facts.withColumn(
+        "skew", F.lit(None).cast("double"))
     rules = [
         (F.col("nulls") > 0.3 * F.col("rows"), "critical missing values", pct(F.col("nulls"), F.col("rows"))),
         (F.col("currency") > 0, "currency symbols", F.col("currency").cast("double")),
@@ -269,15 +265,9 @@ def auto_insights(df: DataFrame, limit: int = 10) -> DataFrame:
     """First findings ``(rank, kind, column, n, value, total)`` of seven rules, with the number of all."""
     data, nums, texts = nan_to_null(df), numeric_columns(df), text_columns(df)
     order = F.create_map(*[F.lit(x) for i, c in enumerate(df.columns) for x in (c, i)])
-    none = F.lit(None).cast("double")
-
-    def num(make):
-        return lambda c: make(as_double(c)) if c in nums else F.max(none)
-
-    facts = long_agg(data, df.columns, {
-        "rows": lambda c: F.count(F.lit(1)), "nulls": lambda c: F.count_if(col(c).isNull()),
-        "skew": num(lambda x: F.abs(F.skewness(x))), "mean": num(F.avg), "std": num(F.stddev_samp)})
-    miss = facts.withColumn("p", pct(F.col("nulls"), F.col("rows"))).where("p > 20")
+    facts = shape_facts(data, nums).withColumn("skew", F.abs("skewness")) if nums else empty_report(
+        df, "column string, skew double, mean double, std double")
+    miss = null_counts(data).withColumn("p", pct(F.col("nulls"), F.col("rows"))).where("p > 20")
 
     def best(source: DataFrame, rank: int, kind: str, name: str, size: Column) -> DataFrame:
         """All hits as one finding that names the strongest."""
@@ -299,9 +289,8 @@ def auto_insights(df: DataFrame, limit: int = 10) -> DataFrame:
         high = correlation_pairs(df).where(F.abs("corr") > 0.9).withColumn("pair", F.concat_ws(" & ", "a", "b"))
         parts.append(best(high, 2, "correlated", "pair", F.abs("corr")))
     if texts:
-        uniq = long_agg(data, texts, {
-            "uniques": lambda c: F.count_distinct(col(c)), "rows": lambda c: F.count(F.lit(1)),
-            "present": lambda c: F.count(col(c))})
+        uniq = long_agg(data, texts, {"rows": lambda c: F.count(F.lit(1)), "present": lambda c: F.count(col(c))})
+        uniq = uniq.join(F.broadcast(distinct_table(data, texts)), "column")
         parts.append(each(uniq.where(F.col("uniques") > 0.9 * F.col("rows")), 5, "high cardinality",
                           F.col("uniques"), pct(F.col("uniques"), F.col("rows"))))
         top = top_labels(data, texts, 1).select("column", F.col("count").alias("top"))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tablescope.functions import special
 from tablescope.functions.columns import (
     as_double, col, empty_report, inline_rows, long_agg, nan_to_null, numeric_columns,
-    require_columns, text_columns, to_long,
+    require_columns, scalar_stats, text_columns, to_long,
 )
 from tablescope.functions.gram import pair_correlations, pair_sums
 from tablescope.functions.quantiles import agg_with_quantiles, wide_percentiles
@@ -34,28 +34,50 @@ def _numbers(df: DataFrame, cols: Sequence[str] | None = None) -> tuple[DataFram
     return nan_to_null(df.select(*[col(c) for c in cols])), cols
 
 
+def shape_facts(df: DataFrame, cols: Sequence[str], probs: Sequence[float] | None = None) -> DataFrame:
+    """``(column, n, mean, std, skewness, kurtosis, min, max[, q])``.
+
+    The second pass adds up powers of the distance to the mean, which is exact and compiles to far
+    smaller code than one built-in moment aggregate per column. Skew and kurtosis are the biased
+    forms, NULL for a constant column.
+    """
+    means = scalar_stats(df, **{f"m{i}": F.avg(as_double(c)) for i, c in enumerate(cols)})
+    data = df.select(*[as_double(c).alias(c) for c in cols]).withColumn("_s", means)
+    place = {c: i for i, c in enumerate(cols)}
+    gap = lambda c: col(c) - F.col(f"_s.m{place[c]}")
+    metrics = {
+        "n": lambda c: F.count(col(c)), "mean": lambda c: F.max(F.col(f"_s.m{place[c]}")),
+        "m2": lambda c: F.avg(gap(c) * gap(c)), "m3": lambda c: F.avg(gap(c) * gap(c) * gap(c)),
+        "m4": lambda c: F.avg(gap(c) * gap(c) * gap(c) * gap(c)),
+        "min": lambda c: F.min(col(c)), "max": lambda c: F.max(col(c))}
+    facts = agg_with_quantiles(data, cols, metrics, probs) if probs else long_agg(data, cols, metrics)
+    n, m2 = F.col("n").cast("double"), F.col("m2")
+    varies = F.col("min") < F.col("max")
+    std = F.when(varies, F.sqrt(m2 * n / F.nullif(n - 1, F.lit(0.0)))).otherwise(F.when(n > 1, F.lit(0.0)))
+    return facts.select(
+        "column", "n", "mean", std.alias("std"),
+        F.when(varies, F.col("m3") / F.pow(m2, F.lit(1.5))).alias("skewness"),
+        F.when(varies, F.col("m4") / (m2 * m2) - 3).alias("kurtosis"), "min", "max", *(["q"] if probs else []))
+
+
 def statistical_summary(df: DataFrame) -> DataFrame:
     """mean, median, std, biased skew and excess kurtosis, min, max and quartiles."""
     data, cols = _numbers(df)
-    facts = agg_with_quantiles(data, cols, {
-        "n": lambda c: F.count(col(c)), "mean": lambda c: F.avg(as_double(c)),
-        "std": lambda c: F.stddev_samp(as_double(c)), "skewness": lambda c: F.skewness(as_double(c)),
-        "kurtosis": lambda c: F.kurtosis(as_double(c)), "min": lambda c: F.min(as_double(c)),
-        "max": lambda c: F.max(as_double(c))}, [0.25, 0.5, 0.75])
+    facts = shape_facts(data, cols, [0.25, 0.5, 0.75])
     return facts.where(F.col("n") > 0).select(
         "column", "mean", F.get("q", F.lit(1)).alias("median"), "std", "skewness", "kurtosis", "min", "max",
         F.get("q", F.lit(0)).alias("q1"), F.get("q", F.lit(2)).alias("q3"))
 
 
-def adjusted_skew(c: Column) -> Column:
+def adjusted_skew(skew: Column, n: Column) -> Column:
     """Bias-corrected skew; NULL for fewer than three values or a constant."""
-    n = F.count(c).cast("double")
-    return F.when(n > 2, F.skewness(c) * F.sqrt(n * (n - 1)) / (n - 2))
+    n = n.cast("double")
+    return F.when(n > 2, skew * F.sqrt(n * (n - 1)) / (n - 2))
 
 
 def skew_adjusted(df: DataFrame) -> DataFrame:
     data, cols = _numbers(df)
-    return long_agg(data, cols, {"skew": lambda c: adjusted_skew(as_double(c))})
+    return shape_facts(data, cols).select("column", adjusted_skew(F.col("skewness"), F.col("n")).alias("skew"))
 
 
 # --- correlation ---------------------------------------------------------------------------
@@ -121,10 +143,7 @@ def normality_test(df: DataFrame, method: str = "auto") -> DataFrame:
     """D'Agostino–Pearson up to 20 000 values per column, Kolmogorov–Smirnov above."""
     data, cols = _numbers(df)
     n = F.col("n").cast("double")
-    facts = long_agg(data, cols, {
-        "n": lambda c: F.count(col(c)), "mean": lambda c: F.avg(as_double(c)),
-        "std": lambda c: F.stddev_samp(as_double(c)), "g1": lambda c: F.skewness(as_double(c)),
-        "g2": lambda c: F.kurtosis(as_double(c))})
+    facts = shape_facts(data, cols).withColumnRenamed("skewness", "g1").withColumnRenamed("kurtosis", "g2")
     if method == "dagostino":
         use_ks: list = []
     else:

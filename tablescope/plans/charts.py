@@ -9,7 +9,7 @@ from tablescope.plans.registry import LINEITEM, query, union_all
 
 GAPS = ["lineitem_gaps"]
 NUM = LINEITEM[:8]
-LKEY = ["l_orderkey", "l_linenumber"]
+LKEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
 # --- series and points ---------------------------------------------------------------------
 

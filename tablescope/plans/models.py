@@ -175,7 +175,7 @@ def _(t):
 
 FLAG = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linestatus"]
 PRICE = ["l_quantity", "l_discount", "l_tax", "l_returnflag"]
-KEY = ["l_orderkey", "l_linenumber"]
+KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
 
 def _classify(name: str, target: str = "l_returnflag", **options):

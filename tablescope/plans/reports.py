@@ -123,7 +123,7 @@ def _(t):
 
 @query("null_map_sample")
 def _(t):
-    return quality.null_map(t.lineitem_gaps, 500, ["l_orderkey", "l_linenumber"])
+    return quality.null_map(t.lineitem_gaps, 500, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
 
 
 def _null_corr(c: str, o: str) -> str:

@@ -184,7 +184,7 @@ def _(t):
 
 @query("sample_rows")
 def _(t):
-    return io.sample_rows(t.lineitem, 500, ["l_orderkey", "l_linenumber"])
+    return io.sample_rows(t.lineitem, 500)
 
 
 # --- projection and filters ----------------------------------------------------------------
@@ -486,14 +486,14 @@ def _(t):
     return agg.sort_by(t.lineitem_gaps, "l_discount", ascending=False)
 
 
-@query("top_n", "SELECT * FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 10")
+@query("top_n", "SELECT * FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey LIMIT 10")
 def _(t):
-    return agg.top_n(t.lineitem, "l_extendedprice", 10, ["l_orderkey", "l_linenumber"])
+    return agg.top_n(t.lineitem, "l_extendedprice", 10, ["l_orderkey", "l_linenumber", "l_partkey"])
 
 
-@query("head_limit", "SELECT * FROM lineitem ORDER BY l_orderkey, l_linenumber LIMIT 100")
+@query("head_limit", "SELECT * FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 100")
 def _(t):
-    return agg.head_limit(t.lineitem, 100, ["l_orderkey", "l_linenumber"])
+    return agg.head_limit(t.lineitem, 100, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
 
 
 @query("result_sort_filter", "SELECT c_mktsegment, count(*) AS n, avg(c_acctbal) AS balance FROM customer "

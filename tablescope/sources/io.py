@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablescope.functions.columns import (
-    col, long_agg, text_columns,
+    col, distinct_table, long_agg, text_columns,
 )
 from tablescope.functions.quantiles import wide_percentiles
 
@@ -103,8 +103,9 @@ def compact_plan(df: DataFrame) -> DataFrame:
         "hi": lambda c: F.max(col(c)).cast("bigint") if c in ints else F.max(none.cast("bigint")),
         "exact": lambda c: F.count_if(col(c).isNotNull() & (col(c).cast("float").cast("double") != col(c)))
         if c in doubles else F.max(none.cast("bigint")),
-        "uniques": lambda c: F.count_distinct(col(c)) if c in texts else F.max(none.cast("bigint")),
         "rows": lambda c: F.count(F.lit(1))})
+    facts = facts.join(F.broadcast(distinct_table(df, texts)), "column", "left") if texts else facts.withColumn(
+        "uniques", none.cast("bigint"))
     best = F.lit("bigint")
     for name, bits in reversed(INTEGER_LIMITS):
         best = F.when((F.col("lo") >= -(1 << bits)) & (F.col("hi") < (1 << bits)), name).otherwise(best)
