@@ -10,13 +10,16 @@ are looked at again, until a cell is small enough to be sorted.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablescope.functions.checkpoints import checkpointed
-from tablescope.functions.columns import as_double, col, inline_rows, long_agg, to_long
+from tablescope.functions.columns import (
+    as_double, cheap_to_rescan, col, inline_rows, long_agg, to_long,
+)
 
 EXACT_GROUP_ROWS = 1_000_000
 EXACT_CELLS = 8_000_000
@@ -52,9 +55,17 @@ def fits_one_task(df: DataFrame, n_columns: int) -> bool:
 
 
 def wide_percentiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
-    """``(column, q)`` with ``q`` the array of quantiles; one aggregate while the table is small."""
+    """``(column, q)`` with ``q`` the array of quantiles.
+
+    While the table is small each column is sorted by a task of its own, all in one job; a column
+    chunk of a file is read once. A costly plan is not repeated: its columns share one aggregate.
+    """
     if fits_one_task(df, len(cols)):
-        return long_agg(df, cols, {"q": lambda c: _values(as_double(c))}, {"q": lambda v: _pick(v, probs)})
+        if not cheap_to_rescan(df):
+            return long_agg(df, cols, {"q": lambda c: _values(as_double(c))}, {"q": lambda v: _pick(v, probs)})
+        parts = [df.agg(_values(as_double(c)).alias("q")).select(F.lit(c).alias("column"), _pick(F.col("q"), probs).alias("q"))
+                 for c in cols]
+        return reduce(DataFrame.unionByName, parts)
     long = to_long(df, cols, "double").where(F.col("value").isNotNull())
     found = grouped_quantiles(long, ["column"], "value", probs)
     names = inline_rows(df.sparkSession.range(1), [{"column": F.lit(c)} for c in cols])
@@ -63,12 +74,12 @@ def wide_percentiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float])
 
 def agg_with_quantiles(df: DataFrame, cols: Sequence[str], metrics: dict[str, Callable[[str], Column]],
                        probs: Sequence[float]) -> DataFrame:
-    """``long_agg`` plus an array ``q`` of exact quantiles per column."""
-    if fits_one_task(df, len(cols)):
-        both = {**metrics, "q": lambda c: _values(as_double(c))}
-        return long_agg(df, cols, both, {"q": lambda v: _pick(v, probs)})
+    """``long_agg`` plus an array ``q`` of exact quantiles per column.
+
+    The two stay apart because an aggregate that gathers values runs without generated code.
+    """
     found = wide_percentiles(df, cols, probs)  # one row per column
-    return long_agg(df, cols, metrics).join(F.broadcast(found), "column")
+    return long_agg(df, cols, metrics).join(F.broadcast(found), "column") if metrics else found
 
 
 def quantile_map(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> Column:

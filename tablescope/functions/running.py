@@ -20,8 +20,7 @@ def sort_number(df: DataFrame, name: str) -> Column:
     return F.col(f"`{name}`").cast("double")
 
 
-def bucketed(df: DataFrame, order: str, bucket: str = "_bucket",
-             rows_per_bucket: int | None = None) -> DataFrame:
+def bucketed(df: DataFrame, order: str, bucket: str = "_bucket", rows_per_bucket: int | None = None) -> DataFrame:
     """Add a bucket number that grows with ``order``; equal values share a bucket.
 
     The splits are a bounded list of approximate quantiles, fixed before the plan is
@@ -29,12 +28,11 @@ def bucketed(df: DataFrame, order: str, bucket: str = "_bucket",
     """
     rows_per_bucket = rows_per_bucket or ROWS_PER_BUCKET
     keyed = df.withColumn("_order", sort_number(df, order))
-    n = keyed.count()
-    parts = min(MAX_BUCKETS, -(-n // rows_per_bucket))
-    if parts <= 1:
-        return keyed.withColumn(bucket, F.lit(0.0)).drop("_order")
-    probs = [i / parts for i in range(1, parts)]
-    cuts = sorted(set(keyed.approxQuantile("_order", probs, 1 / (4 * parts))))
+    parts = min(MAX_BUCKETS, -(-keyed.count() // rows_per_bucket))
+    cuts = []
+    if parts > 1:
+        probs = [i / parts for i in range(1, parts)]
+        cuts = sorted(set(keyed.approxQuantile("_order", probs, 1 / (4 * parts))))
     if not cuts:
         return keyed.withColumn(bucket, F.lit(0.0)).drop("_order")
     splits = [float("-inf"), *cuts, float("inf")]
@@ -45,6 +43,10 @@ def bucketed(df: DataFrame, order: str, bucket: str = "_bucket",
 def running_sums(df: DataFrame, order: str, values: Sequence[str], outs: Sequence[str],
                  rows_per_bucket: int | None = None) -> DataFrame:
     """Inclusive running sums of ``values`` in ``order``, which must be unique per row."""
+    rows_per_bucket = rows_per_bucket or ROWS_PER_BUCKET
+    whole = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    if df.count() <= rows_per_bucket:  # proven small: one task
+        return df.select("*", *[F.sum(v).over(whole).alias(o) for v, o in zip(values, outs)])
     parts = bucketed(df, order, "_bucket", rows_per_bucket)
     totals = parts.groupBy("_bucket").agg(*[F.sum(v).alias(f"_t{i}") for i, v in enumerate(values)])
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tablescope.functions import columns as cols_
 from tablescope.functions.columns import (
     DATETIME, TEXT, as_double, col, columns_of, distinct_table, long_agg, numeric_columns, require_columns,
-    scalar_stats, text_columns,
+    text_columns,
 )
 from tablescope.functions.parsing import is_date, is_number, parse_datetime
 
@@ -131,20 +131,25 @@ def filter_categories(df: DataFrame, picked: Mapping[str, Sequence[str]], max_va
 
 def filter_numeric_ranges(df: DataFrame, ranges: Mapping[str, tuple[float, float]],
                           max_columns: int = 10) -> DataFrame:
-    """Ranges on the leading numeric columns, clamped to the data; constant columns are skipped.
+    """Ranges on the leading numeric columns; constant columns are skipped.
 
-    Columns without a chosen range span their whole data, so only their NULLs fall out.
+    Columns without a chosen range span their whole data, so only their NULLs fall out. The
+    smallest and largest values are read first, so that plain comparisons reach the file scan.
     """
+    names = numeric_columns(df)[:max_columns]
+    if not names:
+        return df
+    ends = df.agg(*[f(as_double(c)).alias(f"{m}{i}") for i, c in enumerate(names)
+                    for m, f in (("lo", F.min), ("hi", F.max))]).first()
     out = df
-    for c in numeric_columns(df)[:max_columns]:
-        s = scalar_stats(df, lo=F.min(as_double(c)), hi=F.max(as_double(c)))
+    for i, c in enumerate(names):
+        if ends[f"lo{i}"] == ends[f"hi{i}"]:
+            continue
         if c in ranges:
             lo, hi = ranges[c]
-            inside = (as_double(c) >= F.greatest(F.lit(float(lo)), s["lo"])) & (
-                as_double(c) <= F.least(F.lit(float(hi)), s["hi"]))
+            out = out.where(col(c).between(lo, hi))
         else:
-            inside = col(c).isNotNull()
-        out = out.where((s["lo"] == s["hi"]) | inside)
+            out = out.where(col(c).isNotNull())
     return out
 
 

@@ -21,7 +21,7 @@ from tablescope.functions.columns import (
     require_columns, scalar_stats, text_columns, to_long,
 )
 from tablescope.functions.gram import pair_correlations, pair_sums
-from tablescope.functions.quantiles import agg_with_quantiles, wide_percentiles
+from tablescope.functions.quantiles import wide_percentiles
 
 ALPHA = 0.05
 # Sample sizes that choose the normality test.
@@ -50,7 +50,9 @@ def shape_facts(df: DataFrame, cols: Sequence[str], probs: Sequence[float] | Non
         "m2": lambda c: F.avg(gap(c) * gap(c)), "m3": lambda c: F.avg(gap(c) * gap(c) * gap(c)),
         "m4": lambda c: F.avg(gap(c) * gap(c) * gap(c) * gap(c)),
         "min": lambda c: F.min(col(c)), "max": lambda c: F.max(col(c))}
-    facts = agg_with_quantiles(data, cols, metrics, probs) if probs else long_agg(data, cols, metrics)
+    facts = long_agg(data, cols, metrics)
+    if probs:
+        facts = facts.join(F.broadcast(wide_percentiles(df, cols, probs)), "column")  # one row per column
     n, m2 = F.col("n").cast("double"), F.col("m2")
     varies = F.col("min") < F.col("max")
     std = F.when(varies, F.sqrt(m2 * n / F.nullif(n - 1, F.lit(0.0)))).otherwise(F.when(n > 1, F.lit(0.0)))

@@ -285,7 +285,7 @@ def _(t):
     return models.predict(model, t.orders).where("prediction is not null").agg(F.count("*").alias("rows"))
 
 
-@query("save_load_model", "SELECT count(*) AS same FROM orders")
+@query("save_model", "SELECT count(*) AS same FROM orders")
 def _(t):
     model, _, _ = _forest(t)
     path = store.scratch_dir(t.spark)
@@ -295,6 +295,15 @@ def _(t):
     return a.join(b, "o_orderkey").agg(F.count_if(F.col("a") == F.col("b")).alias("same"))
 
 
+@query("load_model", "SELECT o_orderpriority, count(*) AS rows FROM orders GROUP BY o_orderpriority")
+def _(t):
+    model, _, _ = _forest(t)
+    path = store.scratch_dir(t.spark)
+    models.save_model(model, path)
+    scored = models.predict(models.load_model(path), t.orders).where("prediction is not null")
+    return scored.groupBy("o_orderpriority").agg(F.count("*").alias("rows"))
+
+
 # --- neighbours ----------------------------------------------------------------------------
 
 

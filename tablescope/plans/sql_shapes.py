@@ -109,6 +109,8 @@ shape("sql_having", "SELECT l_suppkey, sum(l_quantity) AS quantity FROM lineitem
       "HAVING sum(l_quantity) > 15000")
 shape("sql_count_distinct", "SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, count(DISTINCT l_suppkey) AS suppliers "
       "FROM lineitem GROUP BY l_returnflag")
+shape("distinct_multi", "SELECT count(DISTINCT o_custkey) AS customers, count(DISTINCT o_orderdate) AS days, "
+      "count(DISTINCT o_orderpriority) AS priorities FROM orders")
 shape("sql_filter_agg", "SELECT event_type, count(*) FILTER (WHERE value > 50) AS large, "
       "sum(value) FILTER (WHERE value <= 50) AS small_sum FROM events GROUP BY event_type", doubles=["small_sum"], digits=4)
 shape("sql_grouping_sets", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem "
