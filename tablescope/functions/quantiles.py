@@ -1,25 +1,24 @@
 """Exact quantiles (linear interpolation) for groups of any size.
 
-Sorting a group in one task is the fastest way for groups of a proven bounded size and
-impossible for a group holding a third of a 100 TB table. Groups above ``EXACT_GROUP_ROWS`` rows are therefore solved by narrowing:
-distinct values are counted in parallel, split into cells by an approximate grid, the
-cells holding the wanted ranks are found from exact cell counts, and only those cells
-are looked at again, until a cell is small enough to be sorted.
+Sorting a group in one task is the fastest way for groups of a proven bounded size and impossible
+for a group holding a third of a 100 TB table. Groups above ``EXACT_GROUP_ROWS`` rows are therefore
+solved by narrowing: distinct values are counted in parallel, split into cells by an approximate
+grid, the cells holding the wanted ranks are found from exact cell counts, and only those cells are
+looked at again, until a cell is small enough to be sorted.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablescope.functions.checkpoints import checkpointed
-from tablescope.functions.columns import (
-    as_double, cheap_to_rescan, col, inline_rows, long_agg, to_long,
-)
+from tablescope.functions.columns import as_double, col, inline_rows, long_agg, to_long
 
 EXACT_GROUP_ROWS = 1_000_000
 EXACT_CELLS = 8_000_000
@@ -49,6 +48,18 @@ def _pick(values: Column, probs: Sequence[float]) -> Column:
     return F.when(F.size(values) > 0, F.get(picked, F.lit(0)))
 
 
+def _quantiles_of(probs: Sequence[float]):
+    """Aggregate over one Arrow column of a checked size; missing values are left out."""
+    wanted = [float(p) for p in probs]
+
+    def quantiles(values: pd.Series) -> list:
+        present = values.to_numpy()
+        present = present[~np.isnan(present)]
+        return np.quantile(present, wanted).tolist() if len(present) else None
+
+    return F.pandas_udf(quantiles, "array<double>")
+
+
 def fits_one_task(df: DataFrame, n_columns: int) -> bool:
     rows = df.count()
     return rows <= EXACT_GROUP_ROWS and rows * n_columns <= EXACT_CELLS
@@ -57,15 +68,13 @@ def fits_one_task(df: DataFrame, n_columns: int) -> bool:
 def wide_percentiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
     """``(column, q)`` with ``q`` the array of quantiles.
 
-    While the table is small each column is sorted by a task of its own, all in one job; a column
-    chunk of a file is read once. A costly plan is not repeated: its columns share one aggregate.
+    A table counted as small goes through one task as Arrow columns in a single pass.
     """
     if fits_one_task(df, len(cols)):
-        if not cheap_to_rescan(df):
-            return long_agg(df, cols, {"q": lambda c: _values(as_double(c))}, {"q": lambda v: _pick(v, probs)})
-        parts = [df.agg(_values(as_double(c)).alias("q")).select(F.lit(c).alias("column"), _pick(F.col("q"), probs).alias("q"))
-                 for c in cols]
-        return reduce(DataFrame.unionByName, parts)
+        quantiles = _quantiles_of(probs)
+        wide = df.select(*[as_double(c).alias(f"c{i}") for i, c in enumerate(cols)]).agg(
+            *[quantiles(f"c{i}").alias(f"q{i}") for i in range(len(cols))])
+        return inline_rows(wide, [{"column": F.lit(c), "q": F.col(f"q{i}")} for i, c in enumerate(cols)])
     long = to_long(df, cols, "double").where(F.col("value").isNotNull())
     found = grouped_quantiles(long, ["column"], "value", probs)
     names = inline_rows(df.sparkSession.range(1), [{"column": F.lit(c)} for c in cols])

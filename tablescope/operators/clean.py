@@ -7,7 +7,6 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tablescope.functions.columns import (
     TEXT, as_double, col, distinct_table, empty_report, family, inline_rows, long_agg, nan_to_null,
