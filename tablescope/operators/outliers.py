@@ -31,6 +31,7 @@ Z_LIMIT = 3.0
 EULER = 0.5772156649
 NEIGHBOURS_MIN, NEIGHBOURS_MAX, NEIGHBOURS_SHARE = 5, 20, 20
 LRD_FLOOR = 1e-10
+LOF_ROWS, LOF_CHUNK = 50_000, 20_000
 
 
 def counted_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -124,25 +125,38 @@ def _neighbour_count(n: int) -> int:
     return min(NEIGHBOURS_MAX, max(NEIGHBOURS_MIN, n // NEIGHBOURS_SHARE))
 
 
-def _mean_nearest(near: Column, v: Column, k: int, value) -> Column:
-    """Mean of ``value(other, distance)`` over the k nearest rows, copies counted, itself left out."""
-    sized = F.array_sort(F.transform(near, lambda o: F.struct(
-        F.abs(o["v"] - v).alias("d"), o["v"].alias("v"), (o["c"] - (o["v"] == v).cast("bigint")).alias("c"),
-        value(o, F.abs(o["v"] - v)).alias("x"))))
-    start = F.struct(F.lit(k).cast("bigint").alias("need"), F.lit(0.0).alias("sum"))
-    total = F.aggregate(sized, start, lambda s, o: F.struct(
-        (s["need"] - F.least(s["need"], o["c"])).alias("need"),
-        (s["sum"] + F.least(s["need"], o["c"]) * o["x"]).alias("sum")))
-    return total["sum"] / F.lit(float(k))
-
-
-def _kth_distance(near: Column, v: Column, k: int) -> Column:
-    sized = F.array_sort(F.transform(near, lambda o: F.struct(
-        F.abs(o["v"] - v).alias("d"), (o["c"] - (o["v"] == v).cast("bigint")).alias("c"))))
-    start = F.struct(F.lit(k).cast("bigint").alias("need"), F.lit(0.0).alias("at"))
-    return F.aggregate(sized, start, lambda s, o: F.struct(
-        (s["need"] - F.least(s["need"], o["c"])).alias("need"),
-        F.when((s["need"] > 0) & (o["c"] > 0), o["d"]).otherwise(s["at"]).alias("at")))["at"]
+def _nearest_on_line(v: np.ndarray, c: np.ndarray, k: int, rows: slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places, distances and weights of the k nearest rows of some of the sorted distinct values."""
+    at = np.arange(rows.start, rows.stop)[:, None] + np.arange(-k, k + 1)[None, :]
+    real = (at >= 0) & (at < len(v))
+    at = np.where(real, at, 0)
+    apart = np.where(real, np.abs(v[at] - v[rows][:, None]), np.inf)
+    copies = np.where(real, c[at], 0)
+    copies[:, k] -= 1  # a row is not its own neighbour
+    order = np.argsort(apart, axis=1, kind="stable")
+    at, apart, copies = (np.take_along_axis(x, order, 1) for x in (at, apart, copies))
+    before = np.cumsum(copies, axis=1) - copies
+    weight = np.clip(k - before, 0, copies)
+    return at, np.where(weight > 0, apart, 0.0), weight
+
+
+def _lof_of(k: int):
+    def block(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("v", ignore_index=True)
+        v, c = rows["v"].to_numpy(), rows["c"].to_numpy()
+        parts = [slice(i, min(i + LOF_CHUNK, len(v))) for i in range(0, len(v), LOF_CHUNK)]
+        reach, density, factor = (np.empty(len(v)) for _ in range(3))
+        for p in parts:
+            _, apart, _ = _nearest_on_line(v, c, k, p)
+            reach[p] = apart.max(axis=1)
+        for p in parts:
+            at, apart, weight = _nearest_on_line(v, c, k, p)
+            density[p] = 1 / ((weight * np.maximum(reach[at], apart)).sum(axis=1) / k + LRD_FLOOR)
+        for p in parts:
+            at, _, weight = _nearest_on_line(v, c, k, p)
+            factor[p] = (weight * density[at]).sum(axis=1) / k / density[p]
+        return rows.assign(lof=factor).loc[rows["own"], ["v", "c", "lof"]]
+    return block
 
 
 def lof_scores(values: DataFrame, k: int, rows_per_bucket: int | None = None) -> DataFrame:
@@ -150,33 +164,21 @@ def lof_scores(values: DataFrame, k: int, rows_per_bucket: int | None = None) ->
 
     On a line the k nearest values lie within k places of the sorted order. The values are cut into
     range buckets; each bucket also gets the 3k values beside it, which is as far as three
-    neighbour steps reach, so the three windows run inside the buckets without another shuffle.
+    neighbour steps reach, so every bucket is scored by itself.
     """
-    cut = bucketed(values.select("v", "c"), "v", "_b", rows_per_bucket)
-    near_order = Window.partitionBy("_b").orderBy("v")
-    halo = 3 * k
-    buckets = cut.select("_b").distinct()
+    cut = bucketed(values.select("v", "c"), "v", "_b", rows_per_bucket or LOF_ROWS)
+    near_order, halo = Window.partitionBy("_b").orderBy("v"), 3 * k
     by_bucket = Window.orderBy("_b")  # one row per bucket
-    beside = buckets.select("_b", F.lag("_b").over(by_bucket).alias("_prev"), F.lead("_b").over(by_bucket).alias("_next"))
+    beside = cut.select("_b").distinct().select(
+        "_b", F.lag("_b").over(by_bucket).alias("_prev"), F.lead("_b").over(by_bucket).alias("_next"))
     first = cut.withColumn("_r", F.row_number().over(near_order)).where(F.col("_r") <= halo).drop("_r")
     last = cut.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy(F.desc("v")))).where(
         F.col("_r") <= halo).drop("_r")
     lent = (first.join(F.broadcast(beside), "_b").select("v", "c", F.col("_prev").alias("_b"))
             .unionByName(last.join(F.broadcast(beside), "_b").select("v", "c", F.col("_next").alias("_b")))
             .where("_b is not null"))
-    all_rows = cut.withColumn("_own", F.lit(True)).unionByName(lent.withColumn("_own", F.lit(False)))
-    around = near_order.rowsBetween(-k, k)
-
-    def near(*fields: str) -> Column:
-        return F.collect_list(F.struct("v", "c", *fields)).over(around)
-
-    v = F.col("v")
-    step = all_rows.withColumn("_near", near()).withColumn("kd", _kth_distance(F.col("_near"), v, k)).drop("_near")
-    step = step.withColumn("_near", near("kd")).withColumn(
-        "lrd", 1 / (_mean_nearest(F.col("_near"), v, k, lambda o, d: F.greatest(o["kd"], d)) + LRD_FLOOR)).drop("_near")
-    step = step.withColumn("_near", near("lrd")).withColumn(
-        "lof", _mean_nearest(F.col("_near"), v, k, lambda o, d: o["lrd"]) / F.col("lrd"))
-    return step.where("_own").select("v", "c", "lof")
+    blocks = cut.withColumn("own", F.lit(True)).unionByName(lent.withColumn("own", F.lit(False)))
+    return blocks.groupBy("_b").applyInPandas(_lof_of(k), "v double, c long, lof double")
 
 
 # --- flags ---------------------------------------------------------------------------------
