@@ -312,7 +312,7 @@ WITH g AS (SELECT c_custkey, c_nationkey, CASE WHEN c_custkey % 7 = 0 THEN NULL
 p AS (SELECT q.c_custkey, d.y, row_number() OVER (PARTITION BY q.c_custkey
        ORDER BY ((q.c_custkey - d.c_custkey)::DOUBLE * (q.c_custkey - d.c_custkey) + (q.c_nationkey - d.c_nationkey) * (q.c_nationkey - d.c_nationkey)), d.y) AS r
       FROM g q JOIN g d ON q.y IS NULL AND d.y IS NOT NULL)
-SELECT g.c_custkey, g.c_nationkey, coalesce(g.y, f.m) AS c_acctbal FROM g LEFT JOIN
+SELECT g.c_custkey, g.c_nationkey::BIGINT AS c_nationkey, coalesce(g.y, f.m) AS c_acctbal FROM g LEFT JOIN
   (SELECT c_custkey, avg(y) AS m FROM p WHERE r <= 5 GROUP BY c_custkey) f USING (c_custkey)""", doubles=["c_acctbal"])
 def _(t):
     gaps = t.customer.select("c_custkey", "c_nationkey", F.expr(

@@ -16,9 +16,12 @@ def _run(t: Tables, text: str):
     return sqlapi.sql_query(t.spark, text, {v: getattr(t, v) for v in VIEWS if v in text})
 
 
-def shape(key: str, text: str, duck: str | None = None, doubles=(), digits: int = 6):
-    """Register a SQL text; ``duck`` is given where the dialects differ."""
-    query(key, duck or text, doubles=doubles, digits=digits)(lambda t: _run(t, text))
+def shape(key: str, text: str, duck: str | None = None, doubles=(), ints=(), digits: int = 6):
+    """Register a SQL text; ``duck`` is given where the dialects differ, ``ints`` are INTEGER in Spark."""
+    twin = duck or text
+    if ints:
+        twin = f"SELECT * REPLACE ({', '.join(f'{i}::INTEGER AS {i}' for i in ints)}) FROM ({twin})"
+    query(key, twin, doubles=doubles, digits=digits)(lambda t: _run(t, text))
 
 
 # --- templates -----------------------------------------------------------------------------
@@ -133,11 +136,13 @@ def _(t):
 
 shape("sql_row_number", """
 SELECT o_custkey, o_orderkey, n FROM (SELECT o_custkey, o_orderkey,
-  row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders) WHERE n <= 3""")
-shape("sql_rank", "SELECT o_custkey, o_orderkey, rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS r FROM orders")
+  row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders) WHERE n <= 3""", ints=["n"])
+shape("sql_rank", "SELECT o_custkey, o_orderkey, rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS r FROM orders",
+      ints=["r"])
 shape("sql_dense_rank", "SELECT l_orderkey, l_linenumber, dense_rank() OVER (PARTITION BY l_orderkey ORDER BY l_returnflag) AS r "
-      "FROM lineitem")
-shape("sql_ntile", "SELECT user_id, event_id, ntile(4) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS quarter FROM events")
+      "FROM lineitem", ints=["r"])
+shape("sql_ntile", "SELECT user_id, event_id, ntile(4) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS quarter FROM events",
+      ints=["quarter"])
 shape("sql_percent_rank", "SELECT user_id, event_id, percent_rank() OVER (PARTITION BY user_id ORDER BY value) AS pr, "
       "cume_dist() OVER (PARTITION BY user_id ORDER BY value) AS cd FROM events", doubles=["pr", "cd"])
 shape("sql_lag_lead", "SELECT event_id, lag(event_type) OVER w AS before, lead(event_type, 1, 'end') OVER w AS after FROM events "
@@ -168,7 +173,7 @@ WHERE o_totalprice > (SELECT 1.5 * avg(i.o_totalprice) FROM orders i WHERE i.o_c
 shape("sql_case", "SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity < 10 THEN 'low' WHEN l_quantity < 30 THEN 'mid' "
       "ELSE 'high' END AS band FROM lineitem")
 shape("sql_string_funcs", "SELECT p_partkey, substring(p_name, 1, 5) AS head, upper(p_type) AS kind, "
-      "concat(p_brand, '/', p_type) AS label, length(p_name) AS size, replace(p_name, ' ', '_') AS slug FROM part")
+      "concat(p_brand, '/', p_type) AS label, length(p_name) AS size, replace(p_name, ' ', '_') AS slug FROM part", ints=["size"])
 shape("sql_date_trunc", """
 SELECT o_orderkey, cast(date_trunc('month', o_orderdate) AS timestamp_ntz) AS month, cast(extract(YEAR FROM o_orderdate) AS bigint) AS y,
   cast(datediff(o_orderdate, timestamp_ntz'1992-01-01') AS bigint) AS days FROM orders""", """

@@ -367,7 +367,7 @@ ranked AS (
   UNION ALL
   SELECT "column", 'rare', row_number() OVER (PARTITION BY "column" ORDER BY n DESC, value), value, n, share
   FROM c WHERE share < 0.01)
-SELECT "column", kind, rank, value, n AS "count", round(share, 6) + 0.0 AS share FROM ranked WHERE rank <= 10""",
+SELECT "column", kind, rank::INTEGER AS rank, value, n AS "count", round(share, 6) + 0.0 AS share FROM ranked WHERE rank <= 10""",
        derived=["part_text"])
 def _(t):
     return agg.category_frequencies(t.part_text)
@@ -461,7 +461,7 @@ def _(t):
 
 
 @query("rank_top_n", """
-SELECT "column", rank, value, n AS "count" FROM (
+SELECT "column", rank::INTEGER AS rank, value, n AS "count" FROM (
   SELECT "column", value, n, row_number() OVER (PARTITION BY "column" ORDER BY n DESC, value) AS rank FROM (
     SELECT 'p_name' AS "column", p_name AS value, count(*) AS n FROM part GROUP BY p_name
     UNION ALL SELECT 'p_brand', p_brand, count(*) FROM part GROUP BY p_brand))
