@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_BUCKET = 500_000
-MAX_BUCKETS = 20_000
+MAX_BUCKETS = 100_000
 
 
 def sort_number(df: DataFrame, name: str) -> Column:

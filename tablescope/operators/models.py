@@ -154,9 +154,12 @@ def encode_target(df: DataFrame, target: str, out: str = "label") -> tuple[DataF
     """Numeric label column; text labels become 0..k-1 in sorted order and their names are returned."""
     if target in numeric_columns(df):
         return df.where(col(target).isNotNull()).withColumn(out, as_double(target)), None
+    texts = df.withColumn(target, col(target).cast("string"))
+    if texts.agg(F.approx_count_distinct(col(target))).first()[0] > MAX_CATEGORIES:
+        raise ValueError(f"{target} has too many labels for a class target")  # the model keeps them on the driver
     indexer = StringIndexer(inputCol=target, outputCol=out, stringOrderType="alphabetAsc", handleInvalid="skip")
-    model = indexer.fit(df.withColumn(target, col(target).cast("string")))
-    return model.transform(df.withColumn(target, col(target).cast("string"))), list(model.labels)
+    model = indexer.fit(texts)
+    return model.transform(texts), list(model.labels)
 
 
 def decode_target(preds: DataFrame, labels: Sequence[str], out: str = "predicted") -> DataFrame:

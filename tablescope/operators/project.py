@@ -113,6 +113,9 @@ def filter_date_range(df: DataFrame, start: str, end: str, name: str | None = No
     return df.where((value >= first) & (value < after))
 
 
+NULL_LABEL = "None"  # how a missing label is written in a selection
+
+
 def filter_categories(df: DataFrame, picked: Mapping[str, Sequence[str]], max_values: int = 30) -> DataFrame:
     """Keep the picked labels of text columns with 2 to ``max_values`` labels (NULL is a label)."""
     wanted = {c: v for c, v in picked.items() if c in text_columns(df) and len(v) > 0}
@@ -125,7 +128,8 @@ def filter_categories(df: DataFrame, picked: Mapping[str, Sequence[str]], max_va
     out = df
     for n, (c, labels) in zip(sizes, wanted.items()):
         if n is not None and 1 < n <= max_values:
-            out = out.where(F.coalesce(col(c), F.lit("None")).isin(*labels))
+            kept = col(c).isin(*labels)  # a plain comparison, so that it reaches the file scan
+            out = out.where(kept | col(c).isNull() if NULL_LABEL in labels else kept)
     return out
 
 

@@ -14,10 +14,10 @@ from tablescope.sources import store
 # --- runs: one run per supplier, scoring quantity * 1500 as a forecast of the price ---------
 
 _RUN = """
-SELECT sha256(s_suppkey::VARCHAR) AS id, s_name AS name, s_suppkey, sqrt(avg((l_extendedprice - l_quantity * 1500) ** 2)) AS rmse,
+SELECT sha256(s_suppkey::VARCHAR) AS id, s_name AS name, s_suppkey, s_acctbal >= 5000 AS rich, sqrt(avg((l_extendedprice - l_quantity * 1500) ** 2)) AS rmse,
   avg(abs(l_extendedprice - l_quantity * 1500)) AS mae,
   avg((abs(l_extendedprice - l_quantity * 1500) < 10000)::INT::DOUBLE) AS accuracy, avg(l_discount) AS f1,
-  max(l_shipdate) AS ts FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY s_suppkey, s_name"""
+  max(l_shipdate) AS ts FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY s_suppkey, s_name, s_acctbal"""
 
 
 def _runs(t):
@@ -28,12 +28,12 @@ def _runs(t):
         F.max("l_shipdate").alias("ts"))
     base = F.create_map(F.lit("rmse"), F.col("rmse"), F.lit("mae"), F.col("mae"), F.lit("accuracy"), F.col("accuracy"))
     both = F.map_concat(base, F.create_map(F.lit("f1"), F.col("f1")))
-    is_even = F.col("s_suppkey") % 2 == 0
+    rich = F.col("s_acctbal") >= 5000  # only these runs report f1
     return per.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).select(
         F.sha2(F.col("s_suppkey").cast("string"), 256).alias("id"), F.col("s_name").alias("name"),
         F.create_map(F.lit("model"), F.lit("rule"), F.lit("n_features"), F.lit("1")).alias("params"),
-        F.when(is_even, both).otherwise(base).alias("metrics"), F.lit("done").alias("status"),
-        F.array(F.when(is_even, "even").otherwise("odd")).alias("tags"), "ts")
+        F.when(rich, both).otherwise(base).alias("metrics"), F.lit("done").alias("status"),
+        F.array(F.when(rich, "rich").otherwise("poor")).alias("tags"), "ts")
 
 
 @cache
@@ -42,21 +42,21 @@ def _id(n: int) -> str:
     return sha256(str(n).encode()).hexdigest()
 
 
-@query("list_experiments", f"SELECT id, name, ts FROM ({_RUN}) WHERE s_suppkey % 2 = 0 ORDER BY ts DESC, id LIMIT 20")
+@query("list_experiments", f"SELECT id, name, ts FROM ({_RUN}) WHERE rich ORDER BY ts DESC, id LIMIT 20")
 def _(t):
-    return runs.list_experiments(_runs(t), "even", 20).select("id", "name", "ts")
+    return runs.list_experiments(_runs(t), "rich", 20).select("id", "name", "ts")
 
 
 @query("experiment_summary", f"""
 SELECT upper(substring(id, 1, 8)) AS run_id, ts, name, 'Unknown' AS problem_type, 'rule' AS model, 1::INTEGER AS n_features,
-  round(accuracy, 4) + 0.0 AS accuracy, CASE WHEN s_suppkey % 2 = 0 THEN round(f1, 4) + 0.0 END AS f1, NULL::DOUBLE AS r2,
+  round(accuracy, 4) + 0.0 AS accuracy, CASE WHEN rich THEN round(f1, 4) + 0.0 END AS f1, NULL::DOUBLE AS r2,
   round(rmse, 4) + 0.0 AS rmse, NULL::DOUBLE AS "precision", NULL::DOUBLE AS recall FROM ({_RUN})""")
 def _(t):
     return runs.experiment_summary(_runs(t))
 
 
 _LONG = f"""long AS (SELECT id, name, 'rmse' AS metric, rmse AS value FROM ({_RUN}) UNION ALL SELECT id, name, 'mae', mae FROM ({_RUN})
-  UNION ALL SELECT id, name, 'accuracy', accuracy FROM ({_RUN}) UNION ALL SELECT id, name, 'f1', f1 FROM ({_RUN}) WHERE s_suppkey % 2 = 0)"""
+  UNION ALL SELECT id, name, 'accuracy', accuracy FROM ({_RUN}) UNION ALL SELECT id, name, 'f1', f1 FROM ({_RUN}) WHERE rich)"""
 
 
 @query("best_runs", f"WITH {_LONG} SELECT id, name, metric, round(value, 6) + 0.0 AS value, value = max(value) OVER (PARTITION BY metric) "
