@@ -196,7 +196,16 @@ def _(t):
         "c_custkey", "c_acctbal", "is_outlier")
 
 
-@query("outlier_lof")
+@query("outlier_lof", """
+WITH p AS (SELECT c_custkey AS i, c_acctbal AS v FROM customer_outliers),
+d AS (SELECT a.i, b.i AS j, abs(a.v - b.v) AS d, row_number() OVER (PARTITION BY a.i ORDER BY abs(a.v - b.v), b.v, b.i) AS r
+      FROM p a JOIN p b ON a.i <> b.i),
+nn AS (SELECT * FROM d WHERE r <= (SELECT least(20, greatest(5, count(*) // 20)) FROM p)),
+kd AS (SELECT i, max(d) AS kd FROM nn GROUP BY i),
+lrd AS (SELECT nn.i, 1 / (avg(greatest(kd.kd, nn.d)) + 1e-10) AS lrd FROM nn JOIN kd ON nn.j = kd.i GROUP BY nn.i),
+lof AS (SELECT nn.i, avg(b.lrd) / a.lrd AS lof FROM nn JOIN lrd b ON nn.j = b.i JOIN lrd a ON nn.i = a.i GROUP BY nn.i, a.lrd)
+SELECT c_custkey, c_acctbal, lof > (SELECT quantile_cont(lof, 0.95) FROM lof) AS is_outlier
+FROM customer_outliers JOIN lof ON c_custkey = i""", derived=["customer_outliers"], doubles=["c_acctbal"])
 def _(t):
     return outliers.outlier_lof(t.customer_outliers, "c_acctbal").select("c_custkey", "c_acctbal", "is_outlier")
 

@@ -321,27 +321,47 @@ def _(t):
     return out.withColumns({c: F.col(c).cast("bigint") for c in ("c_custkey", "c_nationkey")})
 
 
-def _halved(t, frame):
-    flagged = evaluate.split_flag(frame, frame.columns[-1], 0.2, [frame.columns[0]], stratify=False)
-    return flagged.where(~F.col("is_test")).drop("is_test"), flagged.where("is_test").drop("is_test")
+# customers are the training rows, suppliers the rows to predict; both have a balance and a nation
+_KNN = """
+WITH z AS (SELECT avg(c_acctbal) AS m0, stddev_pop(c_acctbal) AS s0, avg(c_nationkey) AS m1, stddev_pop(c_nationkey) AS s1 FROM customer),
+p AS (SELECT s_suppkey, {y} AS y, row_number() OVER (PARTITION BY s_suppkey ORDER BY
+        pow((s_acctbal - m0) / s0 - (c_acctbal - m0) / s0, 2) + pow((s_nationkey - m1) / s1 - (c_nationkey - m1) / s1, 2), {y}) AS r
+      FROM supplier, customer, z)"""
 
 
-@query("train_knn")
+def _suppliers(t):
+    return t.supplier.select("s_suppkey", F.col("s_acctbal").alias("c_acctbal"), F.col("s_nationkey").alias("c_nationkey"))
+
+
+@query("train_knn", _KNN.format(y="c_mktsegment") + """,
+v AS (SELECT s_suppkey, y, count(*) AS n FROM p WHERE r <= 5 GROUP BY ALL)
+SELECT s_suppkey, y AS segment FROM v QUALIFY row_number() OVER (PARTITION BY s_suppkey ORDER BY n DESC, y) = 1""")
 def _(t):
-    train, test = _halved(t, t.part.select("p_partkey", "p_size", "p_retailprice", "p_type"))
-    (train, labels), (test, _) = models.encode_target(train, "p_type"), models.encode_target(test, "p_type")
-    preds = neighbours.predict_knn(train, test, ["p_size", "p_retailprice"], "label", models.CLASSIFICATION)
-    return evaluate.classification_metrics(preds)
+    train, labels = models.encode_target(t.customer, "c_mktsegment")
+    preds = neighbours.predict_knn(train, _suppliers(t), ["c_acctbal", "c_nationkey"], "label", models.CLASSIFICATION)
+    return models.decode_target(preds, labels, "segment").select("s_suppkey", "segment")
 
 
-@query("train_knn_reg")
+@query("train_knn_reg", _KNN.format(y="c_custkey") + " SELECT s_suppkey, avg(y)::DOUBLE AS prediction FROM p WHERE r <= 5 "
+       "GROUP BY s_suppkey", doubles=["prediction"])
 def _(t):
-    train, test = _halved(t, t.part.select("p_partkey", "p_size", "p_retailprice"))
-    preds = neighbours.predict_knn(train, test, ["p_partkey", "p_size"], "p_retailprice", models.REGRESSION)
-    return evaluate.regression_metrics(preds, "p_retailprice")
+    preds = neighbours.predict_knn(t.customer, _suppliers(t), ["c_acctbal", "c_nationkey"], "c_custkey", models.REGRESSION)
+    return preds.select("s_suppkey", "prediction")
 
 
-@query("impute_mice")
+@query("impute_mice", """
+WITH m AS (SELECT regr_slope(l_tax, l_extendedprice) AS b, regr_intercept(l_tax, l_extendedprice) AS a FROM lineitem_gaps),
+f AS (SELECT l_returnflag, coalesce(l_tax, a + b * l_extendedprice) AS l_tax FROM lineitem_gaps, m)
+SELECT l_returnflag, count(*) AS rows, count(l_tax) AS present, avg(l_tax) AS mean, stddev_samp(l_tax) AS std FROM f
+GROUP BY l_returnflag""", derived=["lineitem_gaps"], doubles=["mean", "std"])
+def _(t):
+    out = models.impute_mice(t.lineitem_gaps, ["l_extendedprice", "l_tax"], rounds=3)
+    return out.groupBy("l_returnflag").agg(
+        F.count("*").alias("rows"), F.count("l_tax").alias("present"), F.avg("l_tax").alias("mean"),
+        F.stddev_samp("l_tax").alias("std"))
+
+
+@query("impute_mice_two")
 def _(t):
     gaps = impute_constant(t.lineitem_gaps)
     out = models.impute_mice(gaps, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], rounds=3)
@@ -358,7 +378,15 @@ def _(t):
     return sizes
 
 
-@query("pca")
+@query("pca", """
+SELECT 1::INTEGER AS component, (1 + abs(corr(l_quantity, l_extendedprice))) / 2 AS explained_variance_ratio FROM lineitem
+UNION ALL SELECT 2, (1 - abs(corr(l_quantity, l_extendedprice))) / 2 FROM lineitem""", doubles=["explained_variance_ratio"])
+def _(t):
+    _, ratios = models.pca(t.lineitem, ["l_quantity", "l_extendedprice"], 2)
+    return ratios
+
+
+@query("pca_four")
 def _(t):
     _, ratios = models.pca(t.lineitem, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], 2)
     return ratios
@@ -370,7 +398,23 @@ def _(t):
     return rows
 
 
-@query("cluster_dbscan")
+@query("cluster_dbscan", """
+WITH RECURSIVE p AS MATERIALIZED (SELECT c_custkey AS i, (c_acctbal - avg(c_acctbal) OVER ()) / stddev_pop(c_acctbal) OVER () AS x,
+  (c_nationkey - avg(c_nationkey) OVER ()) / stddev_pop(c_nationkey) OVER () AS y FROM customer),
+near AS MATERIALIZED (SELECT a.i, b.i AS j FROM p a JOIN p b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 0.01 * (1 + 1e-12)),
+core AS MATERIALIZED (SELECT i FROM near GROUP BY i HAVING count(*) >= 5),
+link AS MATERIALIZED (SELECT i, j FROM near WHERE i IN (SELECT i FROM core) AND j IN (SELECT i FROM core)),
+reach AS (SELECT i, j FROM link UNION SELECT r.i, l.j FROM reach r JOIN link l ON r.j = l.i)
+SELECT (SELECT count(DISTINCT root) FROM (SELECT i, min(j) AS root FROM reach GROUP BY i)) AS clusters,
+  (SELECT count(*) FROM p) AS rows,
+  (SELECT count(*) FROM p WHERE i NOT IN (SELECT n.i FROM near n JOIN core c ON n.j = c.i)) AS noise""")
+def _(t):
+    labelled = clusters.cluster_dbscan(t.customer, ["c_acctbal", "c_nationkey"], eps=0.1, min_pts=5)
+    found = F.count_distinct(F.when(F.col("cluster") >= 0, F.col("cluster")))
+    return labelled.agg(found.alias("clusters"), F.count("*").alias("rows"), F.count_if(F.col("cluster") < 0).alias("noise"))
+
+
+@query("cluster_dbscan_sizes")
 def _(t):
     labelled = clusters.cluster_dbscan(t.customer, ["c_acctbal", "c_nationkey"], eps=0.1, min_pts=5)
     return clusters.cluster_sizes(labelled)

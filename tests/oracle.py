@@ -45,8 +45,9 @@ def compare(df, con, sql) -> str | None:
     if cols != dcols:
         return f"columns {cols} != {dcols}"
     if rows != drows:
-        only_s = [r for r in rows if r not in set(drows)][:4]
-        only_d = [r for r in drows if r not in set(rows)][:4]
+        left, right = set(rows), set(drows)
+        only_s = [r for r in rows if r not in right][:4]
+        only_d = [r for r in drows if r not in left][:4]
         return f"{len(rows)} vs {len(drows)} rows\n   spark {only_s}\n   duck  {only_d}"
     return None
 
