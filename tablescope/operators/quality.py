@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablescope.functions.columns import (
@@ -220,10 +220,10 @@ def health_recommendations(df: DataFrame, limit: int = 10) -> DataFrame:
         text = F.concat_ws(", ", F.transform(F.slice(listed, 1, 3), lambda p: F.concat_ws(" & ", p["a"], p["b"])))
         parts.append(tied.agg(text.alias("subject"), F.count("*").alias("n")).where("n > 0").select(
             F.lit(5).alias("rank"), F.lit("drop redundant columns").alias("rule"), "subject", "n"))
-    found = union(parts)
-    none = found.agg(F.count("*").alias("c")).where("c = 0").select(
-        F.lit(9).alias("rank"), F.lit("clean").alias("rule"), F.lit("").alias("subject"), F.col("c").alias("n"))
-    return found.unionByName(none).orderBy("rank", "subject").limit(limit)
+    parts.append(h.select(F.lit(9).alias("rank"), F.lit("clean").alias("rule"), F.lit("").alias("subject"),
+                          F.lit(0).cast("bigint").alias("n")))
+    found = union(parts).withColumn("_all", F.count("*").over(Window.partitionBy(F.lit(1))))  # report rows
+    return found.where("rank < 9 or _all = 1").drop("_all").orderBy("rank", "subject").limit(limit)
 
 
 def health_insights(df: DataFrame) -> DataFrame:
@@ -300,7 +300,5 @@ def auto_insights(df: DataFrame, limit: int = 10) -> DataFrame:
     dup = duplicate_count(df).where("duplicates > 0").select(
         F.lit(6).alias("rank"), F.lit("duplicates").alias("kind"), F.lit("(all columns)").alias("column"),
         F.col("duplicates").alias("n"), pct(F.col("duplicates"), F.col("rows")).alias("value"), F.lit(-1).alias("_o"))
-    found = union([*parts, dup])
-    total = found.agg(F.count("*")).scalar()
-    return found.orderBy("rank", "_o").limit(limit).select(
-        "rank", "kind", "column", "n", "value", total.alias("total"))
+    found = union([*parts, dup]).withColumn("total", F.count("*").over(Window.partitionBy(F.lit(1))))  # report rows
+    return found.orderBy("rank", "_o").limit(limit).select("rank", "kind", "column", "n", "value", "total")
