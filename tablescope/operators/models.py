@@ -354,7 +354,7 @@ def predict_adaboost(stages: Sequence[tuple[Transformer, float]], df: DataFrame,
 
 
 def impute_mice(df: DataFrame, cols: Sequence[str] | None = None, rounds: int = 10, tolerance: float = 1e-3) -> DataFrame:
-    """Fill numeric columns by chained ridge regressions, fewest missing values first.
+    """Fill numeric columns by chained regressions, fewest missing values first.
 
     Missing cells start at the column mean; every round re-predicts them from the other columns.
     It stops early once no filled cell moves by more than ``tolerance`` of the largest value.
@@ -379,8 +379,8 @@ def impute_mice(df: DataFrame, cols: Sequence[str] | None = None, rounds: int =
             others = [o for o in cols if o != c]
             casts = current.withColumns({f"_x{i}": as_double(o) for i, o in enumerate(others)})
             ready = VectorAssembler(inputCols=[f"_x{i}" for i in range(len(others))], outputCol="_f").transform(casts)
-            ridge = mlr.LinearRegression(featuresCol="_f", labelCol=c, predictionCol="_p", regParam=1e-6, solver="normal")
-            model = ridge.fit(ready.where(~F.col(marks[c])))
+            chain = mlr.LinearRegression(featuresCol="_f", labelCol=c, predictionCol="_p", solver="normal")
+            model = chain.fit(ready.where(~F.col(marks[c])))
             step = model.transform(ready)
             change = F.when(F.col(marks[c]), F.abs(F.col("_p") - col(c)))
             filled = F.when(F.col(marks[c]), F.col("_p")).otherwise(col(c))

@@ -350,15 +350,12 @@ def _(t):
 
 
 @query("impute_mice", """
-WITH m AS (SELECT regr_slope(l_tax, l_extendedprice) AS b, regr_intercept(l_tax, l_extendedprice) AS a FROM lineitem_gaps),
-f AS (SELECT l_returnflag, coalesce(l_tax, a + b * l_extendedprice) AS l_tax FROM lineitem_gaps, m)
-SELECT l_returnflag, count(*) AS rows, count(l_tax) AS present, avg(l_tax) AS mean, stddev_samp(l_tax) AS std FROM f
-GROUP BY l_returnflag""", derived=["lineitem_gaps"], doubles=["mean", "std"])
+WITH m AS (SELECT regr_slope(l_tax, l_extendedprice) AS b, regr_intercept(l_tax, l_extendedprice) AS a FROM lineitem_gaps)
+SELECT l_orderkey, l_linenumber, coalesce(l_tax, a + b * l_extendedprice) AS l_tax FROM lineitem_gaps, m""",
+       derived=["lineitem_gaps"], doubles=["l_tax"], digits=5)
 def _(t):
     out = models.impute_mice(t.lineitem_gaps, ["l_extendedprice", "l_tax"], rounds=3)
-    return out.groupBy("l_returnflag").agg(
-        F.count("*").alias("rows"), F.count("l_tax").alias("present"), F.avg("l_tax").alias("mean"),
-        F.stddev_samp("l_tax").alias("std"))
+    return out.select("l_orderkey", "l_linenumber", "l_tax")
 
 
 @query("impute_mice_two")
