@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tablescope.llm.mixing import mix_sources
+from tablescope.llm.quality_rules import quality_rules
 from tablescope.llm.sharding import shard_records
+from tablescope.llm.simhash import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,3 +36,13 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_sampled_splitters")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return shard_records(table(spark, folder, "documents"))
+
+
+@query("op9_simhash_byte_index")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op7_distribution_divergence")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules(table(spark, folder, "documents"))
