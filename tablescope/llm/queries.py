@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tablescope.llm.decontamination import contaminated
 from tablescope.llm.mixing import mix_sources
 from tablescope.llm.quality_rules import quality_rules
 from tablescope.llm.sharding import shard_records
@@ -46,3 +47,8 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_distribution_divergence")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules(table(spark, folder, "documents"))
+
+
+@query("op1_rare_seed_alignment")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
