@@ -11,6 +11,7 @@ from tablescope.llm.mixing import mix_sources
 from tablescope.llm.quality_rules import quality_rules
 from tablescope.llm.sharding import shard_records
 from tablescope.llm.simhash import near_duplicates
+from tablescope.llm.warc import BASE32, archived_pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -52,3 +53,20 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 @query("op1_rare_seed_alignment")
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+_LETTERS = " || ".join(f"substr('{BASE32}', ((v >> {s}) & 31) + 1, 1)" for s in (15, 10, 5, 0))
+
+
+@query("op4_content_addressed_warc", f"""
+    WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+    h AS (SELECT page_id, strlen(body)::BIGINT AS payload_bytes, sha1(body) AS hex,
+                 max(page_id) OVER (PARTITION BY body) AS holder FROM p)
+    SELECT page_id, payload_bytes,
+           array_to_string([{_LETTERS} FOR v IN [('0x' || substr(hex, 5 * k + 1, 5))::BIGINT FOR k IN range(0, 8)]],
+                           '') AS payload_digest,
+           CASE WHEN page_id = holder THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id <> holder THEN holder END AS refers_to
+    FROM h""")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return archived_pages(table(spark, folder, "pages"))
