@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tablescope.llm.decontamination import contaminated
+from tablescope.llm.katz import model_scores
 from tablescope.llm.mixing import mix_sources
 from tablescope.llm.quality_rules import quality_rules
 from tablescope.llm.sharding import shard_records
@@ -70,3 +71,8 @@ _LETTERS = " || ".join(f"substr('{BASE32}', ((v >> {s}) & 31) + 1, 1)" for s in
     FROM h""")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return archived_pages(table(spark, folder, "pages"))
+
+
+@query("op5_katz_backoff")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return model_scores(table(spark, folder, "documents"))
