@@ -12,6 +12,7 @@ from tablescope.llm.mixing import mix_sources
 from tablescope.llm.quality_rules import quality_rules
 from tablescope.llm.sharding import shard_records
 from tablescope.llm.simhash import near_duplicates
+from tablescope.llm.toxicity import toxicity
 from tablescope.llm.warc import BASE32, archived_pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +77,8 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_katz_backoff")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return model_scores(table(spark, folder, "documents"))
+
+
+@query("op2_lexicon_automata")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
