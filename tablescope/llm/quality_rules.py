@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablescope.llm.common import column, shared_folder, write
+from tablescope.llm.common import column, numbered, shared_folder, write
 
 SPACE = " \\t-\\r"
 # what each class removes from what the classes before it left; the rest is "other"
@@ -32,12 +32,14 @@ def words_of(text: Column) -> Column:
 
 
 def common_words(docs: DataFrame, lang: str, text: str) -> DataFrame:
-    """lang, common: its most frequent words, lower-cased, in all documents."""
-    words = docs.select(column(lang).alias("lang"), F.explode(words_of(F.lower(column(text)))).alias("word"))
-    counts = words.groupBy("lang", "word").count()
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))
-    return (counts.withColumn("rank", rank).where(f"rank <= {COMMON}")
-            .groupBy("lang").agg(F.sort_array(F.collect_list("word")).alias("common")))
+    """ref_lang, word, share, total: its most frequent words, lower-cased, and their shares in all documents."""
+    words = docs.select(column(lang).alias("ref_lang"), F.explode(words_of(F.lower(column(text)))).alias("word"))
+    counts = words.groupBy("ref_lang", "word").count()
+    totals = counts.groupBy("ref_lang").agg(F.sum("count").alias("total"))
+    rank = F.row_number().over(Window.partitionBy("ref_lang").orderBy(F.desc("count"), "word"))
+    top = counts.withColumn("rank", rank).where(f"rank <= {COMMON}").withColumnRenamed("ref_lang", "_lang")
+    top = top.join(totals, F.col("_lang").eqNullSafe(F.col("ref_lang")))
+    return top.select("ref_lang", "word", (F.col("count") / F.col("total")).alias("share"), "total")
 
 
 def repeated_words() -> Column:
@@ -51,68 +53,84 @@ def repeated_words() -> Column:
     return F.expr(f"CASE WHEN size(array_distinct(codes)) < size(codes) THEN {covered} ELSE 0L END")
 
 
-def distance(p: str, q: str) -> str:
-    """Jensen-Shannon distance of two arrays of counts of equal length."""
-    total = "aggregate({0}, 0D, (a, x) -> a + x)"
-    part = "CASE WHEN x.{0} > 0 THEN x.{0} * log2(2 * x.{0} / (x.p + x.q)) ELSE 0D END"
-    pairs = f"zip_with({p}, {q}, (a, b) -> struct(a / {total.format(p)} AS p, b / {total.format(q)} AS q))"
-    return (f"sqrt(greatest(0D, aggregate({pairs}, 0D, (s, x) -> s + 0.5D * ({part.format('p')}) + 0.5D * ({part.format('q')}))))")
+def term(p: Column, q: Column) -> Column:
+    """What one class adds to the Jensen-Shannon divergence (base 2)."""
+    part = lambda x: F.when(x > 0, x * F.log2(2 * x / (p + q))).otherwise(0.0)
+    return 0.5 * (part(p) + part(q))
 
 
-def document_stats(docs: DataFrame, refs: DataFrame, *, key: str, text: str, lang: str) -> DataFrame:
-    """Base numbers and both histograms of every document."""
-    body = F.coalesce(column(text), F.lit(""))
-    base = docs.select(column(key).alias("doc"), column(lang).alias("lang"), body.alias("body"))
-    held = refs.select(F.col("lang").alias("_lang"), "common")
-    steps = base.join(held, F.col("lang").eqNullSafe(F.col("_lang")), "left").drop("_lang")
+def root_of(divergence: Column) -> Column:
+    return F.sqrt(F.greatest(divergence, F.lit(0.0)))
+
+
+def document_stats(docs: DataFrame, *, key: str, text: str, lang: str) -> DataFrame:
+    """Base numbers and character classes (c0, c1, ...) of every document."""
+    steps = docs.select(column(key).alias("doc"), column(lang).alias("lang"), F.coalesce(column(text), F.lit("")).alias("body"))
     steps = steps.withColumn("words", words_of(F.col("body"))).withColumn("n_words", F.size("words").cast("long"))
     steps = steps.withColumn("codes", F.expr(
         f"CASE WHEN n_words >= {WINDOW} THEN transform(array(transform(words, w -> xxhash64(w))), h -> "
         f"transform(sequence(0, size(h) - {WINDOW}), i -> xxhash64({', '.join(f'h[i + {k}]' for k in range(WINDOW))})))[0] "
         "ELSE array() END"))
     steps = steps.withColumn("lines", F.expr(
-        f"filter(split(body, '\\n'), l -> trim(BOTH ' \\t\\n\\u000b\\f\\r' FROM l) <> '')"))
-    left, sizes = F.col("body"), []
-    steps = steps.withColumn("left0", left)
+        "filter(split(body, '\\n'), l -> trim(BOTH ' \\t\\n\\u000b\\f\\r' FROM l) <> '')"))
+    steps = steps.withColumn("left0", F.col("body"))
+    sizes = []
     for n, (_, pattern) in enumerate(CLASSES):
         steps = steps.withColumn(f"left{n + 1}", F.regexp_replace(f"left{n}", pattern, ""))
         sizes.append(F.length(f"left{n}") - F.length(f"left{n + 1}"))
     sizes.append(F.length(f"left{len(CLASSES)}"))
-    kept = "filter(transform(words, w -> lower(w)), w -> array_contains(common, w))"
-    usual = (f"transform(array({kept}), k -> concat(transform(common, c -> size(k) - size(array_remove(k, c))), "
-             "array(size(words) - size(k))))[0]")
     return steps.select(
         "doc", "lang", "n_words", F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("body", "[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         repeated_words().alias("n_repeat_words"), F.length("body").cast("long").alias("n_chars"),
-        F.array(*[s.cast("double") for s in sizes]).alias("chars"),
-        F.expr(f"CASE WHEN common IS NOT NULL THEN transform({usual}, x -> CAST(x AS double)) END").alias("usual"))
+        *[size.cast("long").alias(f"c{n}") for n, size in enumerate(sizes)])
 
 
-def references(stats: DataFrame) -> DataFrame:
-    """Per language the summed histograms over all its documents."""
+def class_references(stats: DataFrame) -> DataFrame:
+    """Per language the summed character classes over all its documents."""
     places = range(len(CLASSES) + 1)
-    spots = range(COMMON + 1)
-    sums = stats.groupBy("lang").agg(
-        F.sum("n_words").alias("ref_words"), *[F.sum(F.col("chars")[i]).alias(f"c{i}") for i in places],
-        *[F.sum(F.get("usual", F.lit(i))).alias(f"u{i}") for i in spots])
-    return sums.select(F.col("lang").alias("ref_lang"), "ref_words", F.array(*[f"c{i}" for i in places]).alias("ref_chars"),
-                       F.filter(F.array(*[f"u{i}" for i in spots]), lambda x: x.isNotNull()).alias("ref_usual"))
+    return stats.groupBy(F.col("lang").alias("ref_lang")).agg(
+        F.sum("n_words").alias("ref_words"), F.sum("n_chars").alias("ref_chars"), *[F.sum(f"c{n}").alias(f"r{n}") for n in places])
+
+
+def word_distances(docs: DataFrame, common: DataFrame, *, key: str, text: str, lang: str) -> DataFrame:
+    """doc, word_distance for documents with enough words; words outside the common ones form one class."""
+    words = docs.select(column(key).alias("doc"), column(lang).alias("lang"), words_of(F.lower(column(text))).alias("words"))
+    words = words.select("doc", "lang", F.size("words").alias("n"), F.explode("words").alias("word")).where(f"n >= {WORD_GUARD}")
+    ref = common.select("ref_lang", F.col("word").alias("_word"), "share", "total")
+    held = words.join(ref, (F.col("word") == F.col("_word")) & F.col("lang").eqNullSafe(F.col("ref_lang")))
+    counts = held.groupBy("doc", "lang", "n", "share", "_word").agg(F.count("*").alias("times"))
+    p, q = F.col("times") / F.col("n"), F.col("share")
+    sums = counts.groupBy("doc", "lang", "n").agg(F.sum(term(p, q)).alias("found"), F.sum(p).alias("p"), F.sum(q).alias("q"))
+    whole = common.groupBy(F.col("ref_lang")).agg(F.sum("share").alias("covered"))
+    joined = sums.join(whole, F.col("lang").eqNullSafe(F.col("ref_lang")))
+    missing = 0.5 * (F.col("covered") - F.col("q"))
+    return joined.select("doc", root_of(F.col("found") + missing + term(1 - F.col("p"), 1 - F.col("covered"))).alias("word_distance"))
 
 
 def quality_rules(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """Key, base numbers, base_failed, kept, and the two distances, one row per document."""
+    rows, row = numbered(docs)
     root = shared_folder(docs.sparkSession, "rules")
-    refs = write(common_words(docs, lang, text).coalesce(1), f"{root}/common")
-    stats = write(document_stats(docs, refs, key=key, text=text, lang=lang), f"{root}/stats")
-    judged = stats.join(write(references(stats).coalesce(1), f"{root}/references"),
-                        F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
-    fits = f"ref_words >= {LANGUAGE_GUARD}"
+    common = write(common_words(rows, lang, text).coalesce(1), f"{root}/common")
+    stats = write(document_stats(rows.withColumn(row, F.struct(column(row).alias("row"), column(key).alias("key"))),
+                                 key=row, text=text, lang=lang), f"{root}/stats")
+    usual = write(word_distances(rows, common, key=row, text=text, lang=lang), f"{root}/words")
+    classes = write(class_references(stats).coalesce(1), f"{root}/classes")
+    judged = (stats.join(classes, F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
+              .join(usual.withColumnRenamed("doc", "_doc"), F.col("doc.row") == F.col("_doc"), "left"))
+    divergence = sum((term(F.col(f"c{n}") / F.greatest("n_chars", F.lit(1)), F.col(f"r{n}") / F.greatest("ref_chars", F.lit(1)))
+                      for n in range(len(CLASSES) + 1)), F.lit(0.0))
+    # a text without any of the common words has no row in ``usual``: its histogram is the class of all others
+    covered = common.groupBy(F.col("ref_lang").alias("_lang")).agg(F.sum("share").alias("covered"))
+    judged = judged.join(covered, F.col("lang").eqNullSafe(F.col("_lang")), "left")
+    none = root_of(0.5 * F.col("covered") + term(F.lit(1.0), 1 - F.col("covered")))
+    fits = F.col("ref_words") >= LANGUAGE_GUARD
     judged = (judged
-              .withColumn("char_distance", F.expr(f"CASE WHEN {fits} AND n_chars >= {CHAR_GUARD} THEN {distance('chars', 'ref_chars')} END"))
-              .withColumn("word_distance", F.expr(f"CASE WHEN {fits} AND n_words >= {WORD_GUARD} THEN {distance('usual', 'ref_usual')} END"))
+              .withColumn("char_distance", F.when(fits & (F.col("n_chars") >= CHAR_GUARD), root_of(divergence)))
+              .withColumn("word_distance", F.when(fits & (F.col("n_words") >= WORD_GUARD), F.coalesce("word_distance", none)))
               .withColumn("base_failed", F.expr("n_words < 10 OR 100 * n_repeat_words > 20 * n_words")))
     fine = f"coalesce(char_distance <= {CHAR_LIMIT}, true) AND coalesce(word_distance <= {WORD_LIMIT}, true)"
-    return judged.select(F.col("doc").alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+    return judged.select(F.col("doc.key").alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                          "base_failed", F.expr(f"NOT base_failed AND {fine}").alias("kept"), "char_distance", "word_distance")
