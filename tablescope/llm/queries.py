@@ -12,11 +12,13 @@ from tablescope.llm.mixing import mix_sources
 from tablescope.llm.quality_rules import quality_rules
 from tablescope.llm.sharding import shard_records
 from tablescope.llm.simhash import near_duplicates
+from tablescope.llm.surrogates import replace_entities
 from tablescope.llm.toxicity import toxicity
 from tablescope.llm.warc import BASE32, archived_pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+SURROGATE_KEY = "tables of the benchmark"  # callers pass a secret of their own
 
 
 def query(name: str, sql: str | None = None):
@@ -82,3 +84,8 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_lexicon_automata")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op6_surrogates")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return replace_entities(table(spark, folder, "documents"), SURROGATE_KEY)
