@@ -15,6 +15,7 @@ from tablescope.llm.simhash import near_duplicates
 from tablescope.llm.surrogates import replace_entities
 from tablescope.llm.toxicity import toxicity
 from tablescope.llm.warc import BASE32, archived_pages
+from tablescope.llm.weak_quality import weak_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -89,3 +90,8 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_surrogates")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return replace_entities(table(spark, folder, "documents"), SURROGATE_KEY)
+
+
+@query("op3_weak_label_quality")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return weak_quality(table(spark, folder, "documents"))
