@@ -30,7 +30,7 @@ from tablescope.llm.common import column, pieces, shared_folder, split_words, wr
 SAMPLE = 20_000            # labelled rows that the lexicon and the model are fitted on
 LEXICON = 500              # terms
 STEMS = range(3, 9)        # lengths of stems
-LEAST_TEXTS, LEAST_RATIO, LEAST_G = 4, 12.0, 22.0
+LEAST_TEXTS, LEAST_RATIO, LEAST_G, NEARLY = 4, 12.0, 22.0, 0.9
 ONE_EDIT, TWO_EDITS = 5, 9  # length from which a term may be misspelled by so many edits
 AROUND = 8                 # words on either side that make the context
 QUOTED, ADDRESSED = 0.3, 1.3
@@ -176,12 +176,16 @@ def learn_lexicon(train: DataFrame) -> list[tuple[str, float]]:
         F.sum("a").alias("a"), F.sum("b").alias("b"))
     ratio = F.expr(f"(a / {pos}) / ((b + 0.5) / {neg})")
     strong = counts.where((F.col("a") >= LEAST_TEXTS) & (ratio >= LEAST_RATIO)).orderBy(F.desc("a"), "b", "term").limit(20 * LEXICON)
-    ranked = sorted(((-g_score(a, b, pos, neg), len(t), t, a, b) for t, a, b in strong.collect()))
+    found = [(g_score(a, b, pos, neg), t.rstrip("*"), t, a, b) for t, a, b in strong.collect()]
     chosen: list[tuple[str, float]] = []
-    for g, _, term, a, b in ranked:
-        bare = term.rstrip("*")
-        if -g < LEAST_G or any(bare.startswith(c.rstrip("*")) or c.rstrip("*").startswith(bare) for c, _ in chosen):
+    taken: list[str] = []
+    for g, bare, term, a, b in sorted(found, key=lambda x: (-x[0], x[2])):
+        if g < LEAST_G or any(bare.startswith(c) or c.startswith(bare) for c in taken):
             continue
+        # the longest form that says nearly as much: a word rather than its first letters
+        _, _, bare, term, a, b = max((len(x), not t.endswith("*"), x, t, c, d) for h, x, t, c, d in found
+                                     if x.startswith(bare) and h >= NEARLY * g)
+        taken.append(bare)
         chosen.append((term, math.log((a + 0.5) / (pos + 1) / ((b + 0.5) / (neg + 1)))))
         if len(chosen) == LEXICON:
             break
