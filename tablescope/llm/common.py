@@ -84,13 +84,13 @@ def count_words(texts: pa.Array) -> np.ndarray:
     return np.bincount(split_words(texts, lower=False)[1], minlength=len(texts))
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str, limit: int = 16 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that each holds about ``limit`` bytes of text; no row is cut."""
+def pieces(batches: Iterator[pa.RecordBatch], text: str, limit: int = 16 << 20, rows: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that each holds about ``limit`` bytes of text and at most ``rows`` rows; no row is cut."""
     for batch in batches:
         ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy())
         start = 0
         while start < batch.num_rows:
             base = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, base + limit, "right")))
+            stop = min(max(start + 1, int(np.searchsorted(ends, base + limit, "right"))), start + rows)
             yield batch.slice(start, stop - start)
             start = stop

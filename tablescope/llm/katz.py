@@ -34,6 +34,7 @@ from tablescope.llm.common import column, discard, numbered, pieces, shared_fold
 VOCABULARY = 500_000
 FREQUENT = 500_000
 PER_BUCKET = 3_000_000
+PIECE_ROWS = 65_536         # texts handled together; their places fit two bytes
 GT_LIMIT = 5                 # counts above it are not discounted
 END, OTHER, START, FIRST = 0, 1, 2, 3   # numbers: end token, words without a number, start of text, first word
 SHIFT = 20                   # bits of a word number in a pair code
@@ -118,20 +119,15 @@ def train_words(docs: DataFrame, folder: str) -> tuple[DataFrame, Words]:
 
 
 def border(counts: DataFrame, most: int) -> int:
-    """The smallest count that at most ``most`` rows reach."""
-    top = counts.select(F.max("n")).first()[0] or 1
-    low, high = 1, int(top) + 1
-    of = counts.groupBy("n").agg(F.count("*").alias("rows"))
-    # few different counts are large, many rows are small: halve the interval on aggregated rows
-    of = of.select(F.least("n", F.lit(1 << 16)).alias("n"), "rows").groupBy("n").agg(F.sum("rows").alias("rows"))
-    rows = {r[0]: r[1] for r in of.collect()}
-    at, held = high, 0
-    for n in sorted(rows, reverse=True):
-        held += rows[n]
+    """The smallest count that at most ``most`` rows reach, none above 65 536 told apart."""
+    of = counts.groupBy(F.least("n", F.lit(1 << 16)).alias("n")).count().collect()
+    held, at = 0, (1 << 16) + 1
+    for n, rows in sorted(of, reverse=True):
+        held += rows
         if held > most:
             break
         at = n
-    return at if rows else low
+    return at
 
 
 def pair_codes(numbers: np.ndarray) -> np.ndarray:
@@ -147,6 +143,15 @@ def bucket_of(codes: np.ndarray, buckets: int) -> np.ndarray:
     return (mixed % np.uint64(buckets)).astype(np.int64)
 
 
+def by_bucket(codes: np.ndarray, buckets: int) -> tuple[pa.Array, list[np.ndarray]]:
+    """The buckets that occur, and the places of their codes in order."""
+    where = bucket_of(codes, buckets).astype(np.int32)
+    order = np.argsort(where, kind="stable")
+    ends = np.flatnonzero(np.r_[where[order][1:] != where[order][:-1], True]) + 1 if len(order) else []
+    parts = [order[i:j] for i, j in zip([0, *ends], ends)]
+    return pa.array([where[k[0]] for k in parts], pa.int32()), parts
+
+
 def five_bytes(codes: np.ndarray) -> bytes:
     return codes.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
 
@@ -161,13 +166,10 @@ def train_pairs(docs: DataFrame, words: Words, folder: str, buckets: int) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text"):
             codes, n = np.unique(pair_codes(words.number(b.column("text"))[0]), return_counts=True)
-            where = bucket_of(codes, buckets)
-            order = np.argsort(where, kind="stable")
-            parts = np.split(order, np.cumsum(np.bincount(where, minlength=buckets))[:-1])
-            full = [k for k in range(buckets) if len(parts[k])]
+            where, parts = by_bucket(codes, buckets)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(full, pa.int32()), pa.array([five_bytes(codes[parts[k]]) for k in full], pa.binary()),
-                 pa.array([n[parts[k]] for k in full], pa.list_(pa.int64()))], ["bucket", "codes", "n"])
+                [where, pa.array([five_bytes(codes[k]) for k in parts], pa.binary()),
+                 pa.array([n[k] for k in parts], pa.list_(pa.int64()))], ["bucket", "codes", "n"])
 
     def merge(group: pa.Table) -> pa.Table:
         codes = np.concatenate([from_five_bytes(c) for c in group["codes"].to_pylist()])
@@ -220,15 +222,17 @@ def histories(bigrams: DataFrame, words: Words, folder: str) -> Pairs:
         for b in batches:
             h, w, n = (b.column(c).flatten().to_numpy() for c in ("h", "w", "n"))
             some = np.unique(h)
-            columns = [np.bincount(h, weights, size)[some] for weights in (n, n * pick(discount, n), words.prob[w])]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *map(pa.array, columns)], ["h", "c", "kept", "covered"])
+            columns = [np.bincount(h, weights, size)[some] for weights in (n, n * pick(discount, n), words.prob[w], np.ones(len(w)))]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *map(pa.array, columns)], ["h", "c", "kept", "covered", "kinds"])
 
-    table = bigrams.select("h", "w", "n").mapInArrow(sums, "h int, c double, kept double, covered double").groupBy("h").agg(
-        F.sum("c").alias("c"), F.sum("kept").alias("kept"), F.sum("covered").alias("covered"))
-    # freed mass over the mass of unseen words; no freed mass: as if the history was seen once more
+    table = bigrams.select("h", "w", "n").mapInArrow(sums, "h int, c double, kept double, covered double, kinds double").groupBy("h").agg(
+        *[F.sum(x).alias(x) for x in ("c", "kept", "covered", "kinds")])
+    # freed mass over the mass of unseen words; no freed mass: as if the history was seen once more; no unseen
+    # word (all numbers but the start of text): the seen ones share the whole
     table = table.selectExpr(
-        "h", "IF(kept < c * (1 - 1e-12), c, c + 1) AS total",
-        "IF(kept < c * (1 - 1e-12), 1 - kept / c, 1 / (c + 1)) / greatest(1 - covered, 1e-12) AS alpha")
+        "h", f"CASE WHEN kinds >= {size - 1} THEN kept WHEN kept < c * (1 - 1e-12) THEN c ELSE c + 1 END AS total",
+        f"CASE WHEN kinds >= {size - 1} THEN 1D ELSE IF(kept < c * (1 - 1e-12), 1 - kept / c, 1 / (c + 1)) "
+        "/ greatest(1 - covered, 1e-12) END AS alpha")
     table = write(table, f"{folder}/histories")
     held = table.toArrow()  # at most one row per word number
     total, alpha = np.ones(size), np.ones(size)
@@ -285,45 +289,48 @@ def _texts(words: Words, pairs: Pairs):
 
 
 def _pairs(words: Words, pairs: Pairs, buckets: int):
-    """The other pairs of the texts by bucket, and how many each text has there."""
+    """The other pairs of the texts by bucket, with the place of their text in the piece that begins at row ``first``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "text"):
+        for b in pieces(batches, "text", rows=PIECE_ROWS):
             numbers, owners, _ = words.number(b.column("text"))
             codes = pair_codes(numbers)
             cold = look_up(pairs.codes, pairs.counts, codes) == 0
-            codes, owners = codes[cold], owners[cold]
-            where = bucket_of(codes, buckets)
-            order = np.argsort(where.astype(np.int32), kind="stable")
-            parts = np.split(order, np.cumsum(np.bincount(where, minlength=buckets))[:-1])
-            full = [k for k in range(buckets) if len(parts[k])]
+            codes, owners = codes[cold], owners[cold].astype("<u2")
+            where, parts = by_bucket(codes, buckets)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(full, pa.int32()), pa.array([b.column("row")[0].as_py()] * len(full), pa.int64()),
-                 pa.array([five_bytes(codes[parts[k]]) for k in full], pa.binary()),
-                 pa.array([np.bincount(owners[parts[k]], minlength=b.num_rows).astype(np.int32) for k in full], pa.list_(pa.int32()))],
-                ["bucket", "first", "codes", "sizes"])
+                [where, pa.array([b.column("row")[0].as_py()] * len(parts), pa.int64()),
+                 pa.array([five_bytes(codes[k]) for k in parts], pa.binary()),
+                 pa.array([owners[k].tobytes() for k in parts], pa.binary())], ["bucket", "first", "codes", "places"])
     return run
 
 
 def _meet(words: Words, pairs: Pairs):
-    """In a bucket: what the seen pairs of each text add to its score."""
+    """In a bucket: what the seen pairs add to the texts of each piece."""
     def run(texts: pa.Table, counts: pa.Table) -> pa.Table:
         log_prob = np.log10(np.maximum(words.prob, 1e-300))
         known, n = np.array([], np.int64), np.array([], np.int64)
         if counts.num_rows:
             h, w, n = (counts[c].combine_chunks().flatten().to_numpy() for c in ("h", "w", "n"))
             known = (h.astype(np.int64) << SHIFT) | w
-        rows, gains = [np.array([], np.int64)], [np.array([], float)]
-        for first, data, sizes in zip(*(texts[c].to_pylist() for c in ("first", "codes", "sizes"))):
-            codes = from_five_bytes(data)
+        places, gains = [], []
+        for data, place in zip(texts["codes"].to_pylist(), texts["places"].to_pylist()):
+            codes, place = from_five_bytes(data), np.frombuffer(place, "<u2")
             gain = pairs.gain(codes, look_up(known, n, codes), log_prob)
-            added = np.bincount(np.repeat(np.arange(len(sizes)), sizes), gain, len(sizes))
-            some = np.flatnonzero(added)
-            rows.append(first + some)
-            gains.append(added[some])
-        return pa.table({"row": np.concatenate(rows), "gain": np.concatenate(gains)})
+            texts_, at = np.unique(place, return_inverse=True)
+            places.append(texts_.tobytes())
+            gains.append(np.bincount(at, gain, len(texts_)).astype("<f8").tobytes())
+        return pa.table({"first": texts["first"], "places": pa.array(places, pa.binary()), "gains": pa.array(gains, pa.binary())})
     return run
 
 
+def _add(piece: pa.Table) -> pa.Table:
+    """Sum what the buckets add to the texts of a piece."""
+    places = np.frombuffer(b"".join(piece["places"].to_pylist()), "<u2").astype(np.int64)
+    total = np.bincount(places, np.frombuffer(b"".join(piece["gains"].to_pylist()), "<f8"))
+    some = np.flatnonzero(total)
+    return pa.table({"row": piece["first"][0].as_py() + some, "gain": total[some]})
+
+
 def score(docs: DataFrame, model: Model, folder: str, *, key: str = "doc_id", text: str = "text", train: Column | None = None) -> DataFrame:
     """Key, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) of every text."""
     words, pairs = model.words, model.pairs
@@ -335,10 +342,10 @@ def score(docs: DataFrame, model: Model, folder: str, *, key: str = "doc_id", te
         _texts(words, pairs), f"row bigint, doc {kind}, train boolean, n_tokens bigint, n_known bigint, base double, "
         "score double, rare array<string>"), f"{folder}/texts")
     parts = plain.select("row", "text").mapInArrow(
-        _pairs(words, pairs, model.buckets), "bucket int, first bigint, codes binary, sizes array<int>")
+        _pairs(words, pairs, model.buckets), "bucket int, first bigint, codes binary, places binary")
     gains = write(parts.groupBy("bucket").cogroup(model.bigrams.groupBy("bucket"))
-                  .applyInArrow(_meet(words, pairs), "row bigint, gain double")
-                  .groupBy("row").agg(F.sum("gain").alias("gain")), f"{folder}/gains")
+                  .applyInArrow(_meet(words, pairs), "first bigint, places binary, gains binary")
+                  .groupBy("first").applyInArrow(_add, "row bigint, gain double"), f"{folder}/gains")
     seen = F.coalesce("n", F.lit(0))
     size = F.lit(float(words.total + words.types + 1))
     discount = F.array(*[F.lit(float(d)) for d in words.discount])
