@@ -33,7 +33,8 @@ from tablescope.llm.common import column, discard, numbered, pieces, shared_fold
 
 VOCABULARY = 500_000
 FREQUENT = 500_000
-PER_BUCKET = 3_000_000
+PER_BUCKET = 1_500_000
+PIECE_BYTES = 6 << 20        # of text handled together
 PIECE_ROWS = 65_536         # texts handled together; their places fit two bytes
 GT_LIMIT = 5                 # counts above it are not discounted
 END, OTHER, START, FIRST = 0, 1, 2, 3   # numbers: end token, words without a number, start of text, first word
@@ -90,7 +91,7 @@ class Words:
 
 def train_words(docs: DataFrame, folder: str) -> tuple[DataFrame, Words]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "text"):
+        for b in pieces(batches, "text", PIECE_BYTES):
             counted = pc.value_counts(split_words(b.column("text"))[0])
             words, n = counted.field("values"), counted.field("counts")
             yield pa.RecordBatch.from_arrays(
@@ -164,7 +165,7 @@ def from_five_bytes(data: bytes) -> np.ndarray:
 
 def train_pairs(docs: DataFrame, words: Words, folder: str, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "text"):
+        for b in pieces(batches, "text", PIECE_BYTES):
             codes, n = np.unique(pair_codes(words.number(b.column("text"))[0]), return_counts=True)
             where, parts = by_bucket(codes, buckets)
             yield pa.RecordBatch.from_arrays(
@@ -268,7 +269,7 @@ def _texts(words: Words, pairs: Pairs):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         log_prob = np.log10(np.maximum(words.prob, 1e-300))
         base = np.log10((words.counts + 1) / (words.total + words.types + 1))
-        for b in pieces(batches, "text"):
+        for b in pieces(batches, "text", PIECE_BYTES):
             numbers, owners, flat = words.number(b.column("text"))
             codes = pair_codes(numbers)
             score = pairs.log_alpha[codes >> SHIFT] + log_prob[numbers]
@@ -291,7 +292,7 @@ def _texts(words: Words, pairs: Pairs):
 def _pairs(words: Words, pairs: Pairs, buckets: int):
     """The other pairs of the texts by bucket, with the place of their text in the piece that begins at row ``first``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "text", rows=PIECE_ROWS):
+        for b in pieces(batches, "text", PIECE_BYTES, PIECE_ROWS):
             numbers, owners, _ = words.number(b.column("text"))
             codes = pair_codes(numbers)
             cold = look_up(pairs.codes, pairs.counts, codes) == 0
