@@ -4,58 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_BUCKET = 500_000
-MAX_BUCKETS = 100_000
-
-
-def sort_number(df: DataFrame, name: str) -> Column:
-    """A double that sorts like the column (numeric or datetime)."""
-    if dict(df.dtypes)[name] in ("timestamp", "timestamp_ntz", "date"):
-        return F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01', "
-                      f"cast(`{name}` as timestamp_ntz))").cast("double")
-    return F.col(f"`{name}`").cast("double")
+from tablescope.functions.indexing import ranged
 
 
 def bucketed(df: DataFrame, order: str, bucket: str = "_bucket", rows_per_bucket: int | None = None) -> DataFrame:
-    """Add a bucket number that grows with ``order``; equal values share a bucket.
-
-    The splits are a bounded list of approximate quantiles, fixed before the plan is
-    built, so every use of the result sees the same buckets.
-    """
-    rows_per_bucket = rows_per_bucket or ROWS_PER_BUCKET
-    keyed = df.withColumn("_order", sort_number(df, order))
-    parts = min(MAX_BUCKETS, -(-keyed.count() // rows_per_bucket))
-    cuts = []
-    if parts > 1:
-        probs = [i / parts for i in range(1, parts)]
-        cuts = sorted(set(keyed.approxQuantile("_order", probs, 1 / (4 * parts))))
-    if not cuts:
-        return keyed.withColumn(bucket, F.lit(0.0)).drop("_order")
-    splits = [float("-inf"), *cuts, float("inf")]
-    return Bucketizer(splits=splits, inputCol="_order", outputCol=bucket,
-                      handleInvalid="keep").transform(keyed).drop("_order")
+    """Add a bucket number that grows with ``order``; equal values share a bucket."""
+    return ranged(df, order, bucket, rows_per_bucket)
 
 
 def running_sums(df: DataFrame, order: str, values: Sequence[str], outs: Sequence[str],
                  rows_per_bucket: int | None = None) -> DataFrame:
     """Inclusive running sums of ``values`` in ``order``, which must be unique per row."""
-    rows_per_bucket = rows_per_bucket or ROWS_PER_BUCKET
-    whole = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    if df.count() <= rows_per_bucket:  # proven small: one task
-        return df.select("*", *[F.sum(v).over(whole).alias(o) for v, o in zip(values, outs)])
-    parts = bucketed(df, order, "_bucket", rows_per_bucket)
+    parts = ranged(df, order, "_bucket", rows_per_bucket)
     totals = parts.groupBy("_bucket").agg(*[F.sum(v).alias(f"_t{i}") for i, v in enumerate(values)])
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(  # at most MAX_BUCKETS rows
+    offsets = totals.select(  # one row per range
         "_bucket", *[F.coalesce(F.sum(f"_t{i}").over(before), F.lit(0)).alias(f"_o{i}")
                      for i in range(len(values))])
     inside = Window.partitionBy("_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     sums = [F.sum(v).over(inside).alias(f"_w{i}") for i, v in enumerate(values)]
-    joined = parts.select("*", *sums).join(F.broadcast(offsets), "_bucket")
+    joined = parts.select("*", *sums).join(offsets, "_bucket")
     return joined.select(
         *[F.col(f"`{c}`") for c in df.columns],
         *[(F.col(f"_w{i}") + F.col(f"_o{i}")).alias(o) for i, o in enumerate(outs)])

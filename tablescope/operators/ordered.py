@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -87,15 +89,18 @@ def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_ts: str
 
     Both sides are cut into time buckets per key, so a hot key is spread over many tasks. Inside
     a bucket a window finds the latest right row; where the bucket has none yet, the last one of
-    the nearest earlier bucket is carried in.
+    the nearest earlier bucket is carried in. A NULL key or time matches nothing.
     """
     packed = F.struct(col(right_ts).alias("_ts"), *[col(v) for v in values])
     keys = [col(k) for k in by]
-    l_rows = left.select("*", F.date_trunc(bucket, col(left_ts)).alias("_bucket"), col(left_ts).alias("_at"),
+    known = [*by, left_ts]
+    real = left.dropna(subset=known)
+    l_rows = real.select("*", F.date_trunc(bucket, col(left_ts)).alias("_bucket"), col(left_ts).alias("_at"),
                          F.lit(1).alias("_side"))
     kind = right.select(packed.alias("r")).schema["r"].dataType
-    r_rows = right.select(*keys, F.date_trunc(bucket, col(right_ts)).alias("_bucket"), col(right_ts).alias("_at"),
-                          F.lit(0).alias("_side"), packed.alias("_row"))
+    r_rows = right.dropna(subset=[*by, right_ts]).select(
+        *keys, F.date_trunc(bucket, col(right_ts)).alias("_bucket"), col(right_ts).alias("_at"),
+        F.lit(0).alias("_side"), packed.alias("_row"))
     both = l_rows.withColumn("_row", F.lit(None).cast(kind)).unionByName(r_rows, allowMissingColumns=True)
     inside = Window.partitionBy(*by, "_bucket").orderBy("_at", "_side", "_row").rowsBetween(
         Window.unboundedPreceding, 0)
@@ -105,21 +110,28 @@ def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_ts: str
     earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     carried = buckets.select(*by, "_bucket", F.last("_row", ignorenulls=True).over(earlier).alias("_carry"))
     found = here.join(carried, [*by, "_bucket"], "left").withColumn("_hit", F.coalesce("_here", "_carry"))
-    return found.select(
+    matched = found.select(
         *[col(c) for c in left.columns], F.col("_hit._ts").alias(f"asof_{right_ts}"),
         *[F.col(f"_hit.`{v}`").alias(f"asof_{v}") for v in values])
+    unknown = left.where(reduce(or_, [col(k).isNull() for k in known]))
+    return matched.unionByName(unknown, allowMissingColumns=True)
 
 
 def range_join(points: DataFrame, intervals: DataFrame, at: Column, lo: Column, hi: Column,
                width: float) -> DataFrame:
     """Points joined to the closed intervals containing them.
 
-    Intervals are listed under every cell of ``width`` they touch, points under their own cell:
-    an equi-join on the cell replaces the comparison of all points with all intervals. ``at``,
+    Each interval has a cell level of its own, the smallest whose cells (``width`` times a power of
+    two) are as long as the interval, so it touches at most two cells; points are listed once per level in use. An equi-join on
+    level and cell replaces the comparison of all points with all intervals. ``at``,
     ``lo`` and ``hi`` are numbers (for times: seconds).
     """
-    cell = lambda c: F.floor(c / F.lit(float(width)))
-    p = points.withColumn("_at", at.cast("double")).withColumn("_cell", cell(F.col("_at")))
-    i = intervals.withColumn("_lo", lo.cast("double")).withColumn("_hi", hi.cast("double")).withColumn(
-        "_cell", F.explode(F.sequence(cell(F.col("_lo")), cell(F.col("_hi")))))
-    return p.join(i, "_cell").where("_at >= _lo and _at <= _hi").drop("_cell", "_at", "_lo", "_hi")
+    size = lambda level: F.lit(float(width)) * F.pow(F.lit(2.0), level)
+    i = intervals.withColumn("_lo", lo.cast("double")).withColumn("_hi", hi.cast("double")).where("_lo <= _hi")
+    i = i.withColumn("_level", F.greatest(F.lit(0), F.ceil(F.log2((F.col("_hi") - F.col("_lo")) / width + 1e-300))).cast("int"))
+    levels = F.coalesce(i.agg(F.collect_set("_level")).scalar(), F.array().cast("array<int>"))  # one per power of two
+    i = i.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("_lo") / size(F.col("_level"))),
+                                                  F.floor(F.col("_hi") / size(F.col("_level"))))))
+    p = points.withColumn("_at", at.cast("double")).withColumn("_level", F.explode(levels))
+    p = p.withColumn("_cell", F.floor(F.col("_at") / size(F.col("_level"))))
+    return p.join(i, ["_level", "_cell"]).where("_at >= _lo and _at <= _hi").drop("_cell", "_level", "_at", "_lo", "_hi")

@@ -11,12 +11,16 @@ from pyspark.sql import types as T
 from tablescope.functions.columns import (
     col, distinct_table, long_agg, text_columns,
 )
-from tablescope.functions.quantiles import wide_percentiles
+from tablescope.functions.indexing import sorted_index
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """CSV with a header; give a schema for large files, inference reads them twice."""
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
+             multi_line: bool = False) -> DataFrame:
+    """CSV with a header; give a schema for large files, inference reads them twice.
+
+    Files are split among tasks; ``multi_line`` reads values with line ends, one task per file.
+    """
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
     return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
 
 
@@ -60,32 +64,23 @@ def preview_tail(df: DataFrame, n: int = 10, order_by: Sequence[str] = ()) -> Da
     return df.orderBy(*[F.desc(col(c)) for c in order_by]).limit(n)
 
 
-MAX_SORTED_SAMPLE = 1_000_000
-
-
 def sample_rows(df: DataFrame, n: int, key: Sequence[str] = ()) -> DataFrame:
     """``n`` rows with the smallest hash of their key: the same rows on every run.
 
-    On a table much larger than ``n`` the rows are first cut down to those below a hash that about
-    2n rows pass, so that the final top-n sees few rows from every task.
+    Rows are first cut down to those below a hash that about 2n rows pass (all, if that turns out too few),
+    then their places in hash order decide; the order is made by range partitions, not in one task.
     """
     keys = [col(k) for k in (key or df.columns)]
     hashed = df.withColumn("_h", F.xxhash64(*keys))
     rows = df.count()
     if rows <= n:
         return df
-    share = (2 * n + 1000) / rows
-    if share < 0.2:
-        few = hashed.where(F.col("_h") < F.lit(int((share - 0.5) * 2**64)))
-        passed = few.count()
-        if passed >= n:
-            hashed = few
-            rows = passed
-    if n <= MAX_SORTED_SAMPLE:
-        return hashed.orderBy("_h", *keys).limit(n).drop("_h")
-    place = hashed.select((F.col("_h") / 2.0).alias("_h"))
-    bound = wide_percentiles(place, ["_h"], [(n - 1) / (rows - 1)]).select(F.get("q", F.lit(0))).scalar()
-    return hashed.where(F.col("_h") / 2.0 <= bound).drop("_h")
+    bound = int(((2 * n + 1000) / rows - 0.5) * 2**64)
+    if bound < 2**63:
+        few = hashed.where(F.col("_h") < F.lit(bound))
+        hashed = few if few.count() >= n else hashed
+    placed = hashed.withColumn("_k", F.struct("_h", *[k.alias(f"k{i}") for i, k in enumerate(keys)]))
+    return sorted_index(placed, "_k", "_place").where(F.col("_place") < n).drop("_h", "_k", "_place")
 
 
 INTEGER_LIMITS = (("tinyint", 7), ("smallint", 15), ("int", 31))

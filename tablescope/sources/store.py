@@ -2,7 +2,8 @@
 
 Layout under ``root``: ``data/<dataset_id>``, ``versions/<name>/<version_id>`` and the tables
 ``_datasets`` and ``_versions``. Versions are keyed by the stable dataset name, so undo works
-after any number of changes.
+after any number of changes. The current state of a name is its latest dataset; ``_undone`` lists
+the versions that an undo has already brought back.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ DATASETS = ("dataset_id string, name string, rows long, n_columns int, columns a
             "created_at timestamp")
 VERSIONS = ("version_id string, name string, note string, rows long, n_columns int, "
             "created_at timestamp, seq long")
+UNDONE = "version_id string, name string"
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -78,13 +80,26 @@ def restore_version(spark: SparkSession, root: str, name: str, version_id: str)
     return spark.read.parquet(f"{root}/versions/{name}/{version_id}")
 
 
+def current_dataset(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """The latest dataset written under a name."""
+    found = list_datasets(spark, root).where(F.col("name") == name).agg(F.max_by("dataset_id", "created_at")).first()[0]
+    if found is None:
+        raise ValueError(f"no dataset {name!r}")
+    return read_dataset(spark, root, found)
+
+
 def undo(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """The latest snapshot of a dataset."""
+    """Make the latest snapshot that has not been brought back yet the current dataset; a second undo goes one further."""
     log = spark.read.schema(VERSIONS).parquet(f"{root}/_versions").where(F.col("name") == name)
-    latest = log.agg(F.max_by("version_id", "seq")).first()[0]
+    used = f"{root}/_undone"
+    _append(spark, used, UNDONE, ("", name))  # the table exists from here on
+    done = spark.read.schema(UNDONE).parquet(used).where(F.col("name") == name).select("version_id")
+    latest = log.join(done, "version_id", "left_anti").agg(F.max_by("version_id", "seq")).first()[0]
     if latest is None:
-        raise ValueError(f"no versions of {name!r}")
-    return restore_version(spark, root, name, latest)
+        raise ValueError(f"no versions of {name!r} left")
+    write_dataset(restore_version(spark, root, name, latest), root, name)
+    _append(spark, used, UNDONE, (latest, name))
+    return current_dataset(spark, root, name)
 
 
 def dataset_fingerprint(df: DataFrame) -> DataFrame:
