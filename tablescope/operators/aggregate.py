@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -28,48 +29,68 @@ def _aggregate(func: str, y: str, order_by: str | None) -> Column:
     raise ValueError(f"unknown aggregate {func!r} (first and last need order_by)")
 
 
-def group_agg(df: DataFrame, x: str | Sequence[str], y: str, func: str = "mean",
+def group_agg(df: DataFrame, x: str | Sequence[str], y: str, func: str | Sequence[str] = "mean",
               order_by: str | None = None, out: str | None = None) -> DataFrame:
-    """One aggregate of ``y`` per group of ``x``; rows with a NULL key are left out."""
+    """One or several aggregates of ``y`` per group of ``x``; rows with a NULL key are left out.
+
+    Several aggregates share one pass and give one column each, named after the aggregate.
+    """
     keys = [x] if isinstance(x, str) else list(x)
+    funcs = [func] if isinstance(func, str) else list(func)
+    names = [out or y] if isinstance(func, str) else funcs
     require_columns(df, [*keys, y])
-    out = out or y
     kept = nan_to_null(df.select(*{*keys, y, *([order_by] if order_by else [])})).dropna(subset=keys)
-    if func == "median":
-        found = grouped_quantiles(kept, keys, y, [0.5])
-        groups = kept.groupBy(*keys).agg(F.count("*").alias("_n"))
+    plain = [(f, n) for f, n in zip(funcs, names) if f != "median"]
+    found = kept.groupBy(*[col(k) for k in keys]).agg(
+        F.count("*").alias("_n"), *[_aggregate(f, y, order_by).alias(n) for f, n in plain])
+    if "median" in funcs:
+        halves = grouped_quantiles(kept, keys, y, [0.5])
         same = [F.col(f"g.{k}") == F.col(f"m.{k}") for k in keys]
-        return groups.alias("g").join(found.alias("m"), same, "left").select(
-            *[F.col(f"g.{k}") for k in keys], F.get("m.q", F.lit(0)).alias(out)).orderBy(*keys)
-    return kept.groupBy(*[col(k) for k in keys]).agg(_aggregate(func, y, order_by).alias(out)).orderBy(*keys)
+        found = found.alias("g").join(halves.alias("m"), same, "left").select(
+            *[F.col(f"g.{c}") for c in found.columns],
+            F.get("m.q", F.lit(0)).alias(names[funcs.index("median")]))
+    return found.select(*[col(k) for k in keys], *[col(n) for n in names]).orderBy(*keys)
 
 
-MAX_PIVOT_COLUMNS = 10_000
+def pivot_long(df: DataFrame, index: Sequence[str], columns: Sequence[str], values: Sequence[str],
+               agg: str = "sum") -> DataFrame:
+    """Cross table in long form ``(index..., columns..., values...)``, whatever its width."""
+    kept = df.dropna(subset=[*index, *columns])
+    return kept.groupBy(*[col(c) for c in [*index, *columns]]).agg(*[_aggregate(agg, v, None).alias(v) for v in values])
 
 
 def pivot_table(df: DataFrame, index: Sequence[str], columns: Sequence[str], values: Sequence[str],
-                agg: str = "sum") -> DataFrame:
+                agg: str = "sum", labels: Sequence[Sequence[str]] | None = None) -> DataFrame:
     """Cross table; missing cells are 0 and rows with a NULL key are left out.
 
-    The labels of the new columns are read first (their number is the width of the result and
-    is limited), then one grouped aggregate fills all cells.
+    ``labels`` names the cells to show, one text per pivoted column; by default all are read first
+    (their number is the width of the result). Cells are told apart by all their texts, only their
+    column name joins them with ``_``; names that clash get a number. :func:`pivot_long` has no width.
     """
-    kept = df.dropna(subset=[*index, *columns])
     if not columns:
-        return kept.groupBy(*index).agg(*[_aggregate(agg, v, None).alias(v) for v in values])
-    label = F.concat_ws("_", *[col(c).cast("string") for c in columns])
-    labelled = kept.withColumn("_label", label)
-    labels = [r[0] for r in labelled.select("_label").distinct().limit(MAX_PIVOT_COLUMNS + 1).collect()]
-    if len(labels) > MAX_PIVOT_COLUMNS:
-        raise ValueError(f"more than {MAX_PIVOT_COLUMNS} pivot columns")
-    labels.sort()
-    pieces = [_aggregate(agg, v, None).alias(v) for v in values]
-    wide = labelled.groupBy(*index).pivot("_label", labels).agg(*pieces)
+        return pivot_long(df, index, columns, values, agg)
+    kept = df.dropna(subset=[*index, *columns])
+    labelled = kept.withColumn("_label", F.to_json(F.array(*[col(c).cast("string") for c in columns])))
+    if labels is None:
+        found = [json.loads(r[0]) for r in labelled.select("_label").distinct().collect()]
+    else:
+        found = [list(x) for x in labels]
+    found.sort(key=lambda x: "_".join(x))
+    asked = [json.dumps(x, ensure_ascii=False, separators=(",", ":")) for x in found]
+    pieces = [_aggregate(agg, v, None).alias(f"v{i}") for i, v in enumerate(values)]
+    named = F.create_map(*[x for i, a in enumerate(asked) for x in (F.lit(a), F.lit(f"c{i}"))]) if asked else None
+    place = labelled.withColumn("_label", named[F.col("_label")] if asked else F.lit(None).cast("string"))
+    wide = place.where("_label is not null").groupBy(*index).pivot("_label", [f"c{i}" for i in range(len(asked))]).agg(*pieces)
+    names = {i.lower() for i in index}
     cells = []
-    for v in values:
-        for lab in labels:
-            made = lab if len(values) == 1 else f"{lab}_{v}"
-            cells.append(F.coalesce(col(made), F.lit(0)).alias(f"{v}_{lab}"))
+    for j, v in enumerate(values):
+        for i, texts in enumerate(found):
+            made = f"c{i}" if len(values) == 1 else f"c{i}_v{j}"
+            name, n = f"{v}_{'_'.join(texts)}", 2
+            while name.lower() in names:
+                name, n = f"{v}_{'_'.join(texts)}_{n}", n + 1
+            names.add(name.lower())
+            cells.append(F.coalesce(col(made), F.lit(0)).alias(name))
     return wide.select(*[col(i) for i in index], *cells)
 
 
@@ -93,10 +114,9 @@ def label_counts(df: DataFrame, cols: Sequence[str], dropna: bool = False) -> Da
     return long.groupBy("column", "value").agg(F.count("*").alias("count"))
 
 
-def category_frequencies(df: DataFrame, max_columns: int = 30, top: int = 10,
-                         rare_share: float = 0.01) -> DataFrame:
+def category_frequencies(df: DataFrame, top: int = 10, rare_share: float = 0.01) -> DataFrame:
     """Per text column the most frequent labels and frequent labels below the rare share."""
-    cols = text_columns(df)[:max_columns]
+    cols = text_columns(df)
     rows = df.agg(F.count("*").alias("n")).scalar()
     counts = label_counts(df, cols).select(
         "column", F.coalesce("value", F.lit("None")).alias("value"), "count",

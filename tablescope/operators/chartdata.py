@@ -23,8 +23,7 @@ from tablescope.sources.io import sample_rows
 HISTOGRAM_BINS = 30
 RIDGE_TOP, RIDGE_BINS, RIDGE_MIN = 8, 40, 10
 PIE_TOP = 10
-HEATMAP_COLUMNS = 50
-NETWORK_THRESHOLD, NETWORK_EDGES = 0.7, 200
+NETWORK_THRESHOLD = 0.7
 POINTS = 10_000
 DASHBOARD_CHARTS = 20
 
@@ -70,8 +69,8 @@ def _bin(x: Column, lo: Column, hi: Column, bins: int) -> Column:
 
 def histogram_data(df: DataFrame, cols: Sequence[str] | None = None, bins: int = HISTOGRAM_BINS,
                    color: str | None = None) -> DataFrame:
-    """``(column[, color], bin, bin_start, bin_end, count)`` of up to four numeric columns."""
-    cols = list(cols) if cols else numeric_columns(df)[:4]
+    """``(column[, color], bin, bin_start, bin_end, count)`` of the numeric columns."""
+    cols = list(cols) if cols else numeric_columns(df)
     data = nan_to_null(df.select(*dict.fromkeys([*cols, *([color] if color else [])])))
     ends = scalar_stats(data, **{f"{m}{i}": f(as_double(c)) for i, c in enumerate(cols)
                                  for m, f in (("lo", F.min), ("hi", F.max))})
@@ -135,7 +134,7 @@ def ridge_data(df: DataFrame, x: str, by: str, top: int = RIDGE_TOP, bins: int =
 
 
 def heatmap_data(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    return correlation_matrix(df, (list(cols) if cols else numeric_columns(df))[:HEATMAP_COLUMNS])
+    return correlation_matrix(df, list(cols) if cols else numeric_columns(df))
 
 
 def pie_data(df: DataFrame, name: str, n: int = PIE_TOP) -> DataFrame:
@@ -170,9 +169,9 @@ def sunburst_data(df: DataFrame, path: Sequence[str], y: str) -> DataFrame:
 
 def parallel_coords_data(df: DataFrame, cols: Sequence[str] | None = None, color: str | None = None,
                          n: int = POINTS, key: Sequence[str] = ()) -> DataFrame:
-    """The first four (or up to six named) numeric columns, with an optional colour column."""
+    """All or the named numeric columns of the same rows on every run, with an optional colour column."""
     nums = numeric_columns(df)
-    used = [c for c in cols or [] if c in nums][:6] or nums[:4]
+    used = [c for c in cols or [] if c in nums] or nums
     wanted = list(dict.fromkeys([*used, *([color] if color in df.columns else [])]))
     kept = df.select(*dict.fromkeys([*wanted, *key]))
     return sample_rows(kept, n, key or wanted).select(*[col(c) for c in wanted])
@@ -181,7 +180,7 @@ def parallel_coords_data(df: DataFrame, cols: Sequence[str] | None = None, color
 def correlation_network(df: DataFrame, threshold: float = NETWORK_THRESHOLD, cols: Sequence[str] | None = None) -> DataFrame:
     """Edges between strongly correlated columns."""
     pairs = correlation_pairs(df, cols).select("a", "b", F.abs("corr").alias("weight"))
-    return pairs.where(F.col("weight") >= threshold).orderBy(F.desc("weight"), "a", "b").limit(NETWORK_EDGES)
+    return pairs.where(F.col("weight") >= threshold).orderBy(F.desc("weight"), "a", "b")
 
 
 def network_nodes(edges: DataFrame) -> DataFrame:
@@ -206,13 +205,9 @@ def timeline_data(df: DataFrame, start: str, end: str, name: str, color: str | N
         col(start).isNotNull() & col(end).isNotNull())
 
 
-def facet(op: Callable[..., DataFrame], df: DataFrame, by: str, labels: Sequence[Any], **args: Any) -> DataFrame:
-    """The same chart once per label of ``by``."""
-    parts = [op(df.where(col(by) == F.lit(v)), **args).withColumn(by, F.lit(v)) for v in labels]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def facet(op: Callable[..., DataFrame], df: DataFrame, by: str, **args: Any) -> DataFrame:
+    """The same chart for every label of ``by``, in one pass: the label is one more grouping key."""
+    return op(df.where(col(by).isNotNull()), color=by, **args)
 
 
 def missing_bar(df: DataFrame, n: int = 20) -> DataFrame:
@@ -221,8 +216,8 @@ def missing_bar(df: DataFrame, n: int = 20) -> DataFrame:
 
 
 def category_bar(df: DataFrame, cols: Sequence[str] | None = None, n: int = 10, with_null: bool = False) -> DataFrame:
-    """Most frequent labels of the first three text columns."""
-    cols = list(cols) if cols else text_columns(df)[:3]
+    """Most frequent labels of the text columns."""
+    cols = list(cols) if cols else text_columns(df)
     if not with_null:
         return top_labels(df, cols, n)
     counts = label_counts(df, cols).withColumn("value", F.coalesce("value", F.lit("None")))
@@ -314,7 +309,7 @@ def dashboard(df: DataFrame, specs: Sequence[Spec] | None = None, key: Sequence[
         for c in names:
             parts.append(shaped(placed, F.lit(i), F.lit(kind), nulls, F.lit(c), F.col("_place"), col(c)))
     for i, _ in kind_of("heatmap"):
-        r = heatmap_data(df, numeric_columns(df)[:8])
+        r = heatmap_data(df)
         parts.append(shaped(r, F.lit(i), F.lit("heatmap"), F.col("a"), F.col("b"), nulls, F.col("corr")))
     for i, _ in kind_of("missing"):
         m = missing_bar(df, 10)

@@ -15,7 +15,7 @@ from tablescope.functions.indexing import sorted_index
 from tablescope.operators.transform import small_join
 
 NOISE = -1
-MAX_DIMS = 4
+GRID_DIMS = 3  # cell numbers that neighbours are looked up by; the others only decide
 
 
 def _mark(df: DataFrame) -> tuple:
@@ -56,10 +56,10 @@ def _distance2(dims: Sequence[str], left: str, right: str) -> Column:
 
 
 def _near_cells(d: int) -> list[tuple[int, ...]]:
-    """Offsets of the cells that can hold a point within eps; the cell side is eps / sqrt(d)."""
+    """Offsets, in the first cell numbers, of the cells that can hold a point within eps; the side is eps / sqrt(d)."""
     reach = math.ceil(math.sqrt(d))
     gap = lambda o: max(0, abs(o) - 1)
-    return [o for o in itertools.product(range(-reach, reach + 1), repeat=d) if sum(gap(x) ** 2 for x in o) <= d]
+    return [o for o in itertools.product(range(-reach, reach + 1), repeat=min(d, GRID_DIMS)) if sum(gap(x) ** 2 for x in o) <= d]
 
 
 def _shifted(cells: Sequence[str], offsets: Sequence[tuple[int, ...]]) -> Column:
@@ -98,12 +98,13 @@ def _linked_cells(core: DataFrame, dims: Sequence[str], cells: Sequence[str], si
         return pairs.withColumn("_low", low).withColumn("_high", high).where(F.col("_low") <= eps2)
 
     start = packed(boxes(0))
-    half = [o for o in _near_cells(len(dims)) if o > (0,) * len(dims)]
-    asked = start.select("cell", "sub", "box").select(
+    grid = cells[:GRID_DIMS]
+    asked = start.select(
         F.col("cell").alias("cell_a"), F.col("sub").alias("sub_a"), F.col("box").alias("box_a"),
-        *[F.col(f"cell.{c}").alias(c) for c in cells]).withColumn("cell_b", _shifted(cells, half)).drop(*cells)
-    other = start.select(F.col("cell").alias("cell_b"), F.col("sub").alias("sub_b"), F.col("box").alias("box_b"))
-    pairs = checkpointed(judged(asked.join(other, "cell_b")))
+        *[F.col(f"cell.{c}").alias(c) for c in grid]).withColumn("_to", _shifted(grid, _near_cells(len(dims)))).drop(*grid)
+    other = start.select(F.struct(*[F.col(f"cell.{c}").alias(c) for c in grid]).alias("_to"), F.col("cell").alias("cell_b"),
+                         F.col("sub").alias("sub_b"), F.col("box").alias("box_b"))
+    pairs = checkpointed(judged(asked.join(other, "_to").where(F.col("cell_a") < F.col("cell_b")).drop("_to")))
     linked, level = None, 0
     while True:
         sure = checkpointed(pairs.where(F.col("_high") <= eps2).select("cell_a", "cell_b").distinct())
@@ -127,8 +128,8 @@ def cluster_dbscan(df: DataFrame, features: Sequence[str], eps: float = 0.5, min
     any comparison, and the others are fewer than ``min_pts`` per cell, so the points compared grow
     linearly with the table. A border point joins the first of the clusters it touches.
     """
-    if not 1 <= len(features) <= MAX_DIMS:
-        raise ValueError(f"1 to {MAX_DIMS} features are supported")
+    if not features:
+        raise ValueError("at least one feature is needed")
     data = nan_to_null(df).dropna(subset=list(features))
     dims = [f"x{i}" for i in range(len(features))]
     if scale:
@@ -141,6 +142,7 @@ def cluster_dbscan(df: DataFrame, features: Sequence[str], eps: float = 0.5, min
         placed = data.withColumns({d: as_double(c) for d, c in zip(dims, features)})
     side = eps / math.sqrt(len(dims))
     cells = [f"c{i}" for i in range(len(dims))]
+    grid = cells[:GRID_DIMS]
     points = checkpointed(placed.groupBy(*dims).agg(F.count("*").alias("n")).withColumns(
         {c: F.floor(F.col(d) / side) for c, d in zip(cells, dims)}))
     eps2 = eps * eps * (1 + 1e-12)
@@ -148,9 +150,9 @@ def cluster_dbscan(df: DataFrame, features: Sequence[str], eps: float = 0.5, min
     sized = points.join(sizes, cells)
     sparse = sized.where(F.col("size") < min_pts).select(*dims, *cells)
     # fewer than min_pts points per sparse cell look at their surroundings
-    asking = sparse.select(*dims, _shifted(cells, _near_cells(len(dims))).alias("_to")).select(
-        *dims, *[F.col(f"_to.{c}").alias(c) for c in cells])
-    hits = asking.alias("q").join(points.alias("p"), [F.col(f"q.{c}") == F.col(f"p.{c}") for c in cells]).where(
+    asking = sparse.select(*dims, _shifted(grid, _near_cells(len(dims))).alias("_to")).select(
+        *dims, *[F.col(f"_to.{c}").alias(c) for c in grid])
+    hits = asking.alias("q").join(points.alias("p"), [F.col(f"q.{c}") == F.col(f"p.{c}") for c in grid]).where(
         _distance2(dims, "q", "p") <= eps2)
     own = [F.col(f"q.{d}").alias(d) for d in dims]
     busy = hits.groupBy(*own).agg(F.sum("p.n").alias("around")).where(F.col("around") >= min_pts).select(*dims)
@@ -165,9 +167,9 @@ def cluster_dbscan(df: DataFrame, features: Sequence[str], eps: float = 0.5, min
         *[F.col(f"node.{c}").alias(c) for c in cells], F.col("cluster").cast("int").alias("cluster")))
     of_core = core.join(labels, cells).select(*dims, *cells, "cluster")
     loose = sparse.join(core.select(*dims), dims, "left_anti")
-    asking = loose.select(*dims, _shifted(cells, _near_cells(len(dims))).alias("_to")).select(
-        *dims, *[F.col(f"_to.{c}").alias(c) for c in cells])
-    border = asking.alias("q").join(of_core.alias("p"), [F.col(f"q.{c}") == F.col(f"p.{c}") for c in cells]).where(
+    asking = loose.select(*dims, _shifted(grid, _near_cells(len(dims))).alias("_to")).select(
+        *dims, *[F.col(f"_to.{c}").alias(c) for c in grid])
+    border = asking.alias("q").join(of_core.alias("p"), [F.col(f"q.{c}") == F.col(f"p.{c}") for c in grid]).where(
         _distance2(dims, "q", "p") <= eps2).groupBy(*own).agg(F.min("p.cluster").alias("cluster"))
     found = of_core.select(*dims, "cluster").unionByName(border)
     return placed.join(found, dims, "left").select(

@@ -4,49 +4,42 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablescope.functions.columns import require_columns, text_columns, to_long
 
 # Fixed value: similarity from which two labels count as near duplicates.
 THRESHOLD = 0.92
-MAX_EDITS = 3
-
-
-def _without_one(texts: Column) -> Column:
-    """All texts that arise from deleting one character of any given text."""
-    return F.array_distinct(F.flatten(F.transform(texts, lambda s: F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))),
-        lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s)))))))
 
 
 def fuzzy_duplicates(df: DataFrame, cols: Sequence[str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """Pairs of different labels with ``1 - edit distance / longer length >= threshold``.
+    """Pairs of different labels with ``1 - edit distance / longer length >= threshold``, at any length.
 
-    Two texts within ``d`` edits share a text that each reaches by at most ``d`` deletions. Every
-    distinct label is listed under all its deletions and equal deletions meet in an equi-join, so
-    only labels that agree in all but a few characters are ever compared; no pair is missed. The
-    number of deletions grows with the length, so labels that would need more than three (about 45
-    characters at the default threshold) are refused rather than cut short.
+    If ``d`` edits turn the shorter text into the longer one and the shorter is cut into ``d + 1`` pieces, one piece stays
+    whole and moves by at most ``d`` places. So for every pair of lengths that can meet, the shorter text is listed under
+    its pieces and the longer one under its substrings around those places; equal texts meet in an
+    equi-join, and only such pairs are compared. No pair is missed.
     """
     cols = list(cols) if cols is not None else text_columns(df)
     require_columns(df, cols)
-    labels = to_long(df, cols, "string").where("value is not null").distinct()
-    edits = F.floor(F.length("value") * ((1 - threshold) / threshold) + 1e-9)
-    sized = labels.withColumn("_d", edits)
-    most = sized.agg(F.max("_d")).first()[0] or 0
-    if most > MAX_EDITS:
-        raise ValueError(f"labels too long for similarity {threshold}: {most} edits are possible, {MAX_EDITS} are supported")
-    variants, last = F.array(F.col("value")), F.array(F.col("value"))
-    for step in range(1, int(most) + 1):
-        last = F.when(F.col("_d") >= step, _without_one(last)).otherwise(F.array().cast("array<string>"))
-        variants = F.array_union(variants, last)
-    listed = sized.select("column", "value", F.explode(variants).alias("_v"))
-    a, b = listed.alias("a"), listed.alias("b")
-    met = a.join(b, [F.col("a.column") == F.col("b.column"), F.col("a._v") == F.col("b._v"),
-                     F.col("a.value") < F.col("b.value")]).select(
-        F.col("a.column").alias("column"), F.col("a.value").alias("a"), F.col("b.value").alias("b"))
+    labels = to_long(df, cols, "string").where("value is not null").distinct().withColumn("n", F.length("value"))
+    edits = f"CAST(floor(long * {1 - threshold!r} + 1e-9) AS int)"
+    start = "CAST(floor(i * short / (d + 1)) AS int)"
+    size = "CAST(floor((i + 1) * short / (d + 1)) AS int) - at"
+    base = ["column", "value", "short", "long", "d", "i"]
+    pieces = (labels.select("column", "value", F.col("n").alias("short"), F.explode(F.expr(
+        f"sequence(n, CAST(floor(n / {threshold!r} + 1e-9) AS int))")).alias("long"))
+        .withColumn("d", F.expr(edits)).where("d > 0 AND long - short <= d")
+        .withColumn("i", F.explode(F.expr("sequence(0, d)"))).withColumn("at", F.expr(start)).withColumn("size", F.expr(size))
+        .select(*base, F.expr("substring(value, at + 1, size)").alias("piece")))
+    around = (labels.select("column", "value", F.col("n").alias("long")).withColumn("d", F.expr(edits)).where("d > 0")
+              .withColumn("short", F.explode(F.expr("sequence(greatest(long - d, 1), long)")))
+              .withColumn("i", F.explode(F.expr("sequence(0, d)"))).withColumn("at", F.expr(start)).withColumn("size", F.expr(size))
+              .withColumn("p", F.explode(F.expr("sequence(greatest(0, at - d), greatest(0, least(long - size, at + d)))")))
+              .select(*base, F.expr("substring(value, p + 1, size)").alias("piece")).distinct())
+    keys = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in ("column", "short", "long", "i", "piece")]
+    met = pieces.alias("a").join(around.alias("b"), [*keys, F.col("a.value") != F.col("b.value")]).select(
+        F.col("a.column").alias("column"), F.least("a.value", "b.value").alias("a"), F.greatest("a.value", "b.value").alias("b")).distinct()
     longer = F.greatest(F.length("a"), F.length("b"), F.lit(1))
-    close = met.withColumn("similarity", 1 - F.levenshtein("a", "b") / longer)
-    return close.where(F.col("similarity") >= threshold).distinct()
+    return met.withColumn("similarity", 1 - F.levenshtein("a", "b") / longer).where(F.col("similarity") >= threshold)

@@ -116,31 +116,23 @@ def filter_date_range(df: DataFrame, start: str, end: str, name: str | None = No
 NULL_LABEL = "None"  # how a missing label is written in a selection
 
 
-def filter_categories(df: DataFrame, picked: Mapping[str, Sequence[str]], max_values: int = 30) -> DataFrame:
-    """Keep the picked labels of text columns with 2 to ``max_values`` labels (NULL is a label)."""
-    wanted = {c: v for c, v in picked.items() if c in text_columns(df) and len(v) > 0}
-    if not wanted:
-        return df
-    sizes = df.agg(*[
-        (F.count_distinct(col(c)) + F.max(col(c).isNull().cast("int"))).alias(f"n{i}")
-        for i, c in enumerate(wanted)
-    ]).first()
+def filter_categories(df: DataFrame, picked: Mapping[str, Sequence[str]]) -> DataFrame:
+    """Keep the picked labels of text columns (NULL is a label); an empty selection keeps all."""
     out = df
-    for n, (c, labels) in zip(sizes, wanted.items()):
-        if n is not None and 1 < n <= max_values:
+    for c, labels in picked.items():
+        if c in text_columns(df) and len(labels) > 0:
             kept = col(c).isin(*labels)  # a plain comparison, so that it reaches the file scan
             out = out.where(kept | col(c).isNull() if NULL_LABEL in labels else kept)
     return out
 
 
-def filter_numeric_ranges(df: DataFrame, ranges: Mapping[str, tuple[float, float]],
-                          max_columns: int = 10) -> DataFrame:
-    """Ranges on the leading numeric columns; constant columns are skipped.
+def filter_numeric_ranges(df: DataFrame, ranges: Mapping[str, tuple[float, float]]) -> DataFrame:
+    """Ranges on the numeric columns; constant columns are skipped.
 
     Columns without a chosen range span their whole data, so only their NULLs fall out. The
     smallest and largest values are read first, so that plain comparisons reach the file scan.
     """
-    names = numeric_columns(df)[:max_columns]
+    names = numeric_columns(df)
     if not names:
         return df
     ends = df.agg(*[f(as_double(c)).alias(f"{m}{i}") for i, c in enumerate(names)

@@ -187,7 +187,7 @@ def health_score(df: DataFrame) -> DataFrame:
     return scored.withColumn("badge", badge)
 
 
-def health_recommendations(df: DataFrame, limit: int = 10) -> DataFrame:
+def health_recommendations(df: DataFrame, limit: int | None = None) -> DataFrame:
     """Ordered recommendations ``(rank, rule, subject, n)`` drawn from the health parts."""
     h = health_score(df)
     data, nums = nan_to_null(df), numeric_columns(df)
@@ -217,13 +217,14 @@ def health_recommendations(df: DataFrame, limit: int = 10) -> DataFrame:
         place = F.array_position(F.array(*[F.lit(c) for c in nums]), F.col("a"))
         place_b = F.array_position(F.array(*[F.lit(c) for c in nums]), F.col("b"))
         listed = F.array_sort(F.collect_list(F.struct(place.alias("i"), place_b.alias("j"), "a", "b")))
-        text = F.concat_ws(", ", F.transform(F.slice(listed, 1, 3), lambda p: F.concat_ws(" & ", p["a"], p["b"])))
+        text = F.concat_ws(", ", F.transform(listed, lambda p: F.concat_ws(" & ", p["a"], p["b"])))
         parts.append(tied.agg(text.alias("subject"), F.count("*").alias("n")).where("n > 0").select(
             F.lit(5).alias("rank"), F.lit("drop redundant columns").alias("rule"), "subject", "n"))
     parts.append(h.select(F.lit(9).alias("rank"), F.lit("clean").alias("rule"), F.lit("").alias("subject"),
                           F.lit(0).cast("bigint").alias("n")))
     found = union(parts).withColumn("_all", F.count("*").over(Window.partitionBy(F.lit(1))))  # report rows
-    return found.where("rank < 9 or _all = 1").drop("_all").orderBy("rank", "subject").limit(limit)
+    ordered = found.where("rank < 9 or _all = 1").drop("_all").orderBy("rank", "subject")
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def health_insights(df: DataFrame) -> DataFrame:
@@ -261,8 +262,8 @@ def health_insights(df: DataFrame) -> DataFrame:
     return union(parts).select("rule", "column", "value")
 
 
-def auto_insights(df: DataFrame, limit: int = 10) -> DataFrame:
-    """First findings ``(rank, kind, column, n, value, total)`` of seven rules, with the number of all."""
+def auto_insights(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """Findings (on request only the first) ``(rank, kind, column, n, value, total)`` of seven rules, with the number of all."""
     data, nums, texts = nan_to_null(df), numeric_columns(df), text_columns(df)
     order = F.create_map(*[F.lit(x) for i, c in enumerate(df.columns) for x in (c, i)])
     facts = shape_facts(data, nums).withColumn("skew", F.abs("skewness")) if nums else empty_report(
@@ -301,4 +302,5 @@ def auto_insights(df: DataFrame, limit: int = 10) -> DataFrame:
         F.lit(6).alias("rank"), F.lit("duplicates").alias("kind"), F.lit("(all columns)").alias("column"),
         F.col("duplicates").alias("n"), pct(F.col("duplicates"), F.col("rows")).alias("value"), F.lit(-1).alias("_o"))
     found = union([*parts, dup]).withColumn("total", F.count("*").over(Window.partitionBy(F.lit(1))))  # report rows
-    return found.orderBy("rank", "_o").limit(limit).select("rank", "kind", "column", "n", "value", "total")
+    ordered = found.orderBy("rank", "_o")
+    return (ordered if limit is None else ordered.limit(limit)).select("rank", "kind", "column", "n", "value", "total")

@@ -12,14 +12,21 @@ from pyspark.sql import functions as F
 from tablescope.functions.columns import col, numeric_columns
 
 
-READING = ("SELECT", "WITH", "FROM", "VALUES", "TABLE")
+def reads_only(spark: SparkSession, query: str) -> bool:
+    """Whether the parsed statement is a query: its plan holds no command and no write at any depth."""
+    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(query)
+    names = [plan.nodeName()] + [line.lstrip("+-:* '").split(" ")[0] for line in plan.treeString().splitlines()]
+    writes = ("Insert", "Create", "Drop", "Alter", "Delete", "Update", "Merge", "Truncate", "Set", "Reset", "Add", "Load", "Cache",
+              "Uncache", "Clear", "Refresh", "Replace", "Overwrite", "Append", "Rename", "Unresolved3PartName")
+    return not any(n.startswith(writes) and not n.startswith("SetOperation") for n in names) and not any(
+        n.endswith(("Command", "Statement")) for n in names)
 
 
 def sql_query(spark: SparkSession, query: str, views: Mapping[str, DataFrame],
               args: Mapping[str, Any] | None = None) -> DataFrame:
     """Run a query over named DataFrames. The views exist for this call only; the result is a
     lazy DataFrame, so filters and column choice reach the file scan."""
-    if query.split(maxsplit=1)[0].lstrip("(").upper() not in READING:
+    if not reads_only(spark, query):
         raise ValueError("only queries that read are allowed")
     for name, df in views.items():
         df.createOrReplaceTempView(name)

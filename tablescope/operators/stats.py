@@ -24,8 +24,7 @@ from tablescope.functions.gram import pair_correlations, pair_sums
 from tablescope.functions.quantiles import wide_percentiles
 
 ALPHA = 0.05
-# Sample sizes that choose the normality test.
-DAGOSTINO_MIN, DAGOSTINO_MAX = 8, 20_000
+DAGOSTINO_MIN = 8  # values that the moments test needs
 
 
 def _numbers(df: DataFrame, cols: Sequence[str] | None = None) -> tuple[DataFrame, list[str]]:
@@ -115,10 +114,11 @@ def top_correlations(df: DataFrame, n: int = 5) -> DataFrame:
     ).orderBy(F.desc(F.abs("corr")), "a", "b").limit(n)
 
 
-def redundant_columns(df: DataFrame, threshold: float = 0.9, top: int = 20) -> DataFrame:
-    """Most correlated pairs at or above the threshold."""
+def redundant_columns(df: DataFrame, threshold: float = 0.9, top: int | None = None) -> DataFrame:
+    """Pairs correlated at or above the threshold, the strongest first; on request only the ``top`` ones."""
     pairs = correlation_pairs(df).select("a", "b", F.abs("corr").alias("abs_corr"))
-    return pairs.where(F.col("abs_corr") >= threshold).orderBy(F.desc("abs_corr"), "a", "b").limit(top)
+    found = pairs.where(F.col("abs_corr") >= threshold).orderBy(F.desc("abs_corr"), "a", "b")
+    return found if top is None else found.limit(top)
 
 
 # --- normality -----------------------------------------------------------------------------
@@ -141,16 +141,17 @@ def _dagostino(n: Column, g1: Column, g2: Column) -> Column:
     return z1 * z1 + z2 * z2
 
 
-def normality_test(df: DataFrame, method: str = "auto") -> DataFrame:
-    """D'Agostino–Pearson up to 20 000 values per column, Kolmogorov–Smirnov above."""
+def normality_test(df: DataFrame, method: str = "dagostino") -> DataFrame:
+    """D'Agostino–Pearson, or Kolmogorov–Smirnov with ``method="ks"``, on all values at every size."""
+    if method not in ("dagostino", "ks"):
+        raise ValueError(f"unknown method {method!r}")
     data, cols = _numbers(df)
     n = F.col("n").cast("double")
     facts = shape_facts(data, cols).withColumnRenamed("skewness", "g1").withColumnRenamed("kurtosis", "g2")
     if method == "dagostino":
         use_ks: list = []
     else:
-        limit = DAGOSTINO_MAX if method == "auto" else 2
-        use_ks = facts.where((F.col("n") > limit) & (F.col("std") > 0)).collect()  # one row per column
+        use_ks = facts.where((F.col("n") > 2) & (F.col("std") > 0)).collect()  # one row per column
     ks_names = [r["column"] for r in use_ks]
     k2 = _dagostino(n, F.col("g1"), F.col("g2"))
     rest = facts.where((F.col("n") >= DAGOSTINO_MIN) & F.col("g1").isNotNull())
@@ -224,8 +225,8 @@ def anova_groups(df: DataFrame, y: str, group: str) -> DataFrame:
 
 
 def anova_columns(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """One-way ANOVA with the first three numeric columns as groups."""
-    data, names = _numbers(df, list(cols) if cols else numeric_columns(df)[:3])
+    """One-way ANOVA with the numeric columns as groups."""
+    data, names = _numbers(df, list(cols) if cols else numeric_columns(df))
     long = to_long(data, names, "double").where("value is not null")
     stats = long.groupBy("column").agg(
         F.count("value").alias("n"), F.avg("value").alias("mean"), F.var_samp("value").alias("var"))

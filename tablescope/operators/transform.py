@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Mapping, Sequence
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +18,6 @@ from tablescope.functions.parsing import parse_datetime, strip
 from tablescope.functions.quantiles import wide_percentiles
 
 BROADCAST_ROWS = 100_000
-MAX_ONEHOT = 10_000
 
 
 def _replace(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -233,14 +233,20 @@ def encode_label(df: DataFrame, name: str, out: str | None = None) -> DataFrame:
     return small_join(df, index, _text(name) == F.col("_label")).drop("_label")
 
 
-def encode_onehot(df: DataFrame, name: str, max_categories: int = MAX_ONEHOT) -> DataFrame:
-    """One 0/1 column per sorted value; a NULL row is 0 everywhere."""
-    found = df.where(col(name).isNotNull()).select(col(name)).distinct().limit(max_categories + 1).collect()
-    if len(found) > max_categories:
-        raise ValueError(f"{name} has more than {max_categories} values")
-    values = sorted(r[0] for r in found)
+def onehot_long(df: DataFrame, name: str, key: Sequence[str]) -> DataFrame:
+    """One-hot in long form ``(key..., value)``: the cells that are 1, whatever the number of values."""
+    return df.where(col(name).isNotNull()).select(*[col(k) for k in key], col(name).alias("value"))
+
+
+def encode_onehot(df: DataFrame, name: str, values: Sequence[Any] | None = None) -> DataFrame:
+    """One 0/1 column per (given or found) sorted value; a NULL row is 0 everywhere.
+
+    The found values are the columns of the result; :func:`onehot_long` has no width.
+    """
+    if values is None:
+        values = [r[0] for r in df.where(col(name).isNotNull()).select(col(name)).distinct().collect()]
     return df.select("*", *[
-        F.coalesce((col(name) == F.lit(v)).cast("int"), F.lit(0)).alias(f"{name}_{v}") for v in values])
+        F.coalesce((col(name) == F.lit(v)).cast("int"), F.lit(0)).alias(f"{name}_{v}") for v in sorted(values)])
 
 
 def encode_ordinal(df: DataFrame, name: str, order: Sequence[str], out: str | None = None) -> DataFrame:

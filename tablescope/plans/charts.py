@@ -191,7 +191,7 @@ def _(t):
 @query("facet", "SELECT o_orderpriority, sum(o_totalprice) AS o_totalprice, o_orderstatus FROM orders "
        "WHERE o_orderstatus IN ('F', 'O', 'P') GROUP BY ALL", doubles=["o_totalprice"], digits=2)
 def _(t):
-    return ch.facet(ch.bar_data, t.orders, "o_orderstatus", ["F", "O", "P"], x="o_orderpriority", y="o_totalprice", agg="sum")
+    return ch.facet(ch.bar_data, t.orders, "o_orderstatus", x="o_orderpriority", y="o_totalprice", agg="sum")
 
 
 @query("recommend_chart", "SELECT value, count(*) AS \"count\" FROM (SELECT o_orderstatus AS value FROM orders) GROUP BY value")
