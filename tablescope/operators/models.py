@@ -7,6 +7,7 @@ import time
 from collections.abc import Sequence
 from typing import Any
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
 from pyspark.ml import classification as mlc
@@ -14,25 +15,28 @@ from pyspark.ml import regression as mlr
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import (
-    PCA, Imputer, IndexToString, MaxAbsScaler, MinMaxScaler, OneHotEncoder,
+    PCA, FeatureHasher, Imputer, IndexToString, MaxAbsScaler, MinMaxScaler, OneHotEncoder,
     PolynomialExpansion, RobustScaler, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler,
     VectorSlicer,
 )
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablescope.functions.checkpoints import checkpointed
+from tablescope.functions.checkpoints import discard, stored
+from tablescope.functions.gram import pair_sums
 from tablescope.functions.columns import as_double, col, nan_to_null, numeric_columns, require_columns, scalar_stats
 from tablescope.operators.clean import impute, mode_values
 from tablescope.operators.evaluate import (
-    classification_metrics, detect_task, feature_columns, regression_metrics, train_test_split,
+    classification_metrics, detect_task, feature_columns, regression_metrics, roc_auc, train_test_split,
     with_folds,
 )
 
 SEED = 42
 CLASSIFICATION, REGRESSION = "classification", "regression"
-MAX_CATEGORIES = 10_000
+HASHED_SLOTS = 1 << 18  # of text features encoded with encoding="hash"
+DEPTH = 5  # of single trees and forests; MLlib grows up to 30 levels, at many times the cost
+BOOST_WRITES = 10  # rounds between two writes of the weights
 MISSING = "missing"
 
 SCALERS = {
@@ -52,7 +56,8 @@ def preprocess(df: DataFrame, target: str, features: Sequence[str] = (), encodin
 
     Numbers: median for missing, scaling, optionally polynomial or pairwise product terms. Text:
     the most frequent label (or ``missing``) for missing, then one-hot with unknown labels all
-    zero, or ordinal codes with -1 for unknown labels.
+    zero, ordinal codes with -1 for unknown labels, or hashed slots (for columns with more labels than the driver should
+    keep).
     """
     nums, texts = feature_columns(df, target, features)
     if not nums and not texts:
@@ -80,10 +85,6 @@ def preprocess(df: DataFrame, target: str, features: Sequence[str] = (), encodin
             last = "num_products"
         parts.append(last)
     if texts:
-        sizes = df.agg(*[F.approx_count_distinct(col(c)) for c in texts]).first()
-        wide = [c for c, n in zip(texts, sizes) if n > MAX_CATEGORIES]
-        if wide:  # label lists are kept by the model on the driver
-            raise ValueError(f"too many labels to encode, target-encode or leave out: {', '.join(wide)}")
         fills = dict.fromkeys(texts, MISSING)
         if text_fill == "most_frequent":
             fills |= {r["column"]: r["value"] for r in mode_values(df, texts, "string").collect()}
@@ -92,20 +93,24 @@ def preprocess(df: DataFrame, target: str, features: Sequence[str] = (), encodin
             stages.append(SQLTransformer(
                 statement=f"SELECT *, coalesce(cast({_quoted(c)} AS string), '{fill}') AS text_{i} FROM __THIS__"))
         idx = [f"code_{i}" for i in range(len(texts))]
-        stages.append(StringIndexer(inputCols=[f"text_{i}" for i in range(len(texts))], outputCols=idx,
-                                    handleInvalid="keep", stringOrderType="alphabetAsc"))
+        if encoding == "hash":
+            stages.append(FeatureHasher(numFeatures=HASHED_SLOTS, inputCols=[f"text_{i}" for i in range(len(texts))], outputCol="hashed"))
+            parts.append("hashed")
+        else:
+            stages.append(StringIndexer(inputCols=[f"text_{i}" for i in range(len(texts))], outputCols=idx,
+                                        handleInvalid="keep", stringOrderType="alphabetAsc"))
         if encoding == "onehot":
             hot = [f"hot_{i}" for i in range(len(texts))]
             # the indexer's extra slot for unknown labels is last, and the last slot is dropped
             stages.append(OneHotEncoder(inputCols=idx, outputCols=hot, dropLast=True))
             parts += hot
         elif encoding == "ordinal":
-            for i, c in enumerate(texts):
-                known = df.select(F.coalesce(col(c).cast("string"), F.lit(fills[c]))).distinct().count()
+            known = df.agg(*[F.count_distinct(F.coalesce(col(c).cast("string"), F.lit(fills[c]))) for c in texts]).first()
+            for i in range(len(texts)):
                 stages.append(SQLTransformer(
-                    statement=f"SELECT *, CASE WHEN code_{i} >= {known} THEN -1D ELSE code_{i} END AS ord_{i} FROM __THIS__"))
+                    statement=f"SELECT *, CASE WHEN code_{i} >= {known[i]} THEN -1D ELSE code_{i} END AS ord_{i} FROM __THIS__"))
                 parts.append(f"ord_{i}")
-        else:
+        elif encoding != "hash":
             raise ValueError(f"unknown encoding {encoding!r}")
     stages.append(VectorAssembler(inputCols=parts, outputCol=out, handleInvalid="keep"))
     return Pipeline(stages=stages)
@@ -114,8 +119,13 @@ def preprocess(df: DataFrame, target: str, features: Sequence[str] = (), encodin
 # --- estimators ----------------------------------------------------------------------------
 
 
-def estimator(name: str, task: str, classes: int = 2, trees: int = 100, depth: int = 5) -> Estimator | Pipeline:
-    """MLlib estimator for a model name."""
+def estimator(name: str, task: str, classes: int = 2, trees: int = 100, depth: int = DEPTH, rows: int = 1,
+              label_std: float = 1.0) -> Estimator | Pipeline:
+    """MLlib estimator for a model name.
+
+    Ridge and logistic regression weigh a penalty of one against summed losses; MLlib weighs it against their mean over
+    ``rows`` and divides the squared one by the (population) deviation of the label.
+    """
     io = {"featuresCol": "features", "labelCol": "label"}
     if task == CLASSIFICATION:
         gbt = mlc.GBTClassifier(maxIter=trees, maxDepth=min(depth, 3), seed=SEED, **io)
@@ -127,7 +137,7 @@ def estimator(name: str, task: str, classes: int = 2, trees: int = 100, depth: i
             "extra_trees": lambda: mlc.RandomForestClassifier(
                 numTrees=trees, maxDepth=depth, seed=SEED, bootstrap=False, featureSubsetStrategy="log2", **io),
             "decision_tree": lambda: mlc.DecisionTreeClassifier(maxDepth=depth, seed=SEED, **io),
-            "logistic": lambda: mlc.LogisticRegression(maxIter=1000, regParam=1e-4, **io),
+            "logistic": lambda: mlc.LogisticRegression(maxIter=1000, regParam=1 / rows, standardization=False, **io),
             "svm": lambda: svc if classes <= 2 else mlc.OneVsRest(classifier=svc, **io),
             "naive_bayes": lambda: mlc.NaiveBayes(modelType="gaussian", **io),
         }
@@ -139,8 +149,10 @@ def estimator(name: str, task: str, classes: int = 2, trees: int = 100, depth: i
                 numTrees=trees, maxDepth=depth, seed=SEED, bootstrap=False, featureSubsetStrategy="log2", **io),
             "decision_tree": lambda: mlr.DecisionTreeRegressor(maxDepth=depth, seed=SEED, **io),
             "linear": lambda: mlr.LinearRegression(solver="normal", **io),
-            "ridge": lambda: mlr.LinearRegression(regParam=1.0, elasticNetParam=0.0, **io),
-            "lasso": lambda: mlr.LinearRegression(regParam=1.0, elasticNetParam=1.0, maxIter=1000, **io),
+            "ridge": lambda: mlr.LinearRegression(
+                solver="normal", regParam=label_std / rows, elasticNetParam=0.0, standardization=False, **io),
+            "lasso": lambda: mlr.LinearRegression(
+                regParam=1.0, elasticNetParam=1.0, maxIter=1000, standardization=False, **io),
             "svr": lambda: Pipeline(stages=[
                 PolynomialExpansion(degree=2, inputCol="features", outputCol="expanded"),
                 mlr.LinearRegression(featuresCol="expanded", labelCol="label", regParam=0.1)]),
@@ -150,16 +162,21 @@ def estimator(name: str, task: str, classes: int = 2, trees: int = 100, depth: i
     return made[name]()
 
 
-def encode_target(df: DataFrame, target: str, out: str = "label") -> tuple[DataFrame, list[str] | None]:
-    """Numeric label column; text labels become 0..k-1 in sorted order and their names are returned."""
-    if target in numeric_columns(df):
+def _size_and_spread(train: DataFrame) -> tuple[int, float]:
+    row = train.agg(F.count("label").alias("n"), F.stddev_pop("label").alias("s")).first()
+    return max(1, row["n"]), row["s"] or 1.0
+
+
+def encode_target(df: DataFrame, target: str, out: str = "label", task: str | None = None) -> tuple[DataFrame, list[str] | None]:
+    """Numeric label column; class labels, texts or numbers, become 0..k-1 in sorted order and their names are returned."""
+    numeric = target in numeric_columns(df)
+    if numeric and task != CLASSIFICATION:
         return df.where(col(target).isNotNull()).withColumn(out, as_double(target)), None
-    texts = df.withColumn(target, col(target).cast("string"))
-    if texts.agg(F.approx_count_distinct(col(target))).first()[0] > MAX_CATEGORIES:
-        raise ValueError(f"{target} has too many labels for a class target")  # the model keeps them on the driver
-    indexer = StringIndexer(inputCol=target, outputCol=out, stringOrderType="alphabetAsc", handleInvalid="skip")
-    model = indexer.fit(texts)
-    return model.transform(texts), list(model.labels)
+    names = df.withColumn("_class", col(target).cast("string"))
+    indexer = StringIndexer(inputCol="_class", outputCol=out, stringOrderType="alphabetAsc", handleInvalid="skip")
+    model = indexer.fit(names)
+    coded = model.transform(names).drop("_class")
+    return coded if numeric else coded.withColumn(target, col(target).cast("string")), list(model.labels)
 
 
 def decode_target(preds: DataFrame, labels: Sequence[str], out: str = "predicted") -> DataFrame:
@@ -196,7 +213,7 @@ def feature_importance(model: PipelineModel, sample: DataFrame, top: int = 20) -
 
 def train_model(df: DataFrame, target: str, model: str, features: Sequence[str] = (), task: str | None = None,
                 test_size: float = 0.2, key: Sequence[str] = (), cv: int = 0, run_id: str = "run",
-                **options: Any) -> tuple[PipelineModel, DataFrame, DataFrame]:
+                trees: int = 100, depth: int = DEPTH, **options: Any) -> tuple[PipelineModel, DataFrame, DataFrame]:
     """Select, encode, split, preprocess, fit, evaluate.
 
     Returns the fitted pipeline, the test predictions, and one row for a runs table.
@@ -205,15 +222,12 @@ def train_model(df: DataFrame, target: str, model: str, features: Sequence[str]
     require_columns(df, [target, *features])
     task = task or detect_task(df, target).first()["task"]
     nums, texts = feature_columns(df, target, features)
-    data, labels = encode_target(df.select(*dict.fromkeys([*nums, *texts, target, *key])), target)
-    if task == CLASSIFICATION and labels is None:
-        n_classes = int(data.agg(F.max("label")).first()[0]) + 1
-    else:
-        n_classes = len(labels or [])
+    data, labels = encode_target(df.select(*dict.fromkeys([*nums, *texts, target, *key])), target, task=task)
+    n_classes = len(labels or [])
     train, test = train_test_split(data, "label", test_size, key, stratify=task == CLASSIFICATION)
     train = train.persist(StorageLevel.MEMORY_AND_DISK)  # read by every stage and every iteration
     prep = preprocess(data.drop("label"), target, [*nums, *texts], **options)
-    est = estimator(model, task, n_classes)
+    est = estimator(model, task, n_classes, trees, depth, *_size_and_spread(train))
     pipe = Pipeline(stages=[*prep.getStages(), est])
     try:
         fitted = pipe.fit(train)
@@ -222,6 +236,9 @@ def train_model(df: DataFrame, target: str, model: str, features: Sequence[str]
     preds = fitted.transform(test)
     table = classification_metrics(preds) if task == CLASSIFICATION else regression_metrics(preds)
     metrics = {r["metric"]: r["value"] for r in table.collect()}  # a handful of scores
+    if n_classes == 2 and "probability" in preds.columns:
+        scored = preds.select("label", F.get(vector_to_array("probability"), F.lit(1)).alias("score"))
+        metrics["roc_auc"] = roc_auc(scored).first()["roc_auc"]
     if cv:
         scores = [r["score"] for r in cross_validate(data, pipe, task, cv, key).collect()]
         metrics["cv_mean"] = sum(scores) / len(scores)
@@ -234,38 +251,58 @@ def train_model(df: DataFrame, target: str, model: str, features: Sequence[str]
 
 
 AUTOML = {
-    CLASSIFICATION: ("random_forest", "gbt", "logistic", "svm", "decision_tree", "naive_bayes", "extra_trees"),
-    REGRESSION: ("random_forest", "gbt", "linear", "ridge", "svr", "decision_tree", "lasso", "extra_trees"),
+    CLASSIFICATION: ("random_forest", "gbt", "logistic", "svm", "decision_tree", "naive_bayes", "extra_trees", "knn"),
+    REGRESSION: ("random_forest", "gbt", "linear", "ridge", "svr", "decision_tree", "lasso", "extra_trees", "knn"),
 }
 
 
 def automl(df: DataFrame, target: str, features: Sequence[str] = (), models: Sequence[str] | None = None, k: int = 5,
-           key: Sequence[str] = (), trees: int = 100) -> DataFrame:
-    """Cross-validated leaderboard ``(model, mean_score, std_score)``; models that fail are left out."""
+           key: Sequence[str] = (), trees: int = 100, depth: int = DEPTH) -> DataFrame:
+    """Cross-validated leaderboard ``(model, mean_score, std_score, folds, error)``.
+
+    A model that fails on a fold has its error as a row and no mean, after those scored on all folds.
+    """
     task = detect_task(df, target).first()["task"]
     nums, texts = feature_columns(df, target, features)
-    data, labels = encode_target(df.select(*dict.fromkeys([*nums, *texts, target, *key])), target)
-    n_classes = len(labels) if labels else 2 if task == REGRESSION else int(data.agg(F.max("label")).first()[0]) + 1
+    data, labels = encode_target(df.select(*dict.fromkeys([*nums, *texts, target, *key])), target, task=task)
+    n_classes = len(labels) if labels else 2
     prep = preprocess(data.drop("label"), target, [*nums, *texts])
     folded = with_folds(data, k, key, "label" if task == CLASSIFICATION else None).persist()
-    rows = []
+    rows: list[tuple[str, float | None, str | None]] = []
     try:
         # the features are prepared once per fold and shared by all models
         for i in range(k):
             fitted = prep.fit(folded.where(F.col("fold") != i))
             ready = fitted.transform(folded).select("features", "label", "fold").persist()
+            seen, held = ready.where(F.col("fold") != i), ready.where(F.col("fold") == i)
+            size = _size_and_spread(seen)
             for name in models or AUTOML[task]:
                 try:
-                    model = estimator(name, task, n_classes, trees).fit(ready.where(F.col("fold") != i))
-                    rows.append((name, _score(model.transform(ready.where(F.col("fold") == i)), task)))
-                except Exception as e:  # one model failing must not lose the leaderboard
-                    print(f"{name} failed on fold {i}: {type(e).__name__}")
+                    if name == "knn":
+                        preds = _neighbours_on_vectors(seen, held, task)
+                    else:
+                        preds = estimator(name, task, n_classes, trees, depth, *size).fit(seen).transform(held)
+                    rows.append((name, _score(preds, task), None))
+                except Exception as e:  # one model failing must not lose the others; it is reported
+                    rows.append((name, None, f"fold {i}: {type(e).__name__}: {str(e).splitlines()[0][:200]}"))
             ready.unpersist()
     finally:
         folded.unpersist()
-    scores = df.sparkSession.createDataFrame(rows, "model string, score double")
+    scores = df.sparkSession.createDataFrame(rows, "model string, score double, error string")
+    whole = F.count("score") == k
     return scores.groupBy("model").agg(
-        F.avg("score").alias("mean_score"), F.stddev_pop("score").alias("std_score")).orderBy(F.desc("mean_score"))
+        F.when(whole, F.avg("score")).alias("mean_score"), F.when(whole, F.stddev_pop("score")).alias("std_score"),
+        F.count("score").alias("folds"), F.concat_ws("; ", F.collect_list("error")).alias("error")).orderBy(F.desc_nulls_last("mean_score"), "model")
+
+
+def _neighbours_on_vectors(seen: DataFrame, held: DataFrame, task: str) -> DataFrame:
+    """Predictions of the nearest neighbours of prepared feature vectors."""
+    from tablescope.operators.neighbours import predict_knn
+
+    size = len(seen.select(vector_to_array("features").alias("v")).first()["v"])
+    names = [f"v{i}" for i in range(size)]
+    spread = lambda d: d.select("label", *[F.get(vector_to_array("features"), F.lit(i)).alias(n) for i, n in enumerate(names)])
+    return predict_knn(spread(seen), spread(held), names, "label", task)
 
 
 def predict(model: Transformer, df: DataFrame, labels: Sequence[str] | None = None) -> DataFrame:
@@ -287,14 +324,14 @@ def load_model(path: str) -> PipelineModel:
 def train_adaboost(df: DataFrame, task: str = CLASSIFICATION, rounds: int = 100) -> list[tuple[Transformer, float]]:
     """AdaBoost on ``features`` and ``label``: SAMME for classes, R2 for numbers.
 
-    Every round fits one shallow tree on the weighted table and rewrites the weights; the table is
-    checkpointed each round so that the plan does not grow.
+    Every round fits one shallow tree on the weighted table. The weights follow from the stages; they are
+    written every ``BOOST_WRITES`` rounds, and the table before is deleted.
     """
-    data = checkpointed(df.select("features", "label").withColumn("w", F.lit(1.0)))
+    data, path = stored(df.select("features", "label").withColumn("w", F.lit(1.0)))
     classes = data.select("label").distinct().count() if task == CLASSIFICATION else 0
     stages: list[tuple[Transformer, float]] = []
     io = {"featuresCol": "features", "labelCol": "label", "weightCol": "w", "seed": SEED}
-    for _ in range(rounds):
+    for done in range(1, rounds + 1):
         if task == CLASSIFICATION:
             tree = mlc.DecisionTreeClassifier(maxDepth=1, **io).fit(data)
             scored = tree.transform(data).select("features", "label", "w", (F.col("prediction") != F.col("label")).cast("double").alias("miss"))
@@ -322,7 +359,11 @@ def train_adaboost(df: DataFrame, task: str = CLASSIFICATION, rounds: int = 100)
             factor = F.pow(F.lit(beta), 1 - F.col("miss"))
         stages.append((tree, alpha))
         total = scored.agg(F.sum(F.col("w") * factor) / F.count("*")).scalar()
-        data = checkpointed(scored.select("features", "label", (F.col("w") * factor / total).alias("w")))
+        data = scored.select("features", "label", (F.col("w") * factor / total).alias("w"))
+        if done % BOOST_WRITES == 0:
+            before, (data, path) = path, stored(data)
+            discard(data.sparkSession, before)
+    discard(df.sparkSession, path)
     return stages
 
 
@@ -353,43 +394,61 @@ def predict_adaboost(stages: Sequence[tuple[Transformer, float]], df: DataFrame,
 # --- chained imputation --------------------------------------------------------------------
 
 
+def _chain_step(rows: DataFrame, names: Sequence[str], target: int, shift: Sequence[float]) -> Column:
+    """Least squares of one column on the others, from sums of products; an expression for its prediction."""
+    moved = rows.select(*[(F.col(n) - s).alias(n) for n, s in zip(names, shift)])
+    k = len(names)
+    n, sums, products = 0.0, np.zeros(k), np.zeros((k, k))
+    for r in pair_sums(moved, names, centred=False).collect():  # one row per pair of columns
+        n, sums[r["i"]], products[r["i"], r["j"]] = r["n"], r["sx"], r["sxy"]
+    others = [i for i in range(k) if i != target]
+    means = sums / max(n, 1.0)
+    spread = products - n * np.outer(means, means)
+    slopes = np.linalg.lstsq(spread[np.ix_(others, others)], spread[others, target], rcond=1e-12)[0]
+    out = F.lit(float(shift[target] + means[target]))
+    for i, b in zip(others, slopes):
+        out = out + F.lit(float(b)) * (F.col(names[i]) - F.lit(float(shift[i] + means[i])))
+    return out
+
+
 def impute_mice(df: DataFrame, cols: Sequence[str] | None = None, rounds: int = 10, tolerance: float = 1e-3) -> DataFrame:
     """Fill numeric columns by chained regressions, fewest missing values first.
 
     Missing cells start at the column mean; every round re-predicts them from the other columns.
-    It stops early once no filled cell moves by more than ``tolerance`` of the largest value.
+    It stops early once no filled cell moves by more than ``tolerance`` of the largest value. A step reads sums of products;
+    a round writes the row number and the numeric columns once and deletes what the round before wrote.
     """
     data = nan_to_null(df)
     cols = list(cols) if cols is not None else numeric_columns(df)
     counts = data.agg(*[F.count_if(col(c).isNull()) for c in cols]).first()
-    gaps = [c for n, c in sorted(zip(counts, cols), key=lambda p: p[0]) if n]
+    gaps = [i for n, i in sorted(zip(counts, range(len(cols)))) if n]
     if not gaps:
         return data
     if len(cols) < 2:
         return impute(data, "mean", cols)
-    marks = {c: f"_gap{i}" for i, c in enumerate(gaps)}
-    stats = scalar_stats(data, **{f"m{i}": F.avg(as_double(c)) for i, c in enumerate(gaps)})
-    current = data.withColumn("_s", stats).withColumns({marks[c]: col(c).isNull() for c in gaps}).withColumns({
-        c: F.coalesce(as_double(c), F.col(f"_s.m{i}")) for i, c in enumerate(gaps)}).drop("_s")
-    current = checkpointed(current)
-    biggest = current.agg(F.max(F.greatest(*[F.abs(as_double(c)) for c in cols]))).first()[0]
+    spark, names = df.sparkSession, [f"x{i}" for i in range(len(cols))]
+    whole, _ = stored(data.withColumn("_row", F.monotonically_increasing_id()))
+    facts = whole.agg(*[f(as_double(c)).alias(f"{m}{i}") for i, c in enumerate(cols)
+                        for m, f in (("mean", F.avg), ("lo", F.min), ("hi", F.max))]).first()
+    shift = [facts[f"mean{i}"] or 0.0 for i in range(len(cols))]
+    biggest = max([abs(facts[f"{m}{i}"] or 0.0) for i in range(len(cols)) for m in ("lo", "hi")], default=0.0) or 1.0
+    state, path = stored(whole.select(
+        "_row", *[F.coalesce(as_double(c), F.lit(s)).alias(n) for c, n, s in zip(cols, names, shift)],
+        *[col(cols[i]).isNull().alias(f"g{i}") for i in gaps]))
     for _ in range(rounds):
-        moved = []
-        for c in gaps:
-            others = [o for o in cols if o != c]
-            casts = current.withColumns({f"_x{i}": as_double(o) for i, o in enumerate(others)})
-            ready = VectorAssembler(inputCols=[f"_x{i}" for i in range(len(others))], outputCol="_f").transform(casts)
-            chain = mlr.LinearRegression(featuresCol="_f", labelCol=c, predictionCol="_p", solver="normal")
-            model = chain.fit(ready.where(~F.col(marks[c])))
-            step = model.transform(ready)
-            change = F.when(F.col(marks[c]), F.abs(F.col("_p") - col(c)))
-            filled = F.when(F.col(marks[c]), F.col("_p")).otherwise(col(c))
-            current = checkpointed(step.withColumns({"_d": change, c: filled}).select(*data.columns, *marks.values(), "_d"))
-            moved.append(current.agg(F.max("_d")).first()[0] or 0.0)
-            current = current.drop("_d")
-        if max(moved) <= tolerance * (biggest or 1.0):
+        step = state.withColumns({f"o{i}": F.col(f"x{i}") for i in gaps})
+        for i in gaps:
+            fitted = _chain_step(step.where(~F.col(f"g{i}")), names, i, shift)
+            step = step.withColumn(f"x{i}", F.when(F.col(f"g{i}"), fitted).otherwise(F.col(f"x{i}")))
+        before, (made, path) = path, stored(step)
+        discard(spark, before)
+        moved = made.agg(F.max(F.greatest(*[F.abs(F.col(f"x{i}") - F.col(f"o{i}")) for i in gaps], F.lit(0.0)))).first()[0]
+        state = made.drop(*[f"o{i}" for i in gaps])
+        if (moved or 0.0) <= tolerance * biggest:
             break
-    return current.select(*[col(c) for c in data.columns])
+    found = whole.join(state.select("_row", *[F.col(f"x{i}") for i in gaps]), "_row")
+    made_of = {cols[i]: f"x{i}" for i in gaps}
+    return found.select(*[F.col(made_of[c]).alias(c) if c in made_of else col(c) for c in data.columns])
 
 
 # --- clusters and projections --------------------------------------------------------------

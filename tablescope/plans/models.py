@@ -193,8 +193,7 @@ def _regress(name: str, **options):
 
 
 for _name in ("random_forest", "gbt", "extra_trees", "decision_tree", "logistic", "svm", "naive_bayes"):
-    # the boosted model is binary, so it predicts the line status
-    query(f"train_{_name}")(_classify(_name) if _name not in ("gbt", "svm") else _classify(_name, "l_linestatus"))
+    query(f"train_{_name}")(_classify(_name))
 for _name in ("random_forest", "gbt", "extra_trees", "decision_tree", "linear", "ridge", "lasso", "svr"):
     _key = f"train_{_name}" if _name in ("linear", "ridge", "lasso", "svr") else f"train_{_name}_reg"
     query(_key)(_regress(_name))
@@ -211,22 +210,24 @@ def _(t):
 
 
 def _vectors(t, target: str, names):
-    data, _ = models.encode_target(t.lineitem.select(target, *names), target)
-    return models.preprocess(data.drop("label"), target, names).fit(data).transform(data).select("features", "label")
+    data, _ = models.encode_target(t.customer.select("c_custkey", target, *names), target)
+    return models.preprocess(data.drop("label"), target, names).fit(data).transform(data).select("c_custkey", "features", "label")
 
 
 @query("train_adaboost")
 def _(t):
-    ready = _vectors(t, "l_returnflag", FLAG)
-    stages = models.train_adaboost(ready, rounds=5)
-    return evaluate.classification_metrics(models.predict_adaboost(stages, ready))
+    ready = _vectors(t, "c_mktsegment", ["c_acctbal", "c_nationkey"])
+    seen, held = evaluate.train_test_split(ready, "label", 0.2, ["c_custkey"], stratify=True)
+    stages = models.train_adaboost(seen)
+    return evaluate.classification_metrics(models.predict_adaboost(stages, held))
 
 
 @query("train_adaboost_reg")
 def _(t):
-    ready = _vectors(t, "l_extendedprice", PRICE)
-    stages = models.train_adaboost(ready, models.REGRESSION, rounds=5)
-    return evaluate.regression_metrics(models.predict_adaboost(stages, ready, models.REGRESSION))
+    ready = _vectors(t, "c_acctbal", ["c_mktsegment", "c_nationkey"])
+    seen, held = evaluate.train_test_split(ready, "label", 0.2, ["c_custkey"], stratify=False)
+    stages = models.train_adaboost(seen, models.REGRESSION)
+    return evaluate.regression_metrics(models.predict_adaboost(stages, held, models.REGRESSION))
 
 
 @query("preprocess", "SELECT 6 + count(DISTINCT l_returnflag)::INTEGER AS vector_size, count(*) AS rows FROM lineitem_gaps",
@@ -255,7 +256,7 @@ def _forest(t):
 @query("train_model")
 def _(t):
     _, _, run = models.train_model(t.orders, "o_orderstatus", "logistic", ["o_totalprice", "o_orderpriority"],
-                                   key=["o_orderkey"], cv=3)
+                                   key=["o_orderkey"], cv=5)
     return run.select("name", F.explode("metrics").alias("metric", "value"))
 
 
@@ -269,8 +270,7 @@ def _(t):
 
 @query("automl")
 def _(t):
-    return models.automl(t.customer, "c_mktsegment", ["c_acctbal", "c_nationkey"], ["logistic", "decision_tree", "naive_bayes"],
-                         k=3, key=["c_custkey"])
+    return models.automl(t.customer, "c_mktsegment", ["c_acctbal", "c_nationkey"], key=["c_custkey"])
 
 
 @query("feature_importance")
@@ -354,14 +354,14 @@ WITH m AS (SELECT regr_slope(l_tax, l_extendedprice) AS b, regr_intercept(l_tax,
 SELECT l_orderkey, l_linenumber, coalesce(l_tax, a + b * l_extendedprice) AS l_tax FROM lineitem_gaps, m""",
        derived=["lineitem_gaps"], doubles=["l_tax"], digits=5)
 def _(t):
-    out = models.impute_mice(t.lineitem_gaps, ["l_extendedprice", "l_tax"], rounds=3)
+    out = models.impute_mice(t.lineitem_gaps, ["l_extendedprice", "l_tax"])
     return out.select("l_orderkey", "l_linenumber", "l_tax")
 
 
 @query("impute_mice_two")
 def _(t):
     gaps = impute_constant(t.lineitem_gaps)
-    out = models.impute_mice(gaps, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], rounds=3)
+    out = models.impute_mice(gaps, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
     return out.agg(F.count("*").alias("rows"), F.count("l_discount").alias("l_discount"), F.count("l_tax").alias("l_tax"),
                    F.avg("l_tax").alias("mean_tax"))
 

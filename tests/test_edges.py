@@ -140,8 +140,8 @@ def test_encodings(spark):
         transform.encode_ordinal(known, "c", ["b"]).collect()
     with pytest.raises(ValueError):
         transform.encode_ordinal(known, "c", [])
-    with pytest.raises(ValueError):
-        transform.encode_onehot(df, "c", 1)
+    assert rows(transform.encode_onehot(df, "c", ["a"]), "c_a") == [(0,), (1,), (0,), (0,)]
+    assert sorted(r["value"] for r in transform.onehot_long(df, "c", ["c"]).collect()) == ["a", "b", "b"]
 
 
 def test_pivot_drops_null_keys(spark):
@@ -294,3 +294,61 @@ def test_recommend_chart(spark, empty):
     assert chartdata.recommend_chart(empty) == ("histogram", ("a",))
     with pytest.raises(ValueError):
         chartdata.recommend_chart(spark.createDataFrame([], "d date"))
+
+
+# --- inputs that once gave wrong results ---------------------------------------------------
+
+
+def test_pivot_labels_that_join_alike_stay_apart(spark):
+    df = spark.createDataFrame([("i", "a_b", "c", 1.0), ("i", "a", "b_c", 10.0)], "i string, x string, y string, v double")
+    row = aggregate.pivot_table(df, ["i"], ["x", "y"], ["v"]).first().asDict()
+    assert sorted(v for k, v in row.items() if k != "i") == [1.0, 10.0] and len(row) == 3
+    assert aggregate.pivot_long(df, ["i"], ["x", "y"], ["v"]).count() == 2
+    named = aggregate.pivot_table(df, ["i"], ["x"], ["v"], labels=[["a"], ["none"]])
+    assert named.first().asDict() == {"i": "i", "v_a": 10.0, "v_none": 0.0}
+
+
+def test_filters_apply_to_any_number_of_labels_and_columns(spark):
+    labels = spark.createDataFrame([(f"l{i}",) for i in range(40)], "c string")
+    assert project.filter_categories(labels, {"c": ["l3", "l39"]}).count() == 2
+    wide = spark.createDataFrame([tuple(range(i, i + 14)) for i in range(5)], ", ".join(f"n{i} int" for i in range(14)))
+    assert project.filter_numeric_ranges(wide, {"n13": (14, 15)}).count() == 2
+
+
+def test_asof_join_never_matches_null(spark):
+    left = spark.createDataFrame([(None, 5, "a"), ("k", None, "b"), ("k", 5, "c")], "k string, s int, tag string").withColumn(
+        "t", F.timestamp_seconds("s").cast("timestamp_ntz"))
+    right = spark.createDataFrame([(None, 1, 7), ("k", 2, 8), ("k", None, 9)], "k string, s int, v int").withColumn(
+        "t", F.timestamp_seconds("s").cast("timestamp_ntz"))
+    got = {r["tag"]: r["asof_v"] for r in ordered.asof_join(left, right.drop("s"), ["k"], "t", "t", ["v"]).collect()}
+    assert got == {"a": None, "b": None, "c": 8}
+
+
+def test_undo_takes_effect_and_goes_further_back(spark):
+    root = store.scratch_dir(spark)
+    states = [spark.range(n).toDF("n") for n in (3, 5, 7)]
+    for s in states[:2]:
+        store.write_dataset(s, root, "d")
+        store.save_version(s, root, "d", "before a change")
+    store.write_dataset(states[2], root, "d")
+    assert store.current_dataset(spark, root, "d").count() == 7
+    assert store.undo(spark, root, "d").count() == 5 == store.current_dataset(spark, root, "d").count()
+    assert store.undo(spark, root, "d").count() == 3
+    with pytest.raises(ValueError, match="left"):
+        store.undo(spark, root, "d")
+
+
+def test_sql_guard_reads_the_plan(spark):
+    df = spark.range(3).toDF("n")
+    assert sqlapi.sql_query(spark, "-- a remark\n(SELECT count(*) AS c FROM df)", {"df": df}).first()["c"] == 3
+    assert sqlapi.sql_query(spark, "WITH a AS (SELECT n FROM df) SELECT n FROM a UNION SELECT 9", {"df": df}).count() == 4
+    for text in ("DROP TABLE df", "WITH a AS (SELECT 1) INSERT INTO x SELECT * FROM a", "FROM df INSERT INTO x SELECT n",
+                 "CREATE TABLE x AS SELECT 1", "SET a = 1", "CACHE TABLE df"):
+        with pytest.raises(ValueError, match="read"):
+            sqlapi.sql_query(spark, text, {"df": df})
+
+
+def test_several_aggregates_share_a_pass(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("a", 8.0), ("b", 2.0)], "k string, v double")
+    got = [tuple(r) for r in aggregate.group_agg(df, "k", "v", ["min", "median", "sum"]).collect()]
+    assert got == [("a", 1.0, 3.0, 12.0), ("b", 2.0, 2.0, 2.0)]

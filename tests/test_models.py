@@ -90,7 +90,8 @@ def test_cross_validation_and_leaderboard(easy):
     scores = [r["score"] for r in models.cross_validate(data, pipe, models.CLASSIFICATION, 3, ["id"]).collect()]
     assert len(scores) == 3 and min(scores) > 0.8
     board = models.automl(easy, "target", ["x", "y"], ["linear", "decision_tree", "no_such_model"], 3, ["id"]).collect()
-    assert [r["model"] for r in board] == ["linear", "decision_tree"]
+    assert [r["model"] for r in board] == ["linear", "decision_tree", "no_such_model"]
+    assert board[2]["mean_score"] is None and "unknown" in board[2]["error"]
 
 
 def test_saved_model_predicts_the_same(easy, spark):
@@ -107,10 +108,10 @@ def test_feature_importance(easy):
     assert sum(r["importance"] for r in rows) == pytest.approx(1) and rows[0]["importance"] >= rows[-1]["importance"]
 
 
-def test_too_many_labels_are_refused(easy, monkeypatch):
-    monkeypatch.setattr(models, "MAX_CATEGORIES", 1)
-    with pytest.raises(ValueError, match="too many labels"):
-        models.preprocess(easy, "label_text", ["x", "s"])
+def test_hashed_text_features(easy):
+    """The encoding for columns with more labels than the driver should keep."""
+    _, _, run = models.train_model(easy.where("y is not null"), "label_text", "logistic", ["x", "y", "s"], key=["id"], encoding="hash")
+    assert run.first()["metrics"]["accuracy"] > 0.88
 
 
 def test_unknown_model_name():
@@ -141,3 +142,56 @@ def test_class_metrics_with_a_class_never_predicted(spark):
     assert got[1] == (0.0, 0.0, 0.0) and got[2] == (1.0, 1.0, 1.0)
     m = {r["metric"]: r["value"] for r in evaluate.classification_metrics(p).collect()}
     assert m["accuracy"] == 0.75 and m["precision_weighted"] == pytest.approx((2 / 3 * 2 + 0 + 1) / 4)
+
+
+def test_number_targets_are_classes(spark):
+    """Labels -1/1 and years: indexed, trained on and decoded."""
+    rnd = random.Random(3)
+    for values in ((-1, 1), (1990, 1991, 1992)):
+        rows = [(i, x, values[min(len(values) - 1, int(x))]) for i in range(200) for x in [rnd.uniform(0, len(values))]]
+        df = spark.createDataFrame(rows, "id int, x double, y int")
+        _, preds, run = models.train_model(df, "y", "decision_tree", ["x"], key=["id"])
+        assert run.first()["metrics"]["accuracy"] > 0.9
+        assert {r[0] for r in preds.select("predicted").distinct().collect()} <= {str(v) for v in values}
+
+
+def test_ridge_penalty_against_normal_equations(spark):
+    rnd = random.Random(4)
+    for n in (50, 4000):
+        xs = [rnd.uniform(0, 2) for _ in range(n)]
+        df = spark.createDataFrame([(x, 3 * x + 1) for x in xs], "x double, label double")
+        ready = models.VectorAssembler(inputCols=["x"], outputCol="features").transform(df)
+        mean = sum(xs) / n
+        spread = sum((x - mean) ** 2 for x in xs)
+        fit = models.estimator("ridge", models.REGRESSION, rows=n, label_std=3 * (spread / n) ** 0.5).fit(ready)
+        slope = fit.coefficients[0]
+        assert abs(slope - 3 * spread / (spread + 1)) < 1e-4
+
+
+def test_chained_imputation_against_numpy(spark):
+    import numpy as np
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(300, 3))
+    x = np.column_stack([base[:, 0], base[:, 0] * 2 + base[:, 1], base[:, 1] - base[:, 2] * 0.1 + 50])
+    gap = np.zeros_like(x, bool)
+    gap[rng.choice(300, 40, False), 1] = True
+    gap[rng.choice(300, 60, False), 2] = True
+    data = [(int(i), *[None if gap[i, j] else float(x[i, j]) for j in range(3)]) for i in range(300)]
+    got = models.impute_mice(spark.createDataFrame(data, "id int, a double, b double, c double"), ["a", "b", "c"], rounds=4, tolerance=0)
+    got = np.array([[r["a"], r["b"], r["c"]] for r in got.orderBy("id").collect()])
+    want = np.where(gap, np.nan, x)
+    want = np.where(gap, np.nanmean(want, axis=0), want)
+    for _ in range(4):
+        for j in (1, 2):
+            others = [k for k in range(3) if k != j]
+            design = np.column_stack([np.ones(300), want[:, others]])
+            beta = np.linalg.lstsq(design[~gap[:, j]], want[~gap[:, j], j], rcond=None)[0]
+            want[gap[:, j], j] = (design @ beta)[gap[:, j]]
+    assert np.allclose(got, want, atol=1e-6)
+
+
+def test_leaderboard_reports_a_model_that_fails(easy):
+    board = {r["model"]: r for r in models.automl(easy.where("y is not null"), "label_text", ["x", "y"], ["logistic", "nothing", "knn"],
+                                                  k=2, key=["id"]).collect()}
+    assert board["nothing"]["mean_score"] is None and "unknown" in board["nothing"]["error"]
+    assert board["knn"]["mean_score"] > 0.85 and board["logistic"]["folds"] == 2

@@ -1,6 +1,7 @@
 """The ways taken beyond the size limits must give what the small ways give."""
 
 import itertools
+import math
 import random
 
 import numpy as np
@@ -293,9 +294,20 @@ def test_fuzzy_pairs_equal_brute_force(spark):
     assert got == want and want
 
 
-def test_fuzzy_refuses_long_texts(spark):
-    with pytest.raises(ValueError, match="too long"):
-        fuzzy.fuzzy_duplicates(spark.createDataFrame([("x" * 90,)], "t string"))
+def test_fuzzy_long_texts(spark):
+    rnd = random.Random(8)
+    labels = set()
+    for n in (60, 90, 150):
+        base = [rnd.choice("abcdefgh ") for _ in range(n)]
+        for edits in range(0, n // 9):
+            s = list(base)
+            for _ in range(edits):
+                at = rnd.randrange(len(s))
+                rnd.choice([lambda: s.insert(at, "x"), lambda: s.pop(at), lambda: s.__setitem__(at, "y")])()
+            labels.add("".join(s))
+    got = {(r["a"], r["b"]) for r in fuzzy.fuzzy_duplicates(spark.createDataFrame([(s,) for s in labels], "t string")).collect()}
+    want = {(a, b) for a, b in itertools.combinations(sorted(labels), 2) if 1 - _levenshtein(a, b) / max(len(a), len(b)) >= 0.92}
+    assert got == want and len(want) > 20
 
 
 @pytest.mark.parametrize("bucket", ["DAY", "HOUR", "MONTH"])
@@ -335,10 +347,46 @@ def test_sample_of_equal_rows(spark):
     assert io.sample_rows(df, 10, ["a"]).count() == 10
 
 
-def test_large_sample_by_quantile(lineitem, monkeypatch):
+def test_large_sample_over_ranges(lineitem, monkeypatch):
     keys = ["l_orderkey", "l_linenumber"]
     n = lineitem.count() // 2
     want = io.sample_rows(lineitem, n, keys)
-    monkeypatch.setattr(io, "MAX_SORTED_SAMPLE", 10)
+    monkeypatch.setattr(indexing, "ROWS_PER_RANGE", 300)
     got = io.sample_rows(lineitem, n, keys)
     assert got.exceptAll(want).count() == 0 and got.count() == n
+
+
+def test_dbscan_in_six_dimensions(spark):
+    """Clusters of rows in six features, against comparing all points."""
+    rnd = random.Random(11)
+    rows = [tuple(rnd.gauss(5.0 * (i % 3), 0.3) for _ in range(6)) for i in range(90)] + [tuple(rnd.uniform(-20, 40) for _ in range(6)) for _ in range(10)]
+    names = [f"f{i}" for i in range(6)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, " + ", ".join(f"{n} double" for n in names))
+    got = {r["id"]: r["cluster"] for r in clusters.cluster_dbscan(df, names, eps=1.2, min_pts=4, scale=False).collect()}
+    near = {i: [j for j in range(100) if math.dist(rows[i], rows[j]) <= 1.2] for i in range(100)}
+    core = {i for i in near if len(near[i]) >= 4}
+    top = {i: i for i in core}
+
+    def find(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+    for i in core:
+        for j in near[i]:
+            if j in core:
+                a, b = find(i), find(j)
+                top[max(a, b)] = min(a, b)
+    for i in range(100):
+        assert (got[i] == -1) == (i not in core and not any(j in core for j in near[i]))
+        for j in core:
+            if i in core:
+                assert (got[i] == got[j]) == (find(i) == find(j))
+
+
+def test_range_join_with_long_intervals(spark):
+    rnd = random.Random(12)
+    points = [(i, rnd.uniform(-50, 5000)) for i in range(300)]
+    spans = [(i, a, a + rnd.choice([0.0, 0.5, 3.0, 700.0, 1e7])) for i in range(60) for a in [rnd.uniform(-60, 4000)]]
+    p, s = spark.createDataFrame(points, "p int, at double"), spark.createDataFrame(spans, "s int, lo double, hi double")
+    got = {(r["p"], r["s"]) for r in ordered.range_join(p, s, F.col("at"), F.col("lo"), F.col("hi"), 1.0).collect()}
+    assert got == {(i, j) for i, x in points for j, a, b in spans if a <= x <= b}
