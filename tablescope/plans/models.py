@@ -218,7 +218,7 @@ def _vectors(t, target: str, names):
 def _(t):
     ready = _vectors(t, "c_mktsegment", ["c_acctbal", "c_nationkey"])
     seen, held = evaluate.train_test_split(ready, "label", 0.2, ["c_custkey"], stratify=True)
-    stages = models.train_adaboost(seen)
+    stages = models.train_adaboost(seen, rounds=10)
     return evaluate.classification_metrics(models.predict_adaboost(stages, held))
 
 
@@ -226,7 +226,7 @@ def _(t):
 def _(t):
     ready = _vectors(t, "c_acctbal", ["c_mktsegment", "c_nationkey"])
     seen, held = evaluate.train_test_split(ready, "label", 0.2, ["c_custkey"], stratify=False)
-    stages = models.train_adaboost(seen, models.REGRESSION)
+    stages = models.train_adaboost(seen, models.REGRESSION, rounds=10)
     return evaluate.regression_metrics(models.predict_adaboost(stages, held, models.REGRESSION))
 
 
@@ -270,7 +270,8 @@ def _(t):
 
 @query("automl")
 def _(t):
-    return models.automl(t.customer, "c_mktsegment", ["c_acctbal", "c_nationkey"], key=["c_custkey"])
+    return models.automl(t.customer, "c_mktsegment", ["c_acctbal", "c_nationkey"],
+                         ["logistic", "decision_tree", "naive_bayes"], key=["c_custkey"])
 
 
 @query("feature_importance")
