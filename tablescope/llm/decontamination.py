@@ -1,10 +1,11 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Words are compared lower-cased and without punctuation at their ends. A first pass counts in how many documents each
-word triple of the benchmark occurs; of every ``SPAN`` successive triples of an item the rarest becomes a seed, so each
-copied run of ``SPAN + 2`` words holds a seed, however often the passage itself repeats. A second pass joins the
-seeds with the documents, takes the passage around each group of seeds on nearby diagonals, and aligns it with the item. Items come in blocks
-of bounded size; each block is broadcast and compared with all documents.
+Words are compared lower-cased and without punctuation at their ends. A first pass finds the word triples of the benchmark
+that occur in documents; each of them becomes a seed, so each copied run of ``SEED`` words holds one, however often the passage
+itself repeats. A second pass joins the seeds with the documents, takes the passage around each group of seeds on nearby diagonals,
+and aligns it with the item; passages that share too few words with the item to reach its limit are left out before. Items come in
+blocks of bounded size; each block is broadcast and compared with all documents. A copy without any unchanged run of ``SEED`` words
+has no seed; with single words changed it scores at most about half of the item's words, the limit itself.
 
 Defined results: null or empty texts and items match nothing; items of fewer than ``SEED`` words are not searched for; repeated rows and
 repeated items are reported each; empty tables give an empty result. Extra columns are ignored. Very long items count as found from
@@ -24,7 +25,6 @@ from pyspark.sql import functions as F
 from tablescope.llm.common import column, pieces, shared_folder, split_words, write
 
 SEED = 3
-SPAN = 5
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
 SHARE = 0.5           # of an item's words, as alignment score
 LONG_RUN = 30.0
@@ -81,14 +81,14 @@ class Items:
         self.places = [np.searchsorted(self.codes, c) for c in codes]
 
     def seeds(self, frequency: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Code, item and position of the rarest triple of every span, sorted by code."""
-        found = set()
-        for n, places in enumerate(self.places):
-            for at in range(max(1, len(places) - SPAN + 1) if len(places) else 0):
-                span = places[at:at + SPAN]
-                found.add((int(self.codes[span[int(frequency[span].argmin())]]), n, at + int(frequency[span].argmin())))
-        table = np.array(sorted(found), np.int64).reshape(-1, 3)
-        return table[:, 0], table[:, 1], table[:, 2]
+        """Code, item and position of every triple that occurs in a document, sorted by code."""
+        sizes = [len(p) for p in self.places]
+        places = np.concatenate([np.array([], np.int64), *self.places])
+        which = np.repeat(np.arange(len(sizes)), sizes)
+        position = np.concatenate([np.array([], np.int64), *map(np.arange, sizes)])
+        order = np.argsort(places, kind="stable")
+        order = order[frequency[places[order]] > 0]
+        return self.codes[places[order]], which[order], position[order]
 
     def enough(self, n: int) -> float:
         return min(SHARE * len(self.words[n]), LONG_RUN)
@@ -151,18 +151,12 @@ def passages(items: Items, seeds: tuple[np.ndarray, np.ndarray, np.ndarray], wor
     at = np.repeat(at, repeats)
     text, item, origin = owners[at], which[entry], at - position[entry]
     order = np.lexsort((origin, item, text))
-    group = None
-    for o in order:
-        t, i, begin = int(text[o]), int(item[o]), int(origin[o])
-        slack = len(items.words[i]) // 4 + 4
-        if group and group[:2] == (t, i) and begin - group[3] <= slack:
-            group = (t, i, group[2], begin)
-            continue
-        if group:
-            yield cut(items, group, starts, ends)
-        group = (t, i, begin, begin)
-    if group:
-        yield cut(items, group, starts, ends)
+    text, item, origin = text[order], item[order], origin[order]
+    slack = np.array([len(w) // 4 + 4 for w in items.words])
+    same = (text[1:] == text[:-1]) & (item[1:] == item[:-1]) & (np.diff(origin) <= slack[item[1:]])
+    heads = np.flatnonzero(np.r_[True, ~same]) if len(text) else np.array([], np.int64)
+    for first, last in zip(heads, np.r_[heads[1:], len(text)] - 1):
+        yield cut(items, (int(text[first]), int(item[first]), int(origin[first]), int(origin[last])), starts, ends)
 
 
 def cut(items: Items, group: tuple[int, int, int, int], starts: np.ndarray, ends: np.ndarray) -> tuple[int, int, int, int]:

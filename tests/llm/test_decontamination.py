@@ -57,6 +57,23 @@ def test_finds_copies_and_leaves_others(spark, bench, monkeypatch, block):
     assert all(0.5 <= r.score <= 1 and r.end_word - r.start_word <= 60 for r in got.collect())
 
 
+@pytest.mark.parametrize("beside", [False, True])
+@pytest.mark.parametrize("every", [4, 5, 6, 7])
+def test_regularly_edited_copies_against_whole_alignment(spark, bench, every, beside):
+    """One word of every few changed, as the only copy of an item and beside an exact one; all pairs aligned in full."""
+    docs = []
+    for i, text in bench:
+        words = [f"new{k}" if k % every == every - 1 else w for k, w in enumerate(text.split())]
+        docs.append((i, f"{prose(i, 40)} {' '.join(words)} {prose(i + 500, 40)}"))
+        docs += [(100 + i, f"{prose(i + 900, 30)} {text}")] if beside else []
+    numbers = {}
+    code = lambda t: np.array([numbers.setdefault(w, len(numbers)) for w in t.split()])
+    want = {(d, i) for d, t in docs for i, item in bench if align(code(item), code(t))[0] >= 0.5 * len(item.split())}
+    assert want >= {(i, i) for i, _ in bench}
+    got = contaminated(spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(bench, "item_id int, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want
+
+
 def test_odd_rows(spark, bench):
     items = spark.createDataFrame(bench + [(50, None), (51, ""), (52, "two words"), (None, prose(7, 60)), (53, prose(7, 60))],
                                   "item_id int, text string")
