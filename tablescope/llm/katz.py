@@ -8,10 +8,12 @@ and counts, partitioned by a hash of the pair) and ``histories`` (h, total, alph
     p(w)     = d(c) * c / N             if the word was seen c > 0 times
              = what the discounts free  for the one unknown word
 
-The ``VOCABULARY`` most frequent words (ties at the border left out) have numbers; all others share one class, whose
-probability is split among its words by p(w), so the model is normalised over every training word and the unknown one. Word
-numbers and per-history weights are arrays of bounded size and go to every task; pair counts do not. The most frequent pairs, at most
-``FREQUENT`` of them, are looked up where the text is read; all other pairs of the text meet their counts in buckets.
+The ``NUMBERED`` most frequent words (ties at the border left out) have numbers, all others a 64-bit hash. Pairs of numbered words
+go by both numbers, pairs with another word by a 64-bit hash of both; every pair has its own count and every word its own history, so
+the numbers decide only the path and the model is normalised over every training word and the unknown one. Numbers and weights of
+numbered words are arrays of bounded size and go to every task; pair counts and the weights of other words stay in tables. The most
+frequent pairs, at most ``FREQUENT`` of them, are looked up where the text is read; all other pairs of the text meet their counts in
+buckets. With ``VOCABULARY`` set, words beyond that many share one class instead, whose probability is split among them by p(w).
 
 Defined results: null and empty texts consist of the end token; without training texts every word is unknown with
 probability 1; null keys count as training rows; repeated rows are trained on and scored each; an empty table gives an empty
@@ -26,12 +28,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pandas.util import hash_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablescope.llm.common import column, discard, numbered, pieces, shared_folder, split_words, write
 
-VOCABULARY = 500_000
+VOCABULARY: int | None = None   # None: no class of rare words
+NUMBERED = 500_000
 FREQUENT = 500_000
 PER_BUCKET = 1_500_000
 PIECE_BYTES = 6 << 20        # of text handled together
@@ -71,6 +75,17 @@ class Words:
     prob: np.ndarray
     unknown: float
     floor: int           # words counted less often have no number
+    whole: bool          # words without a number go by their hash, not by class
+
+    def identify(self, numbers: np.ndarray, owners: np.ndarray, flat: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of the pairs that hold a word without a number, and what identifies the history and the word of each."""
+        rare = np.flatnonzero(numbers == OTHER)
+        coded = flat.take(pa.array(rare - owners[rare])).dictionary_encode()  # every text before it added one end
+        known = numbers.copy()
+        known[rare] = hashes(coded.dictionary)[coded.indices.to_numpy()]
+        at = np.union1d(rare, rare + 1)  # an end follows every word
+        history = np.where(at > 0, known[at - 1], END)
+        return at, np.where(history == END, START, history), known[at]
 
     def number(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
         """Numbers of all tokens, the text of each, and the words (null for the end)."""
@@ -89,6 +104,19 @@ class Words:
         return out, holders, flat
 
 
+def hashes(words: pa.Array) -> np.ndarray:
+    """64-bit hashes that are below all word numbers."""
+    return hash_array(np.array([*words.to_pylist(), None], object)[:-1], categorize=False).astype(np.int64) | np.int64(-1 << 63)
+
+
+def pair_keys(history: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """64-bit hashes of pairs; words after one history never clash."""
+    x = history.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9) + word.astype(np.uint64)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return (x ^ (x >> np.uint64(32))).view(np.int64)
+
+
 def train_words(docs: DataFrame, folder: str) -> tuple[DataFrame, Words]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text", PIECE_BYTES):
@@ -102,21 +130,30 @@ def train_words(docs: DataFrame, folder: str) -> tuple[DataFrame, Words]:
                      f"{folder}/unigrams")
     total, types = unigrams.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     # words of each count; bounded by the number of different counts, small ones are cut off at the border
-    floor = border(unigrams.where(F.col("word") != ENDING), VOCABULARY)
+    floor = border(unigrams.where(F.col("word") != ENDING), NUMBERED if VOCABULARY is None else VOCABULARY)
     few = {r[0]: r[1] for r in unigrams.where(f"n <= {GT_LIMIT + 1}").groupBy("n").count().collect()}
     held = unigrams.where((F.col("n") >= floor) & (F.col("word") != ENDING)).orderBy("word").toArrow()
     ends = unigrams.where(F.col("word") == ENDING).agg(F.sum("n")).first()[0] or 0
     counts = np.concatenate([[ends, 0, 0], held["n"].to_numpy()]).astype(np.int64)
     discount = discounts(few)
     if not total:
-        return unigrams, Words(held["word"].combine_chunks(), counts, 0, 0, discount, np.array([0.0, 1.0, 0.0]), 1.0, floor)
+        return unigrams, Words(held["word"].combine_chunks(), counts, 0, 0, discount, np.array([0.0, 1.0, 0.0]), 1.0, floor,
+                               VOCABULARY is None)
     # the mass that the discounts free, from the few discounted counts alone; none: as if one more token was seen
     freed = sum(n * r * (1 - discount[r]) for r, n in few.items()) / total
     scale = 1.0 if freed > 0 else total / (total + 1)
     unknown = freed if freed > 0 else 1 / (total + 1)
     prob = scale * pick(discount, counts) * counts / total
     prob[OTHER] = max(1 - prob.sum(), unknown)
-    return unigrams, Words(held["word"].combine_chunks(), counts, int(total), int(types), discount * scale, prob, unknown, floor)
+    return unigrams, Words(held["word"].combine_chunks(), counts, int(total), int(types), discount * scale, prob, unknown, floor,
+                           VOCABULARY is None)
+
+
+def word_prob(words: Words, n: Column) -> Column:
+    """p(w) of a word counted ``n`` times."""
+    discount = F.array(*[F.lit(float(d)) for d in words.discount])
+    return F.when(n > 0, F.element_at(discount, F.least(n, F.lit(GT_LIMIT + 1)).cast("int") + 1) * n / max(words.total, 1)
+                  ).otherwise(F.lit(float(words.unknown)))
 
 
 def border(counts: DataFrame, most: int) -> int:
@@ -164,26 +201,43 @@ def from_five_bytes(data: bytes) -> np.ndarray:
 
 
 def train_pairs(docs: DataFrame, words: Words, folder: str, buckets: int) -> DataFrame:
+    """Counts of all pairs; buckets from ``buckets`` on hold those with a word without a number."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["bucket", "codes", "n"]
         for b in pieces(batches, "text", PIECE_BYTES):
-            codes, n = np.unique(pair_codes(words.number(b.column("text"))[0]), return_counts=True)
+            numbers, owners, flat = words.number(b.column("text"))
+            codes = pair_codes(numbers)
+            if words.whole:
+                at, history, word = words.identify(numbers, owners, flat)
+                codes = np.delete(codes, at)
+                keys, first, n = np.unique(pair_keys(history, word), return_index=True, return_counts=True)
+                both = np.column_stack([history[first], word[first]]).astype("<i8")
+                where, parts = by_bucket(keys, buckets)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(where.to_numpy() + buckets, pa.int32()), pa.array([both[k].tobytes() for k in parts], pa.binary()),
+                     pa.array([n[k] for k in parts], pa.list_(pa.int64()))], names)
+            codes, n = np.unique(codes, return_counts=True)
             where, parts = by_bucket(codes, buckets)
             yield pa.RecordBatch.from_arrays(
                 [where, pa.array([five_bytes(codes[k]) for k in parts], pa.binary()),
-                 pa.array([n[k] for k in parts], pa.list_(pa.int64()))], ["bucket", "codes", "n"])
+                 pa.array([n[k] for k in parts], pa.list_(pa.int64()))], names)
 
     def merge(group: pa.Table) -> pa.Table:
-        codes = np.concatenate([from_five_bytes(c) for c in group["codes"].to_pylist()])
-        order = np.argsort(codes, kind="stable")
-        codes, n = codes[order], group["n"].combine_chunks().flatten().to_numpy()[order]
-        heads = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
-        codes, n = codes[heads], np.add.reduceat(n, heads)
-        return pa.table({"bucket": group["bucket"][:1], "h": pa.array([(codes >> SHIFT).astype(np.int32)], pa.list_(pa.int32())),
-                         "w": pa.array([(codes & ((1 << SHIFT) - 1)).astype(np.int32)], pa.list_(pa.int32())),
-                         "n": pa.array([n], pa.list_(pa.int64()))})
+        data, n = group["codes"].to_pylist(), group["n"].combine_chunks().flatten().to_numpy()
+        if group["bucket"][0].as_py() < buckets:
+            codes = np.concatenate([from_five_bytes(c) for c in data])
+            h, w = codes >> SHIFT, codes & ((1 << SHIFT) - 1)
+        else:
+            h, w = np.frombuffer(b"".join(data), "<i8").reshape(-1, 2).T
+        order = np.lexsort((w, h))
+        h, w, n = h[order], w[order], n[order]
+        heads = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (w[1:] != w[:-1])])
+        longs = pa.list_(pa.int64())
+        return pa.table({"bucket": group["bucket"][:1], "h": pa.array([h[heads]], longs), "w": pa.array([w[heads]], longs),
+                         "n": pa.array([np.add.reduceat(n, heads)], longs)})
 
     parts = docs.select("text").mapInArrow(run, "bucket int, codes binary, n array<bigint>")
-    return write(parts.groupBy("bucket").applyInArrow(merge, "bucket int, h array<int>, w array<int>, n array<bigint>"),
+    return write(parts.groupBy("bucket").applyInArrow(merge, "bucket int, h array<bigint>, w array<bigint>, n array<bigint>"),
                  f"{folder}/bigrams")
 
 
@@ -213,10 +267,36 @@ def look_up(sorted_codes: np.ndarray, counts: np.ndarray, codes: np.ndarray) ->
     return np.where(sorted_codes[at] == codes, counts[at], 0)
 
 
-def histories(bigrams: DataFrame, words: Words, folder: str) -> Pairs:
+def other_words(unigrams: DataFrame, words: Words, folder: str) -> DataFrame:
+    """Words without a number: word, its hash and its count."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("word"), pa.array(hashes(b.column("word"))), b.column("n")], ["word", "h", "n"])
+
+    return write(unigrams.where((F.col("n") < words.floor) & (F.col("word") != ENDING)).select("word", "n")
+                 .mapInArrow(run, "word string, h bigint, n bigint"), f"{folder}/others")
+
+
+def other_pairs(bigrams: DataFrame, others: DataFrame, words: Words, folder: str, buckets: int) -> DataFrame:
+    """Pairs with a word without a number: h, w, n and p(w), one row each."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h, w, n = (b.column(c).flatten() for c in ("h", "w", "n"))
+            rare = w.to_numpy() < 0
+            p = words.prob[np.where(rare, OTHER, w.to_numpy())]
+            yield pa.RecordBatch.from_arrays([h, w, n, pa.array(p, mask=rare)], ["h", "w", "n", "p"])
+
+    flat = bigrams.where(F.col("bucket") >= buckets).select("h", "w", "n").mapInArrow(run, "h bigint, w bigint, n bigint, p double")
+    counts = others.select(F.col("h").alias("w"), F.col("n").alias("c"))
+    rare = flat.where("p IS NULL").join(counts, "w").select("h", "w", "n", word_prob(words, F.col("c")).alias("p"))
+    return write(flat.where("p IS NOT NULL").union(rare), f"{folder}/pairs")
+
+
+def histories(bigrams: DataFrame, pairs: DataFrame, words: Words, folder: str, buckets: int) -> tuple[Pairs, DataFrame]:
     each = bigrams.select(F.explode("n").alias("n"))
     few = {r[0]: r[1] for r in each.where(f"n <= {GT_LIMIT + 1}").groupBy("n").count().collect()}
-    discount, floor = discounts(few), border(each, FREQUENT)
+    narrow = bigrams.where(F.col("bucket") < buckets)
+    discount, floor = discounts(few), border(narrow.select(F.explode("n").alias("n")), FREQUENT)
     size = len(words.counts)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,9 +304,11 @@ def histories(bigrams: DataFrame, words: Words, folder: str) -> Pairs:
             h, w, n = (b.column(c).flatten().to_numpy() for c in ("h", "w", "n"))
             some = np.unique(h)
             columns = [np.bincount(h, weights, size)[some] for weights in (n, n * pick(discount, n), words.prob[w], np.ones(len(w)))]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *map(pa.array, columns)], ["h", "c", "kept", "covered", "kinds"])
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), *map(pa.array, columns)], ["h", "c", "kept", "covered", "kinds"])
 
-    table = bigrams.select("h", "w", "n").mapInArrow(sums, "h int, c double, kept double, covered double, kinds double").groupBy("h").agg(
+    table = narrow.select("h", "w", "n").mapInArrow(sums, "h bigint, c double, kept double, covered double, kinds double")
+    kept = F.element_at(F.array(*[F.lit(float(d)) for d in discount]), F.least("n", F.lit(GT_LIMIT + 1)).cast("int") + 1) * F.col("n")
+    table = table.union(pairs.select("h", F.col("n").cast("double"), kept, "p", F.lit(0.0))).groupBy("h").agg(
         *[F.sum(x).alias(x) for x in ("c", "kept", "covered", "kinds")])
     # freed mass over the mass of unseen words; no freed mass: as if the history was seen once more; no unseen
     # word (all numbers but the start of text): the seen ones share the whole
@@ -235,15 +317,37 @@ def histories(bigrams: DataFrame, words: Words, folder: str) -> Pairs:
         f"CASE WHEN kinds >= {size - 1} THEN 1D ELSE IF(kept < c * (1 - 1e-12), 1 - kept / c, 1 / (c + 1)) "
         "/ greatest(1 - covered, 1e-12) END AS alpha")
     table = write(table, f"{folder}/histories")
-    held = table.toArrow()  # at most one row per word number
+    held = table.where("h >= 0").toArrow()  # at most one row per word number
     total, alpha = np.ones(size), np.ones(size)
     h = held["h"].to_numpy()
     total[h], alpha[h] = held["total"].to_numpy(), held["alpha"].to_numpy()
-    hot = bigrams.select(F.explode(F.arrays_zip("h", "w", "n")).alias("p")).selectExpr(
+    hot = narrow.select(F.explode(F.arrays_zip("h", "w", "n")).alias("p")).selectExpr(
         f"shiftleft(CAST(p.h AS bigint), {SHIFT}) | p.w AS code", "p.n AS n").where(f"n >= {floor}").toArrow()
     codes, counts = hot["code"].to_numpy(), hot["n"].to_numpy()
     order = np.argsort(codes)
-    return Pairs(discount, total, np.log10(alpha), codes[order], counts[order])
+    return Pairs(discount, total, np.log10(alpha), codes[order], counts[order]), table
+
+
+def other_gains(pairs: DataFrame, table: DataFrame, known: Pairs, buckets: int, folder: str) -> DataFrame:
+    """For pairs with a word without a number: key, and log10 p less what backing off would give, by bucket."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h, w, n, p, total, alpha = (b.column(c).to_numpy(zero_copy_only=False) for c in ("h", "w", "n", "p", "total", "log_alpha"))
+            numbered_ = np.where(h >= 0, h, 0)
+            total = np.where(h >= 0, known.total[numbered_], total)
+            alpha = np.where(h >= 0, known.log_alpha[numbered_], alpha)
+            keys = pair_keys(h, w)
+            gain = np.log10(pick(known.discount, n) * n / total) - alpha - np.log10(p)
+            where, parts = by_bucket(keys, buckets)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(where.to_numpy() + buckets, pa.int32()), pa.array([keys[k] for k in parts], pa.list_(pa.int64())),
+                 pa.array([gain[k] for k in parts], pa.list_(pa.float64()))], ["bucket", "keys", "gains"])
+
+    weights = table.where("h < 0").select("h", "total", F.log10("alpha").alias("log_alpha"))
+    nothing = F.lit(None).cast("double")
+    rows = pairs.where("h >= 0").select("*", nothing.alias("total"), nothing.alias("log_alpha")).union(
+        pairs.where("h < 0").join(weights, "h").select("h", "w", "n", "p", "total", "log_alpha"))
+    return write(rows.mapInArrow(run, "bucket int, keys array<bigint>, gains array<double>"), f"{folder}/other_gains")
 
 
 @dataclass
@@ -253,6 +357,8 @@ class Model:
     words: Words
     pairs: Pairs
     buckets: int
+    others: DataFrame    # words without a number: word, n, log_alpha
+    gains: DataFrame     # of pairs with such a word
 
 
 def fit(docs: DataFrame, folder: str, *, text: str = "text") -> Model:
@@ -261,13 +367,25 @@ def fit(docs: DataFrame, folder: str, *, text: str = "text") -> Model:
     unigrams, words = train_words(plain, folder)
     buckets = max(1, -(-words.total // PER_BUCKET))
     bigrams = train_pairs(plain, words, folder, buckets)
-    return Model(unigrams, bigrams, words, histories(bigrams, words, folder), buckets)
+    others = other_words(unigrams, words, folder)
+    wide = other_pairs(bigrams, others, words, folder, buckets)
+    pairs, table = histories(bigrams, wide, words, folder, buckets)
+    gains = other_gains(wide, table, pairs, buckets, folder)
+    weights = table.where("h < 0").select("h", F.log10("alpha").alias("log_alpha"))
+    return Model(unigrams, bigrams, words, pairs, buckets, others.join(weights, "h", "left").select("word", "n", "log_alpha"), gains)
+
+
+def log_probs(words: Words) -> np.ndarray:
+    """log10 p(w) by number; what words without a number have of their own is added by a join."""
+    out = np.log10(np.maximum(words.prob, 1e-300))
+    out[OTHER] = 0.0 if words.whole else out[OTHER]
+    return out
 
 
 def _texts(words: Words, pairs: Pairs):
     """Per text: tokens, known tokens, base and model score of what needs no table, and the words without number."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        log_prob = np.log10(np.maximum(words.prob, 1e-300))
+        log_prob = log_probs(words)
         base = np.log10((words.counts + 1) / (words.total + words.types + 1))
         for b in pieces(batches, "text", PIECE_BYTES):
             numbers, owners, flat = words.number(b.column("text"))
@@ -293,30 +411,44 @@ def _pairs(words: Words, pairs: Pairs, buckets: int):
     """The other pairs of the texts by bucket, with the place of their text in the piece that begins at row ``first``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text", PIECE_BYTES, PIECE_ROWS):
-            numbers, owners, _ = words.number(b.column("text"))
+            numbers, owners, flat = words.number(b.column("text"))
             codes = pair_codes(numbers)
             cold = look_up(pairs.codes, pairs.counts, codes) == 0
-            codes, owners = codes[cold], owners[cold].astype("<u2")
-            where, parts = by_bucket(codes, buckets)
-            yield pa.RecordBatch.from_arrays(
-                [where, pa.array([b.column("row")[0].as_py()] * len(parts), pa.int64()),
-                 pa.array([five_bytes(codes[k]) for k in parts], pa.binary()),
-                 pa.array([owners[k].tobytes() for k in parts], pa.binary())], ["bucket", "first", "codes", "places"])
+            if words.whole:
+                at, history, word = words.identify(numbers, owners, flat)
+                cold[at] = False
+                keys = pair_keys(history, word)
+                yield bundle(b, buckets, keys, owners[at], lambda k: k.astype("<i8").tobytes(), buckets)
+            yield bundle(b, buckets, codes[cold], owners[cold], five_bytes)
+
+    def bundle(b: pa.RecordBatch, buckets: int, codes: np.ndarray, owners: np.ndarray, packed, offset: int = 0) -> pa.RecordBatch:
+        where, parts = by_bucket(codes, buckets)
+        owners = owners.astype("<u2")
+        return pa.RecordBatch.from_arrays(
+            [pa.array(where.to_numpy() + offset, pa.int32()), pa.array([b.column("row")[0].as_py()] * len(parts), pa.int64()),
+             pa.array([packed(codes[k]) for k in parts], pa.binary()),
+             pa.array([owners[k].tobytes() for k in parts], pa.binary())], ["bucket", "first", "codes", "places"])
+
     return run
 
 
-def _meet(words: Words, pairs: Pairs):
+def _meet(words: Words, pairs: Pairs, buckets: int):
     """In a bucket: what the seen pairs add to the texts of each piece."""
     def run(texts: pa.Table, counts: pa.Table) -> pa.Table:
-        log_prob = np.log10(np.maximum(words.prob, 1e-300))
+        log_prob = log_probs(words)
         known, n = np.array([], np.int64), np.array([], np.int64)
-        if counts.num_rows:
+        wide = texts.num_rows and texts["bucket"][0].as_py() >= buckets
+        if counts.num_rows and wide:
+            known, n = (counts[c].combine_chunks().flatten().to_numpy() for c in ("keys", "gains"))
+            order = np.argsort(known)
+            known, n = known[order], n[order]
+        elif counts.num_rows and texts.num_rows:
             h, w, n = (counts[c].combine_chunks().flatten().to_numpy() for c in ("h", "w", "n"))
             known = (h.astype(np.int64) << SHIFT) | w
         places, gains = [], []
         for data, place in zip(texts["codes"].to_pylist(), texts["places"].to_pylist()):
-            codes, place = from_five_bytes(data), np.frombuffer(place, "<u2")
-            gain = pairs.gain(codes, look_up(known, n, codes), log_prob)
+            codes, place = np.frombuffer(data, "<i8") if wide else from_five_bytes(data), np.frombuffer(place, "<u2")
+            gain = look_up(known, n, codes) if wide else pairs.gain(codes, look_up(known, n, codes), log_prob)
             texts_, at = np.unique(place, return_inverse=True)
             places.append(texts_.tobytes())
             gains.append(np.bincount(at, gain, len(texts_)).astype("<f8").tobytes())
@@ -344,18 +476,18 @@ def score(docs: DataFrame, model: Model, folder: str, *, key: str = "doc_id", te
         "score double, rare array<string>"), f"{folder}/texts")
     parts = plain.select("row", "text").mapInArrow(
         _pairs(words, pairs, model.buckets), "bucket int, first bigint, codes binary, places binary")
-    gains = write(parts.groupBy("bucket").cogroup(model.bigrams.groupBy("bucket"))
-                  .applyInArrow(_meet(words, pairs), "first bigint, places binary, gains binary")
+    counts = model.bigrams.where(F.col("bucket") < model.buckets).unionByName(model.gains, allowMissingColumns=True)
+    gains = write(parts.groupBy("bucket").cogroup(counts.groupBy("bucket"))
+                  .applyInArrow(_meet(words, pairs, model.buckets), "first bigint, places binary, gains binary")
                   .groupBy("first").applyInArrow(_add, "row bigint, gain double"), f"{folder}/gains")
     seen = F.coalesce("n", F.lit(0))
     size = F.lit(float(words.total + words.types + 1))
-    discount = F.array(*[F.lit(float(d)) for d in words.discount])
-    prob = F.when(seen > 0, F.element_at(discount, F.least(seen, F.lit(GT_LIMIT + 1)).cast("int") + 1) * seen / max(words.total, 1)
-                  ).otherwise(F.lit(float(words.unknown)))
+    share = 0.0 if words.whole else float(np.log10(words.prob[OTHER]))
+    more = F.log10(word_prob(words, seen)) - share + F.coalesce("log_alpha", F.lit(0.0))
     rare = texts.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times"))
-    rare = rare.join(model.unigrams.where(f"n < {words.floor} AND word <> ''"), "word", "left").groupBy("row").agg(
+    rare = rare.join(model.others, "word", "left").groupBy("row").agg(
         F.sum(F.col("times") * F.log10((seen + 1) / size)).alias("more_base"),
-        F.sum(F.col("times") * (F.log10(prob) - float(np.log10(words.prob[OTHER])))).alias("more_score"),
+        F.sum(F.col("times") * more).alias("more_score"),
         F.sum(F.when(seen > 0, F.col("times")).otherwise(0)).alias("more_known"))
     zero = F.lit(0.0)
     return (texts.join(gains, "row", "left").join(rare, "row", "left").select(

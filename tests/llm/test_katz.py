@@ -85,6 +85,21 @@ def test_equals_plain_model(spark, monkeypatch, vocabulary, frequent, per_bucket
         assert math.isclose(r.base_score, base, rel_tol=1e-9) and math.isclose(r.score, model.score(t), rel_tol=1e-7), r.doc_id
 
 
+@pytest.mark.parametrize("numbered, frequent, per_bucket", [(60, 10, 700), (60, 0, 100), (0, 0, 5_000)])
+def test_every_word_is_its_own_history(spark, monkeypatch, numbered, frequent, per_bucket):
+    """However few words have numbers, the model is the one without a class."""
+    for name, value in (("NUMBERED", numbered), ("FREQUENT", frequent), ("PER_BUCKET", per_bucket)):
+        monkeypatch.setattr(katz, name, value, raising=False)
+    rows = odd_rows() + [(100 + i, prose(i, i % 40), "en", "a", 1, "s", 0, "x", 1) for i in range(150)]
+    docs = spark.createDataFrame(rows, odd_docs(spark).schema)
+    model = Plain([t for d, t, *_ in rows if zlib.crc32((str(d) if d is not None else "").encode()) % 7 != 2], 10**9)
+    assert len(model.known) > 500
+    text = {d: t for d, t, *_ in rows}
+    got = model_scores(docs).collect()
+    assert len(got) == len(rows) and any(r.held_out and r.n_known > 5 for r in got)
+    assert all(math.isclose(r.score, model.score(text[r.doc_id]), rel_tol=1e-7) for r in got)
+
+
 def test_nothing_to_train_on(spark):
     assert model_scores(no_docs(spark)).collect() == []
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
