@@ -30,7 +30,7 @@ def _only(docs: DataFrame, row: str, chosen: DataFrame, how: str = "left_semi")
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules."""
     rows, row = numbered(docs)
-    return _only(rows, row, quality_rules(rows, key=row).where("kept"))
+    return _only(rows, row, quality_rules(rows, key=row, row=row).where("kept"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

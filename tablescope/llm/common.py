@@ -61,13 +61,14 @@ def fresh(taken: list[str], name: str) -> str:
     return name
 
 
-def numbered(df: DataFrame) -> tuple[DataFrame, str]:
+def numbered(df: DataFrame, path: str | None = None) -> tuple[DataFrame, str]:
     """``df`` with a column that tells its rows apart, repeated rows included.
 
-    The numbers follow the order of a scan, so they repeat for any plan over the same stored files.
+    The numbers follow the order of a scan, which changes with the number of cores, so the rows are written with them once (to
+    ``path``, or a new shared folder) and every later plan reads that table.
     """
     name = fresh(df.columns, "_row")
-    return df.withColumn(name, F.monotonically_increasing_id()), name
+    return write(df.withColumn(name, F.monotonically_increasing_id()), path or shared_folder(df.sparkSession, "rows")), name
 
 
 def split_words(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray]:

@@ -468,7 +468,7 @@ def score(docs: DataFrame, model: Model, folder: str, *, key: str = "doc_id", te
     """Key, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) of every text."""
     words, pairs = model.words, model.pairs
     plain = docs.select(column(key).alias("doc"), column(text).alias("text"), (F.lit(False) if train is None else train).alias("train"))
-    plain, row = numbered(plain)
+    plain, row = numbered(plain, f"{folder}/rows")
     plain = plain.withColumnRenamed(row, "row")
     kind = plain.schema["doc"].dataType.simpleString()
     texts = write(plain.mapInArrow(
@@ -480,6 +480,7 @@ def score(docs: DataFrame, model: Model, folder: str, *, key: str = "doc_id", te
     gains = write(parts.groupBy("bucket").cogroup(counts.groupBy("bucket"))
                   .applyInArrow(_meet(words, pairs, model.buckets), "first bigint, places binary, gains binary")
                   .groupBy("first").applyInArrow(_add, "row bigint, gain double"), f"{folder}/gains")
+    discard(docs.sparkSession, f"{folder}/rows")
     seen = F.coalesce("n", F.lit(0))
     size = F.lit(float(words.total + words.types + 1))
     share = 0.0 if words.whole else float(np.log10(words.prob[OTHER]))

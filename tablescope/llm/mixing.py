@@ -112,9 +112,8 @@ def mix_sources(docs: DataFrame, *, key: str = "doc_id", text: str = "text", sou
     plain = docs.select(column(key).alias("doc"), column(source).alias("source"), column(text).alias("text"),
                         F.xxhash64(column(key), column(text)).alias("spread"))
     kind = plain.schema["doc"].dataType.simpleString()
-    sized, row = numbered(plain.mapInArrow(measure, f"doc {kind}, source string, spread bigint, size bigint"))
     root = shared_folder(spark, "mix")
-    sized = write(sized, f"{root}/sizes")
+    sized, row = numbered(plain.mapInArrow(measure, f"doc {kind}, source string, spread bigint, size bigint"), f"{root}/sizes")
     targets = write(source_targets(sized, weights, ceiling).coalesce(1), f"{root}/targets")
     most = targets.agg(F.max("n_docs")).first()[0] or 0
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablescope.llm.common import column, numbered, shared_folder, write
+from tablescope.llm.common import column, discard, numbered, shared_folder, write
 
 SPACE = " \\t-\\r"
 # what each class removes from what the classes before it left; the rest is "other"
@@ -109,14 +109,16 @@ def word_distances(docs: DataFrame, common: DataFrame, *, key: str, text: str, l
     return joined.select("doc", root_of(F.col("found") + missing + term(1 - F.col("p"), 1 - F.col("covered"))).alias("word_distance"))
 
 
-def quality_rules(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """Key, base numbers, base_failed, kept, and the two distances, one row per document."""
-    rows, row = numbered(docs)
+def quality_rules(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", row: str | None = None) -> DataFrame:
+    """Key, base numbers, base_failed, kept, and the two distances, one row per document; ``row`` tells the rows of a stored table apart."""
     root = shared_folder(docs.sparkSession, "rules")
+    used = dict.fromkeys([key, text, lang])
+    rows, row = (docs, row) if row else numbered(docs.select(*[column(c) for c in used]), f"{root}/rows")
     common = write(common_words(rows, lang, text).coalesce(1), f"{root}/common")
     stats = write(document_stats(rows.withColumn(row, F.struct(column(row).alias("row"), column(key).alias("key"))),
                                  key=row, text=text, lang=lang), f"{root}/stats")
     usual = write(word_distances(rows, common, key=row, text=text, lang=lang), f"{root}/words")
+    discard(docs.sparkSession, f"{root}/rows")
     classes = write(class_references(stats).coalesce(1), f"{root}/classes")
     judged = (stats.join(classes, F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
               .join(usual.withColumnRenamed("doc", "_doc"), F.col("doc.row") == F.col("_doc"), "left"))

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescope.llm.common import column, numbered, shared_folder, write
+from tablescope.llm.common import column, discard, numbered, shared_folder, write
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 DATE = "2024-01-01T00:00:00Z"  # given tables carry no crawl time
@@ -36,8 +36,9 @@ def write_archive(pages: DataFrame, folder: str, *, key: str = "page_id", url: s
     Of records with equal payloads of at least ``min_bytes`` the one with the largest key is the response and the others are
     revisits; smaller payloads are all responses.
     """
+    numbers = shared_folder(pages.sparkSession, "pages")
     rows, row = numbered(pages.select(column(key).cast("long").alias("id"), column(url).alias("url"),
-                                      F.coalesce(column(body), F.lit("")).cast("binary").alias("payload")))
+                                      F.coalesce(column(body), F.lit("")).cast("binary").alias("payload")), numbers)
     rows = rows.withColumnRenamed(row, "row").withColumn("address", F.unhex(F.sha2("payload", 256)))
     same = (F.min(F.xxhash64("payload")) == F.max(F.xxhash64("payload"))) & (
         F.min(F.octet_length("payload")) == F.max(F.octet_length("payload")))
@@ -63,6 +64,7 @@ def write_archive(pages: DataFrame, folder: str, *, key: str = "page_id", url: s
         F.lit("Content-Type: text/html; charset=utf-8\r\nContent-Length: "),
         F.when(revisit, F.lit("0")).otherwise(F.col("bytes").cast("string")), F.lit("\r\n\r\n"))
     write(records.select("id", "address", header.cast("binary").alias("header")), f"{folder}/headers")
+    discard(pages.sparkSession, numbers)
 
 
 def read_archive(spark: SparkSession, folder: str) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__
 import corpus_pipeline
-from tablescope.llm.common import stored
+from tablescope.llm.common import numbered, stored
 from tablescope.llm.queries import QUERIES
 from tablescope.llm.simhash import fingerprint
 
@@ -79,6 +79,21 @@ def test_sharding_stage(stages):
     check(after, 24)
 
 
+def test_row_numbers_outlast_a_change_of_cores(spark, tmp_path):
+    """Two plans over the same numbered rows agree when the files are split for another number of cores."""
+    spark.range(4000).repartition(16).write.parquet(f"{tmp_path}/t")
+    setting = "spark.sql.files.minPartitionNum"
+    try:
+        spark.conf.set(setting, "64")
+        rows, row = numbered(spark.read.parquet(f"{tmp_path}/t"))
+        before = {r[row]: r.id for r in rows.collect()}
+        spark.conf.set(setting, "1")
+        after = {r[row]: r.id for r in rows.select(row, "id").collect()}
+    finally:
+        spark.conf.unset(setting)
+    assert len(before) == 4000 and after == before
+
+
 def test_odd_tables(spark):
     for docs in (odd_docs(spark), no_docs(spark)):
         for _, stage in corpus_pipeline.STAGES:
