@@ -210,23 +210,21 @@ def _(t):
 
 
 def _vectors(t, target: str, names):
-    data, _ = models.encode_target(t.customer.select("c_custkey", target, *names), target)
-    return models.preprocess(data.drop("label"), target, names).fit(data).transform(data).select("c_custkey", "features", "label")
+    data, _ = models.encode_target(t.lineitem.select(*dict.fromkeys([*KEY, target, *names])), target)
+    return models.preprocess(data.drop("label"), target, names).fit(data).transform(data).select(*KEY, "features", "label")
 
 
 @query("train_adaboost")
 def _(t):
-    ready = _vectors(t, "c_mktsegment", ["c_acctbal", "c_nationkey"])
-    seen, held = evaluate.train_test_split(ready, "label", 0.2, ["c_custkey"], stratify=True)
-    stages = models.train_adaboost(seen, rounds=10)
+    seen, held = evaluate.train_test_split(_vectors(t, "l_returnflag", FLAG), "label", 0.2, KEY, stratify=True)
+    stages = models.train_adaboost(seen)
     return evaluate.classification_metrics(models.predict_adaboost(stages, held))
 
 
 @query("train_adaboost_reg")
 def _(t):
-    ready = _vectors(t, "c_acctbal", ["c_mktsegment", "c_nationkey"])
-    seen, held = evaluate.train_test_split(ready, "label", 0.2, ["c_custkey"], stratify=False)
-    stages = models.train_adaboost(seen, models.REGRESSION, rounds=10)
+    seen, held = evaluate.train_test_split(_vectors(t, "l_extendedprice", PRICE), "label", 0.2, KEY, stratify=False)
+    stages = models.train_adaboost(seen, models.REGRESSION)
     return evaluate.regression_metrics(models.predict_adaboost(stages, held, models.REGRESSION))
 
 
@@ -270,8 +268,12 @@ def _(t):
 
 @query("automl")
 def _(t):
-    return models.automl(t.customer, "c_mktsegment", ["c_acctbal", "c_nationkey"],
-                         ["logistic", "decision_tree", "naive_bayes"], key=["c_custkey"])
+    return models.automl(t.customer, "c_mktsegment", ["c_acctbal", "c_nationkey"], key=["c_custkey"])
+
+
+@query("automl_reg")
+def _(t):
+    return models.automl(t.customer, "c_acctbal", ["c_mktsegment", "c_nationkey"], key=["c_custkey"])
 
 
 @query("feature_importance")

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from tablescope.operators import evaluate, models
 from tablescope.sources import store
 
+from .conftest import SF_DIR
+
 
 @pytest.fixture(scope="module")
 def easy(spark):
@@ -195,3 +197,26 @@ def test_leaderboard_reports_a_model_that_fails(easy):
                                                   k=2, key=["id"]).collect()}
     assert board["nothing"]["mean_score"] is None and "unknown" in board["nothing"]["error"]
     assert board["knn"]["mean_score"] > 0.85 and board["logistic"]["folds"] == 2
+
+
+@pytest.mark.parametrize("name, width", [("train_adaboost", 5), ("train_adaboost_reg", 4)])
+def test_registered_boosting_has_the_whole_table_and_all_rounds(spark, monkeypatch, name, width):
+    from tablescope.plans import QUERIES
+
+    class Reached(Exception):
+        pass
+
+    def boost(data, *task, **options):
+        assert not options and data.count() > 4000 and len(data.first()["features"]) >= width
+        raise Reached
+
+    monkeypatch.setattr(models, "train_adaboost", boost)
+    with pytest.raises(Reached):
+        QUERIES[name](spark, SF_DIR)
+
+
+@pytest.mark.parametrize("name", ["automl", "automl_reg"])
+def test_registered_leaderboards_try_every_model(spark, monkeypatch, name):
+    from tablescope.plans import QUERIES
+    monkeypatch.setattr(models, "automl", lambda df, target, features, chosen=None, **rest: spark.range(0 if chosen else 1))
+    assert QUERIES[name](spark, SF_DIR).count() == 1
