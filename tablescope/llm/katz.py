@@ -407,10 +407,17 @@ def _texts(words: Words, pairs: Pairs):
     return run
 
 
+def successive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cut batches where the row numbers leap, as they do between stored files."""
+    for b in batches:
+        cuts = [0, *(np.flatnonzero(np.diff(b.column("row").to_numpy()) != 1) + 1), b.num_rows]
+        yield from (b.slice(i, j - i) for i, j in zip(cuts, cuts[1:]) if j > i)
+
+
 def _pairs(words: Words, pairs: Pairs, buckets: int):
     """The other pairs of the texts by bucket, with the place of their text in the piece that begins at row ``first``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "text", PIECE_BYTES, PIECE_ROWS):
+        for b in pieces(successive(batches), "text", PIECE_BYTES, PIECE_ROWS):
             numbers, owners, flat = words.number(b.column("text"))
             codes = pair_codes(numbers)
             cold = look_up(pairs.codes, pairs.counts, codes) == 0
