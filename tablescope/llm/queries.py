@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tablescope.llm.decontamination import contaminated
 from tablescope.llm.katz import model_scores
+from tablescope.llm.lempel_ziv import distinct_words
 from tablescope.llm.mixing import mix_sources
 from tablescope.llm.quality_rules import quality_rules
 from tablescope.llm.sharding import shard_records
@@ -95,3 +96,19 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 @query("op3_weak_label_quality")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return weak_quality(table(spark, folder, "documents"))
+
+
+@query("op11_lempel_ziv_dedup", r"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+    starts AS (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS i FROM d),
+    copies AS (SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(words[i:i + 19], ' ') ORDER BY doc_id, i) AS k
+               FROM starts),
+    gone AS (SELECT DISTINCT doc_id, i + unnest(range(0, 20)) AS i FROM copies WHERE k > 1),
+    every AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM d),
+    kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS body
+             FROM every ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+    SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed,
+           sha256(coalesce(body, '')) AS kept_sha256
+    FROM d LEFT JOIN kept USING (doc_id)""")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return distinct_words(table(spark, folder, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
