@@ -54,7 +54,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def runs(h: np.ndarray, width: int, root: np.uint64) -> np.ndarray:
     """Polynomial hash of every ``width`` successive values, put together from runs of powers of two."""
     done, power = None, h
-    factor, size, bits = root, 1, width
+    factor, size, bits = np.array([root]), 1, width  # arrays wrap round without a warning
     out_size = 0
     while bits:
         if bits & 1:

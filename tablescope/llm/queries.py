@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tablescope.llm.auction import repaired
 from tablescope.llm.decontamination import contaminated
 from tablescope.llm.katz import model_scores
 from tablescope.llm.lempel_ziv import distinct_words
@@ -112,3 +113,8 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     FROM d LEFT JOIN kept USING (doc_id)""")
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     return distinct_words(table(spark, folder, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query("op13_auction_repair")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return repaired(table(spark, folder, "conversations"))
