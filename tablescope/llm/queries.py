@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tablescope.llm.auction import repaired
 from tablescope.llm.decontamination import contaminated
+from tablescope.llm.gnat import product_codes
 from tablescope.llm.katz import model_scores
 from tablescope.llm.lempel_ziv import distinct_words
 from tablescope.llm.mixing import mix_sources
@@ -118,3 +119,39 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
 @query("op13_auction_repair")
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     return repaired(table(spark, folder, "conversations"))
+
+
+def _codebook_sql(rounds: int = 4) -> str:
+    """Assignments and means of whole parts, round by round."""
+    square = "list_sum([(p.x[i] - b.x[i]) * (p.x[i] - b.x[i]) FOR i IN range(1, len(p.x) + 1)])"
+    steps = ["""p AS MATERIALIZED (
+        SELECT vec_id, label, part, v[part * (len(v) // 4) + 1:(part + 1) * (len(v) // 4)] AS x
+        FROM (SELECT vec_id, label, [floor(1024 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
+              WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+        CROSS JOIN (SELECT unnest(range(0, 4)) AS part))""",
+             """b0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS e, x
+        FROM p QUALIFY e < 256)"""]
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (
+        SELECT vec_id, label, part, x, best.d AS d, best.e AS e FROM (
+            SELECT p.vec_id, any_value(p.label) AS label, p.part, any_value(p.x) AS x, min({{'d': {square}, 'e': b.e}}) AS best
+            FROM p JOIN b{r} b ON p.part = b.part GROUP BY p.vec_id, p.part))""")
+        if r < rounds:
+            steps.append(f"""b{r + 1} AS MATERIALIZED (
+        SELECT b.part, b.e, coalesce(m.x, b.x) AS x FROM b{r} b LEFT JOIN (
+            SELECT part, e, list((s - ((s % n) + n) % n) // n ORDER BY i) AS x FROM (
+                SELECT part, e, i, sum(v)::BIGINT AS s, count(*) AS n FROM (
+                    SELECT part, e, unnest(x) AS v, unnest(range(0, len(x))) AS i FROM a{r}) GROUP BY part, e, i)
+            GROUP BY part, e) m ON b.part = m.part AND b.e = m.e)""")
+    return f"""WITH {", ".join(steps)},
+    c AS (SELECT vec_id, any_value(label) AS label, string_agg(printf('%02x', e), '' ORDER BY part) AS code,
+                 sum(d)::BIGINT AS error FROM a{rounds} GROUP BY vec_id)
+    SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+           (SELECT sha256(string_agg(v::VARCHAR, ',' ORDER BY part, e, i)) FROM (
+               SELECT part, e, unnest(x) AS v, unnest(range(0, len(x))) AS i FROM b{rounds})) AS codebooks_sha256
+    FROM c"""
+
+
+@query("op12_gnat_codes", _codebook_sql())
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return product_codes(table(spark, folder, "embeddings"))
