@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import math
 import time
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
 import numpy as np
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
 from pyspark.ml import classification as mlc
 from pyspark.ml import regression as mlr
@@ -26,17 +26,17 @@ from pyspark.sql import functions as F
 from tablescope.functions.checkpoints import discard, stored
 from tablescope.functions.gram import pair_sums
 from tablescope.functions.columns import as_double, col, nan_to_null, numeric_columns, require_columns, scalar_stats
+from tablescope.operators.boosting import CLASSIFICATION, REGRESSION, AdaBoost, BoostedTrees, fit_adaboost, with_outputs
 from tablescope.operators.clean import impute, mode_values
 from tablescope.operators.evaluate import (
     classification_metrics, detect_task, feature_columns, regression_metrics, roc_auc, train_test_split,
     with_folds,
 )
+from tablescope.operators.kernels import KernelMap
+from tablescope.operators.trees import GrownTrees
 
 SEED = 42
-CLASSIFICATION, REGRESSION = "classification", "regression"
 HASHED_SLOTS = 1 << 18  # of text features encoded with encoding="hash"
-DEPTH = 5  # of single trees and forests; MLlib grows up to 30 levels, at many times the cost
-BOOST_WRITES = 10  # rounds between two writes of the weights
 MISSING = "missing"
 
 SCALERS = {
@@ -119,43 +119,40 @@ def preprocess(df: DataFrame, target: str, features: Sequence[str] = (), encodin
 # --- estimators ----------------------------------------------------------------------------
 
 
-def estimator(name: str, task: str, classes: int = 2, trees: int = 100, depth: int = DEPTH, rows: int = 1,
+def estimator(name: str, task: str, classes: int = 2, trees: int = 100, depth: int | None = None, rows: int = 1,
               label_std: float = 1.0) -> Estimator | Pipeline:
-    """MLlib estimator for a model name.
+    """Estimator for a model name: MLlib's, or the trees of :mod:`trees` and :mod:`boosting`. ``depth`` None grows trees fully
+    and boosts trees of three levels.
 
     Ridge and logistic regression weigh a penalty of one against summed losses; MLlib weighs it against their mean over
     ``rows`` and divides the squared one by the (population) deviation of the label.
     """
     io = {"featuresCol": "features", "labelCol": "label"}
+    grown = {
+        "random_forest": lambda: GrownTrees(task, classes=classes, trees=trees, depth=depth,
+                                            tries="sqrt" if task == CLASSIFICATION else "all"),
+        "extra_trees": lambda: GrownTrees(task, classes=classes, trees=trees, depth=depth, bootstrap=False, at_random=True,
+                                          tries="sqrt" if task == CLASSIFICATION else "all"),
+        "decision_tree": lambda: GrownTrees(task, classes=classes, trees=1, depth=depth, bootstrap=False, tries="all"),
+        "gbt": lambda: BoostedTrees(task, classes, trees, min(depth or 3, 3)),
+    }
+    kernel = {"featuresCol": "mapped", "labelCol": "label"}
     if task == CLASSIFICATION:
-        gbt = mlc.GBTClassifier(maxIter=trees, maxDepth=min(depth, 3), seed=SEED, **io)
-        svc = mlc.LinearSVC(maxIter=100, **io)
-        made: dict[str, Any] = {
-            "random_forest": lambda: mlc.RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=SEED, **io),
-            "gbt": lambda: gbt if classes <= 2 else mlc.OneVsRest(classifier=gbt, **io),
-            # whole table per tree and few candidate columns per split
-            "extra_trees": lambda: mlc.RandomForestClassifier(
-                numTrees=trees, maxDepth=depth, seed=SEED, bootstrap=False, featureSubsetStrategy="log2", **io),
-            "decision_tree": lambda: mlc.DecisionTreeClassifier(maxDepth=depth, seed=SEED, **io),
+        svc = mlc.LinearSVC(maxIter=100, regParam=1 / rows, standardization=False, **kernel)
+        made: dict[str, Any] = grown | {
             "logistic": lambda: mlc.LogisticRegression(maxIter=1000, regParam=1 / rows, standardization=False, **io),
-            "svm": lambda: svc if classes <= 2 else mlc.OneVsRest(classifier=svc, **io),
+            "svm": lambda: Pipeline(stages=[KernelMap(), svc if classes <= 2 else mlc.OneVsRest(classifier=svc, **kernel)]),
             "naive_bayes": lambda: mlc.NaiveBayes(modelType="gaussian", **io),
         }
     else:
-        made = {
-            "random_forest": lambda: mlr.RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=SEED, **io),
-            "gbt": lambda: mlr.GBTRegressor(maxIter=trees, maxDepth=min(depth, 3), seed=SEED, **io),
-            "extra_trees": lambda: mlr.RandomForestRegressor(
-                numTrees=trees, maxDepth=depth, seed=SEED, bootstrap=False, featureSubsetStrategy="log2", **io),
-            "decision_tree": lambda: mlr.DecisionTreeRegressor(maxDepth=depth, seed=SEED, **io),
+        made = grown | {
             "linear": lambda: mlr.LinearRegression(solver="normal", **io),
             "ridge": lambda: mlr.LinearRegression(
                 solver="normal", regParam=label_std / rows, elasticNetParam=0.0, standardization=False, **io),
             "lasso": lambda: mlr.LinearRegression(
                 regParam=1.0, elasticNetParam=1.0, maxIter=1000, standardization=False, **io),
-            "svr": lambda: Pipeline(stages=[
-                PolynomialExpansion(degree=2, inputCol="features", outputCol="expanded"),
-                mlr.LinearRegression(featuresCol="expanded", labelCol="label", regParam=0.1)]),
+            "svr": lambda: Pipeline(stages=[KernelMap(), mlr.LinearRegression(
+                solver="normal", regParam=label_std / rows, elasticNetParam=0.0, standardization=False, **kernel)]),
         }
     if name not in made:
         raise ValueError(f"unknown {task} model {name!r}; known: {', '.join(made)}")
@@ -191,17 +188,25 @@ def _score(preds: DataFrame, task: str) -> float:
 
 def cross_validate(df: DataFrame, pipeline: Pipeline, task: str, k: int = 5, key: Sequence[str] = ()) -> DataFrame:
     """Score per fold; ``df`` has a ``label`` column and folds keep the share of every class."""
-    folded = with_folds(df, k, key, "label" if task == CLASSIFICATION else None).persist()
+    folded, path = stored(with_folds(df, k, key, "label" if task == CLASSIFICATION else None))
+
+    def fold_score(i: int) -> float:
+        model = pipeline.fit(folded.where(F.col("fold") != i))
+        return _score(model.transform(folded.where(F.col("fold") == i)), task)
+
     try:
-        scores = []
-        for i in range(k):
-            model = pipeline.fit(folded.where(F.col("fold") != i))
-            scores.append((i, _score(model.transform(folded.where(F.col("fold") == i)), task)))
+        scores = list(enumerate(at_once(fold_score, range(k))))
     finally:
-        folded.unpersist()
+        discard(df.sparkSession, path)
     return df.sparkSession.createDataFrame(scores, "fold int, score double")
 
 
+def at_once(work, items: Sequence[Any]) -> list[Any]:
+    """Results of ``work`` for the items, whose Spark jobs run side by side; the cluster's scheduler shares the cores."""
+    with ThreadPoolExecutor(max(1, len(items))) as pool:
+        return list(pool.map(inheritable_thread_target(work), items))
+
+
 def feature_importance(model: PipelineModel, sample: DataFrame, top: int = 20) -> DataFrame:
     """Largest importances with the names of the vector slots, for tree models."""
     weights = model.stages[-1].featureImportances.toArray()
@@ -213,7 +218,7 @@ def feature_importance(model: PipelineModel, sample: DataFrame, top: int = 20) -
 
 def train_model(df: DataFrame, target: str, model: str, features: Sequence[str] = (), task: str | None = None,
                 test_size: float = 0.2, key: Sequence[str] = (), cv: int = 0, run_id: str = "run",
-                trees: int = 100, depth: int = DEPTH, **options: Any) -> tuple[PipelineModel, DataFrame, DataFrame]:
+                trees: int = 100, depth: int | None = None, **options: Any) -> tuple[PipelineModel, DataFrame, DataFrame]:
     """Select, encode, split, preprocess, fit, evaluate.
 
     Returns the fitted pipeline, the test predictions, and one row for a runs table.
@@ -257,7 +262,7 @@ AUTOML = {
 
 
 def automl(df: DataFrame, target: str, features: Sequence[str] = (), models: Sequence[str] | None = None, k: int = 5,
-           key: Sequence[str] = (), trees: int = 100, depth: int = DEPTH) -> DataFrame:
+           key: Sequence[str] = (), trees: int = 100, depth: int | None = None) -> DataFrame:
     """Cross-validated leaderboard ``(model, mean_score, std_score, folds, error)``.
 
     A model that fails on a fold has its error as a row and no mean, after those scored on all folds.
@@ -267,27 +272,30 @@ def automl(df: DataFrame, target: str, features: Sequence[str] = (), models: Seq
     data, labels = encode_target(df.select(*dict.fromkeys([*nums, *texts, target, *key])), target, task=task)
     n_classes = len(labels) if labels else 2
     prep = preprocess(data.drop("label"), target, [*nums, *texts])
-    folded = with_folds(data, k, key, "label" if task == CLASSIFICATION else None).persist()
-    rows: list[tuple[str, float | None, str | None]] = []
-    try:
+    folded, path = stored(with_folds(data, k, key, "label" if task == CLASSIFICATION else None))
+
+    def fold_scores(i: int) -> list[tuple[str, float | None, str | None]]:
         # the features are prepared once per fold and shared by all models
-        for i in range(k):
-            fitted = prep.fit(folded.where(F.col("fold") != i))
-            ready = fitted.transform(folded).select("features", "label", "fold").persist()
-            seen, held = ready.where(F.col("fold") != i), ready.where(F.col("fold") == i)
-            size = _size_and_spread(seen)
-            for name in models or AUTOML[task]:
-                try:
-                    if name == "knn":
-                        preds = _neighbours_on_vectors(seen, held, task)
-                    else:
-                        preds = estimator(name, task, n_classes, trees, depth, *size).fit(seen).transform(held)
-                    rows.append((name, _score(preds, task), None))
-                except Exception as e:  # one model failing must not lose the others; it is reported
-                    rows.append((name, None, f"fold {i}: {type(e).__name__}: {str(e).splitlines()[0][:200]}"))
-            ready.unpersist()
+        fitted = prep.fit(folded.where(F.col("fold") != i))
+        ready, ready_path = stored(fitted.transform(folded).select("features", "label", "fold"))
+        seen, held = ready.where(F.col("fold") != i), ready.where(F.col("fold") == i)
+        size, found = _size_and_spread(seen), []
+        for name in models or AUTOML[task]:
+            try:
+                if name == "knn":
+                    preds = _neighbours_on_vectors(seen, held, task)
+                else:
+                    preds = estimator(name, task, n_classes, trees, depth, *size).fit(seen).transform(held)
+                found.append((name, _score(preds, task), None))
+            except Exception as e:  # one model failing must not lose the others; it is reported
+                found.append((name, None, f"fold {i}: {type(e).__name__}: {str(e).splitlines()[0][:200]}"))
+        discard(df.sparkSession, ready_path)
+        return found
+
+    try:
+        rows = [r for found in at_once(fold_scores, range(k)) for r in found]
     finally:
-        folded.unpersist()
+        discard(df.sparkSession, path)
     scores = df.sparkSession.createDataFrame(rows, "model string, score double, error string")
     whole = F.count("score") == k
     return scores.groupBy("model").agg(
@@ -321,74 +329,14 @@ def load_model(path: str) -> PipelineModel:
 # --- boosting with weighted trees ----------------------------------------------------------
 
 
-def train_adaboost(df: DataFrame, task: str = CLASSIFICATION, rounds: int = 100) -> list[tuple[Transformer, float]]:
-    """AdaBoost on ``features`` and ``label``: SAMME for classes, R2 for numbers.
+def train_adaboost(df: DataFrame, task: str = CLASSIFICATION, rounds: int = 100) -> AdaBoost:
+    """AdaBoost on ``features`` and ``label``: SAMME with stumps for classes, R2 with trees of three levels for numbers."""
+    return fit_adaboost(df, task, rounds)
 
-    Every round fits one shallow tree on the weighted table. The weights follow from the stages; they are
-    written every ``BOOST_WRITES`` rounds, and the table before is deleted.
-    """
-    data, path = stored(df.select("features", "label").withColumn("w", F.lit(1.0)))
-    classes = data.select("label").distinct().count() if task == CLASSIFICATION else 0
-    stages: list[tuple[Transformer, float]] = []
-    io = {"featuresCol": "features", "labelCol": "label", "weightCol": "w", "seed": SEED}
-    for done in range(1, rounds + 1):
-        if task == CLASSIFICATION:
-            tree = mlc.DecisionTreeClassifier(maxDepth=1, **io).fit(data)
-            scored = tree.transform(data).select("features", "label", "w", (F.col("prediction") != F.col("label")).cast("double").alias("miss"))
-            err = scored.agg(F.sum(F.col("w") * F.col("miss")) / F.sum("w")).first()[0]
-            if err <= 0:
-                stages.append((tree, 1.0))
-                break
-            if err >= 1 - 1 / classes:
-                break
-            alpha = math.log((1 - err) / err) + math.log(classes - 1) if classes > 2 else math.log((1 - err) / err)
-            factor = F.exp(F.lit(alpha) * F.col("miss"))
-        else:
-            tree = mlr.DecisionTreeRegressor(maxDepth=3, **io).fit(data)
-            scored = tree.transform(data).select("features", "label", "w", F.abs(F.col("prediction") - F.col("label")).alias("miss"))
-            top = scored.agg(F.max("miss")).first()[0]
-            if not top:
-                stages.append((tree, 1.0))
-                break
-            scored = scored.withColumn("miss", F.col("miss") / top)
-            err = scored.agg(F.sum(F.col("w") * F.col("miss")) / F.sum("w")).first()[0]
-            if err >= 0.5:
-                break
-            beta = err / (1 - err)
-            alpha = math.log(1 / beta)
-            factor = F.pow(F.lit(beta), 1 - F.col("miss"))
-        stages.append((tree, alpha))
-        total = scored.agg(F.sum(F.col("w") * factor) / F.count("*")).scalar()
-        data = scored.select("features", "label", (F.col("w") * factor / total).alias("w"))
-        if done % BOOST_WRITES == 0:
-            before, (data, path) = path, stored(data)
-            discard(data.sparkSession, before)
-    discard(df.sparkSession, path)
-    return stages
-
-
-def predict_adaboost(stages: Sequence[tuple[Transformer, float]], df: DataFrame, task: str = CLASSIFICATION) -> DataFrame:
+
+def predict_adaboost(model: AdaBoost, df: DataFrame, task: str = CLASSIFICATION) -> DataFrame:
     """Weighted vote of the stages, or their weighted median."""
-    out, votes = df, []
-    for i, (tree, alpha) in enumerate(stages):
-        tree = tree.copy().setPredictionCol(f"p{i}")
-        if task == CLASSIFICATION:
-            tree = tree.setRawPredictionCol(f"r{i}").setProbabilityCol(f"b{i}")
-        out = tree.transform(out)
-        votes.append(F.struct(F.col(f"p{i}").alias("value"), F.lit(float(alpha)).alias("weight")))
-    made = out.withColumn("_votes", F.array_sort(F.array(*votes)))
-    if task == CLASSIFICATION:
-        sums = F.transform(F.array_distinct(F.transform("_votes", lambda v: v["value"])), lambda c: F.struct(
-            F.aggregate(F.filter("_votes", lambda v: v["value"] == c), F.lit(0.0), lambda a, v: a + v["weight"]).alias("weight"),
-            (-c).alias("minus")))
-        pick = -F.array_max(sums)["minus"]
-    else:
-        half = F.lit(sum(a for _, a in stages) / 2)
-        start = F.struct(F.lit(0.0).alias("seen"), F.lit(None).cast("double").alias("value"))
-        pick = F.aggregate("_votes", start, lambda s, v: F.struct(
-            (s["seen"] + v["weight"]).alias("seen"),
-            F.when(s["seen"] < half, v["value"]).otherwise(s["value"]).alias("value")))["value"]
-    return made.withColumn("prediction", pick).select(*df.columns, "prediction")
+    return with_outputs(df, model.outputs, task, len(model.cuts)).select(*df.columns, "prediction")
 
 
 # --- chained imputation --------------------------------------------------------------------

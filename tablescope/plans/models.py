@@ -266,14 +266,22 @@ def _(t):
     return models.cross_validate(data, pipe, models.CLASSIFICATION, 5, ["o_orderkey"])
 
 
+def _text_facts(t):
+    """A table with something to learn: the language of a text from the rates of some letters, its length from counts."""
+    share = lambda c: (F.length("text") - F.length(F.replace(F.lower("text"), F.lit(c), F.lit("")))) / F.greatest(F.length("text"), F.lit(1))
+    return t.documents.select(
+        "doc_id", "lang", "n_chars", *[share(c).alias(f"rate_{i}") for i, c in enumerate(("e", "n", "t", "\u00e9", "\u00fc", "\u00f3"))],
+        F.size(F.split("text", " ")).alias("words"), F.size(F.split("text", "\n")).alias("lines"))
+
+
 @query("automl")
 def _(t):
-    return models.automl(t.customer, "c_mktsegment", ["c_acctbal", "c_nationkey"], key=["c_custkey"])
+    return models.automl(_text_facts(t), "lang", [f"rate_{i}" for i in range(6)], key=["doc_id"])
 
 
 @query("automl_reg")
 def _(t):
-    return models.automl(t.customer, "c_acctbal", ["c_mktsegment", "c_nationkey"], key=["c_custkey"])
+    return models.automl(_text_facts(t), "n_chars", ["words", "lines"], key=["doc_id"])
 
 
 @query("feature_importance")
