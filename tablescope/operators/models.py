@@ -20,7 +20,7 @@ from pyspark.ml.feature import (
     VectorSlicer,
 )
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablescope.functions.checkpoints import discard, stored
@@ -204,7 +204,7 @@ def cross_validate(df: DataFrame, pipeline: Pipeline, task: str, k: int = 5, key
 def at_once(work, items: Sequence[Any]) -> list[Any]:
     """Results of ``work`` for the items, whose Spark jobs run side by side; the cluster's scheduler shares the cores."""
     with ThreadPoolExecutor(max(1, len(items))) as pool:
-        return list(pool.map(inheritable_thread_target(work), items))
+        return list(pool.map(inheritable_thread_target(SparkSession.active())(work), items))
 
 
 def feature_importance(model: PipelineModel, sample: DataFrame, top: int = 20) -> DataFrame:
