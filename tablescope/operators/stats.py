@@ -7,15 +7,17 @@ few numbers it leaves.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Sequence
-from functools import reduce
+from statistics import NormalDist
 
 import numpy as np
-from pyspark.ml.stat import KolmogorovSmirnovTest
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablescope.functions import special
+from tablescope.functions.checkpoints import checkpointed
 from tablescope.functions.columns import (
     as_double, col, empty_report, inline_rows, long_agg, nan_to_null, numeric_columns,
     require_columns, scalar_stats, text_columns, to_long,
@@ -25,6 +27,7 @@ from tablescope.functions.quantiles import wide_percentiles
 
 ALPHA = 0.05
 DAGOSTINO_MIN = 8  # values that the moments test needs
+SHAPIRO_MAX = 5000  # values up to which the approximation of the Shapiro-Wilk weights holds
 
 
 def _numbers(df: DataFrame, cols: Sequence[str] | None = None) -> tuple[DataFrame, list[str]]:
@@ -141,37 +144,124 @@ def _dagostino(n: Column, g1: Column, g2: Column) -> Column:
     return z1 * z1 + z2 * z2
 
 
-def normality_test(df: DataFrame, method: str = "dagostino") -> DataFrame:
-    """D'Agostino–Pearson, or Kolmogorov–Smirnov with ``method="ks"``, on all values at every size."""
-    if method not in ("dagostino", "ks"):
+def normality_test(df: DataFrame, method: str = "auto") -> DataFrame:
+    """Shapiro-Wilk up to 5 000 values and D'Agostino-Pearson beyond ("auto"), or one test for all columns: "shapiro" (up
+    to 5 000 values), "dagostino", "ks" (Kolmogorov-Smirnov against the sample's own mean and deviation)."""
+    if method not in ("auto", "shapiro", "dagostino", "ks"):
         raise ValueError(f"unknown method {method!r}")
     data, cols = _numbers(df)
-    n = F.col("n").cast("double")
     facts = shape_facts(data, cols).withColumnRenamed("skewness", "g1").withColumnRenamed("kurtosis", "g2")
-    if method == "dagostino":
-        use_ks: list = []
-    else:
-        use_ks = facts.where((F.col("n") > 2) & (F.col("std") > 0)).collect()  # one row per column
-    ks_names = [r["column"] for r in use_ks]
+    if method == "ks":
+        found = ks_against_normal(data, facts.where((F.col("n") > 2) & (F.col("std") > 0)).select("column", "mean", "std"))
+        return found.select("column", F.lit("Kolmogorov-Smirnov").alias("test"), "statistic", "p_value",
+                            (F.col("p_value") > ALPHA).alias("is_normal"))
+    n = F.col("n").cast("double")
     k2 = _dagostino(n, F.col("g1"), F.col("g2"))
-    rest = facts.where((F.col("n") >= DAGOSTINO_MIN) & F.col("g1").isNotNull())
-    if ks_names:
-        rest = rest.where(~F.col("column").isin(*ks_names))
-    out = rest.select("column", F.lit("D'Agostino-Pearson").alias("test"), k2.alias("statistic"),
-                      F.exp(-k2 / 2).alias("p_value"))
-    for r in use_ks:
-        out = out.unionByName(
-            ks_against_normal(data, r["column"], r["mean"], r["std"]).select(
-                "column", F.lit("Kolmogorov-Smirnov").alias("test"), "statistic", "p_value"))
+    moments = facts.where((F.col("n") >= DAGOSTINO_MIN) & F.col("g1").isNotNull()).select(
+        "column", "n", F.lit("D'Agostino-Pearson").alias("test"), k2.alias("statistic"), F.exp(-k2 / 2).alias("p_value"))
+    if method != "dagostino":
+        counts = data.agg(*[F.count(col(c)) for c in cols]).first()
+        few = [c for c, held in zip(cols, counts) if 3 <= held <= SHAPIRO_MAX]
+        out = shapiro_wilk(data, few).select("column", F.lit("Shapiro-Wilk").alias("test"), "statistic", "p_value")
+        if method == "auto":
+            out = out.unionByName(moments.where(F.col("n") > SHAPIRO_MAX).drop("n"))
+    else:
+        out = moments.drop("n")
     return out.withColumn("is_normal", F.col("p_value") > ALPHA)
 
 
-def ks_against_normal(df: DataFrame, name: str, mean: float, std: float) -> DataFrame:
-    """One-sample Kolmogorov–Smirnov test against N(mean, std)."""
-    present = df.select(as_double(name).alias("x")).where("x is not null and not isnan(x)")
-    found = KolmogorovSmirnovTest.test(present, "x", "norm", float(mean), float(std))
-    return found.select(F.lit(name).alias("column"), F.col("statistic").alias("statistic"),
-                        F.col("pValue").alias("p_value"))
+# The polynomials of Royston's approximation to the Shapiro-Wilk weights and p-value, lowest power first.
+LAST_WEIGHT = [0.0, 0.221157, -0.147981, -2.07119, 4.434685, -2.706056]
+NEXT_WEIGHT = [0.0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633]
+SMALL_MEAN = [0.5440, -0.39978, 0.025054, -0.0006714]
+SMALL_SPREAD = [1.3822, -0.77857, 0.062767, -0.0020322]
+LARGE_MEAN = [-1.5861, -0.31082, -0.083751, 0.0038915]
+LARGE_SPREAD = [-0.4803, -0.082676, 0.0030302]
+SMALL_LIMIT = [-2.273, 0.459]
+
+
+def royston(x: np.ndarray) -> tuple[float, float]:
+    """W and its p-value for 3 to 5 000 values that are not all equal."""
+    at = lambda c, v: float(np.polynomial.polynomial.polyval(v, c))
+    x, n, bell = np.sort(x), len(x), NormalDist()
+    m = np.array([bell.inv_cdf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
+    squares, u = float(m @ m), 1 / math.sqrt(n)
+    a = m / math.sqrt(squares)
+    if n == 3:
+        a = np.array([-math.sqrt(0.5), 0.0, math.sqrt(0.5)])
+    else:
+        ends = [a[-1] + at(LAST_WEIGHT, u)] + ([a[-2] + at(NEXT_WEIGHT, u)] if n > 5 else [])
+        k = len(ends)
+        rest = (squares - 2 * float((m[-k:] ** 2).sum())) / (1 - 2 * sum(e * e for e in ends))
+        a = m / math.sqrt(rest)
+        for i, e in enumerate(ends):
+            a[i], a[n - 1 - i] = -e, e
+    gap = x - x.mean()
+    w = min(1.0, float((a @ gap) ** 2 / (gap @ gap)))
+    if n == 3:
+        return w, max(0.0, 6 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75))))
+    y = math.log(max(1 - w, 1e-19))
+    if n <= 11:
+        limit = at(SMALL_LIMIT, n)
+        if y >= limit:
+            return w, 1e-19
+        y, mean, spread = -math.log(limit - y), at(SMALL_MEAN, n), math.exp(at(SMALL_SPREAD, n))
+    else:
+        mean, spread = at(LARGE_MEAN, math.log(n)), math.exp(at(LARGE_SPREAD, math.log(n)))
+    return w, 0.5 * math.erfc((y - mean) / spread / math.sqrt(2))
+
+
+def shapiro_wilk(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """``(column, statistic, p_value)`` for columns of at most ``SHAPIRO_MAX`` values, each sorted in a group of its own."""
+    if not cols:
+        return empty_report(df, "column string, statistic double, p_value double")
+    values = to_long(df, cols, "double").where("value IS NOT NULL AND NOT isnan(value)")
+
+    def run(table: pa.Table) -> pa.Table:
+        x = table.column("value").to_numpy()
+        w, p = royston(x) if x.min() < x.max() else (None, None)
+        return pa.table({"column": table.column("column").slice(0, 1), "statistic": pa.array([w], pa.float64()),
+                         "p_value": pa.array([p], pa.float64())})
+
+    return values.groupBy("column").applyInArrow(run, "column string, statistic double, p_value double").where("p_value IS NOT NULL")
+
+
+def ks_against_normal(df: DataFrame, normals: DataFrame) -> DataFrame:
+    """``(column, n, statistic, p_value)`` of one-sample Kolmogorov-Smirnov tests against the ``(column, mean, std)`` rows.
+
+    All columns share one exchange: their distinct values lie in range partitions, whose counts are carried on, and each
+    partition gives its largest distance. The p-value is Kolmogorov's series with Stephens' correction, at every size.
+    """
+    wanted = {r["column"]: (float(r["mean"]), float(r["std"])) for r in normals.collect()}  # one row per column
+    if not wanted:
+        return empty_report(df, "column string, n bigint, statistic double, p_value double")
+    values = to_long(df, list(wanted), "double").where("value IS NOT NULL AND NOT isnan(value)")
+    counts = values.groupBy("column", "value").agg(F.count("*").alias("c"))
+    # the checkpoint freezes the ranges, which are numbered in order
+    placed = checkpointed(counts.repartitionByRange("column", "value").withColumn("range", F.spark_partition_id()))
+    totals = placed.groupBy("column", "range").agg(F.sum("c").alias("held"))  # ranges and columns: few rows
+    every = Window.partitionBy("column")
+    offsets = totals.select("column", "range", F.sum("held").over(every).alias("n"),
+                            (F.sum("held").over(every.orderBy("range")) - F.col("held")).alias("before"))
+
+    @F.arrow_udf("double")
+    def below(column: pa.Array, value: pa.Array) -> pa.Array:
+        out = []
+        for c, v in zip(column.to_pylist(), value.to_pylist()):
+            mean, std = wanted[c]
+            out.append(0.5 * math.erfc((mean - v) / std / math.sqrt(2)))
+        return pa.array(out, pa.float64())
+
+    run = F.sum("c").over(Window.partitionBy("column", "range").orderBy("value"))
+    rows = placed.withColumn("run", run).join(F.broadcast(offsets), ["column", "range"])
+    upto, p = F.col("run") + F.col("before"), below("column", "value")
+    gaps = rows.select("column", "n", "c", upto.alias("upto"), p.alias("p"))
+    d = F.greatest(F.col("upto") / F.col("n") - F.col("p"), F.col("p") - (F.col("upto") - F.col("c")) / F.col("n"))
+    root = F.sqrt(F.col("n").cast("double"))
+    lam = (root + 0.12 + 0.11 / root) * F.col("statistic")
+    series = sum(((-1) ** (j - 1) * 2 * F.exp(-2.0 * j * j * lam * lam) for j in range(1, 41)), F.lit(0.0))
+    tail = F.when(lam < 0.2, 1.0).otherwise(F.least(F.greatest(series, F.lit(0.0)), F.lit(1.0)))
+    return gaps.groupBy("column", "n").agg(F.max(d).alias("statistic")).withColumn("p_value", tail)
 
 
 # --- hypothesis tests ----------------------------------------------------------------------
@@ -344,14 +434,8 @@ def mean_shift(df: DataFrame, baseline: DataFrame) -> DataFrame:
 
 
 def drift_ks(df: DataFrame, baseline: DataFrame) -> DataFrame:
-    """Distribution drift of each column against N(mean, std) of its stored baseline."""
-    stored = baseline.collect()  # one row per column of the table
-    nums = numeric_columns(df)
-    tests = [ks_against_normal(df, r["column"], r["mean"], r["std"])
-             for r in stored if r["column"] in nums and r["std"]]
-    if not tests:
-        return empty_report(df, "column string, statistic double, p_value double")
-    found = reduce(DataFrame.unionByName, tests)
+    """Distribution drift of each column against N(mean, std) of its stored baseline; all columns in one pass."""
+    found = ks_against_normal(df, baseline.where(F.col("column").isin(numeric_columns(df)) & (F.col("std") > 0)))
     p = F.col("p_value")
     return found.join(mean_shift(df, baseline), "column").select(
         "column", F.col("statistic").alias("ks_statistic"), "p_value",

@@ -73,9 +73,19 @@ def _(t):
     return stats.normality_test(t.events, method="dagostino")
 
 
+@query("normality_test_shapiro")
+def _(t):
+    return stats.normality_test(t.supplier, method="shapiro")
+
+
+@query("normality_test_ks")
+def _(t):
+    return stats.normality_test(t.lineitem, method="ks")
+
+
 @query("normality_test_large")
 def _(t):
-    return stats.normality_test(t.lineitem)
+    return stats.normality_test(t.lineitem, method="dagostino")
 
 
 @query("ttest_ind", """

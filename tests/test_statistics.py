@@ -67,7 +67,8 @@ def test_ks_against_normal(spark):
     cdf = np.array([0.5 * (1 + math.erf((v - 5) / 2 / math.sqrt(2))) for v in x])
     i = np.arange(1, 501)
     want = max((i / 500 - cdf).max(), (cdf - (i - 1) / 500).max())
-    r = stats.ks_against_normal(df, "x", 5, 2).first()
+    normal = spark.createDataFrame([("x", 5.0, 2.0)], "column string, mean double, std double")
+    r = stats.ks_against_normal(df, normal).first()
     assert r["statistic"] == pytest.approx(want, abs=1e-9) and r["p_value"] > 0.05
     drift = stats.drift_ks(df, spark.createDataFrame([("x", 9.0, 2.0), ("gone", 1.0, 1.0)], "column string, mean double, std double"))
     d = drift.collect()
@@ -86,3 +87,33 @@ def test_mutual_info_of_equal_columns(spark):
     df = spark.createDataFrame([(f"k{i % 4}", f"k{i % 4}", f"z{i % 3}") for i in range(1200)], "a string, b string, c string")
     got = {(r["a"], r["b"]): r["mutual_info"] for r in stats.mutual_info(df).collect()}
     assert got["a", "b"] == pytest.approx(math.log(4)) and got["a", "c"] == pytest.approx(0, abs=1e-9)
+
+
+def test_ks_of_columns_with_ties_nulls_and_many_ranges(spark):
+    rng = np.random.default_rng(4)
+    x, y = np.round(rng.normal(0, 1, 3000), 1), rng.exponential(1, 3000)
+    rows = [(float(a) if i % 7 else None, float(b)) for i, (a, b) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, "x double, y double").repartition(4)
+    got = {r["column"]: r for r in stats.ks_against_normal(df, spark.createDataFrame(
+        [("x", 0.0, 1.0), ("y", 1.0, 1.0)], "column string, mean double, std double")).collect()}
+    for name, mean, values in (("x", 0, [a for a, _ in rows if a is not None]), ("y", 1, [b for _, b in rows])):
+        v = np.sort(values)
+        cdf = np.array([0.5 * (1 + math.erf((a - mean) / math.sqrt(2))) for a in v])
+        i, n = np.arange(1, len(v) + 1), len(v)
+        hi, lo = np.searchsorted(v, v, "right") / n, np.searchsorted(v, v, "left") / n
+        assert got[name]["n"] == n and got[name]["statistic"] == pytest.approx(max((hi - cdf).max(), (cdf - lo).max()), abs=1e-9)
+    assert got["y"]["p_value"] < 1e-6
+
+
+def test_shapiro_wilk_published_samples(spark):
+    """Weights of eleven men (Shapiro and Wilk 1965): W 0.79; p as Royston's method gives it."""
+    weights = [148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236]
+    w, p = stats.royston(np.array(weights, float))
+    assert w == pytest.approx(0.78881, abs=1e-4) and p == pytest.approx(0.006704, abs=1e-4)
+    df = spark.createDataFrame([(float(v), 1.0, float(i)) for i, v in enumerate(weights)], "men double, same double, line double")
+    got = {r["column"]: r for r in stats.normality_test(df).collect()}
+    assert set(got) == {"men", "line"} and got["men"]["test"] == "Shapiro-Wilk" and not got["men"]["is_normal"] and got["line"]["is_normal"]
+    assert stats.royston(np.array([1.0, 2.0, 4.0]))[0] == pytest.approx(0.964286, abs=1e-6)
+    rng = np.random.default_rng(0)
+    rejected = sum(stats.royston(rng.normal(size=60))[1] < 0.05 for _ in range(400)) / 400
+    assert 0.02 < rejected < 0.09
