@@ -4,7 +4,8 @@ Payload bytes are stored once under their SHA-256, record headers exactly as wri
 them again: every payload's address is recomputed on the way out, and two payloads that share an address but not
 their bytes stop the writing. Any record can be rebuilt byte for byte.
 
-Defined results: a null text is an empty payload; a null URL gives an empty WARC-Target-URI; of repeated rows that share the largest id of
+Defined results: a null text is an empty payload; a null URL gives an empty WARC-Target-URI; blanks and control characters of
+URLs and of text ids are percent-encoded in headers, so none can begin a header line of its own; ids may be numbers or texts; of repeated rows that share the largest id of
 a payload one is the response and the others revisit it; null ids sort lowest; an empty table gives an empty
 archive. Extra columns are ignored.
 """
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tablescope.llm.common import column, discard, numbered, shared_folder, write
 
+UNSAFE = r"[\x00-\x20<>\x7F%]"  # characters that ids don't show as they are in a header
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 DATE = "2024-01-01T00:00:00Z"  # given tables carry no crawl time
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -29,6 +31,13 @@ def base32_sha1(payload: str) -> Column:
                   f"k -> concat({letters})), '')), '')")
 
 
+def one_line(value: Column, unsafe: str = UNSAFE) -> Column:
+    """``value`` with its unsafe characters percent-encoded."""
+    signs = F.transform(F.split(value, ""), lambda c: F.when(c.rlike(f"^{unsafe}$"), F.concat(
+        F.lit("%"), F.lpad(F.hex(F.ascii(c)), 2, "0"))).otherwise(c))
+    return F.when(value.rlike(unsafe), F.array_join(signs, "")).otherwise(value)
+
+
 def write_archive(pages: DataFrame, folder: str, *, key: str = "page_id", url: str = "url", body: str = "html",
                   min_bytes: int = 0) -> None:
     """One record per row: payloads to ``folder``/payloads, headers to ``folder``/headers.
@@ -37,7 +46,7 @@ def write_archive(pages: DataFrame, folder: str, *, key: str = "page_id", url: s
     revisits; smaller payloads are all responses.
     """
     numbers = shared_folder(pages.sparkSession, "pages")
-    rows, row = numbered(pages.select(column(key).cast("long").alias("id"), column(url).alias("url"),
+    rows, row = numbered(pages.select(column(key).alias("id"), column(url).alias("url"),
                                       F.coalesce(column(body), F.lit("")).cast("binary").alias("payload")), numbers)
     rows = rows.withColumnRenamed(row, "row").withColumn("address", F.unhex(F.sha2("payload", 256)))
     same = (F.min(F.xxhash64("payload")) == F.max(F.xxhash64("payload"))) & (
@@ -57,10 +66,10 @@ def write_archive(pages: DataFrame, folder: str, *, key: str = "page_id", url: s
     header = F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: "), F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")), line,
         F.lit("WARC-Record-ID: <urn:uuid:"), uuid, F.lit(">\r\n"), F.lit(f"WARC-Date: {DATE}\r\n"),
-        F.lit("WARC-Target-URI: "), F.coalesce("url", F.lit("")), line,
+        F.lit("WARC-Target-URI: "), one_line(F.coalesce("url", F.lit("")), r"[\x00-\x20\x7F]"), line,
         F.lit("WARC-Payload-Digest: sha1:"), F.col("sha1"), line,
         F.when(revisit, F.concat(F.lit(f"WARC-Profile: {PROFILE}\r\nWARC-Refers-To: <urn:page:"),
-                                 F.coalesce(F.col("holder.id").cast("string"), F.lit("")), F.lit(">\r\n"))).otherwise(F.lit("")),
+                                 one_line(F.coalesce(F.col("holder.id").cast("string"), F.lit(""))), F.lit(">\r\n"))).otherwise(F.lit("")),
         F.lit("Content-Type: text/html; charset=utf-8\r\nContent-Length: "),
         F.when(revisit, F.lit("0")).otherwise(F.col("bytes").cast("string")), F.lit("\r\n\r\n"))
     write(records.select("id", "address", header.cast("binary").alias("header")), f"{folder}/headers")
@@ -79,9 +88,11 @@ def read_archive(spark: SparkSession, folder: str) -> DataFrame:
         base32_sha1("payload").alias("payload_digest"))
     headers = spark.read.parquet(f"{folder}/headers")
     fields = F.col("header").cast("string")
-    refers = F.regexp_extract(fields, "\r\nWARC-Refers-To: <urn:page:(-?[0-9]+)>\r\n", 1)
+    refers = F.regexp_extract(fields, "\r\nWARC-Refers-To: <urn:page:([^>\r\n]*)>\r\n", 1)
+    refers = F.url_decode(F.replace(refers, F.lit("+"), F.lit("%2B")))
+    kind = headers.schema["id"].dataType
     headers = headers.select("id", "address", "header", F.regexp_extract(fields, "^WARC/1.1\r\nWARC-Type: ([a-z]+)\r\n", 1).alias("record_type"),
-                             F.when(refers != "", refers.cast("long")).alias("refers_to"))
+                             F.when(refers != "", refers.cast(kind)).alias("refers_to"))
     return headers.join(stored, "address")
 
 

@@ -45,3 +45,14 @@ def test_records_come_back_byte_for_byte(spark, tmp_path):
     assert small == ["response"] * 2  # below the least size nothing is a revisit
     whole = {r.id: bytes(r.payload).decode() for r in records.collect()}
     assert all(whole[i] == (b or "") for i, _, b in BODIES)
+
+
+def test_urls_and_text_ids_forge_no_header(spark):
+    forged = "u\r\nWARC-Refers-To: <urn:page:99>\r\nWARC-Type: revisit"
+    rows = [("a>\r\nb %41", forged, "x"), ("a", "http://a/ b\u007f", "x"), ("+z", "v", "y"), ("+z%2B", "v", "y"), ("", None, "w")]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string")
+    got = {r.page_id: (r.record_type, r.refers_to) for r in archived_pages(pages).collect()}
+    assert got == {"a>\r\nb %41": ("response", None), "a": ("revisit", "a>\r\nb %41"), "+z%2B": ("response", None),
+                   "+z": ("revisit", "+z%2B"), "": ("response", None)}
+    numbers = spark.createDataFrame([(1, forged, "x"), (2, forged, "y")], "page_id bigint, url string, html string")
+    assert [(r.record_type, r.refers_to) for r in archived_pages(numbers).collect()] == [("response", None)] * 2
