@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +41,12 @@ LABELLERS = ["length", "markup", "capitals", "echo", "variety", "sentences", "wo
 
 def shape(word: str) -> str:
     """Runs of capitals, small letters and digits as one sign each; other signs as they are, runs cut to one."""
-    signs = ["A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in word[:64]]
-    return "".join(s for i, s in enumerate(signs) if i == 0 or s != signs[i - 1])
+    signs = map(sign, word)
+    return "".join(s for s, _ in groupby(signs))
+
+
+def sign(c: str) -> str:
+    return "A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c
 
 
 def votes(n: np.ndarray, markup: np.ndarray, capitals: np.ndarray, echo: np.ndarray, variety: np.ndarray, stops: np.ndarray,

@@ -38,3 +38,8 @@ def test_odd_rows(spark):
     got = weak_quality(odd_docs(spark)).collect()
     assert len(got) == len(odd_rows()) and all(0 <= r.score <= 1 and 0 <= r.posterior <= 1 for r in got)
     assert weak_quality(no_docs(spark)).collect() == []
+
+
+def test_shape_reads_whole_words():
+    from tablescope.llm.weak_quality import shape
+    assert shape("a" * 64 + "9" * 50) == "a9" and shape("Ab-" * 40) == "Aa-" * 40 and shape("") == ""
