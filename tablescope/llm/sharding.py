@@ -18,13 +18,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablescope.llm.common import column, discard, fresh, shared_folder, write
+from tablescope.llm.common import column, fresh, numbered, shared_folder, write
 
 PER_SHARD = 64          # fine ranges in a shard
 DRAWS = 16              # sampled records in a range
 RANGE_BYTES = 256 << 20
 MOST_RANGES = 65_536    # bounds what the driver holds
 GROUP_RANGES = 4        # copies of one text are cut only beyond so many ranges
+HOT = 4096              # a group of equal rows is hot beyond one row in HOT
 LOWEST, HIGHEST = -(1 << 63), (1 << 63) - 1
 
 
@@ -114,31 +115,51 @@ def layout(per: DataFrame, shards: int) -> DataFrame:
     return per.select("r", "n", shard.alias("shard")).select("r", "shard", first.alias("first"))
 
 
+def told_apart(rows: DataFrame, rest: DataFrame, h: str, id_: str, row: str) -> DataFrame:
+    """``rest`` with new ids for rows that share text and id with more than one row in HOT of all, so that they can be drawn and cut
+    like others. There are fewer than HOT such groups, so they are broadcast."""
+    total = rows.count()
+    hot = rows.groupBy("h", "id").agg(F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("n") * HOT > total))
+    marks = F.broadcast(hot.select(F.col("h").alias("_hot_h"), F.col("id").alias("_hot_id")))
+    joined = rest.join(marks, (F.col(h) == F.col("_hot_h")) & (F.col(id_) == F.col("_hot_id")), "left")
+    return joined.withColumn(id_, F.when(F.col("_hot_h").isNotNull(), F.xxhash64(F.col(id_), F.col(row))).otherwise(F.col(id_))
+                             ).drop("_hot_h", "_hot_id")
+
+
 def shard_records(docs: DataFrame, shards: int = 24, *, key: str = "doc_id", text: str = "text",
-                  carry: bool = False) -> DataFrame:
-    """Key, size, text_crc32, law, shard, slot, grown_shard; with ``carry`` all columns of ``docs`` and shard, slot."""
+                  carry: bool = False, row: str | None = None) -> DataFrame:
+    """Key, size, text_crc32, law, shard, slot, grown_shard; with ``carry`` all columns of ``docs`` (but ``row``) and shard, slot.
+
+    ``row`` names a column that tells the rows of ``docs`` apart and stays the same however often they are read.
+    """
     spark = docs.sparkSession
     body = F.coalesce(column(text), F.lit(""))
-    derived = {"h": F.xxhash64(body), "id": F.coalesce(column(key).cast("long"), F.lit(LOWEST)),
+    kept = [c for c in docs.columns if c != row]
+    if carry and row is None:
+        docs, row = numbered(docs)
+    number = column(row) if row else F.monotonically_increasing_id()
+    whole = docs.schema[key].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    derived = {"h": F.xxhash64(body), "id": F.coalesce(column(key).cast("long") if whole else F.xxhash64(column(key)), F.lit(LOWEST)),
                "size": F.octet_length(body).cast("long") + 8, "crc": F.crc32(body.cast("binary"))}
     root = shared_folder(spark, "shards")
-    rows = write(docs.select(column(key).alias("doc"), *[v.alias(k) for k, v in derived.items()]), f"{root}/rows")
+    first_rows = write(docs.select(column(key).alias("doc"), *[v.alias(k) for k, v in derived.items()], number.alias("row")), f"{root}/rows")
+    rows = told_apart(first_rows, first_rows, "h", "id", "row")
     cuts, per = splitters(rows, shards)
     plan = write(layout(per, shards).coalesce(1), f"{root}/layout")
     if carry:
         names = {k: fresh(docs.columns, f"_{k}") for k in ("h", "id", "r")}
-        placed = (docs.withColumn(names["h"], derived["h"]).withColumn(names["id"], derived["id"])
-                  .withColumn(names["r"], range_of(cuts)(names["h"], names["id"])))
+        placed = told_apart(first_rows, docs.withColumn(names["h"], derived["h"]).withColumn(names["id"], derived["id"]),
+                            names["h"], names["id"], row)
+        placed = placed.withColumn(names["r"], range_of(cuts)(names["h"], names["id"]))
     else:
         names = {k: k for k in ("h", "id", "r")}
         placed = rows.withColumn("r", range_of(cuts)("h", "id"))
     turn = F.row_number().over(Window.partitionBy(names["r"]).orderBy(names["h"], names["id"])) - 1
-    shard, slot, first = (fresh(placed.columns, c) for c in ("shard", "slot", "first"))
+    shard, slot, first = (fresh(placed.columns if not carry else [*kept, *names.values()], c) for c in ("shard", "slot", "first"))
     placed = placed.withColumn(slot, turn).join(
         plan.select(F.col("r").alias(names["r"]), F.col("shard").alias(shard), F.col("first").alias(first)), names["r"])
     out_slot = (F.col(first) + F.col(slot)).cast("long")
     if carry:
-        discard(spark, f"{root}/rows")
-        return placed.select(*[column(c) for c in docs.columns], F.col(shard), out_slot.alias(slot))
+        return placed.select(*[column(c) for c in kept], F.col(shard), out_slot.alias(slot))
     return placed.select(F.col("doc").alias(key), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"),
                          F.col(shard).alias("shard"), out_slot.alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

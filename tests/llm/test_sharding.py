@@ -40,3 +40,18 @@ def test_odd_rows(spark):
     assert shard_records(no_docs(spark)).collect() == []
     kept = shard_records(odd_docs(spark), 4, carry=True)
     assert kept.columns[:9] == odd_docs(spark).columns and kept.columns[9:] == ["_shard", "slot"] and kept.count() == len(odd_rows())
+
+
+def test_repeated_rows_spread_over_shards(spark):
+    """A third of all rows equal in id and text, or null ids: law bytes holds all the same; ids may be texts."""
+    docs = [(str(i), prose(i, 40)) for i in range(2000)] + [(None, prose(1, 40))] * 4000
+    got = shard_records(spark.createDataFrame(docs, "doc_id string, text string")).collect()
+    check(got, 24)
+    sums = [sum(r.size for r in got if r.shard == k) for k in range(24)]
+    assert len(got) == 6000 and max(sums) < 1.1 * sum(sums) / 24 and min(sums) > 0.9 * sum(sums) / 24
+    carried = shard_records(spark.createDataFrame(docs, "doc_id string, text string"), carry=True)
+    assert carried.columns == ["doc_id", "text", "shard", "slot"]
+    got = carried.collect()
+    check(got, 24)
+    sums = [sum(r.shard == k for r in got) for k in range(24)]
+    assert len(got) == 6000 and max(sums) < 300
