@@ -30,7 +30,7 @@ SHINGLE = 4
 SEED = 42
 MAX_BITS = 4
 MIN_BYTES = 4     # of 8: each of the at most 4 differing bits spoils one byte
-LONG = 48         # members of a list that are still paired off
+LONG = 128        # members of a list that are still paired off
 CHOICES = list(combinations(range(8), MIN_BYTES))
 
 
@@ -81,21 +81,24 @@ def linked(a: str, b: str) -> str:
 
 def links(nodes: DataFrame, root: str) -> DataFrame:
     """u, v: edges whose components are those of all pairs of fingerprints within 4 bits."""
-    index = postings(nodes)
+    # the table of fingerprints is a few small files, its postings are 70 times as many rows: they are spread first
+    spread = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    index = postings(nodes.repartition(spread, "fp"))
     lists = write(index.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("u"), F.max("fp").alias("v"))
                   .where("n > 1"), f"{root}/lists")
     twos = lists.where("n = 2").where(linked("u", "v")).select("u", "v")
-    members = write(index.join(lists.where("n > 2").select("key", "n"), "key"), f"{root}/members")
+    # sizes of stored files say little of their rows, and all these tables grow: every join is a shuffle
+    members = write(index.join(lists.where("n > 2").select("key", "n").hint("shuffle_hash"), "key"), f"{root}/members")
     short = members.where(f"n <= {LONG}")
-    pairs = (short.select("key", F.col("fp").alias("u")).join(short.select("key", F.col("fp").alias("v")), "key")
+    pairs = (short.select("key", F.col("fp").alias("u")).join(short.select("key", F.col("fp").alias("v")).hint("merge"), "key")
              .where("u < v").where(linked("u", "v")).select("u", "v"))
     flips = [0] + [1 << i for i in range(64)] + [(1 << i) | (1 << j) for i, j in combinations(range(64), 2)]
     signed = ", ".join(f"{f - (1 << 64) if f >= 1 << 63 else f}L" if f != 1 << 63 else "shiftleft(1L, 63)" for f in flips)
-    hot = members.where(f"n > {LONG}").select("fp").distinct()
+    hot = members.where(f"n > {LONG}").select("fp").distinct().repartition(spread, "fp")
     ball = hot.select("fp", F.explode(F.expr(f"array({signed})")).alias("flip")).select(
         "fp", F.expr("fp ^ flip").alias("mid"))
     least = ball.groupBy("mid").agg(F.min("fp").alias("u"), F.count("*").alias("n")).where("n > 1")
-    stars = ball.join(least, "mid").where("u < fp").select("u", F.col("fp").alias("v"))
+    stars = ball.join(least.hint("merge"), "mid").where("u < fp").select("u", F.col("fp").alias("v"))
     return write(twos.union(pairs).union(stars).distinct(), f"{root}/links")
 
 
@@ -105,10 +108,10 @@ def components(edges: DataFrame, root: str) -> DataFrame:
     while True:
         both = edges.union(edges.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(low.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = write(large, f"{root}/large{turn}")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least)
+        small = large.join(least.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least)
         edges = write(small.distinct(), f"{root}/small{turn}")
         state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == seen:
@@ -125,9 +128,10 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     nodes = write(rows.groupBy("fp").agg(F.min("doc").alias("doc")), f"{root}/nodes")
     tops = components(links(nodes, root), root)
     discard(spark, *(f"{root}/{name}" for name in ("lists", "members")))
-    placed = nodes.join(tops, nodes["fp"] == tops["node"], "left").select(
+    placed = nodes.join(tops.hint("merge"), nodes["fp"] == tops["node"], "left").select(
         "fp", "doc", F.coalesce("top", "fp").alias("top"))
     first = placed.groupBy("top").agg(F.min("doc").alias("component_id"))
-    label = write(placed.join(first, "top").select("fp", "component_id"), f"{root}/labels")
-    return rows.join(label, "fp").select(
+    label = write(placed.join(first.hint("merge"), "top").select("fp", "component_id"), f"{root}/labels")
+    discard(spark, f"{root}/links", f"{root}/nodes")
+    return rows.join(label.hint("shuffle_hash"), "fp").select(
         F.col("doc").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
