@@ -105,7 +105,7 @@ def test_odd_tables(spark):
 def test_registration(spark):
     queries = __spark_entry__.queries()
     numbers = sorted(int(k[2:].split("_")[0]) for k in QUERIES)
-    assert numbers == list(range(1, 11)) and "pipeline" in queries and set(QUERIES) <= set(queries)
+    assert numbers == list(range(1, 14)) and "pipeline" in queries and set(QUERIES) <= set(queries)
     assert set(__spark_entry__.oracle_sql()) <= set(queries)
 
 
