@@ -51,7 +51,7 @@ def plain(word: str) -> str:
 
 def edits_allowed(term: str) -> int:
     size = len(term.rstrip("*"))
-    return (size >= ONE_EDIT) + (size >= TWO_EDITS) if not term.endswith("*") else int(size >= TWO_EDITS)
+    return (size >= ONE_EDIT) + (size >= TWO_EDITS and not term.endswith("*"))
 
 
 class Automaton:

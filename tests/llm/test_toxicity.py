@@ -77,3 +77,10 @@ def test_odd_rows(spark):
     assert T.toxicity(no_docs(spark), labels).collect() == []
     none = T.toxicity(odd_docs(spark), labels.where("false")).collect()
     assert {(r.score, r.predicted) for r in none} == {(0.0, 0)}
+
+
+def test_stems_of_learnt_lengths_may_be_misspelled():
+    from tablescope.llm.toxicity import STEMS, Automaton, edits_allowed
+    assert [edits_allowed("x" * n + "*") for n in STEMS] == [0, 0, 1, 1, 1, 1]
+    stem = Automaton(["stupid*"])
+    assert stem.match("stupud") and stem.match("stupudness") and stem.match("stupids") and stem.match("stopud") is None
