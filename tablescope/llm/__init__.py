@@ -1,7 +1 @@
 """Operators for preparing training text: one module per operator, queries in ``queries``."""
-
-import tablescope
-from pyspark import cloudpickle
-
-# functions that run in tasks travel with the job: executors need no copy of the package
-cloudpickle.register_pickle_by_value(tablescope)
