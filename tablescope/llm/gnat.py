@@ -43,6 +43,7 @@ LONGEST = 2047
 ROWS = 8192               # vectors searched for at once
 MAX = (1 << 63) - 1
 LIMB = 60
+WIDER = 1 + 2.0 ** -50    # covers the rounding of a difference of two roots
 HOT = 4096                # labels with more than one row in HOT of all are joined by broadcast: there are fewer than HOT
 
 
@@ -110,13 +111,18 @@ class Gnat:
         if not self.children:
             return
         below, above = roots(square)
+        bound = np.full(square.shape, -np.inf)  # no entry of child j is nearer than bound[:, j]
+        with np.errstate(invalid="ignore"):  # an unbounded root less another bounds nothing: fmax passes over NaN
+            for i in range(len(self.splits)):
+                np.fmax(bound, below[:, i:i + 1] - self.high[i], out=bound)
+                np.fmax(bound, self.low[i] - above[:, i:i + 1], out=bound)
+        for j, child in self.children:  # the child of the nearest split point first: it brings the best distance down
+            own = rows[nearest == j]
+            if len(own):
+                child.search(points, own, best, index)
         for j, child in self.children:
             _, reach = roots(best[rows])
-            # nextafter: the difference itself is rounded as well
-            with np.errstate(invalid="ignore"):  # an unbounded root less another bounds nothing: NaN compares as false
-                out = (np.nextafter(below - self.high[:, j], -np.inf) > reach[:, None]) | (
-                    np.nextafter(self.low[:, j] - above, -np.inf) > reach[:, None])
-            left = rows[~out.any(axis=1)]
+            left = rows[(nearest != j) & ~(bound[:, j] > reach * WIDER)]
             if len(left):
                 child.search(points, left, best, index)
 
