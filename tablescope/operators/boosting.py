@@ -169,14 +169,16 @@ def fit_boosted(df: DataFrame, task: str, classes: int = 2, rounds: int = 100, r
     spark = df.sparkSession
     cuts = feature_cuts(df)
     rows, path = stored(binned(df, cuts))
-    outs = 1 if task == REGRESSION or classes <= 2 else classes
     facts = rows.groupBy("label" if task == CLASSIFICATION else F.lit(0.0).alias("label")).agg(
         F.sum("w").alias("w"), F.sum(F.col("w") * F.col("label")).alias("s")).collect()  # one row per class
     total = sum(r["w"] for r in facts) or 1.0
+    if task == CLASSIFICATION:
+        classes = max([2, classes, *(int(r["label"]) + 1 for r in facts)])
+    outs = 1 if task == REGRESSION or classes <= 2 else classes
     if task == REGRESSION:
         start = np.array([sum(r["s"] for r in facts) / total])
     else:
-        part = np.array([sum(r["w"] for r in facts if r["label"] == c) for c in range(max(2, classes))]) / total
+        part = np.array([sum(r["w"] for r in facts if r["label"] == c) for c in range(classes)]) / total
         part = np.clip(part, 1e-15, 1.0)
         start = np.log(part) if outs > 1 else np.array([math.log(part[1] / part[0])])
     stages: list[list[Tree]] = []

@@ -340,13 +340,13 @@ def doubles(cells: pa.ChunkedArray, width: int) -> np.ndarray:
 
 def fit_forest(df: DataFrame, task: str, classes: int = 2, trees: int = 100, bootstrap: bool = True, tries: str = "sqrt",
                at_random: bool = False, depth: int | None = None, seed: int = 42) -> Forest:
-    """Trees on ``features`` and ``label``. ``tries``: sqrt or all features are looked at for a cut; ``depth`` None: no limit."""
-    classes = max(2, classes) if task == CLASSIFICATION else 0
+    """Trees on ``features`` and ``label``, for at least ``classes`` classes. ``tries``: sqrt or all features are looked at for a cut; ``depth`` None: no limit."""
     cuts = feature_cuts(df)
     width = len(cuts)
     rows, _ = stored(df.select(F.monotonically_increasing_id().alias("row"), vector_to_array("features").alias("x"),
                                F.col("label").cast("double").alias("label")))
-    total = rows.count()
+    total, top = rows.agg(F.count("*"), F.max("label")).first()
+    classes = max(2, classes, int(top or 0) + 1) if task == CLASSIFICATION else 0
     looks = max(1, int(math.sqrt(width))) if tries == "sqrt" else width
     deep = depth if depth is not None else 1 << 30
     importance = np.zeros(width)

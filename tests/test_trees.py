@@ -196,3 +196,11 @@ def test_saved_models_predict_the_same(spark, name):
     again = models.load_model(path)
     pick = lambda m: sorted(str(r) for r in m.transform(data).select("features", "prediction").collect())
     assert pick(model) == pick(again)
+
+
+def test_classes_are_counted_where_the_caller_does_not(spark):
+    x, y = grid(10, 200)
+    data = frame(spark, x, y)
+    for name in ("decision_tree", "gbt"):
+        fit = models.estimator(name, models.CLASSIFICATION, trees=3).fit(data)
+        assert len(fit.transform(data).first()["probability"]) == 3
