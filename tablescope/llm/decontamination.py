@@ -1,11 +1,12 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Words are compared lower-cased and without punctuation at their ends. A first pass finds the word triples of the benchmark
-that occur in documents; each of them becomes a seed, so each copied run of ``SEED`` words holds one, however often the passage
-itself repeats. A second pass joins the seeds with the documents, takes the passage around each group of seeds on nearby diagonals,
-and aligns it with the item; passages that share too few words with the item to reach its limit are left out before. Items come in
-blocks of bounded size; each block is broadcast and compared with all documents. A copy without any unchanged run of ``SEED`` words
-has no seed; with single words changed it scores at most about half of the item's words, the limit itself.
+Words are compared lower-cased and without punctuation at their ends. A first pass counts the documents that hold each word triple of
+the benchmark. An item's seeds are its rarest triples: a copy that reaches the limit with at most one word in four edited keeps at
+least ``0.4 * limit - 2`` of the item's triples, so all triples but that many less one always include a kept one, and the commonest
+need not be seeds (for items beyond twice ``LONG_RUN`` words this is counted per stretch). A second pass joins the seeds with the
+documents, takes the passage around each group of seeds on nearby diagonals, leaves out passages that share too few words with the
+item to reach its limit, and aligns the others with the item. Items come in blocks of bounded size; each block is broadcast and
+compared with all documents. A copy with more edits is found when one of the seeds is unchanged.
 
 Defined results: null or empty texts and items match nothing; items of fewer than ``SEED`` words are not searched for; repeated rows and
 repeated items are reported each; empty tables give an empty result. Extra columns are ignored. Very long items count as found from
@@ -14,6 +15,7 @@ repeated items are reported each; empty tables give an empty result. Extra colum
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -28,6 +30,9 @@ SEED = 3
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
 SHARE = 0.5           # of an item's words, as alignment score
 LONG_RUN = 30.0
+LEAST_KEPT = 0.4       # triples kept by the limit's score, less two, at one edit in four words
+STRETCH = 46           # triples in the longest such copy that scores LONG_RUN: 48 words
+LOOKUPS = 1 << 22      # passage words compared with items at a time
 BLOCK_BYTES = 8 << 20  # item text broadcast at a time
 BITS = 21              # of a word number; a block holds fewer words than 2 ** BITS
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
@@ -81,19 +86,36 @@ class Items:
         self.places = [np.searchsorted(self.codes, c) for c in codes]
 
     def seeds(self, frequency: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Code, item and position of every triple that occurs in a document, sorted by code."""
-        sizes = [len(p) for p in self.places]
-        places = np.concatenate([np.array([], np.int64), *self.places])
-        which = np.repeat(np.arange(len(sizes)), sizes)
-        position = np.concatenate([np.array([], np.int64), *map(np.arange, sizes)])
+        """Code, item and position of the triples chosen by ascending document count, sorted by code."""
+        chosen = [np.flatnonzero(rarest(frequency[p], self.enough(n), n_words=len(self.words[n]))) for n, p in enumerate(self.places)]
+        places = np.concatenate([np.array([], np.int64), *(p[c] for p, c in zip(self.places, chosen))])
+        which = np.repeat(np.arange(len(chosen)), [len(c) for c in chosen])
+        position = np.concatenate([np.array([], np.int64), *chosen])
         order = np.argsort(places, kind="stable")
-        order = order[frequency[places[order]] > 0]
+        order = order[frequency[places[order]] > 0]  # others can't be met
         return self.codes[places[order]], which[order], position[order]
 
+    def members(self) -> np.ndarray:
+        """Sorted codes of (item, word)."""
+        return np.unique(np.concatenate([np.array([], np.int64), *((n << BITS) | w for n, w in enumerate(self.words))]))
+
     def enough(self, n: int) -> float:
         return min(SHARE * len(self.words[n]), LONG_RUN)
 
 
+def rarest(frequency: np.ndarray, enough: float, n_words: int) -> np.ndarray:
+    """Which triples of an item are seeds, from their document counts; ties leave out the later one."""
+    spare = max(0, math.ceil(LEAST_KEPT * enough - 2) - 1)
+    width = len(frequency)
+    if n_words > 2 * LONG_RUN:  # a copied stretch reaches into two blocks at most
+        spare, width = spare // 2, STRETCH
+    keep = np.ones(len(frequency), bool)
+    for start in range(0, len(frequency) if spare else 0, max(1, width)):
+        part = frequency[start:start + width]
+        keep[start + np.argsort(part, kind="stable")[max(1, len(part) - spare):]] = False
+    return keep
+
+
 def triples(words: np.ndarray) -> np.ndarray:
     return (words[:-2] << 2 * BITS) | (words[1:-1] << BITS) | words[2:]
 
@@ -139,45 +161,77 @@ def frequencies(docs: DataFrame, items: Items) -> np.ndarray:
     return counts
 
 
-def passages(items: Items, seeds: tuple[np.ndarray, np.ndarray, np.ndarray], words: np.ndarray, owners: np.ndarray,
-             starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-    """Text, item, first and last word of every passage that shares seeds with an item."""
+def passages(items: Items, members: np.ndarray, seeds: tuple[np.ndarray, np.ndarray, np.ndarray], words: np.ndarray,
+             owners: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """Text, item, first and last word of every passage that shares seeds, and words enough, with an item."""
     codes, which, position = seeds
     single = np.unique(codes)
-    at, place = hits(words, owners, single)
-    low, high = np.searchsorted(codes, single[place]), np.searchsorted(codes, single[place], "right")
-    repeats = high - low
-    entry = np.repeat(low, repeats) + np.arange(repeats.sum()) - np.repeat(np.cumsum(repeats) - repeats, repeats)
-    at = np.repeat(at, repeats)
-    text, item, origin = owners[at], which[entry], at - position[entry]
-    order = np.lexsort((origin, item, text))
-    text, item, origin = text[order], item[order], origin[order]
-    slack = np.array([len(w) // 4 + 4 for w in items.words])
-    same = (text[1:] == text[:-1]) & (item[1:] == item[:-1]) & (np.diff(origin) <= slack[item[1:]])
-    heads = np.flatnonzero(np.r_[True, ~same]) if len(text) else np.array([], np.int64)
-    for first, last in zip(heads, np.r_[heads[1:], len(text)] - 1):
-        yield cut(items, (int(text[first]), int(item[first]), int(origin[first]), int(origin[last])), starts, ends)
-
-
-def cut(items: Items, group: tuple[int, int, int, int], starts: np.ndarray, ends: np.ndarray) -> tuple[int, int, int, int]:
-    t, i, first, last = group
-    length = len(items.words[i])
-    slack = length // 4 + 4
-    return t, i, max(int(starts[t]), first - slack), min(int(ends[t]), last + length + slack)
+    lengths = np.array([len(w) for w in items.words], np.int64)
+    slack, enough = lengths // 4 + 4, np.minimum(SHARE * lengths, LONG_RUN)
+    places, hit = hits(words, owners, single)
+    low, high = np.searchsorted(codes, single[hit]), np.searchsorted(codes, single[hit], "right")
+    known = np.r_[0, np.cumsum(words >= 0)]
+    # texts in turn, so that only the hits of some texts are spread over their items at a time
+    spread = np.cumsum(high - low)
+    borders = np.flatnonzero(np.r_[True, owners[places[1:]] != owners[places[:-1]]]) if len(places) else np.array([], np.int64)
+    before = np.r_[0, spread][borders]
+    first = 0
+    while first < len(borders):
+        after = max(first + 1, int(np.searchsorted(before, before[first] + LOOKUPS, "right")) - 1)
+        one, stop = borders[first], borders[after] if after < len(borders) else len(places)
+        first = after
+        repeats = (high - low)[one:stop]
+        entry = np.repeat(low[one:stop], repeats) + ranges(repeats)
+        at = np.repeat(places[one:stop], repeats)
+        text, item, origin = owners[at], which[entry], at - position[entry]
+        order = np.lexsort((origin, item, text))
+        text, item, origin = text[order], item[order], origin[order]
+        apart = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (np.diff(origin) > slack[item[1:]])
+        heads = np.flatnonzero(np.r_[True, apart])
+        text, item, last = text[heads], item[heads], origin[np.r_[heads[1:], len(origin)] - 1]
+        begin = np.maximum(starts[text], origin[heads] - slack[item])
+        end = np.minimum(ends[text], last + lengths[item] + slack[item])
+        able = known[end] - known[begin] >= enough[item]
+        text, item, begin, end = text[able], item[able], begin[able], end[able]
+        able = shared_words(members, words, item, begin, end) >= enough[item]
+        yield from zip(text[able].tolist(), item[able].tolist(), begin[able].tolist(), end[able].tolist())
+
+
+def ranges(sizes: np.ndarray) -> np.ndarray:
+    """0 to size - 1 for each size, one after the other."""
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def shared_words(members: np.ndarray, words: np.ndarray, item: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """How many words of each passage occur in its item: no alignment scores more."""
+    shared = np.zeros(len(item), np.int64)
+    total = np.cumsum(end - begin)
+    first = 0
+    while first < len(item):
+        base = total[first] - (end - begin)[first]
+        stop = max(first + 1, int(np.searchsorted(total, base + LOOKUPS, "right")))
+        sizes = (end - begin)[first:stop]
+        owner = np.repeat(np.arange(first, stop), sizes)
+        word = words[np.repeat(begin[first:stop], sizes) + ranges(sizes)]
+        owner, word = owner[word >= 0], word[word >= 0]
+        code = (item[owner] << BITS) | word
+        found = members[np.minimum(np.searchsorted(members, code), len(members) - 1)] == code
+        shared += np.bincount(owner[found], minlength=len(item))
+        first = stop
+    return shared
 
 
 def matches(docs: DataFrame, items: Items, seeds: tuple[np.ndarray, np.ndarray, np.ndarray], doc_type: str, item_type: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        members = items.members()
         for b in pieces(batches, "text"):
             words, owners = encode(b.column("text"), items.numbers)
             sizes = np.bincount(owners, minlength=b.num_rows)
             ends = np.cumsum(sizes)
             starts = ends - sizes
             best: dict[tuple[int, int], tuple[float, int, int]] = {}
-            for t, i, first, last in passages(items, seeds, words, owners, starts, ends):
+            for t, i, first, last in passages(items, members, seeds, words, owners, starts, ends):
                 passage, item = words[first:last], items.words[i]
-                if np.isin(passage, item).sum() < items.enough(i):  # an alignment can't score more
-                    continue
                 score, begin, end = align(item, passage)
                 if score >= items.enough(i) and score > best.get((t, i), (0.0,))[0]:
                     best[t, i] = (score, first + begin - int(starts[t]), first + end - int(starts[t]))

@@ -1,10 +1,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tablescope.llm import decontamination
-from tablescope.llm.decontamination import align, contaminated
+from tablescope.llm.decontamination import Items, align, contaminated, encode, passages, rarest
 
 from .helpers import no_docs, odd_docs, prose
 
@@ -74,6 +75,54 @@ def test_regularly_edited_copies_against_whole_alignment(spark, bench, every, be
     assert {(r.doc_id, r.item_id) for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("n", [3, 12, 16, 30, 45, 60, 61, 150])
+def test_rarest_triples_meet_every_copy_within_the_edit_rate(n):
+    """Random stretches with at most one edit in four words, scored without gaps, always keep a seed; adverse counts."""
+    rng = random.Random(n)
+    enough = min(0.5 * n, 30.0)
+    tried = 0
+    for _ in range(3000):
+        length = rng.randint(min(n, 3), min(n, 48))
+        start = rng.randrange(n - length + 1)
+        phase = rng.randrange(4)
+        edits = rng.choice([set(range(start + phase, start + length, 4)), set(rng.sample(range(start, start + length), length // 4)),
+                            set(rng.sample(range(start, start + length), rng.randint(0, length // 4)))])
+        if len(edits) > length // 4 or length - 1.5 * len(edits) < enough:
+            continue
+        tried += 1
+        kept = [p for p in range(start, start + length - 2) if not {p, p + 1, p + 2} & edits]
+        # the copy's own triples are counted most often
+        frequency = np.array([9 if p in kept else rng.randint(0, 9) for p in range(n - 2)])
+        chosen = rarest(frequency, enough, n)
+        assert any(chosen[p] for p in kept)
+    assert tried
+
+
+def test_common_phrase_does_not_join_all(spark):
+    """A phrase of every item and every text links none of them: only the copies are aligned."""
+    vocabulary = [f"w{k}" for k in range(30_000)]
+    phrase = " as well as "
+    items = [(i, prose(i, 20, vocabulary) + phrase + prose(5000 + i, 20, vocabulary)) for i in range(400)]
+    docs = [(d, prose(9000 + d, 60, vocabulary) + phrase + (items[d][1] if d < 20 else "")) for d in range(400)]
+    held = Items(items)
+    words, owners = encode(pa.array([t for _, t in docs]), held.numbers)
+    ends = np.cumsum(np.bincount(owners, minlength=len(docs)))
+    starts = np.r_[0, ends[:-1]]
+    frequency = np.ones(len(held.codes), np.int64)
+    common = np.bincount(np.concatenate(held.places)) > 300
+    frequency[common] = 400
+    found = list(passages(held, held.members(), held.seeds(frequency), words, owners, starts, ends))
+    assert [(t, i) for t, i, _, _ in found] == [(d, d) for d in range(20)]
+    # the same where the phrase stays a seed: passages that share too few words are left out before alignment
+    every = (np.concatenate(held.places), np.repeat(np.arange(400), [len(p) for p in held.places]),
+             np.concatenate([np.arange(len(p)) for p in held.places]))
+    order = np.argsort(every[0], kind="stable")
+    seeds = held.codes[every[0][order]], every[1][order], every[2][order]
+    assert {(t, i) for t, i, _, _ in passages(held, held.members(), seeds, words, owners, starts, ends)} == {(d, d) for d in range(20)}
+    got = contaminated(spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(items, "item_id int, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == {(d, d) for d in range(20)}
+
+
 def test_odd_rows(spark, bench):
     items = spark.createDataFrame(bench + [(50, None), (51, ""), (52, "two words"), (None, prose(7, 60)), (53, prose(7, 60))],
                                   "item_id int, text string")
