@@ -1,15 +1,16 @@
 """Exact nearest neighbours, and what is built on them: kNN imputation and kNN prediction.
 
-A bounded set of donors is broadcast. Beyond that size the search narrows: a small sample of the
-donors bounds the distance of each query's k-th neighbour, larger samples tighten the bound, and the
-full table is only looked at inside it, by an equi-join on grid cells as wide as the bound. No step
-compares all queries with all donors and none leaves a candidate out.
+Points may lack coordinates: the distance runs over those that both have, scaled up for the others. A bounded set of donors is
+broadcast. More donors are sorted along a Z-order curve of quantile ranks, points with the same gaps together, and cut into boxes of
+boxes: each box keeps the range of every coordinate, which bounds the distance of all its points from below. A query takes a first
+bound from the nearest boxes on its way down, then visits every box that isn't beyond the bound. One search serves all patterns of gaps,
+levels are joined on the number of the box above, and no candidate is left out.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -20,9 +21,12 @@ from tablescope.functions.checkpoints import checkpointed
 from tablescope.functions.columns import as_double, col, nan_to_null, numeric_columns, scalar_stats
 
 BROADCAST_DONORS = 20_000
-SAMPLE_DONORS = 2_000
-GROWTH = 30
-GRID_DIMS = 2
+BROADCAST_BYTES = 8 << 20  # of boxes
+SAMPLE_DONORS = 256        # donors in a smallest box
+GROWTH = 64                # boxes in the box above
+FIRST_BOXES = 2            # boxes per level that give a query its first bound
+DONORS_PER_RANGE = 500_000
+CODE_BITS = 60             # of the Z-order code, shared by the coordinates
 CHUNK = 4_000_000  # distances held at once in a task
 
 
@@ -42,55 +46,162 @@ def first_k(found: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
         "_take", F.least("_left", "_n")).drop("_r", "_left")
 
 
-def _against(queries: DataFrame, donors: DataFrame, dims: Sequence[str], k: int) -> DataFrame:
-    """Distances to the ``k`` nearest of a counted, small donor table held by every task."""
-    held = donors.select(*dims, "_payload", "_n").toPandas().sort_values(["_payload", *dims])  # bounded by the caller
-    shared = queries.sparkSession.sparkContext.broadcast(
-        (held[list(dims)].to_numpy(float), held["_payload"].to_numpy(float), held["_n"].to_numpy()))
+def _names(kind: str, width: int) -> list[str]:
+    return [f"{kind}{i}" for i in range(width)]
+
+
+def _total(terms: Sequence[Column]) -> Column:
+    return reduce(lambda a, b: a + b, terms)
+
+
+def _squares(gaps: Sequence[Column], shared: Sequence[Column]) -> tuple[Column, Column]:
+    """Sum of squared gaps (NULL counts as zero) scaled to all coordinates, and how many coordinates are shared."""
+    both = _total([s.cast("int") for s in shared])
+    return _total([F.coalesce(g * g, F.lit(0.0)) for g in gaps]) * (F.lit(float(len(gaps))) / both), both
+
+
+def _against(asks: DataFrame, donors: DataFrame, width: int, k: int) -> DataFrame:
+    """Candidates from a counted, small donor table held by every task."""
+    xs, ys = _names("x", width), _names("y", width)
+    held = donors.select(*ys, "_payload", "_n").toPandas().sort_values(["_payload", *ys])  # bounded by the caller
+    shared = asks.sparkSession.sparkContext.broadcast((held[[*ys, "_payload"]].to_numpy(float), held["_n"].to_numpy()))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        points, payload, count = shared.value
-        keep, step = min(k, len(points)), max(1, CHUNK // max(1, len(points)))
-        for batch in batches:
-            x = batch.to_numpy(float)
+        table, count = shared.value
+        keep, step = min(k, len(table)), max(1, CHUNK // max(1, len(table)))
+        for batch in batches if len(table) else ():
+            x, wanted = batch[xs].to_numpy(float), batch["_j"].to_numpy()
             for start in range(0, len(x), step):
-                part = x[start:start + step]
-                d2 = np.zeros((len(part), len(points)))
-                for i in range(part.shape[1]):
-                    d2 += (part[:, i, None] - points[None, :, i]) ** 2
+                part, j = x[start:start + step], wanted[start:start + step]
+                d2, both = np.zeros((len(part), len(table))), np.zeros((len(part), len(table)))
+                for i in range(width):
+                    gap = part[:, i, None] - table[None, :, i]
+                    d2 += np.where(np.isnan(gap), 0.0, gap * gap)
+                    both += ~np.isnan(gap)
+                payload = table[:, j].T  # -1 is the last column, the payload of its own
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    d2 = np.where((both > 0) & ~np.isnan(payload), d2 * (width / both), np.inf)
                 bound = np.partition(d2, keep - 1, axis=1)[:, keep - 1]
-                row, donor = np.nonzero(d2 <= bound[:, None])
-                out = pd.DataFrame(part[row], columns=list(dims))
-                yield out.assign(_payload=payload[donor], _n=count[donor], _d2=d2[row, donor])
-
-    schema = ", ".join(f"`{d}` double" for d in dims) + ", _payload double, _n long, _d2 double"
-    return queries.select(*dims).mapInPandas(search, schema)
-
-
-def _cells(x: Column, width: Column) -> Column:
-    return F.floor(x / width)
-
-
-def _within(queries: DataFrame, donors: DataFrame, dims: Sequence[str], grid: Sequence[str], floor_exp: int) -> DataFrame:
-    """All donors not farther than each query's own ``_bound``."""
-    exp = F.greatest(F.ceil(F.log2(F.greatest(F.col("_bound"), F.lit(1e-300)))), F.lit(floor_exp)).cast("int")
-    sized = queries.withColumn("_e", exp)
-    used = sorted(r[0] for r in sized.select("_e").distinct().collect())  # exponents of a double: at most ~2000
-    width = F.pow(F.lit(2.0), F.col("_e"))
-    spread = sized
-    for g, d in enumerate(grid):
-        spread = spread.withColumn(f"_c{g}", F.explode(F.sequence(
-            _cells(F.col(d) - F.col("_bound"), width), _cells(F.col(d) + F.col("_bound"), width))))
-    listed = donors.withColumn("_e", F.explode(F.array(*[F.lit(e) for e in used])))
-    for g, d in enumerate(grid):
-        listed = listed.withColumn(f"_c{g}", _cells(F.col(d), width))
-    q, p = spread.alias("q"), listed.alias("p")
-    same = [F.col("q._e") == F.col("p._e")] + [F.col(f"q._c{g}") == F.col(f"p._c{g}") for g in range(len(grid))]
-    d2 = sum(((F.col(f"q.{d}") - F.col(f"p.{d}")) * (F.col(f"q.{d}") - F.col(f"p.{d}")) for d in dims), F.lit(0.0))
-    slack = F.col("q._bound") * F.col("q._bound") * (1 + 1e-12)
-    return q.join(p, same).select(
-        *[F.col(f"q.{d}").alias(d) for d in dims], "p._payload", "p._n", d2.alias("_d2"), slack.alias("_slack")).where(
-        F.col("_d2") <= F.col("_slack")).drop("_slack")
+                row, donor = np.nonzero((d2 <= bound[:, None]) & np.isfinite(d2))
+                yield pd.DataFrame(part[row], columns=xs).assign(
+                    _j=j[row], _payload=payload[row, donor], _n=count[donor], _d2=d2[row, donor])
+
+    schema = ", ".join(f"{x} double" for x in xs) + ", _j int, _payload double, _n long, _d2 double"
+    return nan_to_null(asks.select(*xs, "_j").mapInPandas(search, schema))
+
+
+def _z_order(donors: DataFrame, ys: Sequence[str]) -> Column:
+    """Place on a Z-order curve through the quantile ranks of the coordinates."""
+    bits = max(1, min(10, CODE_BITS // len(ys)))
+    used = list(ys)[:CODE_BITS]
+    probs = [i / (1 << bits) for i in range(1, 1 << bits)]
+    cuts = [np.array(c) for c in donors.approxQuantile(used, probs, 0.25 / (1 << bits))]  # at most 1023 numbers each
+
+    def code(*columns: pd.Series) -> pd.Series:
+        ranks = [np.where(np.isnan(v), 0, np.searchsorted(c, v)) for c, v in zip(cuts, (s.to_numpy(float) for s in columns))]
+        out = np.zeros(len(columns[0]), np.int64)
+        for bit in reversed(range(bits)):
+            for rank in ranks:
+                out = (out << 1) | (rank >> bit & 1)
+        return pd.Series(out)
+
+    return F.pandas_udf(code, "bigint")(*used)
+
+
+def _boxed(donors: DataFrame, width: int, leaf: int, fan: int) -> tuple[DataFrame, list[tuple[DataFrame, int]]]:
+    """Donors with the number of their box, and per level, top first, the boxes with ``_up`` and an upper limit of their count.
+
+    A box has per coordinate the least and largest value, whether all points have it, and the rows that do.
+    """
+    ys = _names("y", width)
+    gaps = F.concat(*[F.col(y).isNull().cast("int").cast("string") for y in ys])
+    order = ["_gaps", "_z", *ys, "_payload"]
+    ranges = max(1, -(-donors.count() // DONORS_PER_RANGE))
+    placed = checkpointed(
+        donors.withColumns({"_gaps": gaps, "_z": _z_order(donors, ys)}).repartitionByRange(ranges, *order)
+        .sortWithinPartitions(*order).drop("_gaps", "_z")
+        .withColumns({"_part": F.spark_partition_id().cast("bigint"), "_at": F.monotonically_increasing_id()}))
+    in_part = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    longest = int(placed.agg(F.max(in_part)).first()[0] or 0).bit_length()
+    places = longest + (ranges - 1).bit_length()
+    placed = placed.withColumn("_box", F.shiftright(F.shiftleft("_part", longest) + in_part, leaf)).drop("_part", "_at")
+    boxes = checkpointed(placed.groupBy("_box").agg(
+        *[F.min(y).alias(f"lo{i}") for i, y in enumerate(ys)], *[F.max(y).alias(f"hi{i}") for i, y in enumerate(ys)],
+        *[F.bool_and(F.col(y).isNotNull()).alias(f"all{i}") for i, y in enumerate(ys)],
+        *[F.sum(F.when(F.col(y).isNotNull(), F.col("_n")).otherwise(0)).alias(f"rows{i}") for i, y in enumerate(ys)],
+        F.sum(F.when(F.col("_payload").isNotNull(), F.col("_n")).otherwise(0)).alias("rows")))
+    levels = []
+    left = places - leaf
+    while True:
+        levels.append((boxes.withColumn("_up", F.shiftright("_box", fan)), 1 << max(0, left)))
+        left -= fan
+        if left <= 0:
+            return placed, levels[::-1]
+        boxes = boxes.groupBy(F.shiftright("_box", fan).alias("_box")).agg(
+            *[f(f"{n}{i}").alias(f"{n}{i}") for n, f in (("lo", F.min), ("hi", F.max), ("all", F.bool_and), ("rows", F.sum))
+              for i in range(width)], F.sum("rows").alias("rows"))
+
+
+def _down(asks: DataFrame, level: tuple[DataFrame, int], width: int) -> DataFrame:
+    """Queries with the boxes below theirs that hold a wanted value, and ``_least``, which no distance in the box is below."""
+    boxes, limit = level
+    xs = _names("x", width)
+    boxes = boxes.withColumnRenamed("_box", "_below")
+    if limit * (3 * width + 2) * 8 <= BROADCAST_BYTES:
+        boxes = F.broadcast(boxes)
+    met = asks.join(boxes, F.col("_box") == F.col("_up"))
+    gaps = [F.when(F.col(f"all{i}"), F.greatest(F.col(f"lo{i}") - F.col(x), F.col(x) - F.col(f"hi{i}"), F.lit(0.0)))
+            for i, x in enumerate(xs)]
+    # greatest() passes over NULL: a missing coordinate of the query has no gap
+    gaps = [F.when(F.col(x).isNotNull(), g) for x, g in zip(xs, gaps)]
+    least, both = _squares(gaps, [F.col(x).isNotNull() & F.col(f"lo{i}").isNotNull() for i, x in enumerate(xs)])
+    held = F.coalesce(*[F.when(F.col("_j") == i, F.col(f"rows{i}")) for i in range(width)], F.col("rows"))
+    return met.withColumns({"_both": both, "_held": held}).where("_both > 0 AND _held > 0").select(
+        *asks.drop("_box").columns, F.col("_below").alias("_box"), least.alias("_least"), "_held")
+
+
+def _inside(asks: DataFrame, placed: DataFrame, width: int) -> DataFrame:
+    """Distances of queries to the donors of their boxes."""
+    xs = _names("x", width)
+    met = asks.join(placed.withColumnRenamed("_box", "_up"), F.col("_box") == F.col("_up"))
+    payload = F.coalesce(F.col("_payload"), *[F.when(F.col("_j") == i, F.col(f"y{i}")) for i in range(width)])
+    gaps = [F.col(x) - F.col(f"y{i}") for i, x in enumerate(xs)]
+    d2, both = _squares(gaps, [g.isNotNull() for g in gaps])
+    kept = ["_bound"] if "_bound" in asks.columns else []
+    return met.withColumns({"_value": payload, "_both": both}).where("_value IS NOT NULL AND _both > 0").select(
+        *xs, "_j", *kept, F.col("_value").alias("_payload"), "_n", d2.alias("_d2"))
+
+
+def _search(asks: DataFrame, donors: DataFrame, width: int, k: int, broadcast_limit: int | None = None,
+            sample: int | None = None) -> DataFrame:
+    """First ``k`` donors of each distinct query: (x..., _j, _payload, _n, _d2, _take).
+
+    ``asks`` has x0... and ``_j``, the coordinate whose value is wanted or -1 for ``_payload``; ``donors`` has y0..., ``_payload`` and
+    ``_n``, the rows a donor stands for. ``sample`` is the number of donors in a smallest box.
+    """
+    xs = _names("x", width)
+    keys = [*xs, "_j"]
+    if donors.count() <= (BROADCAST_DONORS if broadcast_limit is None else broadcast_limit):
+        return first_k(_against(asks, donors, width, k), keys, k)
+    leaf, fan = (max(1, (n - 1).bit_length()) for n in (SAMPLE_DONORS if sample is None else sample, GROWTH))
+    placed, levels = _boxed(checkpointed(donors), width, leaf, fan)
+    asks = checkpointed(asks.select(*keys))
+
+    first = asks.withColumn("_box", F.lit(0).cast("bigint"))
+    nearest_boxes = Window.partitionBy(*keys).orderBy(F.desc(F.col("_held") >= k), "_least", "_box")
+    for level in levels:
+        first = _down(first, level, width).withColumn("_r", F.row_number().over(nearest_boxes)).where(
+            F.col("_r") <= FIRST_BOXES).drop("_r", "_least", "_held")
+    seen = first_k(_inside(first, placed, width), keys, k).groupBy(*keys).agg(
+        F.sum("_take").alias("_seen"), F.max("_d2").alias("_bound"))
+    # fewer than k rows give no bound
+    bounds = seen.select(*[F.col(c).alias(f"b{c}") for c in keys], F.when(F.col("_seen") >= k, F.col("_bound")).alias("_bound"))
+    same = [F.col(c).eqNullSafe(F.col(f"b{c}")) for c in keys]
+    within = checkpointed(asks.join(bounds, same, "left").select(*keys, "_bound")).withColumn("_box", F.lit(0).cast("bigint"))
+    for level in levels:
+        within = _down(within, level, width).where("_bound IS NULL OR _least <= _bound").drop("_least", "_held")
+    found = _inside(within, placed, width).where("_bound IS NULL OR _d2 <= _bound").drop("_bound")
+    return first_k(found, keys, k)
 
 
 def nearest(queries: DataFrame, donors: DataFrame, dims: Sequence[str], k: int, broadcast_limit: int | None = None,
@@ -99,32 +210,15 @@ def nearest(queries: DataFrame, donors: DataFrame, dims: Sequence[str], k: int,
 
     Donors are ordered by distance, then payload. ``dims`` hold no NULL; ``_payload`` is a double.
     """
-    broadcast_limit = BROADCAST_DONORS if broadcast_limit is None else broadcast_limit
-    sample = SAMPLE_DONORS if sample is None else sample
-    wanted = queries.select(*dims).distinct()
-    counted = donors.select(*dims, "_payload").groupBy(*dims, "_payload").agg(F.count("*").alias("_n"))
+    ys = _names("y", len(dims))
+    asks = queries.select(*[F.col(d).alias(f"x{i}") for i, d in enumerate(dims)]).distinct().withColumn("_j", F.lit(-1))
+    counted = donors.select(*[F.col(d).alias(y) for d, y in zip(dims, ys)], "_payload").where("_payload IS NOT NULL").groupBy(
+        *ys, "_payload").agg(F.count("*").alias("_n"))
     # of donors at one point only the first k payloads can ever be taken
-    at_point = Window.partitionBy(*dims).orderBy("_payload")
+    at_point = Window.partitionBy(*ys).orderBy("_payload")
     counted = counted.withColumn("_r", F.row_number().over(at_point)).where(F.col("_r") <= k).drop("_r")
-    n = counted.count()
-    if n <= broadcast_limit:
-        return first_k(_against(wanted, counted, dims, k), dims, k)
-
-    counted = checkpointed(counted.withColumn("_h", F.pmod(F.xxhash64(*dims, "_payload"), F.lit(1 << 40)) / float(1 << 40)))
-    seed = counted.orderBy("_h", *dims, "_payload").limit(max(sample, k))
-    found = first_k(_against(wanted, seed, dims, k), dims, k)
-    spans = counted.agg(*[F.approx_count_distinct(d) for d in dims], *[F.max(F.abs(F.col(d))) for d in dims]).first()
-    grid = [d for _, d in sorted(zip(spans[:len(dims)], dims), key=lambda s: -s[0])][:GRID_DIMS]
-    floor_exp = math.ceil(math.log2(max(spans[len(dims):]) + 1)) - 45
-    share = max(sample, k) / n
-    while share < 1:
-        share = min(1.0, share * GROWTH)
-        bounds = checkpointed(found.groupBy(*dims).agg(F.sqrt(F.max("_d2")).alias("_bound")))
-        pool = counted.where(F.col("_h") < share) if share < 1 else counted
-        # the seed stays in the pool, so every query keeps k donors inside its bound
-        pool = pool.unionByName(seed).distinct() if share < 1 else pool
-        found = first_k(_within(bounds, pool.drop("_h"), dims, grid, floor_exp), dims, k)
-    return found
+    found = _search(asks, counted, len(dims), k, broadcast_limit, sample)
+    return found.select(*[F.col(f"x{i}").alias(d) for i, d in enumerate(dims)], "_payload", "_n", "_d2", "_take")
 
 
 # --- imputation ----------------------------------------------------------------------------
@@ -138,49 +232,22 @@ def impute_knn(df: DataFrame, cols: Sequence[str] | None = None, k: int = 5, **l
     """
     data = nan_to_null(df)
     cols = list(cols) if cols is not None else numeric_columns(df)
-    code = F.concat(*[F.when(col(c).isNull(), "0").otherwise("1") for c in cols])
-    base = data.select(*[as_double(c).alias(f"x{i}") for i, c in enumerate(cols)], code.alias("_p"))
-    patterns = [r[0] for r in base.select("_p").distinct().collect()]  # patterns of missing columns in use
-    marked = [p for p in patterns if "0" in p]
-    if not marked:
+    if not cols:
         return data
-    parts = []
-    for s in marked:
-        asking = base.where(F.col("_p") == s)
-        for j in (i for i, bit in enumerate(s) if bit == "0"):
-            for t in (p for p in patterns if p[j] == "1"):
-                common = [f"x{i}" for i in range(len(cols)) if s[i] == "1" and t[i] == "1"]
-                if not common:
-                    continue
-                giving = base.where(F.col("_p") == t).withColumn("_payload", F.col(f"x{j}"))
-                hits = nearest(asking, giving, common, k, **limits)
-                scale = len(cols) / len(common)
-                present = [f"x{i}" for i in range(len(cols)) if s[i] == "1"]
-                # a donor pattern may lack a column of the query: widen back to the query's own point
-                asked = asking.select(*present).distinct()
-                wide = asked.join(hits, common) if set(common) != set(present) else hits
-                parts.append(wide.select(
-                    F.lit(s).alias("_p"), F.lit(j).alias("_j"),
-                    *[F.col(f"x{i}") if f"x{i}" in present else F.lit(None).cast("double").alias(f"x{i}") for i in range(len(cols))],
-                    "_payload", F.col("_take").alias("_n"), (F.col("_d2") * scale).alias("_d2")))
-    points = [f"x{i}" for i in range(len(cols))]
-    filled = None
-    if parts:
-        merged = parts[0]
-        for p in parts[1:]:
-            merged = merged.unionByName(p)
-        best = first_k(merged, ["_p", "_j", *points], k)
-        mean = F.sum(F.col("_payload") * F.col("_take")) / F.sum("_take")
-        per = best.groupBy("_p", "_j", *points).agg(mean.alias("_fill"))
-        filled = per.groupBy(*points).agg(*[
-            F.max(F.when(F.col("_j") == j, F.col("_fill"))).alias(f"f{j}") for j in range(len(cols))])
+    width = len(cols)
+    xs = _names("x", width)
+    points = data.select(*[as_double(c).alias(x) for c, x in zip(cols, xs)]).groupBy(*xs).agg(F.count("*").alias("_n"))
+    gaps = F.filter(F.array(*[F.when(F.col(x).isNull(), F.lit(i)) for i, x in enumerate(xs)]), lambda i: i.isNotNull())
+    asks = points.where(F.coalesce(*xs).isNotNull()).select(*xs, F.explode(gaps).alias("_j"))
+    donors = points.select(*[F.col(x).alias(f"y{i}") for i, x in enumerate(xs)], F.lit(None).cast("double").alias("_payload"), "_n")
+    best = _search(asks, donors, width, k, **limits)
+    mean = F.sum(F.col("_payload") * F.col("_take")) / F.sum("_take")
+    per = best.groupBy(*xs, "_j").agg(mean.alias("_fill"))
+    filled = per.groupBy(*xs).agg(*[F.max(F.when(F.col("_j") == j, F.col("_fill"))).alias(f"f{j}") for j in range(width)])
     means = scalar_stats(data, **{f"m{i}": F.avg(as_double(c)) for i, c in enumerate(cols)})
-    out = data.withColumn("_s", means).alias("d")
-    if filled is not None:
-        same = [as_double(c).eqNullSafe(F.col(f"f.x{i}")) for i, c in enumerate(cols)]
-        out = out.join(filled.alias("f"), same, "left")
-    made = {c: F.coalesce(as_double(c), *([F.col(f"f{i}")] if filled is not None else []), F.col(f"_s.m{i}"))
-            for i, c in enumerate(cols)}
+    same = [as_double(c).eqNullSafe(F.col(f"f.{x}")) for c, x in zip(cols, xs)]
+    out = data.withColumn("_s", means).alias("d").join(filled.alias("f"), same, "left")
+    made = {c: F.coalesce(as_double(c), F.col(f"f{i}"), F.col(f"_s.m{i}")) for i, c in enumerate(cols)}
     return out.select(*[made[c].alias(c) if c in made else col(c) for c in data.columns])
 
 

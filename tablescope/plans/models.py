@@ -332,6 +332,25 @@ def _(t):
     return out.withColumns({c: F.col(c).cast("bigint") for c in ("c_custkey", "c_nationkey")})
 
 
+# two columns with gaps: the distance runs over what both rows have, scaled to all three columns
+@query("impute_knn_patterns", """
+WITH g AS (SELECT c_custkey::DOUBLE AS k, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_nationkey::DOUBLE END AS x,
+             CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_acctbal END AS y FROM customer),
+p AS (SELECT q.k, j, CASE j WHEN 1 THEN d.x ELSE d.y END AS v,
+        ((q.k - d.k) * (q.k - d.k) + coalesce((q.x - d.x) * (q.x - d.x), 0) + coalesce((q.y - d.y) * (q.y - d.y), 0))
+          * (3.0::DOUBLE / (1 + (q.x - d.x IS NOT NULL)::INT + (q.y - d.y IS NOT NULL)::INT)) AS d2
+      FROM g q JOIN (VALUES (1), (2)) w(j) ON CASE j WHEN 1 THEN q.x ELSE q.y END IS NULL
+      JOIN g d ON CASE j WHEN 1 THEN d.x ELSE d.y END IS NOT NULL),
+f AS (SELECT k, j, avg(v) AS m FROM (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY k, j ORDER BY d2, v) <= 5) GROUP BY k, j)
+SELECT g.k::BIGINT AS c_custkey, coalesce(g.x, a.m) AS c_nationkey, coalesce(g.y, b.m) AS c_acctbal
+FROM g LEFT JOIN f a ON a.k = g.k AND a.j = 1 LEFT JOIN f b ON b.k = g.k AND b.j = 2""", doubles=["c_nationkey", "c_acctbal"])
+def _(t):
+    gaps = t.customer.select(
+        "c_custkey", F.expr("CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_nationkey END").alias("c_nationkey"),
+        F.expr("CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_acctbal END").alias("c_acctbal"))
+    return neighbours.impute_knn(gaps).withColumn("c_custkey", F.col("c_custkey").cast("bigint"))
+
+
 # customers are the training rows, suppliers the rows to predict; both have a balance and a nation
 _KNN = """
 WITH z AS (SELECT avg(c_acctbal) AS m0, stddev_pop(c_acctbal) AS s0, avg(c_nationkey) AS m1, stddev_pop(c_nationkey) AS s1 FROM customer),

@@ -150,6 +150,47 @@ def test_impute_knn_with_several_patterns(spark):
         assert sorted(tuple(round(v, 9) for v in r) for r in got) == want
 
 
+def _nan_euclidean(rows, k):
+    """Brute force: fills by the k nearest rows that have the value, ties by value; the column's mean without any."""
+    x = np.array(rows, float)
+    gap = x[:, None, :] - x[None, :, :]
+    both = (~np.isnan(gap)).sum(2)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        d2 = np.where(both > 0, np.nansum(gap * gap, 2) * (x.shape[1] / both), np.inf)
+    out = x.copy()
+    for r, j in zip(*np.nonzero(np.isnan(x))):
+        able = np.flatnonzero(np.isfinite(d2[r]) & ~np.isnan(x[:, j]))
+        near = able[np.lexsort((x[able, j], d2[r, able]))][:k]
+        out[r, j] = x[near, j].mean() if len(near) else np.nanmean(x[:, j])
+    return out
+
+
+@pytest.mark.parametrize("limits", [{}, {"broadcast_limit": 0, "sample": 8}])
+@pytest.mark.parametrize("shape", ["normal", "ties"])
+def test_impute_knn_in_five_columns_against_brute_force(spark, limits, shape, monkeypatch):
+    """300 rows, four columns with gaps, patterns in many mixtures, a row of gaps only, repeated rows."""
+    monkeypatch.setattr(neighbours, "GROWTH", 4)
+    rng = np.random.default_rng(8)
+    x = rng.normal(0, 1, (300, 5)) if shape == "normal" else rng.integers(0, 3, (300, 5)).astype(float)
+    x[:, :4][rng.random((300, 4)) < 0.25] = np.nan
+    x[7] = np.nan
+    x[8:12] = x[8]
+    rows = [tuple(None if np.isnan(v) else float(v) for v in r) for r in x]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double")
+    got = np.array(sorted(tuple(r) for r in neighbours.impute_knn(df, **limits).collect()))
+    want = np.array(sorted(map(tuple, _nan_euclidean(x, 5))))
+    assert np.allclose(got, want, atol=1e-9)
+
+
+def test_impute_knn_without_rows_or_gaps(spark):
+    empty = spark.createDataFrame([], "a double, b double")
+    assert neighbours.impute_knn(empty).collect() == []
+    full = spark.createDataFrame([(1.0, 2.0), (3.0, 4.0)], "a double, b double")
+    assert sorted(map(tuple, neighbours.impute_knn(full, broadcast_limit=0).collect())) == [(1.0, 2.0), (3.0, 4.0)]
+    alone = spark.createDataFrame([(1.0, None), (None, 4.0)], "a double, b double")
+    assert sorted(map(tuple, neighbours.impute_knn(alone, broadcast_limit=0).collect())) == [(1.0, 4.0), (1.0, 4.0)]
+
+
 def test_predict_knn_votes(spark):
     train = spark.createDataFrame([(float(i), float(i // 50)) for i in range(100)], "x double, y double")
     test = spark.createDataFrame([(10.2,), (80.1,)], "x double")
