@@ -8,13 +8,10 @@ so there is no twin; tests hold the stages against brute force.
 
 from __future__ import annotations
 
-import re
-
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescope.llm.common import discard, fresh, numbered, scratch, shared_folder, write
+from tablescope.llm.common import discard, numbered_in_place, scratch, shared_folder, write
 from tablescope.llm.decontamination import contaminated
 from tablescope.llm.mixing import mix_sources
 from tablescope.llm.quality_rules import quality_rules
@@ -25,23 +22,6 @@ ORACLE_SQL = None
 SHARDS = 24
 
 
-def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """``docs`` with a number per row that stays the same however they are read: part of the table and place in its file.
-
-    Tables whose files have no part numbers of their own, and docs that are no table, are written with numbers first.
-    """
-    name = fresh(docs.columns, "_row")
-    parts = [re.search(r"part-(\d+)(?:[^/]*-c(\d+))?[^/]*$", f) for f in docs.inputFiles()]
-    known = [p and (int(p[1]), int(p[2] or 0)) for p in parts]
-    if len(known) != 1 and (not known or None in known or len(set(known)) < len(known) or any(c for _, c in known)):
-        return numbered(docs)
-    part = F.lit(0) if len(known) == 1 else F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1)
-    try:
-        return docs.withColumn(name, F.shiftleft(part.cast("bigint"), 40) + F.col("_metadata.row_index")), name
-    except AnalysisException:
-        return numbered(docs)
-
-
 def _only(docs: DataFrame, row: str, chosen: DataFrame, how: str = "left_semi") -> DataFrame:
     """Rows of ``docs`` whose number is (or, left_anti, isn't) in ``chosen``; the numbers are hashed, the texts not sorted."""
     return docs.join(chosen.select(row).hint("shuffle_hash"), row, how).drop(row)
@@ -49,26 +29,26 @@ def _only(docs: DataFrame, row: str, chosen: DataFrame, how: str = "left_semi")
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules."""
-    rows, row = _numbered(docs)
+    rows, row = numbered_in_place(docs)
     return _only(rows, row, quality_rules(rows, key=row, row=row).where("kept"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the first row."""
-    rows, row = _numbered(docs)
+    rows, row = numbered_in_place(docs)
     return _only(rows, row, near_duplicates(rows, key=row).where(F.col(row) == F.col("component_id")))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a copy of a benchmark item."""
-    rows, row = _numbered(docs)
+    rows, row = numbered_in_place(docs)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return _only(rows, row, contaminated(rows, items, key=row, item_key="item_id"), "left_anti")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    rows, row = _numbered(docs)
+    rows, row = numbered_in_place(docs)
     taken = mix_sources(rows, key=row).where("copies > 0").select(row, F.col("copies").alias(f"{row}_copies"))
     return (rows.join(taken.hint("shuffle_hash"), row)
             .withColumn(f"{row}_copies", F.explode(F.sequence(F.lit(1), F.col(f"{row}_copies").cast("int"))))
@@ -77,7 +57,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their shard and their slot in it."""
-    rows, row = _numbered(docs)
+    rows, row = numbered_in_place(docs)
     return shard_records(rows, SHARDS, carry=True, row=row)
 
 

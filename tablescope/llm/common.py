@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -10,6 +11,7 @@ from contextvars import ContextVar
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,16 +45,23 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         discard(spark, *made)
 
 
-def write(df: DataFrame, path: str, *partition_by: str) -> DataFrame:
-    """Write ``df`` as Parquet and read it back; shuffle files of the job are freed when it ends."""
-    spark = df.sparkSession
+@contextmanager
+def freeing(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the jobs started inside are freed when each ends."""
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        writer = df.write.option("compression", "zstd")
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+        yield
     finally:
         spark.conf.set(CLEANUP, before)
+
+
+def write(df: DataFrame, path: str, *partition_by: str) -> DataFrame:
+    """Write ``df`` as Parquet and read it back; shuffle files of the job are freed when it ends."""
+    spark = df.sparkSession
+    with freeing(spark):
+        writer = df.write.option("compression", "zstd")
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -91,6 +100,24 @@ def numbered(df: DataFrame, path: str | None = None) -> tuple[DataFrame, str]:
     return write(df.withColumn(name, F.monotonically_increasing_id()), path or shared_folder(df.sparkSession, "rows")), name
 
 
+def numbered_in_place(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a number per row that stays the same however they are read: part of the table and place in its file.
+
+    ``docs`` is a table as read. Tables whose files have no part numbers of their own, and docs that are no table, are written with
+    numbers first.
+    """
+    name = fresh(docs.columns, "_row")
+    parts = [re.search(r"part-(\d+)(?:[^/]*-c(\d+))?[^/]*$", f) for f in docs.inputFiles()]
+    known = [p and (int(p[1]), int(p[2] or 0)) for p in parts]
+    if len(known) != 1 and (not known or None in known or len(set(known)) < len(known) or any(c for _, c in known)):
+        return numbered(docs)
+    part = F.lit(0) if len(known) == 1 else F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1)
+    try:
+        return docs.withColumn(name, F.shiftleft(part.cast("bigint"), 40) + F.col("_metadata.row_index")), name
+    except AnalysisException:
+        return numbered(docs)
+
+
 def split_words(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray]:
     """All words of a batch in order, and the index of the text each belongs to. Null texts have none."""
     texts = pc.fill_null(texts, "")

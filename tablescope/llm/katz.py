@@ -32,7 +32,7 @@ from pandas.util import hash_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablescope.llm.common import column, discard, numbered, pieces, shared_folder, split_words, write
+from tablescope.llm.common import column, discard, freeing, numbered, pieces, shared_folder, split_words, write
 
 VOCABULARY: int | None = None   # None: no class of rare words
 NUMBERED = 500_000
@@ -43,6 +43,7 @@ PIECE_ROWS = 65_536         # texts handled together; their places fit two bytes
 GT_LIMIT = 5                 # counts above it are not discounted
 END, OTHER, START, FIRST = 0, 1, 2, 3   # numbers: end token, words without a number, start of text, first word
 SHIFT = 20                   # bits of a word number in a pair code
+CODE_BYTES = 2 * SHIFT // 8
 ENDING = ""                  # the end token in ``unigrams``; words are never empty
 
 
@@ -182,21 +183,23 @@ def bucket_of(codes: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def by_bucket(codes: np.ndarray, buckets: int) -> tuple[pa.Array, list[np.ndarray]]:
-    """The buckets that occur, and the places of their codes in order."""
+    """The buckets that occur, and the places of their codes in the order of the codes."""
+    order = np.argsort(codes)
     where = bucket_of(codes, buckets).astype(np.int32)
-    order = np.argsort(where, kind="stable")
+    order = order[np.argsort(where[order].astype(np.uint16) if buckets <= 1 << 16 else where[order], kind="stable")]
     ends = np.flatnonzero(np.r_[where[order][1:] != where[order][:-1], True]) + 1 if len(order) else []
     parts = [order[i:j] for i, j in zip([0, *ends], ends)]
     return pa.array([where[k[0]] for k in parts], pa.int32()), parts
 
 
-def five_bytes(codes: np.ndarray) -> bytes:
-    return codes.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+def pack(numbers: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of the numbers, first all lowest bytes: what sorted numbers share stands together and is compressed."""
+    return numbers.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
 
 
-def from_five_bytes(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+def unpack(data: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(data) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(width, -1).T
     return out.view("<i8").ravel()
 
 
@@ -211,24 +214,26 @@ def train_pairs(docs: DataFrame, words: Words, folder: str, buckets: int) -> Dat
                 at, history, word = words.identify(numbers, owners, flat)
                 codes = np.delete(codes, at)
                 keys, first, n = np.unique(pair_keys(history, word), return_index=True, return_counts=True)
-                both = np.column_stack([history[first], word[first]]).astype("<i8")
+                history, word = history[first], word[first]
                 where, parts = by_bucket(keys, buckets)
+                parts = [k[np.lexsort((word[k], history[k]))] for k in parts]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(where.to_numpy() + buckets, pa.int32()), pa.array([both[k].tobytes() for k in parts], pa.binary()),
+                    [pa.array(where.to_numpy() + buckets, pa.int32()),
+                     pa.array([pack(history[k], 8) + pack(word[k], 8) for k in parts], pa.binary()),
                      pa.array([n[k] for k in parts], pa.list_(pa.int64()))], names)
             codes, n = np.unique(codes, return_counts=True)
             where, parts = by_bucket(codes, buckets)
             yield pa.RecordBatch.from_arrays(
-                [where, pa.array([five_bytes(codes[k]) for k in parts], pa.binary()),
+                [where, pa.array([pack(codes[k], CODE_BYTES) for k in parts], pa.binary()),
                  pa.array([n[k] for k in parts], pa.list_(pa.int64()))], names)
 
     def merge(group: pa.Table) -> pa.Table:
         data, n = group["codes"].to_pylist(), group["n"].combine_chunks().flatten().to_numpy()
         if group["bucket"][0].as_py() < buckets:
-            codes = np.concatenate([from_five_bytes(c) for c in data])
+            codes = np.concatenate([unpack(c, CODE_BYTES) for c in data])
             h, w = codes >> SHIFT, codes & ((1 << SHIFT) - 1)
         else:
-            h, w = np.frombuffer(b"".join(data), "<i8").reshape(-1, 2).T
+            h, w = (np.concatenate([unpack(half(c), 8) for c in data]) for half in (lambda c: c[:len(c) // 2], lambda c: c[len(c) // 2:]))
         order = np.lexsort((w, h))
         h, w, n = h[order], w[order], n[order]
         heads = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (w[1:] != w[:-1])])
@@ -363,7 +368,11 @@ class Model:
 
 def fit(docs: DataFrame, folder: str, *, text: str = "text") -> Model:
     """Count words and pairs of all ``docs`` and write the tables of the model to ``folder``."""
-    plain = docs.select(column(text).alias("text"))
+    with freeing(docs.sparkSession):
+        return _fit(docs.select(column(text).alias("text")), folder)
+
+
+def _fit(plain: DataFrame, folder: str) -> Model:
     unigrams, words = train_words(plain, folder)
     buckets = max(1, -(-words.total // PER_BUCKET))
     bigrams = train_pairs(plain, words, folder, buckets)
@@ -371,6 +380,7 @@ def fit(docs: DataFrame, folder: str, *, text: str = "text") -> Model:
     wide = other_pairs(bigrams, others, words, folder, buckets)
     pairs, table = histories(bigrams, wide, words, folder, buckets)
     gains = other_gains(wide, table, pairs, buckets, folder)
+    discard(plain.sparkSession, f"{folder}/pairs")
     weights = table.where("h < 0").select("h", F.log10("alpha").alias("log_alpha"))
     return Model(unigrams, bigrams, words, pairs, buckets, others.join(weights, "h", "left").select("word", "n", "log_alpha"), gains)
 
@@ -425,16 +435,15 @@ def _pairs(words: Words, pairs: Pairs, buckets: int):
                 at, history, word = words.identify(numbers, owners, flat)
                 cold[at] = False
                 keys = pair_keys(history, word)
-                yield bundle(b, buckets, keys, owners[at], lambda k: k.astype("<i8").tobytes(), buckets)
-            yield bundle(b, buckets, codes[cold], owners[cold], five_bytes)
+                yield bundle(b, buckets, keys, owners[at], 8, buckets)
+            yield bundle(b, buckets, codes[cold], owners[cold], CODE_BYTES)
 
-    def bundle(b: pa.RecordBatch, buckets: int, codes: np.ndarray, owners: np.ndarray, packed, offset: int = 0) -> pa.RecordBatch:
+    def bundle(b: pa.RecordBatch, buckets: int, codes: np.ndarray, owners: np.ndarray, width: int, offset: int = 0) -> pa.RecordBatch:
         where, parts = by_bucket(codes, buckets)
-        owners = owners.astype("<u2")
         return pa.RecordBatch.from_arrays(
             [pa.array(where.to_numpy() + offset, pa.int32()), pa.array([b.column("row")[0].as_py()] * len(parts), pa.int64()),
-             pa.array([packed(codes[k]) for k in parts], pa.binary()),
-             pa.array([owners[k].tobytes() for k in parts], pa.binary())], ["bucket", "first", "codes", "places"])
+             pa.array([pack(codes[k], width) for k in parts], pa.binary()),
+             pa.array([pack(owners[k], 2) for k in parts], pa.binary())], ["bucket", "first", "codes", "places"])
 
     return run
 
@@ -454,7 +463,7 @@ def _meet(words: Words, pairs: Pairs, buckets: int):
             known = (h.astype(np.int64) << SHIFT) | w
         places, gains = [], []
         for data, place in zip(texts["codes"].to_pylist(), texts["places"].to_pylist()):
-            codes, place = np.frombuffer(data, "<i8") if wide else from_five_bytes(data), np.frombuffer(place, "<u2")
+            codes, place = unpack(data, 8 if wide else CODE_BYTES), unpack(place, 2).astype("<u2")
             gain = look_up(known, n, codes) if wide else pairs.gain(codes, look_up(known, n, codes), log_prob)
             texts_, at = np.unique(place, return_inverse=True)
             places.append(texts_.tobytes())
@@ -471,12 +480,18 @@ def _add(piece: pa.Table) -> pa.Table:
     return pa.table({"row": piece["first"][0].as_py() + some, "gain": total[some]})
 
 
-def score(docs: DataFrame, model: Model, folder: str, *, key: str = "doc_id", text: str = "text", train: Column | None = None) -> DataFrame:
-    """Key, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) of every text."""
+def score(docs: DataFrame, model: Model, folder: str, *, key: str = "doc_id", text: str = "text", train: Column | None = None,
+          row: str | None = None) -> DataFrame:
+    """Key, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) of every text.
+
+    ``row`` names a column of numbers that tell the rows apart and stay the same however they are read.
+    """
     words, pairs = model.words, model.pairs
-    plain = docs.select(column(key).alias("doc"), column(text).alias("text"), (F.lit(False) if train is None else train).alias("train"))
-    plain, row = numbered(plain, f"{folder}/rows")
-    plain = plain.withColumnRenamed(row, "row")
+    plain = docs.select(column(key).alias("doc"), column(text).alias("text"), (F.lit(False) if train is None else train).alias("train"),
+                        *([column(row).alias("row")] if row else []))
+    if not row:
+        plain, row = numbered(plain, f"{folder}/rows")
+        plain = plain.withColumnRenamed(row, "row")
     kind = plain.schema["doc"].dataType.simpleString()
     texts = write(plain.mapInArrow(
         _texts(words, pairs), f"row bigint, doc {kind}, train boolean, n_tokens bigint, n_known bigint, base double, "
@@ -505,9 +520,9 @@ def score(docs: DataFrame, model: Model, folder: str, *, key: str = "doc_id", te
         (F.col("score") + F.coalesce("gain", zero) + F.coalesce("more_score", zero)).alias("score")))
 
 
-def model_scores(docs: DataFrame, *, key: str = "doc_id", text: str = "text", folds: int = 7, held: int = 2) -> DataFrame:
+def model_scores(docs: DataFrame, *, key: str = "doc_id", text: str = "text", folds: int = 7, held: int = 2, row: str | None = None) -> DataFrame:
     """Train on the rows whose crc32 of the key does not leave ``held`` modulo ``folds``; score all rows."""
     folder = shared_folder(docs.sparkSession, "katz")
     train = F.crc32(F.coalesce(column(key).cast("string"), F.lit("")).cast("binary")) % folds != held
     model = fit(docs.where(train), folder, text=text)
-    return score(docs, model, folder, key=key, text=text, train=train)
+    return score(docs, model, folder, key=key, text=text, train=train, row=row)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tablescope.llm.auction import repaired
+from tablescope.llm.common import numbered_in_place
 from tablescope.llm.decontamination import contaminated
 from tablescope.llm.gnat import product_codes
 from tablescope.llm.katz import model_scores
@@ -82,7 +83,8 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op5_katz_backoff")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
-    return model_scores(table(spark, folder, "documents"))
+    docs, row = numbered_in_place(table(spark, folder, "documents"))
+    return model_scores(docs, row=row)
 
 
 @query("op2_lexicon_automata")
