@@ -29,7 +29,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pandas.util import hash_array
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablescope.llm.common import column, discard, freeing, numbered, pieces, shared_folder, split_words, write
@@ -65,8 +66,26 @@ def pick(table: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return table[np.minimum(counts, len(table) - 1)]
 
 
+class Carried:
+    """An object whose fields go to each executor once, however many functions use it."""
+
+    def carry(self, spark: SparkSession):
+        self.__dict__["fields"] = spark.sparkContext.broadcast(dict(vars(self)))
+        return self
+
+    def leave(self) -> None:
+        self.__dict__["fields"].unpersist()
+
+    def __reduce__(self):
+        return _arrived, (type(self), self.__dict__["fields"])
+
+
+def _arrived(kind: type, fields: Broadcast):
+    return kind(**fields.value)
+
+
 @dataclass
-class Words:
+class Words(Carried):
     """What every task knows of single words; arrays are indexed by word number."""
     vocabulary: pa.Array
     counts: np.ndarray
@@ -247,7 +266,7 @@ def train_pairs(docs: DataFrame, words: Words, folder: str, buckets: int) -> Dat
 
 
 @dataclass
-class Pairs:
+class Pairs(Carried):
     """What every task knows of histories and of the most frequent pairs."""
     discount: np.ndarray
     total: np.ndarray     # by history
@@ -374,11 +393,13 @@ def fit(docs: DataFrame, folder: str, *, text: str = "text") -> Model:
 
 def _fit(plain: DataFrame, folder: str) -> Model:
     unigrams, words = train_words(plain, folder)
+    words.carry(plain.sparkSession)
     buckets = max(1, -(-words.total // PER_BUCKET))
     bigrams = train_pairs(plain, words, folder, buckets)
     others = other_words(unigrams, words, folder)
     wide = other_pairs(bigrams, others, words, folder, buckets)
     pairs, table = histories(bigrams, wide, words, folder, buckets)
+    pairs.carry(plain.sparkSession)
     gains = other_gains(wide, table, pairs, buckets, folder)
     discard(plain.sparkSession, f"{folder}/pairs")
     weights = table.where("h < 0").select("h", F.log10("alpha").alias("log_alpha"))
@@ -503,6 +524,8 @@ def score(docs: DataFrame, model: Model, folder: str, *, key: str = "doc_id", te
                   .applyInArrow(_meet(words, pairs, model.buckets), "first bigint, places binary, gains binary")
                   .groupBy("first").applyInArrow(_add, "row bigint, gain double"), f"{folder}/gains")
     discard(docs.sparkSession, f"{folder}/rows")
+    words.leave()
+    pairs.leave()
     seen = F.coalesce("n", F.lit(0))
     size = F.lit(float(words.total + words.types + 1))
     share = 0.0 if words.whole else float(np.log10(words.prob[OTHER]))
