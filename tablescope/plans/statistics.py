@@ -88,36 +88,47 @@ def _(t):
     return stats.normality_test(t.lineitem, method="dagostino")
 
 
-@query("ttest_ind", """
-SELECT 'l_tax' AS column_a, 'l_discount' AS column_b, (m0 - m1) / sqrt(((n0 - 1) * v0 + (n1 - 1) * v1) / (n0 + n1 - 2) * (1 / n0 + 1 / n1))
-  AS statistic, (n0 + n1 - 2)::DOUBLE AS df FROM (
-  SELECT count(l_tax) AS n0, avg(l_tax) AS m0, var_samp(l_tax) AS v0, count(l_discount) AS n1, avg(l_discount) AS m1,
-         var_samp(l_discount) AS v1 FROM lineitem_gaps)""", derived=GAPS, doubles=["statistic", "df"])
+# two-sided tail of the t distribution: Simpson's rule on its density
+_T_TAIL = """(SELECT 1 - 2 * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi()) * least(abs(statistic), 40) / 12000
+  * sum(CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END
+        * (1 + (least(abs(statistic), 40) * i / 4000) ** 2 / df) ** (-(df + 1) / 2)) FROM range(4001) x(i))"""
+
+
+@query("ttest_ind", f"""
+WITH m AS (SELECT count(l_tax) AS n0, avg(l_tax) AS m0, var_samp(l_tax) AS v0, count(l_discount) AS n1, avg(l_discount) AS m1,
+  var_samp(l_discount) AS v1 FROM lineitem_gaps),
+t AS (SELECT (m0 - m1) / sqrt(((n0 - 1) * v0 + (n1 - 1) * v1) / (n0 + n1 - 2) * (1 / n0 + 1 / n1)) AS statistic,
+  (n0 + n1 - 2)::DOUBLE AS df FROM m), p AS (SELECT *, {_T_TAIL} AS p_value FROM t)
+SELECT 'l_tax' AS column_a, 'l_discount' AS column_b, statistic, df, p_value, p_value < 0.05 AS significant FROM p""",
+       derived=GAPS, doubles=["statistic", "df", "p_value"])
 def _(t):
-    return stats.ttest_ind(t.lineitem_gaps, "l_tax", "l_discount").select("column_a", "column_b", "statistic", "df")
+    return stats.ttest_ind(t.lineitem_gaps, "l_tax", "l_discount")
 
 
 def _anova(groups: str, labels: str) -> str:
+    """Of three groups: F with two numerator degrees of freedom has a tail in closed form."""
     return f"""
-WITH g AS ({groups}), t AS (SELECT count(*) AS k, sum(n) AS n, sum(n * m) / sum(n) AS gm, sum((n - 1) * v) AS within FROM g)
-SELECT {labels}, k AS groups, (SELECT sum(g.n * (g.m - t.gm) ** 2) FROM g, t) / (k - 1) / (within / (n - k)) AS statistic,
-  (k - 1)::DOUBLE AS df_between, (n - k)::DOUBLE AS df_within FROM t"""
+WITH g AS ({groups}), t AS (SELECT count(*) AS k, sum(n) AS n, sum(n * m) / sum(n) AS gm, sum((n - 1) * v) AS within FROM g),
+f AS (SELECT *, (SELECT sum(g.n * (g.m - t.gm) ** 2) FROM g, t) / (k - 1) / (within / (n - k)) AS statistic FROM t),
+p AS (SELECT *, CASE WHEN k = 3 THEN (1 + 2 * statistic / (n - k)) ** (-(n - k) / 2) END AS p_value FROM f)
+SELECT {labels}, k AS groups, statistic, (k - 1)::DOUBLE AS df_between, (n - k)::DOUBLE AS df_within, p_value,
+  p_value < 0.05 AS significant FROM p"""
 
 
 @query("anova_groups", _anova(
     "SELECT count(l_extendedprice) AS n, avg(l_extendedprice) AS m, var_samp(l_extendedprice) AS v FROM lineitem_gaps "
     "WHERE l_returnflag IS NOT NULL GROUP BY l_returnflag",
-    "'l_extendedprice' AS target_column, 'l_returnflag' AS group_column"), derived=GAPS, doubles=["statistic"])
+    "'l_extendedprice' AS target_column, 'l_returnflag' AS group_column"), derived=GAPS, doubles=["statistic", "p_value"])
 def _(t):
-    return stats.anova_groups(t.lineitem_gaps, "l_extendedprice", "l_returnflag").drop("p_value", "significant")
+    return stats.anova_groups(t.lineitem_gaps, "l_extendedprice", "l_returnflag")
 
 
 @query("anova_columns", _anova(
     union_all("SELECT count({c}) AS n, avg({c}) AS m, var_samp({c}) AS v FROM lineitem_gaps",
               ["l_quantity", "l_discount", "l_tax"]), "'l_quantity,l_discount,l_tax' AS columns"),
-    derived=GAPS, doubles=["statistic"], digits=2)
+    derived=GAPS, doubles=["statistic", "p_value"], digits=2)
 def _(t):
-    return stats.anova_columns(t.lineitem_gaps, ["l_quantity", "l_discount", "l_tax"]).drop("p_value", "significant")
+    return stats.anova_columns(t.lineitem_gaps, ["l_quantity", "l_discount", "l_tax"])
 
 
 def _chi(table: str, a: str, b: str, yates: bool) -> str:
@@ -141,26 +152,31 @@ def _(t):
     return stats.chi_square(t.labels, "quality", "toxic").select("column_a", "column_b", "statistic", "df")
 
 
-@query("vif", """
-WITH g AS (SELECT sum(l_quantity ** 2) AS a, sum(l_extendedprice ** 2) AS b, sum(l_discount ** 2) AS c,
-  sum(l_quantity * l_extendedprice) AS ab, sum(l_quantity * l_discount) AS ac, sum(l_extendedprice * l_discount) AS bc
-  FROM lineitem_gaps WHERE l_discount IS NOT NULL),
-d AS (SELECT *, a * (b * c - bc * bc) - ab * (ab * c - bc * ac) + ac * (ab * bc - b * ac) AS det FROM g),
-v AS (SELECT 'l_quantity' AS "column", a * (b * c - bc * bc) / det AS vif FROM d
-  UNION ALL SELECT 'l_extendedprice', b * (a * c - ac * ac) / det FROM d
-  UNION ALL SELECT 'l_discount', c * (a * b - ab * ab) / det FROM d)
-SELECT "column", round(vif, 3) + 0.0 AS vif, CASE WHEN vif > 10 THEN 'High' WHEN vif > 5 THEN 'Medium' ELSE 'Low' END AS risk FROM v""",
-       derived=GAPS)
+def _swept(names: list[str]) -> str:
+    """The sums of products of ``names`` swept on every one of them: minus their inverse."""
+    sums = union_all("SELECT {c}", [
+        f"{i} AS i, {j} AS j, sum({a}::DOUBLE * {b}) AS v FROM x" for i, a in enumerate(names) for j, b in enumerate(names)])
+    steps = [f"s{k + 1} AS (SELECT m.i, m.j, CASE WHEN m.i = {k} AND m.j = {k} THEN -1 / d.v WHEN m.i = {k} OR m.j = {k} THEN m.v / d.v "
+             f"ELSE m.v - r.v * c.v / d.v END AS v FROM s{k} m JOIN s{k} r ON r.i = m.i AND r.j = {k} "
+             f"JOIN s{k} c ON c.i = {k} AND c.j = m.j JOIN s{k} d ON d.i = {k} AND d.j = {k})" for k in range(len(names))]
+    return f"s0 AS ({sums}), " + ", ".join(steps)
+
+
+@query("vif", "WITH x AS (SELECT * FROM lineitem_gaps WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in NUM) + "), " + _swept(NUM)
+       + f", v AS (SELECT ({NUM})[s0.i + 1] AS \"column\", -s0.v * s{len(NUM)}.v AS vif FROM s0 JOIN s{len(NUM)} USING (i, j) "
+       "WHERE s0.i = s0.j) SELECT \"column\", round(vif, 3) + 0.0 AS vif, "
+       "CASE WHEN vif > 10 THEN 'High' WHEN vif > 5 THEN 'Medium' ELSE 'Low' END AS risk FROM v", derived=GAPS)
 def _(t):
-    return stats.vif(t.lineitem_gaps, ["l_quantity", "l_extendedprice", "l_discount"])
+    return stats.vif(t.lineitem_gaps)
 
 
-_MI = {"l_quantity": True, "l_extendedprice": True, "l_returnflag": False, "l_linestatus": False}
+_MI = {c: c in NUM for c in LINEITEM[:10]}
 _EDGES = "[" + ", ".join(f"{i / 10}" for i in range(1, 10)) + "]"
 _MI_PAIRS = [(a, b) for i, a in enumerate(_MI) for b in list(_MI)[i + 1:]]
 
 
-@query("mutual_info", "WITH x AS (SELECT * FROM lineitem_gaps WHERE l_returnflag IS NOT NULL), e AS (SELECT "
+@query("mutual_info", "WITH x AS (SELECT * FROM lineitem_gaps WHERE "
+       + " AND ".join(f"{c} IS NOT NULL" for c in _MI) + "), e AS (SELECT "
        + ", ".join(f"quantile_cont({c}, {_EDGES}) AS e_{c}" for c, n in _MI.items() if n) + " FROM x), d AS (SELECT "
        + ", ".join(f"len(list_filter(list_distinct(e_{c}), lambda q: q < {c}))::VARCHAR AS {c}" if n else c for c, n in _MI.items())
        + " FROM x, e), p AS ("
@@ -170,7 +186,7 @@ m AS (SELECT a, b, o, sum(o) OVER (PARTITION BY a, b) AS n, sum(o) OVER (PARTITI
   sum(o) OVER (PARTITION BY a, b, y) AS oy FROM p)
 SELECT a, b, sum(o / n * ln(o * n / (ox * oy))) AS mutual_info FROM m GROUP BY a, b""", derived=GAPS, doubles=["mutual_info"])
 def _(t):
-    return stats.mutual_info(t.lineitem_gaps, list(_MI))
+    return stats.mutual_info(t.lineitem_gaps)
 
 
 # --- drift ---------------------------------------------------------------------------------
