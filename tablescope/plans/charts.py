@@ -48,11 +48,11 @@ def _(t):
     return ch.line_data(t.part, "p_brand", "p_retailprice", agg="median")
 
 
-query("scatter_points")(lambda t: ch.scatter_points(t.lineitem, "l_quantity", "l_extendedprice", color="l_returnflag", n=1000, key=LKEY))
-query("bubble_points")(lambda t: ch.bubble_points(t.lineitem, "l_quantity", "l_extendedprice", size="l_discount", n=1000, key=LKEY))
-query("scatter3d_points")(lambda t: ch.scatter3d_points(t.lineitem, "l_quantity", "l_extendedprice", z="l_tax", n=1000, key=LKEY))
+query("scatter_points")(lambda t: ch.scatter_points(t.lineitem, "l_quantity", "l_extendedprice", color="l_returnflag", key=LKEY))
+query("bubble_points")(lambda t: ch.bubble_points(t.lineitem, "l_quantity", "l_extendedprice", size="l_discount", key=LKEY))
+query("scatter3d_points")(lambda t: ch.scatter3d_points(t.lineitem, "l_quantity", "l_extendedprice", z="l_tax", key=LKEY))
 query("parallel_coords_data")(lambda t: ch.parallel_coords_data(
-    t.lineitem, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], "l_returnflag", 1000, LKEY))
+    t.lineitem, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], "l_returnflag", key=LKEY))
 
 # --- distributions -------------------------------------------------------------------------
 

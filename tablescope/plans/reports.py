@@ -74,11 +74,18 @@ def _(t):
     return prof.dataset_metadata(t.lineitem_gaps)
 
 
+_METRICS = ["count", "mean", "std", "min", "q25", "q50", "q75", "max"]
 _LABELS = union_all("""
 SELECT * FROM (SELECT 'labels' AS section, '{c}' AS item, {c} AS metric, count(*)::VARCHAR AS value FROM part_text
 GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 10)""", ["p_name", "p_brand", "p_type", "p_size_txt"])
 
 
+_NUMBERS = union_all(f"""
+SELECT 'numbers' AS section, '{{c}}' AS item, unnest({_METRICS}) AS metric, unnest([round(v::DOUBLE, 4)::VARCHAR FOR v IN [
+  count({{c}}), avg({{c}}), stddev_samp({{c}}), min({{c}}), quantile_cont({{c}}::DOUBLE, 0.25), quantile_cont({{c}}::DOUBLE, 0.5),
+  quantile_cont({{c}}::DOUBLE, 0.75), max({{c}})]]) AS value FROM part_text""", ["p_partkey", "p_size", "p_retailprice"])
+
+
 @query("profile_report", """
 SELECT 'overview' AS section, 'rows' AS item, 'value' AS metric, count(*)::VARCHAR AS value FROM part_text
 UNION ALL SELECT 'overview', 'columns', 'value', '7' UNION ALL SELECT 'overview', 'missing_cells', 'value', '0'
@@ -86,10 +93,9 @@ UNION ALL SELECT 'overview', 'duplicate_rows', 'value',
   ((SELECT count(*) FROM part_text) - count(*))::VARCHAR FROM (SELECT DISTINCT * FROM part_text)
 UNION ALL SELECT 'data types', 'bigint', 'columns', '1' UNION ALL SELECT 'data types', 'int', 'columns', '1'
 UNION ALL SELECT 'data types', 'double', 'columns', '1' UNION ALL SELECT 'data types', 'string', 'columns', '4'
-UNION ALL """ + _LABELS, derived=["part_text"])
+UNION ALL """ + _LABELS + " UNION ALL " + _NUMBERS, derived=["part_text"])
 def _(t):
-    # the numbers section holds what describe_numeric gives and is checked there
-    return prof.profile_report(t.part_text).where("section <> 'numbers'")
+    return prof.profile_report(t.part_text)
 
 
 @query("column_inventory", " UNION ALL ".join(

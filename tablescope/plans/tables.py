@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tablescope.functions.columns import long_agg
 from tablescope.operators import aggregate as agg
 from tablescope.operators import clean, fuzzy, ordered, project
 from tablescope.operators import profile as prof
@@ -172,6 +173,24 @@ def _(t):
     return io.compact_plan(t.lineitem)
 
 
+@query("compact_types_cast", " UNION ALL ".join(
+    [f"SELECT '{c}' AS \"column\", CASE WHEN min({c}) >= -128 AND max({c}) < 128 THEN 'tinyint' "
+     f"WHEN min({c}) >= -32768 AND max({c}) < 32768 THEN 'smallint' "
+     f"WHEN min({c}) >= -2147483648 AND max({c}) < 2147483648 THEN 'int' ELSE 'bigint' END AS dtype, "
+     f"count({c}) AS held, sum({c})::DOUBLE AS total FROM lineitem_gaps"
+     for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")]
+    + [f"SELECT '{c}', CASE WHEN count(*) FILTER (CAST(CAST({c} AS float) AS double) <> {c}) = 0 THEN 'float' "
+       f"ELSE 'double' END, count({c}), sum({c}) FROM lineitem_gaps" for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")]
+    + [f"SELECT '{c}', 'string', count({c}), sum(length({c}))::DOUBLE FROM lineitem_gaps" for c in ("l_returnflag", "l_linestatus")]),
+    derived=["lineitem_gaps"], doubles=["total"], digits=2)
+def _(t):
+    cast = io.compact_types(t.lineitem_gaps.select(LINEITEM[:10]))
+    kinds = dict(cast.dtypes)
+    return long_agg(cast, cast.columns, {
+        "dtype": lambda c: F.max(F.lit(kinds[c])), "held": F.count,
+        "total": lambda c: F.sum((F.length(c) if kinds[c] == "string" else F.col(c)).cast("double"))})
+
+
 @query("preview_head", "SELECT * FROM orders ORDER BY o_orderkey LIMIT 10")
 def _(t):
     return io.preview_head(t.orders, 10, ["o_orderkey"])
