@@ -31,3 +31,13 @@ def test_squares_are_boosted_from_one_row_per_cell(spark):
     assert len(cells) == 4 and sum(r["w"] for r in cells) == 600
     fitted = boosting.fit_boosted(df, boosting.REGRESSION, rounds=60)
     assert np.allclose(fitted.outputs(np.arange(4.0)[:, None])[:, 0], 298 + np.arange(4.0), atol=0.1)
+
+
+def test_a_subtree_is_copied_for_the_chunks_of_its_leaf_only(spark, monkeypatch):
+    top = trees.Top()
+    top.split(0, 0, 0.5)
+    rows = spark.range(1300).select(F.col("id").alias("row"), F.array((F.col("id") >= 1000).cast("double")).alias("x"))
+    monkeypatch.setattr(trees, "LOCAL", 400)
+    assert [c.tolist() for c in trees.leaf_chunks(rows, [top], 1)] == [[1, 3, 1]]
+    routed = trees.routed(rows, [top], False, 0, 1, [np.array([1, 3, 1])])
+    assert {(r["leaf"], r["chunk"]) for r in routed.select("leaf", "chunk").distinct().collect()} == {(1, 0), (1, 1), (1, 2), (2, 0)}
