@@ -41,3 +41,18 @@ def test_a_subtree_is_copied_for_the_chunks_of_its_leaf_only(spark, monkeypatch)
     assert [c.tolist() for c in trees.leaf_chunks(rows, [top], 1)] == [[1, 3, 1]]
     routed = trees.routed(rows, [top], False, 0, 1, [np.array([1, 3, 1])])
     assert {(r["leaf"], r["chunk"]) for r in routed.select("leaf", "chunk").distinct().collect()} == {(1, 0), (1, 1), (1, 2), (2, 0)}
+
+
+def test_wide_coordinates_are_halved_first():
+    assert neighbours.bit_order([800.0, 100.0], 5) == [0, 0, 0, 0, 1, 0, 1, 1, 1, 1]
+    assert neighbours.bit_order([1.0, 1.0], 2) == [0, 1, 0, 1] and neighbours.bit_order([0.0], 3) == [0, 0, 0]
+
+
+def test_box_joins_are_cut_into_pieces(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "PAIRS", 64)
+    held = spark.createDataFrame([(float(i), float(i), 1, 0) for i in range(4)], "y0 double, _payload double, _n long, _box long")
+    asks = spark.createDataFrame([(i / 7.0, -1, 0) for i in range(50)], "x0 double, _j int, _box long")
+    found = neighbours._inside(asks, held, 1, 2)
+    assert found.select(F.spark_partition_id()).distinct().count() > 1
+    got = sorted((r["x0"], r["_payload"], r["_d2"]) for r in found.collect())
+    assert got == sorted((i / 7.0, float(j), (i / 7.0 - j) ** 2) for i in range(50) for j in range(4))
