@@ -178,8 +178,14 @@ def describe_numeric(df: DataFrame, probs: Sequence[float] = (0.25, 0.5, 0.75))
         *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(names)], "max")
 
 
+def spread_ties(df: DataFrame) -> list[Column]:
+    """A last sort key that cuts equal keys into ranges, so that a frequent value does not go to one task."""
+    names = [f.name for f in df.schema.fields if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
+    return [F.xxhash64(*[col(c) for c in names])] if names else []
+
+
 def sort_by(df: DataFrame, y: str, ascending: bool = True) -> DataFrame:
-    return df.orderBy(F.asc_nulls_last(col(y)) if ascending else F.desc_nulls_last(col(y)))
+    return df.orderBy(F.asc_nulls_last(col(y)) if ascending else F.desc_nulls_last(col(y)), *spread_ties(df))
 
 
 def top_n(df: DataFrame, name: str | None = None, n: int = 10, key: Sequence[str] = ()) -> DataFrame:
@@ -202,7 +208,7 @@ def result_sort_filter(df: DataFrame, predicate: str | None = None, order: Seque
     out = df.where(predicate) if predicate else df
     if not order:
         return out
-    return out.orderBy(*[F.asc_nulls_last(col(c)) if ascending else F.desc_nulls_last(col(c)) for c in order])
+    return out.orderBy(*[F.asc_nulls_last(col(c)) if ascending else F.desc_nulls_last(col(c)) for c in order], *spread_ties(out))
 
 
 def drop_duplicates(df: DataFrame) -> DataFrame:

@@ -56,3 +56,12 @@ def test_box_joins_are_cut_into_pieces(spark, monkeypatch):
     assert found.select(F.spark_partition_id()).distinct().count() > 1
     got = sorted((r["x0"], r["_payload"], r["_d2"]) for r in found.collect())
     assert got == sorted((i / 7.0, float(j), (i / 7.0 - j) ** 2) for i in range(50) for j in range(4))
+
+
+def test_ties_of_a_sort_go_to_many_tasks(spark, request):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the rows are few
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled"))
+    df = spark.range(40_000).withColumn("v", F.lit(0.05))
+    for made in (aggregate.sort_by(df, "v", ascending=False), aggregate.result_sort_filter(df, order=["v"])):
+        parts = made.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+        assert made.columns == ["id", "v"] and max(parts) < 20_000 and sum(parts) == 40_000
