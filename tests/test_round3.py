@@ -1,12 +1,13 @@
-"""Scaling of single steps: tree tables, subtrees per chunk, box joins, ties in sorts."""
+"""Scaling of single steps: tree tables, subtrees per chunk, box joins, ties in sorts, quantiles, pair cells."""
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from tablescope.functions.histograms import bin_matrix, binned, lists, packed
-from tablescope.operators import aggregate, boosting, neighbours, trees
+from tablescope.functions import quantiles
+from tablescope.functions.histograms import bin_matrix, binned, lists, merged, packed
+from tablescope.operators import aggregate, boosting, chartdata, clean, neighbours, stats, trees
 
 
 def test_tree_tables_agree_with_routes():
@@ -65,3 +66,16 @@ def test_ties_of_a_sort_go_to_many_tasks(spark, request):
     for made in (aggregate.sort_by(df, "v", ascending=False), aggregate.result_sort_filter(df, order=["v"])):
         parts = made.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
         assert made.columns == ["id", "v"] and max(parts) < 20_000 and sum(parts) == 40_000
+
+
+def test_histograms_of_many_nodes_take_rows_of_many_batches(spark, monkeypatch):
+    parts = [pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64())], ["v"]) for n in (3, 0, 4, 5, 1)]
+    assert [b.num_rows for b in merged(iter(parts), 6)] == [7, 6] and [b.num_rows for b in merged(iter(parts), 99)] == [13]
+    rows = spark.range(4000, numPartitions=3).select(
+        F.col("id").alias("row"), F.array(F.col("id").cast("double"), F.lit(1.0)).alias("x"), F.floor(F.col("id") / 500).cast("double").alias("label"))
+    cuts, tops = [np.arange(499.0, 4000.0, 500.0), np.array([1.0])], []
+    monkeypatch.setattr(trees, "LOCAL", 600)
+    for chunk in (1, 1 << 18):
+        monkeypatch.setattr(trees, "CHUNK", chunk)
+        tops.append(trees.grow_tops(rows, 4000, 1, 0, False, 2, False, 99, 0, cuts, np.zeros(2))[0])
+    assert tops[0] == tops[1] and sorted(c for c, f in zip(tops[0].cut, tops[0].feature) if f >= 0) == list(np.arange(499.0, 3500.0, 500.0))
