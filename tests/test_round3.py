@@ -79,3 +79,43 @@ def test_histograms_of_many_nodes_take_rows_of_many_batches(spark, monkeypatch):
         monkeypatch.setattr(trees, "CHUNK", chunk)
         tops.append(trees.grow_tops(rows, 4000, 1, 0, False, 2, False, 99, 0, cuts, np.zeros(2))[0])
     assert tops[0] == tops[1] and sorted(c for c, f in zip(tops[0].cut, tops[0].feature) if f >= 0) == list(np.arange(499.0, 3500.0, 500.0))
+
+
+def _skewed():
+    rng = np.random.default_rng(5)
+    u = rng.normal(size=6000)
+    return {"u": u, "ties": rng.integers(0, 5, 6000) * 1.0, "one": np.ones(6000), "gaps": np.where(u > 1, np.nan, u * 1e9),
+            "half": np.where(u > 0, 0.0, u), "none": np.full(6000, np.nan), "g": rng.integers(0, 3, 6000) * 1.0}
+
+
+def _frame(spark, data):
+    return spark.createDataFrame(list(zip(*[[float(x) for x in v] for v in data.values()])), ", ".join(f"{c} double" for c in data))
+
+
+def test_quantiles_of_columns_need_no_table_of_all_values(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "EXACT_GROUP_ROWS", 1000)
+    monkeypatch.setattr(quantiles, "to_long", None)
+    data, probs = _skewed(), [0, 0.1, 0.25, 0.5, 0.999, 1]
+    got = {r["column"]: r["q"] for r in quantiles.wide_percentiles(_frame(spark, data), list(data), probs).collect()}
+    assert got.pop("none") is None and set(got) == set(data) - {"none"}
+    for c, q in got.items():
+        assert np.allclose(q, np.nanquantile(data[c], probs), rtol=1e-12, atol=0), c
+
+
+def test_quantiles_of_infinite_values(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "EXACT_GROUP_ROWS", 1000)
+    u = np.random.default_rng(6).normal(size=6000)
+    df = _frame(spark, {"high": np.where(u > 1, np.inf, u), "u": u})
+    got = {r["column"]: r["q"] for r in quantiles.wide_percentiles(df, ["high", "u"], [0.25, 0.5]).collect()}
+    want = np.quantile(u, [0.25, 0.5])
+    assert np.allclose(got["high"], want, rtol=1e-12) and np.allclose(got["u"], want, rtol=1e-12)
+
+
+def test_quantiles_of_frequent_groups_start_from_brackets(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "EXACT_GROUP_ROWS", 1000)
+    monkeypatch.setattr(quantiles, "GRID", None)  # the grid over all values
+    data, probs = _skewed(), [0, 0.2, 0.5, 1]
+    for c in ("u", "ties", "one", "half"):
+        found = quantiles.grouped_quantiles(_frame(spark, data), ["g"], c, probs)
+        for r in found.collect():
+            assert np.allclose(r["q"], np.quantile(data[c][data["g"] == r["g"]], probs), rtol=1e-12, atol=0), c
