@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import partial
 from statistics import NormalDist
 
 import numpy as np
@@ -382,11 +383,32 @@ def vif(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
         F.when(v > 10, "High").when(v > 5, "Medium").otherwise("Low").alias("risk")).orderBy(F.desc("vif"))
 
 
+def _pair_cells(batches: Iterator[pa.RecordBatch], cuts: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Cells of every pair of columns with their rows in a batch; columns with cuts are numbers, others labels."""
+    for b in batches:
+        codes, labels = [], []
+        for i in range(b.num_columns):
+            if i in cuts:
+                codes.append(np.searchsorted(cuts[i], b.column(i).to_numpy(zero_copy_only=False), "left"))
+                labels.append(pa.array([str(k) for k in range(len(cuts[i]) + 1)], pa.string()))
+            else:
+                found = b.column(i).dictionary_encode()
+                codes.append(found.indices.to_numpy(zero_copy_only=False).astype(np.int64))
+                labels.append(found.dictionary.cast(pa.string()))
+        found = []
+        for i, j in itertools.combinations(range(len(codes)), 2) if b.num_rows else ():
+            cell, rows = np.unique(codes[i] * len(labels[j]) + codes[j], return_counts=True)
+            x, y = labels[i].take(pa.array(cell // len(labels[j]))), labels[j].take(pa.array(cell % len(labels[j])))
+            found.append([pa.array(np.full(len(cell), k, np.int32)) for k in (i, j)] + [x, y, pa.array(rows)])
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*found)], ["i", "j", "x", "y", "o"])
+
+
 def mutual_info(df: DataFrame, cols: Sequence[str] | None = None, bins: int = 10) -> DataFrame:
     """Pairwise mutual information in nats over quantile bins (numbers) and labels (text).
 
     Plug-in estimate Σ p·ln(p / (pₐ·p_b)) on rows complete in all columns. All pairs are counted
-    in one grouped pass; a (pair, bin, bin) cell is pre-aggregated before the shuffle.
+    in one grouped pass; a task counts the (pair, bin, bin) cells of each batch, only those counts are shuffled.
     """
     nums, texts = numeric_columns(df), text_columns(df)
     names = list(cols) if cols is not None else nums + texts
@@ -397,16 +419,13 @@ def mutual_info(df: DataFrame, cols: Sequence[str] | None = None, bins: int = 10
              (wide_percentiles(data.select(*[col(c) for c in num_names]), num_names, inner).collect()
               if num_names else [])}
 
-    def coded(c: str) -> Column:
-        if c in edges:
-            cut = F.array(*[F.lit(float(e)) for e in edges[c]]).cast("array<double>")
-            return F.size(F.filter(cut, lambda e: e < as_double(c))).cast("string")
-        return col(c)
-
-    data = data.select(*[coded(c).alias(f"c{i}") for i, c in enumerate(names)])
-    pairs = [{"a": F.lit(names[i]), "b": F.lit(names[j]), "x": F.col(f"c{i}"), "y": F.col(f"c{j}")}
-             for i, j in itertools.combinations(range(len(names)), 2)]
-    cells = inline_rows(data, pairs).groupBy("a", "b", "x", "y").agg(F.count("*").cast("double").alias("o"))
+    data = data.select(*[(as_double(c) if c in edges else col(c).cast("string")).alias(f"c{i}") for i, c in enumerate(names)])
+    cuts = {i: np.array(edges[c], dtype=float) for i, c in enumerate(names) if c in edges}
+    named = F.array(*[F.lit(c) for c in names])
+    cells = checkpointed(  # read four times
+        data.mapInArrow(partial(_pair_cells, cuts=cuts), "i int, j int, x string, y string, o bigint").groupBy(
+            F.get(named, F.col("i")).alias("a"), F.get(named, F.col("j")).alias("b"), "x", "y").agg(
+            F.sum("o").cast("double").alias("o")))
     xs = cells.groupBy("a", "b", "x").agg(F.sum("o").alias("ox"))
     ys = cells.groupBy("a", "b", "y").agg(F.sum("o").alias("oy"))
     n = cells.groupBy("a", "b").agg(F.sum("o").alias("n"))

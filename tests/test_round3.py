@@ -119,3 +119,12 @@ def test_quantiles_of_frequent_groups_start_from_brackets(spark, monkeypatch):
         found = quantiles.grouped_quantiles(_frame(spark, data), ["g"], c, probs)
         for r in found.collect():
             assert np.allclose(r["q"], np.quantile(data[c][data["g"] == r["g"]], probs), rtol=1e-12, atol=0), c
+
+
+def test_pairs_of_columns_are_counted_per_batch(spark, monkeypatch):
+    monkeypatch.setattr(stats, "inline_rows", None)
+    df = spark.createDataFrame([(float(i), float(i % 4), "ab"[i % 2]) for i in range(400)] + [(None, 1.0, "a")], "x double, y double, t string")
+    got = {(r["a"], r["b"]): r["mutual_info"] for r in stats.mutual_info(df, bins=4).collect()}
+    assert set(got) == {("x", "y"), ("x", "t"), ("y", "t")}
+    # quartiles of 0, 1, 2, 3 are 0.75, 1.5, 2.25: four bins, of which the parity tells half
+    assert abs(got["y", "t"] - np.log(2)) < 1e-12 and abs(got["x", "t"]) < 1e-12
