@@ -128,3 +128,11 @@ def test_pairs_of_columns_are_counted_per_batch(spark, monkeypatch):
     assert set(got) == {("x", "y"), ("x", "t"), ("y", "t")}
     # quartiles of 0, 1, 2, 3 are 0.75, 1.5, 2.25: four bins, of which the parity tells half
     assert abs(got["y", "t"] - np.log(2)) < 1e-12 and abs(got["x", "t"]) < 1e-12
+
+
+def test_cleaning_seeks_distinct_rows_once(spark, monkeypatch):
+    kept, real = [], clean.stored
+    monkeypatch.setattr(clean, "stored", lambda df: kept.append(1) or real(df))
+    df = spark.createDataFrame([(1, 2.0, " a"), (1, 2.0, " a"), (2, None, None), (3, 4.0, "b")], "k int, x double, t string")
+    out = clean.auto_clean(df, remove_duplicates=True, missing="median", outliers="clip", text="strip")
+    assert sorted(tuple(r) for r in out.collect()) == [(1, 2.0, "a"), (2, 3.0, "Unknown"), (3, 4.0, "b")] and kept == [1]
