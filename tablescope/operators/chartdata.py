@@ -291,8 +291,9 @@ def dashboard(df: DataFrame, specs: Sequence[Spec] | None = None, key: Sequence[
     if boxes:
         long = to_long(nan_to_null(df), list(dict.fromkeys(s[1] for _, s in boxes)), "double").where("value is not null")
         b = spread(box_data(long, "value", "column"), boxes, "column")
-        for m in ("whisker_low", "q1", "median", "q3", "whisker_high"):
-            parts.append(shaped(b, F.col("chart"), F.col("kind"), F.col("column"), F.lit(m), nulls, F.col(m)))
+        b = inline_rows(b, [{"series": F.lit(m), "y": F.col(m)} for m in ("whisker_low", "q1", "median", "q3", "whisker_high")],
+                        ["chart", "kind", "column"])
+        parts.append(shaped(b, F.col("chart"), F.col("kind"), F.col("column"), F.col("series"), nulls, F.col("y")))
     bars = kind_of("bar", "pie")
     if bars:
         top = spread(top_labels(df, list(dict.fromkeys(s[1] for _, s in bars)), PIE_TOP), bars, "column")

@@ -136,3 +136,11 @@ def test_cleaning_seeks_distinct_rows_once(spark, monkeypatch):
     df = spark.createDataFrame([(1, 2.0, " a"), (1, 2.0, " a"), (2, None, None), (3, 4.0, "b")], "k int, x double, t string")
     out = clean.auto_clean(df, remove_duplicates=True, missing="median", outliers="clip", text="strip")
     assert sorted(tuple(r) for r in out.collect()) == [(1, 2.0, "a"), (2, 3.0, "Unknown"), (3, 4.0, "b")] and kept == [1]
+
+
+def test_boxes_of_a_dashboard_are_made_once(spark):
+    df = spark.createDataFrame([(float(i),) for i in range(9)], "x double")
+    out = chartdata.dashboard(df, [("box", "x", None)])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Join" in line for line in plan.splitlines()) == 1
+    assert {r["series"]: r["y"] for r in out.collect()} == {"whisker_low": 0, "q1": 2, "median": 4, "q3": 6, "whisker_high": 8}
