@@ -204,3 +204,27 @@ def test_classes_are_counted_where_the_caller_does_not(spark):
     for name in ("decision_tree", "gbt"):
         fit = models.estimator(name, models.CLASSIFICATION, trees=3).fit(data)
         assert len(fit.transform(data).first()["probability"]) == 3
+
+
+def test_equal_vectors_travel_and_are_scored_once(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = np.stack([rng.integers(0, 4, 3000), rng.integers(0, 3, 3000)], 1).astype(float)
+    y = x[:, 0] * 10 + rng.integers(0, 5, 3000)
+    rows = spark.createDataFrame([(i, a.tolist(), float(b)) for i, (a, b) in enumerate(zip(x, y))], "row long, x array<double>, label double")
+    whole = trees.gathered(rows.coalesce(1), [trees.Top()] * 2, True, 42, 2, 0).where("tree = 1").toArrow()
+    merged, w = trees.received(whole, 2, 2), trees.copies(np.arange(3000), 1, 42)
+    assert len(np.frombuffer(whole.column("row")[0].as_py(), np.int64)) == len(merged.x) == 12
+    for v, sums, low, high in zip(merged.x, merged.sums, merged.low, merged.high):
+        own = (x == v).all(1) & (w > 0)
+        assert (sums.tolist(), low, high) == ([w[own].sum(), (w * y)[own].sum()], y[own].min(), y[own].max())
+    args = (0, 2, False, 99, np.random.default_rng(0))
+    a, b = trees.grow_vectors(merged, *args)[0], trees.grow(x[w > 0], y[w > 0], w[w > 0], *args)[0]
+    assert all(np.array_equal(p, q) for p, q in zip(vars(a).values(), vars(b).values()))
+    for classes, label in ((0, y), (4, x[:, 0])):
+        data, asked, routed = frame(spark, x, label), [], trees.routed
+        monkeypatch.setattr(trees, "routed", lambda rows, *a: asked.append(rows.count()) or routed(rows, *a))  # noqa: B023
+        forest = trees.fit_forest(data, trees.CLASSIFICATION if classes else trees.REGRESSION, 2, trees=3)
+        said = trees.scored(data, forest)
+        assert asked == [12] and said.count() == 3000 and said.where("prediction is null").count() == 0
+        monkeypatch.undo()
+    assert said.where("prediction <> label").count() == 0
