@@ -217,6 +217,9 @@ def test_equal_vectors_travel_and_are_scored_once(spark, monkeypatch):
     for v, sums, low, high in zip(merged.x, merged.sums, merged.low, merged.high):
         own = (x == v).all(1) & (w > 0)
         assert (sums.tolist(), low, high) == ([w[own].sum(), (w * y)[own].sum()], y[own].min(), y[own].max())
+    apart = trees.received(trees.gathered(rows, [trees.Top()], True, 42, 2, 0, False).toArrow(), 2, 2, False)
+    seen = np.flatnonzero(trees.copies(np.arange(3000), 0, 42))
+    assert np.array_equal(apart.row, seen) and np.array_equal(apart.x, x[seen]) and np.array_equal(apart.low, y[seen])
     args = (0, 2, False, 99, np.random.default_rng(0))
     a, b = trees.grow_vectors(merged, *args)[0], trees.grow(x[w > 0], y[w > 0], w[w > 0], *args)[0]
     assert all(np.array_equal(p, q) for p, q in zip(vars(a).values(), vars(b).values()))
