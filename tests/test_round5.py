@@ -8,7 +8,9 @@ import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from tablescope.operators import trees
+from tablescope.functions import histograms
+from tablescope.functions.histograms import tallied as histograms_tallied
+from tablescope.operators import boosting, trees
 
 
 def frame(spark, x, y):
@@ -61,3 +63,28 @@ def test_vectors_with_prices_travel_once_and_not_row_by_row(spark, monkeypatch):
     assert said[0] == said[1] and len(said[0]) == 12  # however the rows are laid out
     for v, p in said[0].items():
         assert p == pytest.approx(y[(x == v).all(1)].mean(), rel=1e-12)
+
+
+@pytest.mark.parametrize("task, classes", [(boosting.CLASSIFICATION, 3), (boosting.REGRESSION, 0)])
+def test_boosting_in_one_task_equals_boosting_in_many(spark, monkeypatch, task, classes):
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 9, (700, 3)).astype(float)
+    y = (x[:, 0] + x[:, 1] * rng.random(700) > 6).astype(float) + (x[:, 2] > 6)
+    data, jobs, found = frame(spark, x, y), [], []
+    for rows in (0, 200_000):
+        monkeypatch.setattr(histograms, "HERE_ROWS", rows)
+        jobs.append([])
+        monkeypatch.setattr(histograms, "tallied", lambda *a, real=histograms_tallied, made=jobs[-1], **k: made.append(1) or real(*a, **k))
+        made = boosting.fit_boosted(data, task, classes, rounds=4)
+        ada = boosting.fit_adaboost(data, task, rounds=4)
+        found.append((made.raw(x), made.importance, ada.outputs(x), [s.alpha for s in ada.stages]))
+    assert jobs[0] and not jobs[1]
+    assert all(np.allclose(a, b, rtol=1e-9) for a, b in zip(*found))
+
+
+def test_a_large_table_is_cut_into_few_tasks(spark, monkeypatch):
+    """Before, a task per 8192 rows: 300 of them for every pass over 2.4 million."""
+    monkeypatch.setattr(histograms, "TASK_ROWS", 10)
+    table = histograms.Binned(spark.range(1000).select(F.col("id").cast("double").alias("label")))
+    assert table.tasks == max(histograms.FEW_TASKS, spark.sparkContext.defaultParallelism)
+    table.drop()
