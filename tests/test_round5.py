@@ -5,12 +5,14 @@ import math
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.ml import Pipeline
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from tablescope.functions import histograms
 from tablescope.functions.histograms import tallied as histograms_tallied
-from tablescope.operators import boosting, trees
+from tablescope.operators import boosting, kernels, models, trees
+from tablescope.sources import store
 
 
 def frame(spark, x, y):
@@ -88,3 +90,24 @@ def test_a_large_table_is_cut_into_few_tasks(spark, monkeypatch):
     table = histograms.Binned(spark.range(1000).select(F.col("id").cast("double").alias("label")))
     assert table.tasks == max(histograms.FEW_TASKS, spark.sparkContext.defaultParallelism)
     table.drop()
+
+
+def test_kernel_squares_of_equal_vectors(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 5, (600, 2)).astype(float)
+    data, mapped = frame(spark, x, np.sin(x[:, 0]) * 9 + x[:, 1] + rng.random(600)), []
+    said = []
+    real = kernels.KernelMapModel._transform
+    monkeypatch.setattr(kernels.KernelMapModel, "_transform", lambda self, d: mapped.append(d.count()) or real(self, d))
+    for many in (10_000, 100):
+        monkeypatch.setattr(kernels, "MANY_ROWS", many)
+        fit = models.estimator("svr", models.REGRESSION, rows=600, label_std=2.0).fit(data)
+        assert mapped.pop(0) == (600 if many > 600 else 25)
+        said.append(np.array(sorted(r.prediction for r in fit.transform(data).select("prediction").collect())))
+        mapped.clear()
+        path = store.scratch_dir(spark)
+        models.save_model(Pipeline(stages=[models.estimator("svr", models.REGRESSION, rows=600, label_std=2.0)]).fit(data), path)
+        again = sorted(r.prediction for r in models.load_model(path).transform(data).select("prediction").collect())
+        assert np.allclose(again, said[-1], rtol=1e-9)
+        mapped.clear()
+    assert np.allclose(said[0], said[1], rtol=1e-6)
