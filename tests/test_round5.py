@@ -111,3 +111,39 @@ def test_kernel_squares_of_equal_vectors(spark, monkeypatch):
         assert np.allclose(again, said[-1], rtol=1e-9)
         mapped.clear()
     assert np.allclose(said[0], said[1], rtol=1e-6)
+
+
+def test_only_drawn_features_are_looked_at(monkeypatch):
+    """Before, all six were, and two of them drawn afterwards; features that can't be cut are passed over all the same."""
+    rng = np.random.default_rng(5)
+    x, y = rng.random((300, 6)), rng.integers(0, 2, 300).astype(float)
+    x[:, np.random.default_rng(0).random((1, 6)).argsort(1)[0, 0]] = 1.0   # the first one drawn
+    drawn = np.random.default_rng(0).random((1, 6)).argsort(1)[0, 1:3]
+    looked, real = [], trees.exact_cuts
+    monkeypatch.setattr(trees, "exact_cuts", lambda xs, *a: looked.append(len(xs)) or real(xs, *a))
+    nodes, _ = trees.grow(x, y, np.ones(300), 2, 2, False, 1, np.random.default_rng(0))
+    assert looked == [300, 300, 300]
+
+    def best(f):
+        gains = []
+        for c in np.sort(x[:, f])[:-1]:
+            sums = [np.bincount(y[m].astype(int), minlength=2) for m in (x[:, f] <= c, x[:, f] > c)]
+            gains.append(sum((s ** 2).sum() / s.sum() for s in sums))
+        return max(gains)
+
+    assert nodes.feature[0] == max(drawn, key=best)
+
+
+def test_bins_lead_down_a_top_as_values_do(spark):
+    rng = np.random.default_rng(6)
+    x = rng.random((200, 2)).round(2)
+    x[:5, 1] = np.nan
+    cuts, top = [np.arange(0, 1, 0.1), np.array([0.25, 0.5])], trees.Top()
+    below = top.split(0, 0, float(cuts[0][4]))
+    top.split(below, 1, 0.25)
+    rows = spark.createDataFrame([(i, v.tolist(), 0.0) for i, v in enumerate(x)], "row long, x array<double>, label double")
+    found = trees.binned_rows(rows, cuts).orderBy("row").toArrow().column("x").combine_chunks()
+    shape = top.nodes()
+    by_value = shape.leaves(x)
+    shape.cut = np.array([np.searchsorted(cuts[f], c) if f >= 0 else 0 for f, c in zip(shape.feature.tolist(), shape.cut.tolist())])
+    assert np.array_equal(shape.leaves(histograms.bin_matrix(found, 2)), by_value) and len(set(by_value)) == 3
